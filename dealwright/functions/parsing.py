@@ -25,8 +25,7 @@ NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 def whole_price(display: Column) -> Column:
     """Whole dollars of the first ``$`` amount; null when there is none."""
-    digits = F.regexp_replace(F.regexp_extract(display, PRICE_PATTERN, 1), ",", "")
-    return F.when(digits != "", digits.try_cast("bigint"))
+    return F.translate(F.regexp_extract(display, PRICE_PATTERN, 1), ",", "").try_cast("bigint")
 
 
 def to_double(text: Column) -> Column:

@@ -24,17 +24,33 @@ ROWS_PER_SCORING_GROUP = 50_000
 # --- Robust z-score -----------------------------------------------------------------------------------------
 
 
+def _medians(df: DataFrame, columns: Sequence[str], keys: Sequence[str], prefix: str) -> DataFrame:
+    """Medians of several columns per group in one pass, as ``<prefix><column>``."""
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_value")) for c in columns]
+    )
+    medians = exact_quantiles(df.select(*keys, F.inline(pairs)), [*keys, "_name"], "_value", {"_median": 0.5})
+    return medians.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_name") == c, F.col("_median"))).alias(f"{prefix}{c}") for c in columns]
+    )
+
+
 def robust_scores(
     df: DataFrame, columns: Sequence[str] = ("price", "km_per_year"), keys: Sequence[str] = SEGMENT
 ) -> DataFrame:
     """Add ``<column>_z``: distance from the segment median in units of 1.4826 median absolute deviations."""
-    for column in columns:
-        centre = exact_quantiles(df, keys, column, {"_median": 0.5})
-        away = with_group_values(df, centre, keys).withColumn("_away", F.abs(F.col(column) - F.col("_median")))
-        spread = exact_quantiles(away.select(*keys, "_away"), keys, "_away", {"_mad": 0.5})
-        z = F.try_divide(0.6745 * F.col("_away"), F.col("_mad"))
-        df = with_group_values(away, spread, keys).withColumn(f"{column}_z", z).drop("_median", "_away", "_mad")
-    return df
+    keys = list(keys)
+    centres = _medians(df, columns, keys, "_median_")
+    away = with_group_values(df.select(*keys, *columns), centres, keys, "inner").select(
+        *keys, *[F.abs(F.col(c) - F.col(f"_median_{c}")).alias(c) for c in columns]
+    )
+    spreads = _medians(away, columns, keys, "_mad_")
+    limits = centres.join(spreads, keys)
+    z = {
+        f"{c}_z": F.try_divide(0.6745 * F.abs(F.col(c) - F.col(f"_median_{c}")), F.col(f"_mad_{c}")) for c in columns
+    }
+    scored = with_group_values(df, limits, keys).withColumns(z)
+    return scored.drop(*[f"{p}{c}" for p in ("_median_", "_mad_") for c in columns])
 
 
 def flag_robust(
@@ -118,18 +134,18 @@ def grow_trees(x: np.ndarray, trees: int, rows_per_tree: int, seed: int) -> tupl
         path[:, here] = level + average_path(count)
         if level == depth or not len(cell):
             break
-        low = np.full((trees * width, d), np.inf)
-        high = np.full((trees * width, d), -np.inf)
-        np.minimum.at(low, cell, values)
-        np.maximum.at(high, cell, values)
+        order = np.argsort(cell, kind="stable")
+        filled, starts = np.unique(cell[order], return_index=True)
+        low, high = np.zeros((trees * width, d)), np.zeros((trees * width, d))
+        low[filled] = np.minimum.reduceat(values[order], starts, axis=0)
+        high[filled] = np.maximum.reduceat(values[order], starts, axis=0)
         varies = high > low
         chance = np.where(varies, rng.random(varies.shape), -1.0)
         chosen = chance.argmax(axis=1)
         at = np.arange(trees * width)
         splits = varies.any(axis=1) & (count.ravel() > 1)
         lo, hi = low[at, chosen], high[at, chosen]
-        with np.errstate(invalid="ignore"):
-            cut = np.where(splits, lo + rng.random(len(at)) * (hi - lo), 0.0)
+        cut = lo + rng.random(len(at)) * (hi - lo)
         feature[:, here] = np.where(splits, chosen, -1).reshape(trees, width)
         threshold[:, here] = cut.reshape(trees, width)
         split_rows = open_rows.copy()
@@ -147,18 +163,19 @@ def path_scores(
 ) -> np.ndarray:
     """Anomaly score in (0, 1): near 1 for rows that random splits isolate early."""
     trees, size = feature.shape
-    total = np.zeros(len(x))
-    at = np.arange(len(x))
     levels = int(np.log2(size + 1))
-    for t in range(trees):
-        node = np.zeros(len(x), dtype=np.int64)
+    tree = np.arange(trees)[None, :]
+    depth = np.empty(len(x))
+    for start in range(0, len(x), 2000):
+        rows = x[start : start + 2000]
+        at = np.arange(len(rows))[:, None]
+        node = np.zeros((len(rows), trees), dtype=np.int64)
         for _ in range(levels - 1):
-            f = feature[t, node]
-            inner = f >= 0
-            right = x[at, np.maximum(f, 0)] > threshold[t, node]
-            node = np.where(inner, 2 * node + 1 + right, node)
-        total += path[t, node]
-    return 2.0 ** (-(total / trees) / max(float(average_path(np.array(rows_per_tree))), 1e-12))
+            f = feature[tree, node]
+            right = rows[at, np.maximum(f, 0)] > threshold[tree, node]
+            node = np.where(f >= 0, 2 * node + 1 + right, node)
+        depth[start : start + 2000] = path[tree, node].mean(axis=1)
+    return 2.0 ** (-depth / max(float(average_path(np.array(rows_per_tree))), 1e-12))
 
 
 def fit_forests(

@@ -13,18 +13,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CELLS_PER_UNIT = 1024
 
 
 def value_cell(value: Column) -> Column:
     """Order-preserving cell number: equal values share a cell, larger values never get a smaller one."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * CELLS_PER_UNIT).cast("bigint")
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on every key of two aliased frames."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+    cell = F.floor(F.signum(value) * F.log1p(F.abs(value)) * CELLS_PER_UNIT)
+    return F.coalesce(cell.cast("bigint"), F.lit(0))
 
 
 def exact_quantiles(
@@ -33,22 +30,25 @@ def exact_quantiles(
     """One row per group with linearly interpolated quantiles, nulls ignored.
 
     ``probabilities`` maps output names to levels in [0, 1]. ``count_as`` adds the number of values.
+    Rows with a null key belong to no group.
     """
     keys = list(keys)
-    clean = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    clean = clean.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    present = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]]))
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        present = present.where(~F.isnan(value))
+    clean = present.select(*keys, F.col(value).cast("double").alias("_v"))
     counts = (
         clean.select(*keys, "_v", value_cell(F.col("_v")).alias("_cell"))
         .groupBy(*keys, "_cell", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
 
-    group = Window.partitionBy(*(keys or [F.lit(1)]))
+    group = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_cell")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = (
         counts.groupBy(*keys, "_cell")
         .agg(F.sum("_c").alias("_cc"))
-        .withColumn("_n", F.sum("_cc").over(group))
-        .withColumn("_below", F.sum("_cc").over(group.orderBy("_cell")) - F.col("_cc"))
+        .withColumns({"_n": F.sum("_cc").over(whole), "_below": F.sum("_cc").over(group) - F.col("_cc")})
     )
     levels = list(probabilities.items())
 
@@ -63,15 +63,9 @@ def exact_quantiles(
     wanted = reduce(lambda a, b: a | b, [holds(F.col("_below"), F.col("_cc"), rank(*r)) for r in ranks])
     wanted_cells = cells.where(wanted).select(*keys, "_cell", "_n", "_below")
 
-    left, right = counts.alias("l"), wanted_cells.alias("r")
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [F.col("l._cell") == F.col("r._cell")],
-    )
     in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v")
     picked = (
-        left.join(right, match)
-        .select(*[F.col(f"l.{k}").alias(k) for k in keys], "l._cell", "l._v", "l._c", "r._n", "r._below")
+        counts.join(wanted_cells, [*keys, "_cell"])
         .withColumn("_start", F.col("_below") + F.sum("_c").over(in_cell) - F.col("_c"))
     )
     at_rank = {

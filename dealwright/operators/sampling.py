@@ -23,12 +23,13 @@ def smallest_by_hash(
     digest = seeded_digest(seed, F.col(id_column))
     hashed = df.select(*keys, F.col(id_column).cast("string").alias("_id"), digest.alias("_h"))
     hashed = hashed.withColumn("_cell", F.substring("_h", 1, cell_digits))
-    group = Window.partitionBy(*keys)
+    group = Window.partitionBy(*keys).orderBy("_cell")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cut_cells = (
         hashed.groupBy(*keys, "_cell")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_k", size(F.sum("_c").over(group)))
-        .withColumn("_below", F.sum("_c").over(group.orderBy("_cell")) - F.col("_c"))
+        .withColumns({"_n": F.sum("_c").over(whole), "_below": F.sum("_c").over(group) - F.col("_c")})
+        .withColumn("_k", size(F.col("_n")))
         .where((F.col("_below") < F.col("_k")) & (F.col("_k") <= F.col("_below") + F.col("_c")))
         .select(*keys, "_cell", (F.col("_k") - F.col("_below")).alias("_take"))
     )

@@ -2,6 +2,7 @@
 
 from dealwright.plans import (  # noqa: F401
     clean_queries,
+    diagnose_queries,
     market_queries,
     model_queries,
     source_queries,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from dealwright.config import SEGMENT, DealSearch, OutlierSettings, TrainingSettings
 from dealwright.operators import deals, filters, outliers, train, value
+from dealwright.session import materialise
 from dealwright.sources.tables import scan_segments
 
 
@@ -35,7 +36,10 @@ def search_deals(
     ``models`` are trained here unless given. Outliers are left out both of training and of scoring, so a
     listing so cheap that it counts as an outlier is not reported; use the method 'none' to see those as well.
     """
-    rows = outliers.remove_outliers(features, outlier_settings)
+    rows = features
+    if outlier_settings.method != "none":
+        # Read by the gate, the line fit, the region fit and the scoring: decide on outliers once.
+        rows = materialise(outliers.remove_outliers(features, outlier_settings))
     models = train_segments(rows, training) if models is None else models
     wanted = scan_segments(rows, search.segments) if search.segments else rows
     found = deals.undervalued_pct(

@@ -72,8 +72,8 @@ def price_by_region_box(spark, sf_dir):
     edges AS (SELECT make, model, min(odometer) AS lo, max(odometer) AS hi FROM features GROUP BY ALL)
     SELECT make, model, least(20, 1 + floor((odometer - lo) / (hi - lo) * 20))::INT AS bin, count(*) AS n,
            avg(odometer)::FLOAT::DOUBLE AS x_mean, avg(price)::FLOAT::DOUBLE AS y_mean,
-           regr_slope(price, odometer)::FLOAT::DOUBLE AS slope,
-           regr_intercept(price, odometer)::FLOAT::DOUBLE AS intercept
+           CASE WHEN var_pop(odometer) > 0 THEN regr_slope(price, odometer)::FLOAT::DOUBLE END AS slope,
+           CASE WHEN var_pop(odometer) > 0 THEN regr_intercept(price, odometer)::FLOAT::DOUBLE END AS intercept
     FROM features JOIN edges USING (make, model) GROUP BY ALL""",
 )
 def price_by_odometer_trend(spark, sf_dir):

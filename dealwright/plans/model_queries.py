@@ -340,7 +340,8 @@ VALUE_SQL = f"""WITH {THIN_MODELS},
     {model_sql.tails("thin")}, {TAIL_ADJUST_SQL.format(source="points")}
     SELECT a.listing_id, round(estimate, 2) AS estimate, tail,
            CASE WHEN a.region <> '{REGION}' THEN round(specific - s_effect + coalesce(c.effect, 0), 2) END AS comparison_value,
-           CASE WHEN a.region <> '{REGION}' THEN round(coalesce(c.effect, 0) - s_effect, 2) END AS regional_diff,
+           CASE WHEN a.region <> '{REGION}' AND specific IS NOT NULL
+                THEN round(coalesce(c.effect, 0) - s_effect, 2) END AS regional_diff,
            round(specific + s_b_age + 10000 * s_b_odometer, 2) AS value_10k, round(specific + s_b_age, 2) AS value_0k,
            -s_b_age - 10000 * s_b_odometer > 0 AND -s_b_age > 0 AS reliable
     FROM adjusted a LEFT JOIN effects c ON a.make = c.make AND a.model = c.model AND c.region = '{REGION}'"""
@@ -512,7 +513,7 @@ def search_sql():
 def search(spark, sf_dir):
     from dealwright.config import FilterRule
 
-    rows = features(spark, sf_dir, *MODEL_INPUT, "title", "km_per_year")
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, "title", "km_per_year"))
     rules = (FilterRule("odometer", "<=", 160000, "Lower mileage"), FilterRule("region", "!=", "EUROPE"))
     found = deal_search.search_deals(
         rows, DealSearch(comparison_region=REGION, filters=rules), OutlierSettings(method="robust")

@@ -35,9 +35,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and cut its lineage there.
 
-    Used where several passes or an iteration read the same rows; survives lost executors.
+    Used where several passes or an iteration read the same rows; survives lost executors. Rows of an input too
+    small to give every core a partition are spread first, as all the passes would share its few tasks.
     """
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    shared_dir(spark)
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.checkpoint(eager=True)
 
 
