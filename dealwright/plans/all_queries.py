@@ -6,5 +6,6 @@ from dealwright.plans import (  # noqa: F401
     market_queries,
     model_queries,
     source_queries,
+    text_queries,
 )
 from dealwright.plans.catalog import CHECKS, QUERIES  # noqa: F401

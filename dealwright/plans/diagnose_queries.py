@@ -81,7 +81,7 @@ CANDIDATES = {
     board AS (SELECT make, model, candidate, count(*) AS n, avg(abs(price - p)) AS e,
                      sqrt(avg((price - p) * (price - p))) AS r FROM long GROUP BY ALL)
     SELECT make, model, candidate, n, round(e, 2) AS mae, round(r, 2) AS rmse,
-           row_number() OVER (PARTITION BY make, model ORDER BY e, candidate)::INT AS place FROM board""",
+           row_number() OVER (PARTITION BY make, model ORDER BY round(e, 6), candidate)::INT AS place FROM board""",
 )
 def leaderboard(spark, sf_dir):
     return rounded(diagnose.leaderboard(candidates(spark, sf_dir), CANDIDATES), two=("mae", "rmse"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dealwright.config import NUMERIC_FEATURES, SEGMENT, DealSearch, OutlierSettings
 from dealwright.functions import scoring
-from dealwright.operators import deals, filters, outliers, train, value
+from dealwright.operators import deals, ensemble, filters, outliers, train, value
 from dealwright.plans import deal_search, model_sql, valuation
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
@@ -535,3 +535,39 @@ def search_forest(spark, sf_dir):
         "listing_id", "make", "model", "price", "prediction_label", "discount_pct", "comparison_value",
         "regional_diff_pct",
     )
+
+
+# --- Tree models --------------------------------------------------------------------------------------------
+
+TREE_INPUT = ("listing_id", "make", "model", "region", "transmission", "fuel", "cylinders", *NUMERIC_FEATURES, "price")
+
+
+@query("train_general_trees")
+def train_general_trees(spark, sf_dir):
+    rows = materialise(features(spark, sf_dir, *TREE_INPUT))
+    model = ensemble.train_general_trees(filters.min_rows_gate(rows, 10))
+    return ensemble.predict_general_trees(rows, model).select("listing_id", "make", "model", "price", "general")
+
+
+@query("train_quantile_tree")
+def train_quantile_tree(spark, sf_dir):
+    rows = materialise(features(spark, sf_dir, "listing_id", "make", "model", *NUMERIC_FEATURES, "price"))
+    leaves = ensemble.fit_leaves(rows)
+    quantiles = ensemble.train_leaf_quantiles(rows, leaves)
+    out = value.predict_interval(ensemble.add_leaf(rows, leaves), quantiles)
+    return out.select(
+        "listing_id", "leaf", *[F.col(f"ci_{c}.{e}").alias(f"{e}{c}") for c in (80, 50) for e in ("lo", "hi")]
+    )
+
+
+@query("predict_blended_trees")
+def predict_blended_trees(spark, sf_dir):
+    rows = materialise(features(spark, sf_dir, *TREE_INPUT, thin=True))
+    model = ensemble.train_general_trees(filters.min_rows_gate(rows, 10), rounds=10)
+    specific = train.train_specific(filters.min_rows_gate(rows, 20))
+    scored = value.attach_specific(ensemble.predict_general_trees(rows, model), specific)
+    scored = scored.withColumn("specific", train.specific_value("s_"))
+    return scored.select(
+        "listing_id", "price", "specific", "general",
+        scoring.blended(F.col("specific"), F.col("general"), F.col("s_n")).alias("prediction_label"),
+    )
