@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealwright.functions.scoring import best_option, edit_similarity
+from dealwright.session import materialise
 
 CHUNK = 5000
 BROADCAST_CHUNKS = 64
@@ -109,7 +110,7 @@ def fuzzy_segment(
     general one. ``similarity`` is 'edit' (edit distance, in the JVM) or 'sequence' (matching blocks).
     """
     known = catalog.select("make", "model").distinct()
-    known = known.withColumn("text", F.lower(F.concat_ws(" ", "make", "model")))
+    known = materialise(known.withColumn("text", F.lower(F.concat_ws(" ", "make", "model"))))
     first = known.agg(F.min(F.struct("make", "model")).alias("s")).first()["s"] or FALLBACK_SEGMENT
     queries = requests.select(F.lower(F.col(column)).alias("text")).distinct()
     queries = queries.withColumnRenamed("text", "query")

@@ -30,13 +30,19 @@ EFFECT_SHRINKAGE = 20.0
 
 
 def _line_columns(y: Column, a: Column, o: Column) -> list[Column]:
-    """Intercept and slopes of y on (a, o) as aggregates; the mean alone when a and o are collinear."""
+    """Intercept and slopes of y on (a, o) as aggregates.
+
+    Where the two move together, or one does not vary, the line is on ``o`` alone, or on ``a`` if ``o`` is constant.
+    """
     vaa, voo, vao = F.var_pop(a), F.var_pop(o), F.covar_pop(a, o)
     cay, coy = F.covar_pop(a, y), F.covar_pop(o, y)
     det = vaa * voo - vao * vao
     usable = det > 1e-9 * vaa * voo
-    slope_a = F.when(usable, (cay * voo - coy * vao) / det).otherwise(F.lit(0.0))
-    slope_o = F.when(usable, (coy * vaa - cay * vao) / det).otherwise(F.lit(0.0))
+    only_a = ~usable & (voo == 0) & (vaa > 0)
+    slope_a = F.when(usable, (cay * voo - coy * vao) / det).when(only_a, cay / vaa).otherwise(F.lit(0.0))
+    slope_o = (
+        F.when(usable, (coy * vaa - cay * vao) / det).when(~usable & (voo > 0), coy / voo).otherwise(F.lit(0.0))
+    )
     return [
         F.count(F.lit(1)).alias("n"),
         slope_a.alias("b_age"),

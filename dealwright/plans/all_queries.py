@@ -3,6 +3,7 @@
 from dealwright.plans import (  # noqa: F401
     clean_queries,
     diagnose_queries,
+    history_queries,
     market_queries,
     model_queries,
     source_queries,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dealwright.sources.listings import FEATURES_SQL
-
 LINE = """CASE WHEN vaa * voo - vao * vao > 1e-9 * vaa * voo
-              THEN (cay * voo - coy * vao) / (vaa * voo - vao * vao) ELSE 0 END AS b_age,
+              THEN (cay * voo - coy * vao) / (vaa * voo - vao * vao)
+              WHEN voo = 0 AND vaa > 0 THEN cay / vaa ELSE 0 END AS b_age,
          CASE WHEN vaa * voo - vao * vao > 1e-9 * vaa * voo
-              THEN (coy * vaa - cay * vao) / (vaa * voo - vao * vao) ELSE 0 END AS b_odometer,
+              THEN (coy * vaa - cay * vao) / (vaa * voo - vao * vao)
+              WHEN voo > 0 THEN coy / voo ELSE 0 END AS b_odometer,
          my - b_age * ma - b_odometer * mo AS intercept"""
 MOMENTS = """count(*) AS n, avg(price) AS my, avg(age) AS ma, avg(odometer) AS mo, var_pop(age) AS vaa,
          var_pop(odometer) AS voo, covar_pop(age, odometer) AS vao, covar_pop(age, price) AS cay,
@@ -112,5 +112,3 @@ tail_rows AS (SELECT * FROM sides WHERE side IS NOT NULL),"""
         + lines("tail_rows", "make, model, side", "tail_lines")
     )
 
-
-FEATURES = FEATURES_SQL
