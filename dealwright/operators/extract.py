@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from dealwright.config import CYLINDERS, REGIONS
 from dealwright.functions import parsing
 from dealwright.schemas import EXTRACTED
+from dealwright.session import materialise
 
 # Defaults and limits of a valuation form.
 DEFAULT_YEAR, DEFAULT_ODOMETER, DEFAULT_ENGINE_CC, DEFAULT_CYLINDERS = 2015, 100000, 1500, 4
@@ -62,22 +63,26 @@ def extract_fields(texts: DataFrame, text: str = "text", regions: tuple[str, ...
     )
 
 
-def match_catalog(texts: DataFrame, catalog: DataFrame, id_column: str, text: str = "text", max_words: int = 4) -> DataFrame:
+def match_catalog(texts: DataFrame, catalog: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     """(id, make, model): the catalog segment named first in each text, the longest one there.
 
-    Runs of up to ``max_words`` words are looked up by equality, so texts and catalog are never paired.
+    Runs of words are looked up by equality, so texts and catalog are never paired. Only runs as long as some
+    catalog name are formed.
     """
+    known = catalog.select("make", "model").distinct()
+    known = materialise(known.withColumn("run", F.lower(F.concat_ws(" ", "make", "model"))))
+    lengths = [r[0] for r in known.select(F.size(F.split("run", r"\s+")).alias("n")).distinct().collect()]
     words = F.split(F.trim(F.lower(F.col(text))), r"\s+")
-    starts = F.sequence(F.lit(1), F.size(words))
 
     def of_length(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
         return F.transform(
-            starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i, n), " ").alias("run"))
+            F.coalesce(starts, F.array().cast("array<int>")),
+            lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i, n), " ").alias("run")),
         )
 
-    runs = F.flatten(F.array(*[of_length(n) for n in range(1, max_words + 1)]))
-    known = catalog.select("make", "model").distinct()
-    known = known.withColumn("run", F.lower(F.concat_ws(" ", "make", "model")))
+    nothing = F.array().cast("array<struct<at:int,run:string>>")
+    runs = F.flatten(F.array(nothing, *[of_length(n) for n in sorted(lengths)]))
     found = texts.select(id_column, F.inline(runs)).join(known, "run")
     first = F.min_by(F.struct("make", "model"), F.struct("at", -F.length("run"), "run"))
     return found.groupBy(id_column).agg(first.alias("_s")).select(id_column, "_s.make", "_s.model")

@@ -22,7 +22,7 @@ held AS (SELECT *, specific AS prediction_label, price - specific AS residual FR
 
 def split_rows(spark, sf_dir, *more):
     """Listings with the split flag, kept as training and scoring both read them."""
-    return materialise(sampling.oos_split(features(spark, sf_dir, *MODEL_INPUT, *more)))
+    return materialise(sampling.oos_split(materialise(features(spark, sf_dir, *MODEL_INPUT, *more))))
 
 
 def held_out(rows):

@@ -155,7 +155,7 @@ def train_general(spark, sf_dir):
                  round(q50, 4) AS q50, round(q75, 4) AS q75, round(q90, 4) AS q90 FROM leaf_q)""",
 )
 def train_quantile(spark, sf_dir):
-    rows = train.add_bands(features(spark, sf_dir, "make", "model", "age", "odometer", "price"))
+    rows = materialise(train.add_bands(features(spark, sf_dir, "make", "model", "age", "odometer", "price")))
     return rounded(train.train_quantiles(rows).leaves, four=train.QUANTILE_LEVELS)
 
 
@@ -227,7 +227,7 @@ def predict_specific(spark, sf_dir):
     SELECT listing_id, price, round(general, 2) AS prediction_label FROM predicted""",
 )
 def predict_general(spark, sf_dir):
-    rows = features(spark, sf_dir, *MODEL_INPUT)
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT))
     general = train.train_general(rows)
     return general.attach(rows).select("listing_id", "price", F.round(general.value(), 2).alias("prediction_label"))
 
@@ -259,7 +259,7 @@ def thin_models(rows):
     FROM predicted""",
 )
 def predict_blended(spark, sf_dir):
-    rows = features(spark, sf_dir, *MODEL_INPUT, thin=True)
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, thin=True))
     specific, general = thin_models(rows)
     scored = value.predict_blended(rows, specific, general)
     return rounded(
@@ -275,7 +275,7 @@ def predict_blended(spark, sf_dir):
     FROM with_q""",
 )
 def predict_interval(spark, sf_dir):
-    rows = train.add_bands(features(spark, sf_dir, "listing_id", "make", "model", "age", "odometer", "price"))
+    rows = materialise(train.add_bands(features(spark, sf_dir, "listing_id", "make", "model", "age", "odometer", "price")))
     out = value.predict_interval(rows, train.train_quantiles(rows))
     return out.select(
         "listing_id",
@@ -308,7 +308,7 @@ adjusted AS (SELECT *, CASE tail WHEN 'low' THEN 0.5 * prediction_label + 0.5 *
     SELECT listing_id, prediction_label, tail, round(estimate, 2) AS estimate FROM adjusted""",
 )
 def tail_adjust(spark, sf_dir):
-    rows = features(spark, sf_dir, *MODEL_INPUT).withColumn("prediction_label", F.col("price").cast("double"))
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT).withColumn("prediction_label", F.col("price").cast("double")))
     out = value.tail_adjust(rows, line_tails(rows), value.line_of)
     return out.select("listing_id", "prediction_label", "tail", F.round("estimate", 2).alias("estimate"))
 
@@ -365,7 +365,7 @@ DEAL_SQL = f"""{FEATURES_SQL}, {model_sql.specific("features")}, {model_sql.gene
 
 
 def scored_listings(spark, sf_dir, *more, region=None):
-    rows = features(spark, sf_dir, *MODEL_INPUT, *more)
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, *more))
     return deal_search.score(rows, deal_search.train_segments(rows), region)
 
 
@@ -429,7 +429,7 @@ def clean_zero(df):
     FROM scored""",
 )
 def depreciation(spark, sf_dir):
-    rows = features(spark, sf_dir, *MODEL_INPUT)
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT))
     scored = value.attach_specific(rows, deal_search.train_segments(rows)).where("s_n IS NOT NULL")
     out = value.depreciation(scored.withColumn("specific", train.specific_value("s_")))
     columns = ("value_10k", "value_0k", "depreciation_10k", "depreciation_0k")

@@ -7,6 +7,7 @@ from dealwright.functions import parsing
 from dealwright.operators import extract, labels, match
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
+from dealwright.session import materialise
 from dealwright.sources.listings import LISTINGS_SQL, listings, table
 
 # Texts as a feed might hold them, written in SQL both engines read.
@@ -225,7 +226,7 @@ extracted AS (
 
 def extracted(spark, sf_dir):
     rows = listings(spark, sf_dir)
-    ads = rows.select("listing_id", F.expr(AD_TEXT).alias("text"))
+    ads = materialise(rows.select("listing_id", F.expr(AD_TEXT).alias("text")))
     catalog = listings(spark, sf_dir, "make", "model")
     return extract.extract_listings(ads, catalog, "listing_id", regions=PLACES).select(
         "listing_id", "make", "model", *FIELDS, "confidence"

@@ -33,17 +33,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and cut its lineage there.
+    """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
-    Used where several passes or an iteration read the same rows; survives lost executors. Rows of an input too
-    small to give every core a partition are spread first, as all the passes would share its few tasks.
+    Used where several passes or an iteration read the same rows: it cuts the lineage, survives lost executors, and
+    later passes read only the columns they need. Rows of an input too small to give every core a partition are
+    spread first, as all the passes would share its few tasks.
     """
     spark = df.sparkSession
-    shared_dir(spark)
+    path = fresh_path(spark, "kept")
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
-    return df.checkpoint(eager=True)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def local_session(cores: str | int = "*", app: str = "dealwright", **conf: str) -> SparkSession:
