@@ -52,7 +52,7 @@ def stream_score(spark, sf_dir):
     "stream_daily_counts",
     f"""WITH {ARRIVALS_SQL},
     days AS (SELECT date_trunc('day', ts) AS day, model, count(*) AS n, avg(price) AS m FROM arrivals GROUP BY ALL)
-    SELECT strftime(day, '%Y-%m-%d') AS day, model, n, round(m, 4) AS mean_price FROM days
+    SELECT strftime(day, '%Y-%m-%d') AS day, model, n, m::FLOAT::DOUBLE AS mean_price FROM days
     WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM arrivals) - INTERVAL 1 DAY""",
 )
 def stream_daily_counts(spark, sf_dir):
@@ -61,7 +61,8 @@ def stream_daily_counts(spark, sf_dir):
     stream.append_to(counts, path, fresh_path(spark, "daily-progress")).awaitTermination()
     out = spark.read.parquet(path)
     return out.select(
-        F.date_format("day", "yyyy-MM-dd").alias("day"), "model", "n", F.round("mean_price", 4).alias("mean_price")
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "model", "n",
+        F.col("mean_price").cast("float").cast("double").alias("mean_price"),
     )
 
 

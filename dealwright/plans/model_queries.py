@@ -289,11 +289,11 @@ def line_tails(rows):
 
 TAIL_ADJUST_SQL = """
 tagged AS (
-  SELECT p.*, CASE WHEN prediction_label < q25 AND lo.n >= 10 THEN 'low'
-                   WHEN prediction_label > q75 AND hi.n >= 10 THEN 'high' END AS tail,
+  SELECT p.*, CASE WHEN prediction_label < bd.q25 AND lo.n >= 10 THEN 'low'
+                   WHEN prediction_label > bd.q75 AND hi.n >= 10 THEN 'high' END AS tail,
          lo.intercept + lo.b_age * age + lo.b_odometer * odometer AS low_value,
          hi.intercept + hi.b_age * age + hi.b_odometer * odometer AS high_value
-  FROM {source} p LEFT JOIN bounds USING (make, model)
+  FROM {source} p LEFT JOIN bounds bd USING (make, model)
        LEFT JOIN (SELECT * FROM tail_lines WHERE side = 'low') lo USING (make, model)
        LEFT JOIN (SELECT * FROM tail_lines WHERE side = 'high') hi USING (make, model)),
 adjusted AS (SELECT *, CASE tail WHEN 'low' THEN 0.5 * prediction_label + 0.5 * low_value
@@ -317,9 +317,9 @@ def tail_adjust(spark, sf_dir):
     "predict_with_confidence",
     f"""WITH {THIN_MODELS},
     points AS (SELECT *, {model_sql.BLENDED} AS prediction_label FROM predicted),
-    {model_sql.tails("thin")}, {TAIL_ADJUST_SQL.format(source="points")}, {model_sql.quantiles("thin")}
-    SELECT a.listing_id, round(a.estimate, 2) AS estimate, a.tail, round(q10, 4) AS lo80, round(q90, 4) AS hi80,
-           round(q.q25, 4) AS lo50, round(q.q75, 4) AS hi50 FROM adjusted a JOIN with_q q USING (listing_id)""",
+    {model_sql.quantiles("points")}, {model_sql.tails("thin")}, {TAIL_ADJUST_SQL.format(source="with_q")}
+    SELECT listing_id, round(estimate, 2) AS estimate, tail, round(q10, 4) AS lo80, round(q90, 4) AS hi80,
+           round(q25, 4) AS lo50, round(q75, 4) AS hi50 FROM adjusted""",
 )
 def predict_with_confidence(spark, sf_dir):
     rows = materialise(features(spark, sf_dir, *MODEL_INPUT, thin=True))
@@ -357,10 +357,10 @@ def value_specs(spark, sf_dir):
 
 # --- Deals --------------------------------------------------------------------------------------------------
 
-DEAL_SQL = f"""{FEATURES_SQL}, {model_sql.specific("features")}, {model_sql.general("features")},
-    {model_sql.predicted("features", "p0")},
+DEAL_SQL = f"""{FEATURES_SQL}, {model_sql.gate("features", 20, "large")}, {model_sql.specific("large")},
+    {model_sql.general("features")}, {model_sql.predicted("features", "p0")},
     scored AS (SELECT *, specific AS prediction_label, (specific - price) / nullif(specific, 0) * 100 AS discount_pct
-               FROM p0),
+               FROM p0 WHERE specific IS NOT NULL),
     deals AS (SELECT * FROM scored WHERE specific > 0 AND discount_pct BETWEEN 40 AND 80)"""
 
 
