@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from dealwright.config import SEGMENT
 from dealwright.functions.hashing import digest_number, seeded_digest
 from dealwright.operators.market import histogram
-from dealwright.operators.quantiles import exact_quantiles, with_group_values
+from dealwright.operators.joins import with_group_values
+from dealwright.operators.quantiles import exact_quantiles
 
 ROWS_PER_PERMUTATION_BLOCK = 10_000
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealwright.config import SEGMENT, FilterRule
+from dealwright.operators.joins import with_group_values
 
 COMPARISONS = {
     "==": operator.eq,
@@ -33,7 +34,7 @@ def segment_sizes(df: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
 def min_rows_gate(df: DataFrame, minimum: int, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """Rows of the segments holding at least ``minimum`` rows."""
     large = segment_sizes(df, keys).where(F.col("n") >= minimum)
-    return df.join(large.select(*keys), list(keys), "left_semi")
+    return with_group_values(df, large.select(*keys), keys, "left_semi")
 
 
 def rule_condition(rule: FilterRule) -> Column:

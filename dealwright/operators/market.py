@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from dealwright.config import SEGMENT
 from dealwright.functions.scoring import bin_number
-from dealwright.operators.quantiles import exact_quantiles, with_group_values
+from dealwright.operators.joins import with_group_values
+from dealwright.operators.quantiles import exact_quantiles
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealwright.config import SEGMENT, OutlierSettings
-from dealwright.operators.quantiles import exact_quantiles, with_group_values
+from dealwright.operators.joins import with_group_values
+from dealwright.operators.quantiles import exact_quantiles
 from dealwright.operators.sampling import smallest_by_hash
 from dealwright.session import materialise
 
@@ -40,16 +41,16 @@ def robust_scores(
 ) -> DataFrame:
     """Add ``<column>_z``: distance from the segment median in units of 1.4826 median absolute deviations."""
     keys = list(keys)
-    centres = _medians(df, columns, keys, "_median_")
-    away = with_group_values(df.select(*keys, *columns), centres, keys, "inner").select(
+    centres = materialise(_medians(df, columns, keys, "_median_"))
+    away = with_group_values(df.select(*keys, *columns), centres, keys, "inner", stored=True).select(
         *keys, *[F.abs(F.col(c) - F.col(f"_median_{c}")).alias(c) for c in columns]
     )
     spreads = _medians(away, columns, keys, "_mad_")
-    limits = centres.join(spreads, keys)
+    limits = materialise(centres.join(spreads, keys))
     z = {
         f"{c}_z": F.try_divide(0.6745 * F.abs(F.col(c) - F.col(f"_median_{c}")), F.col(f"_mad_{c}")) for c in columns
     }
-    scored = with_group_values(df, limits, keys).withColumns(z)
+    scored = with_group_values(df, limits, keys, stored=True).withColumns(z)
     return scored.drop(*[f"{p}{c}" for p in ("_median_", "_mad_") for c in columns])
 
 
@@ -226,9 +227,11 @@ def score_forest(
     parts by a hash of the id, and its forest is copied to each part.
     """
     keys, columns = list(keys), list(columns)
-    parts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SCORING_GROUP).cast("int").alias("_parts"))
+    count = F.ceil(F.count(F.lit(1)) / ROWS_PER_SCORING_GROUP).cast("int")
+    parts = materialise(df.groupBy(*keys).agg(count.alias("_parts")))
     part = F.pmod(F.xxhash64("listing_id"), F.col("_parts")).cast("int")
-    rows = with_group_values(df.select(*keys, "listing_id", *columns), parts, keys, "inner").withColumn("_part", part)
+    rows = df.select(*keys, "listing_id", *columns)
+    rows = with_group_values(rows, parts, keys, "inner", stored=True).withColumn("_part", part)
     copies = forests.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
     def score(group: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
@@ -263,11 +266,13 @@ def flag_isolation_forest(
     """Add ``is_outlier``: the share ``contamination`` of every segment that is easiest to isolate."""
     keys = list(keys)
     columns, words = forest_features(df, ("listing_id", *keys))
-    numeric = category_codes(df, words, keys).select(
-        *keys, "listing_id", *[F.col(c).cast("double").alias(c) for c in columns]
+    # The numbers are read by the draw, the fit and the scoring; the scores by the cut and the flag.
+    numeric = materialise(
+        category_codes(df, words, keys).select(
+            *keys, "listing_id", *[F.col(c).cast("double").alias(c) for c in columns]
+        )
     )
-    forests = fit_forests(numeric, columns, settings, keys)
-    # Scores are read twice, for the cut and for the flag, and cost a pass of Python: keep them.
+    forests = materialise(fit_forests(numeric, columns, settings, keys))
     scores = materialise(score_forest(numeric, forests, columns, keys))
     cuts = exact_quantiles(scores, keys, "score", {"_cut": 1 - settings.contamination})
     flags = with_group_values(scores, cuts, keys, "inner").select(

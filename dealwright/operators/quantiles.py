@@ -82,11 +82,3 @@ def exact_quantiles(
     if count_as:
         outputs.append(F.col("_n").alias(count_as))
     return rows.select(*keys, *outputs)
-
-
-def with_group_values(df: DataFrame, values: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Attach one-row-per-group values to the rows of each group.
-
-    No broadcast hint: the size of ``values`` decides at run time, and adaptive execution splits hot groups.
-    """
-    return df.join(values, list(keys), how)

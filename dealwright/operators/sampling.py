@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dealwright.config import SEGMENT
 from dealwright.functions.hashing import digest_number, seeded_digest
+from dealwright.operators.joins import with_group_values
 
 
 def smallest_by_hash(
@@ -35,14 +36,14 @@ def smallest_by_hash(
     )
     in_cell = Window.partitionBy(*keys, "_cell").orderBy("_h", "_id")
     cuts = (
-        hashed.join(cut_cells, [*keys, "_cell"])
+        with_group_values(hashed, cut_cells, [*keys, "_cell"], "inner")
         .withColumn("_rank", F.row_number().over(in_cell))
         .where(F.col("_rank") == F.col("_take"))
         .select(*keys, F.struct("_h", "_id").alias("_cut"))
     )
     here = F.struct(digest.alias("_h"), F.col(id_column).cast("string").alias("_id"))
     return (
-        df.join(cuts, keys, "left")
+        with_group_values(df, cuts, keys)
         .withColumn(flag, F.coalesce(here <= F.col("_cut"), F.lit(False)))
         .drop("_cut")
     )

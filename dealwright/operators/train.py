@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from dealwright.config import NUMERIC_FEATURES, QUANTILE_LEVELS, SEGMENT
 from dealwright.functions.hashing import digest_number, seeded_digest
-from dealwright.operators.quantiles import exact_quantiles, with_group_values
+from dealwright.operators.joins import with_group_values
+from dealwright.operators.quantiles import exact_quantiles
+from dealwright.session import materialise
 
 # Typical centre and spread of each feature; any values are right, near ones keep the sums well conditioned.
 CENTRES = {"engine_size": 2000.0, "odometer": 100000.0, "year": 2000.0, "age": 5.0, "km_per_year": 15000.0}
@@ -69,21 +71,21 @@ def fit_lines(df: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
 
 
 def train_specific(df: DataFrame, keys: Sequence[str] = SEGMENT, shrinkage: float = EFFECT_SHRINKAGE) -> DataFrame:
-    """One model per segment: a line in age and distance plus a shrunken mean residual per region.
+    """A stored table with one model per segment: a line in age and distance plus a shrunken mean residual per region.
 
     ``region_effects`` maps region to effect; its size is the number of regions.
     """
     keys = list(keys)
-    lines = fit_lines(df, keys)
+    lines = materialise(fit_lines(df, keys))
     residual = F.col("price") - line_value()
     effects = (
-        with_group_values(_complete(df), lines, keys, "inner")
+        with_group_values(_complete(df), lines, keys, "inner", stored=True)
         .groupBy(*keys, "region")
         .agg((F.sum(residual) / (F.count(F.lit(1)) + shrinkage)).alias("effect"))
         .groupBy(*keys)
         .agg(F.map_from_entries(F.collect_list(F.struct("region", "effect"))).alias("region_effects"))
     )
-    return lines.join(effects, keys)
+    return materialise(lines.join(effects, keys))
 
 
 def specific_value(
@@ -107,7 +109,8 @@ class GeneralModel:
     model_effects: DataFrame
 
     def attach(self, df: DataFrame) -> DataFrame:
-        out = df.join(self.make_effects, "make", "left").join(self.model_effects, "model", "left")
+        out = with_group_values(df, self.make_effects, ["make"], stored=True)
+        out = with_group_values(out, self.model_effects, ["model"], stored=True)
         return out.withColumns(
             {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("general_make_effect", "general_model_effect")}
         )
@@ -135,8 +138,8 @@ def train_general(df: DataFrame, shrinkage: float = EFFECT_SHRINKAGE) -> General
         line["b_age"],
         line["b_odometer"],
         line["n"],
-        rows.groupBy("make").agg(effect.alias("general_make_effect")),
-        rows.groupBy("model").agg(effect.alias("general_model_effect")),
+        materialise(rows.groupBy("make").agg(effect.alias("general_make_effect"))),
+        materialise(rows.groupBy("model").agg(effect.alias("general_model_effect"))),
     )
 
 
@@ -356,7 +359,8 @@ class QuantileModel:
         )
         segment = self.segments.select(*self.segment_keys, F.struct(*levels).alias("_segment"))
         overall = F.struct(*[F.lit(self.overall[q]).cast("double").alias(q) for q in levels])
-        out = df.join(leaf, list(self.leaf_keys), "left").join(segment, list(self.segment_keys), "left")
+        out = with_group_values(df, leaf, self.leaf_keys, stored=True)
+        out = with_group_values(out, segment, self.segment_keys, stored=True)
         chosen = F.coalesce("_leaf", "_segment", overall)
         return out.withColumn("_q", chosen).select(*df.columns, *[F.col(f"_q.{q}").alias(q) for q in levels])
 
@@ -368,8 +372,8 @@ def train_quantiles(
     leaf_keys = (*keys, *leaf)
     whole = exact_quantiles(df, [], "price", QUANTILE_LEVELS).first()
     return QuantileModel(
-        exact_quantiles(df, leaf_keys, "price", QUANTILE_LEVELS, count_as="leaf_n"),
-        exact_quantiles(df, keys, "price", QUANTILE_LEVELS),
+        materialise(exact_quantiles(df, leaf_keys, "price", QUANTILE_LEVELS, count_as="leaf_n")),
+        materialise(exact_quantiles(df, keys, "price", QUANTILE_LEVELS)),
         whole.asDict() if whole else dict.fromkeys(QUANTILE_LEVELS),
         leaf_keys,
         tuple(keys),
@@ -381,21 +385,21 @@ TAIL_BOUNDS = {"q25": 0.25, "q75": 0.75}
 
 
 def tail_rows(df: DataFrame, bounds: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    """Rows strictly outside their segment's quartiles, with the side they lie on."""
+    """Rows strictly outside their segment's quartiles, a stored table, with the side they lie on."""
     side = F.when(F.col("price") < F.col("q25"), "low").when(F.col("price") > F.col("q75"), "high")
-    return with_group_values(df, bounds, keys, "inner").withColumn("side", side).where("side IS NOT NULL")
+    return with_group_values(df, bounds, keys, "inner", stored=True).withColumn("side", side).where("side IS NOT NULL")
 
 
 def train_tails(
     df: DataFrame, fit=fit_ridge, keys: Sequence[str] = SEGMENT, min_rows: int = 10, details: Sequence[str] = ("intercept", "coefficients")
 ) -> DataFrame:
-    """Quartiles of every segment and a model of each tail that has at least ``min_rows`` rows.
+    """A stored table of the quartiles of every segment and a model of each tail that has at least ``min_rows`` rows.
 
     ``fit(rows, keys)`` gives one model row per (segment, side) with ``n`` and the ``details`` columns; those
     come back as structs ``low`` and ``high``, null where there is no model, next to ``low_n`` and ``high_n``.
     """
     keys = list(keys)
-    bounds = exact_quantiles(df, keys, "price", TAIL_BOUNDS)
+    bounds = materialise(exact_quantiles(df, keys, "price", TAIL_BOUNDS))
     models = fit(tail_rows(df, bounds, keys), [*keys, "side"])
 
     def of(side: str, value: Column) -> Column:
@@ -408,4 +412,4 @@ def train_tails(
         of("high", model).alias("high"),
         F.coalesce(of("high", F.col("n")), F.lit(0)).alias("high_n"),
     )
-    return bounds.join(wide, keys, "left").fillna(0, ["low_n", "high_n"])
+    return materialise(bounds.join(wide, keys, "left").fillna(0, ["low_n", "high_n"]))

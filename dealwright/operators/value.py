@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from dealwright.config import SEGMENT, BlendSettings
 from dealwright.functions import scoring
 from dealwright.operators import train
-from dealwright.operators.quantiles import with_group_values
+from dealwright.operators.joins import with_group_values
 
 MODEL_COLUMNS = ("n", "intercept", "b_age", "b_odometer", "region_effects")
 
 
 def attach_specific(df: DataFrame, models: DataFrame) -> DataFrame:
-    """Add each row's segment model under the prefix ``s_``; rows of segments without one keep nulls."""
+    """Add each row's segment model under the prefix ``s_``; rows of segments without one keep nulls.
+
+    ``models`` is a stored table, as ``train_specific`` returns.
+    """
     renamed = models.select(*SEGMENT, *[F.col(c).alias(f"s_{c}") for c in MODEL_COLUMNS])
-    return with_group_values(df, renamed, SEGMENT)
+    return with_group_values(df, renamed, SEGMENT, stored=True)
 
 
 def drop_models(df: DataFrame) -> DataFrame:
@@ -78,7 +81,7 @@ def tail_adjust(df: DataFrame, tails: DataFrame, value=ridge_of) -> DataFrame:
     )
     point = F.col("prediction_label")
     return (
-        with_group_values(df, bounds, SEGMENT)
+        with_group_values(df, bounds, SEGMENT, stored=True)
         .withColumn(
             "tail", scoring.tail_side(point, F.col("t_q25"), F.col("t_q75"), F.col("t_low"), F.col("t_high"))
         )

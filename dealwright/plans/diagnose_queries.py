@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from dealwright.config import SEGMENT
 from dealwright.operators import diagnose, sampling, train, value
-from dealwright.operators.quantiles import exact_quantiles, with_group_values
+from dealwright.operators.joins import with_group_values
+from dealwright.operators.quantiles import exact_quantiles
 from dealwright.plans import model_sql
 from dealwright.plans.base import features
 from dealwright.plans.catalog import query

@@ -323,18 +323,13 @@ def tail_adjust(spark, sf_dir):
 )
 def predict_with_confidence(spark, sf_dir):
     rows = materialise(features(spark, sf_dir, *MODEL_INPUT, thin=True))
-    out = valuation.predict_with_confidence(rows, all_models(rows))
+    out = valuation.predict_with_confidence(rows, valuation.train_models(rows))
     return out.select(
         "listing_id", F.round("estimate", 2).alias("estimate"), "tail",
         *[F.round(F.col(f"ci_{c}.{e}"), 4).alias(f"{e}{c}") for c in (80, 50) for e in ("lo", "hi")],
     )
 
 
-def all_models(rows):
-    specific, general = thin_models(rows)
-    return valuation.Models(specific, general, train.train_quantiles(train.add_bands(rows)), line_tails(rows))
-
-
 VALUE_SQL = f"""WITH {THIN_MODELS},
     points AS (SELECT *, {model_sql.BLENDED} AS prediction_label FROM predicted),
     {model_sql.tails("thin")}, {TAIL_ADJUST_SQL.format(source="points")}
@@ -350,7 +345,7 @@ VALUE_SQL = f"""WITH {THIN_MODELS},
 @query("value_specs", VALUE_SQL)
 def value_specs(spark, sf_dir):
     rows = materialise(features(spark, sf_dir, *MODEL_INPUT, thin=True))
-    out = valuation.value_specs(rows, all_models(rows), REGION)
+    out = valuation.value_specs(rows, valuation.train_models(rows), REGION)
     columns = ("estimate", "comparison_value", "regional_diff", "value_10k", "value_0k")
     return rounded(out.select("listing_id", "tail", "reliable", *columns), two=columns)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dealwright.config import SEGMENT
 from dealwright.operators import filters
+from dealwright.operators.joins import with_group_values
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
 from dealwright.schemas import PAGE
@@ -12,23 +13,26 @@ from dealwright.sources import pages, registry, tables
 from dealwright.sources.listings import LISTINGS_SQL, listings, table
 
 
-def order_pages(spark, sf_dir):
-    """One search page per order as JSON text: its line items are the page's listings."""
+def search_pages(spark, sf_dir):
+    """The pages of one search per segment as JSON text, of about 500 listings each."""
     records = listings(
         spark, sf_dir, "listing_id", "make", "model", "title", "price_display", "odometer", "year", "bid_count"
     )
     names = {"listing_id": "ListingId", "title": "Title", "price_display": "PriceDisplay", "odometer": "Odometer",
              "year": "Year", "bid_count": "BidCount"}
     record = F.struct(*[F.col(c).alias(n) for c, n in names.items()])
+    totals = records.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("TotalCount"))
+    page = F.pmod(F.xxhash64("listing_id"), F.ceil(F.col("TotalCount") / pages.ROWS_PER_PAGE))
     return (
-        records.groupBy(*SEGMENT, F.substring_index("listing_id", "-", 1).alias("order_key"))
-        .agg(F.collect_list(record).alias("List"), F.count(F.lit(1)).alias("TotalCount"))
+        with_group_values(records, totals, SEGMENT, "inner")
+        .groupBy(*SEGMENT, "TotalCount", page.alias("number"))
+        .agg(F.collect_list(record).alias("List"))
         .select(*SEGMENT, F.to_json(F.struct("TotalCount", "List")).alias("page"))
     )
 
 
 def parsed_pages(spark, sf_dir):
-    return order_pages(spark, sf_dir).select(*SEGMENT, F.from_json("page", PAGE).alias("p")).select(*SEGMENT, "p.*")
+    return search_pages(spark, sf_dir).select(*SEGMENT, F.from_json("page", PAGE).alias("p")).select(*SEGMENT, "p.*")
 
 
 @query(
@@ -44,11 +48,9 @@ def ingest_pages(spark, sf_dir):
 
 @query(
     "ingest_completeness",
-    f"""WITH {LISTINGS_SQL},
-    pages AS (SELECT make, model, split_part(listing_id, '-', 1) AS k, count(*) AS n FROM listings GROUP BY ALL)
-    SELECT make, model, max(n) AS total_count, sum(n)::BIGINT AS n_received, max(n) // 500 + 1 AS n_pages,
-           CASE WHEN max(n) > sum(n) THEN 'incomplete' ELSE 'complete' END AS status
-    FROM pages GROUP BY make, model""",
+    f"""WITH {LISTINGS_SQL}
+    SELECT make, model, count(*) AS total_count, count(listing_id) AS n_received, count(*) // 500 + 1 AS n_pages,
+           'complete' AS status FROM listings GROUP BY make, model""",
 )
 def ingest_completeness(spark, sf_dir):
     return pages.completeness(parsed_pages(spark, sf_dir))

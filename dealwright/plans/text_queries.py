@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from dealwright.config import SEGMENT
+from dealwright.config import SEGMENT, FeatureSettings
 from dealwright.functions import parsing
-from dealwright.operators import extract, labels, match
+from dealwright.operators import clean, extract, filters, labels, match, outliers
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
 from dealwright.session import materialise
-from dealwright.sources.listings import LISTINGS_SQL, listings, table
+from dealwright.sources.listings import AS_OF_YEAR, LISTINGS_SQL, listings, table
 
 # Texts as a feed might hold them, written in SQL both engines read.
 FUEL_TEXT = """CASE fuel WHEN '1-URGENT' THEN ' Diesel' WHEN '2-HIGH' THEN 'EV ' WHEN '3-MEDIUM' THEN 'phev'
@@ -435,3 +435,21 @@ def classify_colour(spark, sf_dir):
 def classify_stereo(spark, sf_dir):
     df = listings(spark, sf_dir, "listing_id", "stereo_description")
     return labels.classify_column(df, "stereo_description", "stereo_label", "No stereo")
+
+
+@query("feature_engineering_full")
+def feature_engineering_full(spark, sf_dir):
+    """Every step: auctions out, prices read, both descriptions labelled, outliers removed by the forest."""
+
+    def labeller(df):
+        for text, label, fill in (
+            ("exterior_colour", "colour_label", "No colour"),
+            ("stereo_description", "stereo_label", "No stereo"),
+        ):
+            df = labels.classify_column(df, text, label, fill).drop(text)
+        return df
+
+    rows = materialise(filters.filter_non_auction(listings(spark, sf_dir)))
+    return clean.feature_engineering(
+        rows, FeatureSettings(as_of_year=AS_OF_YEAR), labeller, lambda df: outliers.remove_outliers(materialise(df))
+    )

@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from dealwright.config import BlendSettings
-from dealwright.operators import train, value
+from dealwright.config import BlendSettings, TrainingSettings
+from dealwright.operators import filters, train, value
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,21 @@ class Models:
     tails: DataFrame | None = None
 
 
+LINE_DETAILS = ("intercept", "b_age", "b_odometer")
+
+
+def train_models(features: DataFrame, training: TrainingSettings = TrainingSettings()) -> Models:
+    """Fit every model a valuation needs on cleaned listings; each is kept as a small table."""
+    own = filters.min_rows_gate(features, training.min_rows_specific)
+    general = train.train_general(filters.min_rows_gate(features, training.min_rows_general))
+    return Models(
+        train.train_specific(own),
+        general,
+        train.train_quantiles(train.add_bands(features)),
+        train.train_tails(features, train.fit_lines, min_rows=training.min_tail_rows, details=LINE_DETAILS),
+    )
+
+
 def predict_with_confidence(
     specs: DataFrame, models: Models, blend: BlendSettings = BlendSettings(), tail_value=value.line_of
 ) -> DataFrame:

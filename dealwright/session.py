@@ -36,13 +36,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Used where several passes or an iteration read the same rows: it cuts the lineage, survives lost executors, and
-    later passes read only the columns they need. Rows of an input too small to give every core a partition are
-    spread first, as all the passes would share its few tasks.
+    later passes read only the columns they need. Rows that come from fewer files than there are cores are spread
+    first, as all the passes would share the few tasks that read them.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "kept")
     cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    if 0 < len(df.inputFiles()) < cores:
         df = df.repartition(cores)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,6 +59,7 @@ def local_session(cores: str | int = "*", app: str = "dealwright", **conf: str)
         .config("spark.driver.memory", os.environ.get("DEALWRIGHT_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

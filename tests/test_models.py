@@ -103,10 +103,7 @@ def test_quantiles_do_not_cross_and_thin_leaves_fall_back(spark, rows):
 
 
 def all_models(rows):
-    line = train.train_tails(rows, train.fit_lines, details=("intercept", "b_age", "b_odometer"))
-    return valuation.Models(
-        train.train_specific(rows), train.train_general(rows), train.train_quantiles(train.add_bands(rows)), line
-    )
+    return valuation.train_models(rows)
 
 
 def test_valuation_of_specs(rows):
@@ -207,3 +204,15 @@ def test_outlier_switch(rows):
     assert outliers.flag_outliers(rows, OutlierSettings(method="robust")).columns[-1] == "is_outlier"
     with pytest.raises(ValueError):
         outliers.flag_outliers(rows, OutlierSettings(method="other"))
+
+
+def test_group_values_joined_in_parts_equal_the_copied_ones(spark, rows, monkeypatch):
+    from dealwright.operators import joins
+
+    values = rows.groupBy("make", "model").agg(F.avg("price").alias("m")).where("model = 'M0'")
+    for how in ("left", "inner", "left_semi"):
+        copied = sorted(map(str, joins.with_group_values(rows, values, ["make", "model"], how).collect()))
+        monkeypatch.setattr(joins, "BROADCAST_GROUPS", 0)
+        parted = sorted(map(str, joins.with_group_values(rows, values, ["make", "model"], how).collect()))
+        monkeypatch.undo()
+        assert copied == parted and copied
