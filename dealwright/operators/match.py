@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealwright.functions.scoring import best_option, edit_similarity
-from dealwright.session import materialise
+from dealwright.session import materialise, python_tasks
 
 CHUNK = 5000
 BROADCAST_CHUNKS = 64
@@ -48,10 +48,8 @@ def best_in_chunks(
     Each row meets every chunk of candidates by an equi-join on the chunk number and keeps only the best of it, so
     no pair of row and candidate is ever a row. ``score(options)`` gives a struct that orders by quality first.
     """
-    spark = df.sparkSession
     options, n = in_chunks(candidates, columns, chunk)
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.repartition(tasks, id_column).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    rows = df.repartition(python_tasks(df.sparkSession), id_column).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     if n <= BROADCAST_CHUNKS:
         pairs = rows.join(F.broadcast(options), "chunk")
     else:

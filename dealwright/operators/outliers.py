@@ -17,7 +17,7 @@ from dealwright.config import SEGMENT, OutlierSettings
 from dealwright.operators.joins import with_group_values
 from dealwright.operators.quantiles import exact_quantiles
 from dealwright.operators.sampling import smallest_by_hash
-from dealwright.session import materialise
+from dealwright.session import materialise, python_tasks
 
 ROWS_PER_SCORING_GROUP = 50_000
 
@@ -215,7 +215,8 @@ def fit_forests(
             T.StructField("paths", T.BinaryType()),
         ]
     )
-    return drawn.select(*keys, "listing_id", *columns).groupBy(*keys).applyInPandas(fit, schema)
+    groups = drawn.select(*keys, "listing_id", *columns).repartition(python_tasks(df.sparkSession), *keys)
+    return groups.groupBy(*keys).applyInPandas(fit, schema)
 
 
 def score_forest(
@@ -256,8 +257,9 @@ def score_forest(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    cogrouped = rows.drop("_parts").groupBy(*keys, "_part").cogroup(copies.drop("_parts").groupBy(*keys, "_part"))
-    return cogrouped.applyInPandas(score, schema)
+    tasks, by = python_tasks(df.sparkSession), [*keys, "_part"]
+    rows, copies = (side.drop("_parts").repartition(tasks, *by).groupBy(*by) for side in (rows, copies))
+    return rows.cogroup(copies).applyInPandas(score, schema)
 
 
 def flag_isolation_forest(
@@ -275,9 +277,8 @@ def flag_isolation_forest(
     forests = materialise(fit_forests(numeric, columns, settings, keys))
     scores = materialise(score_forest(numeric, forests, columns, keys))
     cuts = exact_quantiles(scores, keys, "score", {"_cut": 1 - settings.contamination})
-    flags = with_group_values(scores, cuts, keys, "inner").select(
-        *keys, "listing_id", (F.col("score") > F.col("_cut")).alias("is_outlier")
-    )
+    beyond = F.max(F.col("score") > F.col("_cut")).alias("is_outlier")
+    flags = with_group_values(scores, cuts, keys, "inner").groupBy(*keys, "listing_id").agg(beyond)
     return df.join(flags, [*keys, "listing_id"], "left")
 
 
