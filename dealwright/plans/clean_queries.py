@@ -6,6 +6,7 @@ from dealwright.config import SEGMENT, FeatureSettings, FilterRule
 from dealwright.operators import clean, filters, sampling
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
+from dealwright.session import materialise
 from dealwright.sources.listings import AS_OF_YEAR, FEATURES_SQL, LISTINGS_SQL, PARSED_SQL, listings, table
 
 BASE_URL = "https://listings.example/a/"
@@ -242,7 +243,7 @@ split AS (SELECT *, pos <= round_even(0.4 * n_segment, 0) AS is_oos FROM ranked)
 
 @query("oos_split", f"WITH {SPLIT_SQL} SELECT make, model, listing_id, is_oos FROM split")
 def oos_split(spark, sf_dir):
-    return sampling.oos_split(features(spark, sf_dir, "make", "model", "listing_id"))
+    return sampling.oos_split(materialise(features(spark, sf_dir, "make", "model", "listing_id")))
 
 
 @query(
@@ -256,7 +257,7 @@ def oos_split_by_threshold(spark, sf_dir):
 
 @query("anti_split", f"WITH {SPLIT_SQL} SELECT make, model, listing_id FROM split WHERE NOT is_oos")
 def anti_split(spark, sf_dir):
-    df = features(spark, sf_dir, "make", "model", "listing_id")
+    df = materialise(features(spark, sf_dir, "make", "model", "listing_id"))
     return sampling.anti_split(df, sampling.oos_split(df).where("is_oos"))
 
 
@@ -273,7 +274,7 @@ def anti_split(spark, sf_dir):
       UNION ALL SELECT min(listing_id), false FROM features)""",
 )
 def union_train_oos(spark, sf_dir):
-    df = features(spark, sf_dir, "make", "model", "listing_id")
+    df = materialise(features(spark, sf_dir, "make", "model", "listing_id"))
     held, rest = filters.select_listing(df, df.agg(F.min("listing_id")).first()[0])
     flagged = sampling.oos_split(rest)
     parts = [

@@ -3,6 +3,7 @@
 from dealwright.operators import market
 from dealwright.plans.base import features
 from dealwright.plans.catalog import query
+from dealwright.session import materialise
 from dealwright.sources.listings import FEATURES_SQL
 
 
@@ -42,7 +43,7 @@ binned AS (SELECT make, model, lo, hi, least({n}, 1 + floor(({v} - lo) / (hi - l
     FROM binned JOIN q USING (make, model) GROUP BY ALL""",
 )
 def price_histogram(spark, sf_dir):
-    return market.price_histogram(features(spark, sf_dir, "make", "model", "price"))
+    return market.price_histogram(materialise(features(spark, sf_dir, "make", "model", "price")))
 
 
 def box_sql(extra: str) -> str:
@@ -58,12 +59,12 @@ def box_sql(extra: str) -> str:
 
 @query("price_by_year_box", box_sql("year"))
 def price_by_year_box(spark, sf_dir):
-    return market.price_by_year_box(features(spark, sf_dir, "make", "model", "year", "price"))
+    return market.price_by_year_box(materialise(features(spark, sf_dir, "make", "model", "year", "price")))
 
 
 @query("price_by_region_box", box_sql("region"))
 def price_by_region_box(spark, sf_dir):
-    return market.price_by_region_box(features(spark, sf_dir, "make", "model", "region", "price"))
+    return market.price_by_region_box(materialise(features(spark, sf_dir, "make", "model", "region", "price")))
 
 
 @query(
@@ -79,7 +80,8 @@ def price_by_region_box(spark, sf_dir):
 def price_by_odometer_trend(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    trend = market.binned_trend(features(spark, sf_dir, "make", "model", "odometer", "price"), "odometer", "price")
+    rows = materialise(features(spark, sf_dir, "make", "model", "odometer", "price"))
+    trend = market.binned_trend(rows, "odometer", "price")
     # Slopes of round distances are often exact decimal ties: compare them in single precision.
     rounded = [F.col(c).cast("float").cast("double").alias(c) for c in ("x_mean", "y_mean", "slope", "intercept")]
     return trend.select("make", "model", "bin", "n", *rounded)
@@ -102,7 +104,8 @@ def price_by_odometer_trend(spark, sf_dir):
 def price_by_odometer_smooth(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    smooth = market.smooth_trend(features(spark, sf_dir, "make", "model", "odometer", "price"), "odometer", "price")
+    rows = materialise(features(spark, sf_dir, "make", "model", "odometer", "price"))
+    smooth = market.smooth_trend(rows, "odometer", "price")
     return smooth.select(
         "make", "model", "point", F.round("grid_x", 4).alias("grid_x"), F.round("smoothed", 2).alias("smoothed")
     )

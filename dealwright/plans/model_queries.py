@@ -25,7 +25,7 @@ def rounded(df, two=(), four=()):
 
 @query("outlier_robust", f"WITH {FEATURES_SQL}, {model_sql.robust()} SELECT listing_id, is_outlier FROM flagged")
 def outlier_robust(spark, sf_dir):
-    df = features(spark, sf_dir, "listing_id", "make", "model", "price", "km_per_year")
+    df = materialise(features(spark, sf_dir, "listing_id", "make", "model", "price", "km_per_year"))
     return outliers.flag_robust(df).select("listing_id", "is_outlier")
 
 
@@ -36,7 +36,7 @@ def outlier_robust(spark, sf_dir):
            sum(is_outlier::INT) / count(*) * 100 AS removed_pct FROM flagged GROUP BY ALL""",
 )
 def outlier_report(spark, sf_dir):
-    df = features(spark, sf_dir, "listing_id", "make", "model", "price", "km_per_year")
+    df = materialise(features(spark, sf_dir, "listing_id", "make", "model", "price", "km_per_year"))
     return outliers.outlier_report(outliers.flag_robust(df))
 
 
@@ -46,7 +46,7 @@ def outlier_report(spark, sf_dir):
     SELECT listing_id, year, odometer, price FROM flagged WHERE is_outlier""",
 )
 def outlier_removed_listings(spark, sf_dir):
-    df = features(spark, sf_dir, "listing_id", "make", "model", "year", "odometer", "price", "km_per_year")
+    df = materialise(features(spark, sf_dir, "listing_id", "make", "model", "year", "odometer", "price", "km_per_year"))
     return outliers.removed_listings(outliers.flag_robust(df))
 
 
@@ -58,7 +58,7 @@ FOREST_INPUT = (
 
 @query("outlier_isolation_forest")
 def outlier_isolation_forest(spark, sf_dir):
-    flagged = outliers.flag_isolation_forest(features(spark, sf_dir, *FOREST_INPUT))
+    flagged = outliers.flag_isolation_forest(materialise(features(spark, sf_dir, *FOREST_INPUT)))
     return flagged.select("make", "model", "listing_id", "price", "is_outlier")
 
 
@@ -84,7 +84,7 @@ def outlier_category_codes(spark, sf_dir):
     FROM lines JOIN effects USING (make, model)""",
 )
 def train_specific(spark, sf_dir):
-    models = train.train_specific(features(spark, sf_dir, *MODEL_INPUT))
+    models = train.train_specific(materialise(features(spark, sf_dir, *MODEL_INPUT)))
     return models.select(
         *SEGMENT, "n", F.round("intercept", 2).alias("intercept"), F.round("b_age", 4).alias("b_age"),
         F.round("b_odometer", 8).alias("b_odometer"), F.explode("region_effects").alias("region", "region_effect"),
@@ -168,7 +168,7 @@ def train_quantile(spark, sf_dir):
          LEFT JOIN (SELECT * FROM tail_lines WHERE side = 'high') hi USING (make, model)""",
 )
 def train_tails(spark, sf_dir):
-    tails = train.train_tails(features(spark, sf_dir, *RIDGE_INPUT))
+    tails = train.train_tails(materialise(features(spark, sf_dir, *RIDGE_INPUT)))
     return tails.select(
         *SEGMENT, "q25", "q75", "low_n", F.col("low").isNotNull().alias("low_model"), "high_n",
         F.col("high").isNotNull().alias("high_model"),
@@ -192,7 +192,7 @@ def store_tails(spark, sf_dir):
     from dealwright.session import fresh_path
 
     path = fresh_path(spark, "tails")
-    train.train_tails(features(spark, sf_dir, *RIDGE_INPUT)).write.parquet(path)
+    train.train_tails(materialise(features(spark, sf_dir, *RIDGE_INPUT))).write.parquet(path)
     return path
 
 
@@ -215,7 +215,7 @@ def save_tails(spark, sf_dir):
     SELECT listing_id, price, round(specific, 2) AS prediction_label FROM predicted""",
 )
 def predict_specific(spark, sf_dir):
-    rows = features(spark, sf_dir, *MODEL_INPUT)
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT))
     scored = value.attach_specific(rows, train.train_specific(rows))
     return scored.select("listing_id", "price", F.round(train.specific_value("s_"), 2).alias("prediction_label"))
 
