@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dealwright.llm import bpe, langid, mixing, simhash, suffixes
+from dealwright.llm import ann, bpe, grid_join, html_text, langid, mixing, quality, simhash, suffixes, warc
 from dealwright.llm.common import table
+from dealwright.session import fresh_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -18,10 +20,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by 50; all rows are indexed."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where(F.col("vec_id") % 50 == 0), ann.index(vectors), k=5)
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -30,17 +46,58 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_nearest": op2_nearest,
+    "op3_quality": op3_quality,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_near_vectors": op5_near_vectors,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
+    "op10_html_text": op10_html_text,
 }
 
 #: Queries whose rows SQL can express.
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op5_near_vectors": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u),
+firsts AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, f.component_id, e.vec_id = f.component_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN firsts f ON f.u = e.vec_id
+""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN p.page_id <> f.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN p.page_id <> f.first THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+""",
+}
