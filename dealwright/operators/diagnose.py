@@ -13,7 +13,8 @@ from dealwright.operators.market import histogram
 from dealwright.operators.joins import with_group_values
 from dealwright.operators.quantiles import exact_quantiles
 
-ROWS_PER_PERMUTATION_BLOCK = 10_000
+#: Rows of one range of the random order, about.
+RANGE_ROWS = 10_000
 
 
 def residuals(df: DataFrame, predicted: str = "prediction_label", actual: str = "price") -> DataFrame:
@@ -60,32 +61,33 @@ def permuted(
     df: DataFrame,
     features: Sequence[str],
     repeats: int = 3,
-    seed: int = 7,
     keys: Sequence[str] = SEGMENT,
     id_column: str = "listing_id",
 ) -> DataFrame:
     """Every row once per repeat, with another row's features as ``other_<feature>``.
 
-    In each repeat the rows of a segment stand in random order and take the features of the next one, the last
-    those of the first. Large segments are first cut at random into blocks of about 10,000 rows, so no task has
-    to sort a whole segment.
+    In each repeat the rows of a segment stand in the order of a seeded digest and take the features of the next one,
+    the last those of the first. The order is cut into ranges of the digest, about ``RANGE_ROWS`` rows each: a row
+    finds the next one in its range, the last of a range takes the first of the next, from a table of one row per range.
     """
     keys = list(keys)
-    blocks = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_PERMUTATION_BLOCK).alias("_blocks"))
-    block = F.pmod(digest_number(seeded_digest(seed, F.col(id_column))), F.col("_blocks"))
+    ranges = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / RANGE_ROWS).alias("_ranges"))
+    order = seeded_digest(F.col("repeat"), F.col(id_column))
     rows = (
-        with_group_values(df, blocks, keys, "inner")
-        .withColumn("_block", block)
+        with_group_values(df, ranges, keys, "inner")
         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-        .withColumn("_order", seeded_digest(F.col("repeat"), F.col(id_column)))
+        .withColumn("_order", order)
+        .withColumn("_range", F.shiftright(digest_number(F.col("_order")) * F.col("_ranges"), 32))
     )
-    order = Window.partitionBy(*keys, "repeat", "_block").orderBy("_order", id_column)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    others = {
-        f"other_{f}": F.when(F.lead(F.lit(True)).over(order), F.lead(f).over(order)).otherwise(F.first(f).over(whole))
-        for f in features
-    }
-    return rows.withColumns(others).drop("_blocks", "_block", "_order")
+    taken = F.struct(*features)
+    place = Window.partitionBy(*keys, "repeat").orderBy("_range")
+    whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = rows.groupBy(*keys, "repeat", "_range").agg(F.min_by(taken, F.struct("_order", id_column)).alias("_first"))
+    firsts = firsts.withColumn("_next", F.coalesce(F.lead("_first").over(place), F.first("_first").over(whole))).drop("_first")
+    inside = Window.partitionBy(*keys, "repeat", "_range").orderBy("_order", id_column)
+    moved = with_group_values(rows.withColumn("_other", F.lead(taken).over(inside)), firsts, [*keys, "repeat", "_range"], "inner")
+    chosen = F.coalesce("_other", "_next")
+    return moved.withColumns({f"other_{f}": chosen[f] for f in features}).drop("_ranges", "_range", "_order", "_other", "_next")
 
 
 def permutation_importance(
@@ -93,15 +95,15 @@ def permutation_importance(
     features: Sequence[str],
     predict_with: Mapping[str, Column],
     repeats: int = 3,
-    seed: int = 7,
     keys: Sequence[str] = SEGMENT,
 ) -> DataFrame:
     """Rise of the mean absolute error when one feature is taken from another row: mean and deviation over repeats.
 
     ``predict_with[f]`` is the prediction with ``other_<f>`` in place of ``f``; rows carry ``prediction_label``.
+    The repeats are the seeds of their orders.
     """
     keys = list(keys)
-    shuffled = permuted(df, features, repeats, seed, keys)
+    shuffled = permuted(df, features, repeats, keys)
     base = F.abs(F.col("price") - F.col("prediction_label"))
     worse = F.array(
         *[

@@ -5,28 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from dealwright.session import materialise
 
-BROADCAST_GROUPS = 200_000
-SALTS = 16
-
 
 def with_group_values(
     df: DataFrame, values: DataFrame, keys: Sequence[str], how: str = "left", stored: bool = False
 ) -> DataFrame:
-    """Join ``values``, narrow rows one per group, to the rows of ``df``.
+    """Join ``values``, rows one per group, to the rows of ``df``.
 
-    The values are stored first (unless ``stored`` says they are), so their number is known before any row moves.
-    Up to ``BROADCAST_GROUPS`` of them are copied to the rows, which then stay where they are. More are joined by a
-    shuffle in which every group is cut into ``SALTS`` parts: no task takes a whole large group, and as the parts
-    do not satisfy a later grouping by key, that grouping combines on the map side first.
+    The values are a stored table (written here unless ``stored`` says they are), so Spark knows their bytes when it
+    plans: it copies them to the rows where they are small, by its own threshold, and otherwise shuffles both sides, where
+    adaptive execution splits the large groups of ``df`` over several tasks.
     """
-    keys = list(keys)
-    kept = values if stored else materialise(values)
-    if kept.count() <= BROADCAST_GROUPS:
-        return df.join(F.broadcast(kept), keys, how)
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
-    copies = kept.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_part", part).join(copies, [*keys, "_part"], how).drop("_part")
+    return df.join(values if stored else materialise(values), list(keys), how)

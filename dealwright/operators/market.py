@@ -34,18 +34,13 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = SEGMEN
     """Row counts in equal-width bins between each group's lowest and highest value."""
     keys = list(keys)
     edges = df.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    counted = (
-        # Equal values share a bin: count them before looking up the group's range.
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     return (
-        with_group_values(counted, edges, keys, "inner")
+        with_group_values(rows, edges, keys, "inner")
         .withColumn("bin", bin_number(F.col("_v"), F.col("_lo"), F.col("_hi"), bins))
         .groupBy(*keys, "bin", "_lo", "_hi")
-        .agg(F.sum("_c").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
         .select(
             *keys,
             F.col("bin").cast("int").alias("bin"),

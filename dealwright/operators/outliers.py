@@ -6,18 +6,19 @@ Two strategies: an isolation forest, and a robust z-score on price and yearly di
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealwright.config import SEGMENT, OutlierSettings
+from dealwright.config import CATEGORICAL_FEATURES, SEGMENT, OutlierSettings
 from dealwright.operators.joins import with_group_values
 from dealwright.operators.quantiles import exact_quantiles
-from dealwright.operators.sampling import smallest_by_hash
-from dealwright.session import materialise, python_tasks
+from dealwright.session import materialise
 
 ROWS_PER_SCORING_GROUP = 50_000
 
@@ -69,8 +70,11 @@ def flag_robust(
 # --- Isolation forest ---------------------------------------------------------------------------------------
 
 
-def category_codes(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SEGMENT) -> DataFrame:
-    """Replace categories by their position among the segment's sorted categories, null by -1.
+def category_codes(
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SEGMENT, suffix: str = ""
+) -> DataFrame:
+    """Replace categories by their position among the segment's sorted categories, null by -1; with a ``suffix`` the
+    positions are further columns.
 
     The lists hold distinct categories of a small vocabulary per segment, never rows.
     """
@@ -84,16 +88,19 @@ def category_codes(df: DataFrame, columns: Sequence[str], keys: Sequence[str] =
         for c in columns
     }
     coded = with_group_values(df, vocabularies, keys)
-    return coded.withColumns({c: p.cast("double") for c, p in position.items()}).drop(
+    return coded.withColumns({f"{c}{suffix}": p.cast("double") for c, p in position.items()}).drop(
         *[f"_{c}_words" for c in columns]
     )
 
 
 def forest_features(df: DataFrame, exclude: Sequence[str] = ("listing_id", *SEGMENT)) -> tuple[list[str], list[str]]:
-    """Columns the forest looks at, price included, and those among them that are categories."""
-    columns = [c for c in df.columns if c not in exclude]
-    words = [f.name for f in df.schema.fields if f.name in columns and isinstance(f.dataType, T.StringType)]
-    return columns, words
+    """Columns the forest looks at, price included, and those among them that are categories.
+
+    Of the text columns only the known categories count: titles and other free text have no small vocabulary.
+    """
+    words = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    columns = [c for c in df.columns if c not in exclude and (c not in words or c in CATEGORICAL_FEATURES)]
+    return columns, [c for c in words if c in columns]
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -104,32 +111,26 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, deep, np.where(n == 2, 1.0, 0.0))
 
 
-def grow_trees(x: np.ndarray, trees: int, rows_per_tree: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grow_trees(
+    x: np.ndarray, tree: np.ndarray, trees: int, rows_per_tree: int, seed: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Isolation trees as complete binary arrays: split feature (-1 in a leaf), threshold, path length.
 
-    Every tree draws its rows without replacement; each node splits a random non-constant feature at a random
-    point of its range, down to the depth of a balanced tree. All trees grow together, level by level.
+    Row i of ``x`` belongs to tree ``tree[i]``. Each node splits a random non-constant feature at a random point of its
+    range, down to the depth of a balanced tree of ``rows_per_tree`` rows. All trees grow together, level by level.
     """
     rng = np.random.default_rng(seed)
     n, d = x.shape
-    m = min(rows_per_tree, n)
-    depth = max(int(np.ceil(np.log2(max(m, 2)))), 1)
+    depth = max(int(np.ceil(np.log2(max(rows_per_tree, 2)))), 1)
     size = 2 ** (depth + 1) - 1
     feature = np.full((trees, size), -1, dtype=np.int16)
     threshold = np.zeros((trees, size))
     path = np.zeros((trees, size), dtype=np.float32)
-    if n >= trees * m:
-        picks = rng.permutation(n)[: trees * m].reshape(trees, m)
-    else:
-        picks = np.argsort(rng.random((trees, n)), axis=1)[:, :m]
-    rows = x[picks]
-    node = np.zeros((trees, m), dtype=np.int64)
-    open_rows = np.ones((trees, m), dtype=bool)
-    tree_of = np.repeat(np.arange(trees)[:, None], m, axis=1)
+    node, open_rows = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     for level in range(depth + 1):
         first, width = 2**level - 1, 2**level
-        cell = (tree_of * width + node - first)[open_rows]
-        values = rows[open_rows]
+        cell = (tree * width + node - first)[open_rows]
+        values = x[open_rows]
         count = np.bincount(cell, minlength=trees * width).reshape(trees, width)
         here = slice(first, first + width)
         path[:, here] = level + average_path(count)
@@ -149,13 +150,11 @@ def grow_trees(x: np.ndarray, trees: int, rows_per_tree: int, seed: int) -> tupl
         cut = lo + rng.random(len(at)) * (hi - lo)
         feature[:, here] = np.where(splits, chosen, -1).reshape(trees, width)
         threshold[:, here] = cut.reshape(trees, width)
-        split_rows = open_rows.copy()
-        split_rows[open_rows] = splits[cell]
-        t, r = np.nonzero(split_rows)
-        current = node[t, r]
-        right = rows[t, r, feature[t, current]] > threshold[t, current]
-        node[t, r] = 2 * current + 1 + right
-        open_rows = split_rows
+        open_rows[open_rows] = splits[cell]
+        rows = np.flatnonzero(open_rows)
+        current = node[rows]
+        right = x[rows, feature[tree[rows], current]] > threshold[tree[rows], current]
+        node[rows] = 2 * current + 1 + right
     return feature, threshold, path
 
 
@@ -179,29 +178,43 @@ def path_scores(
     return 2.0 ** (-depth / max(float(average_path(np.array(rows_per_tree))), 1e-12))
 
 
+def drawn_rows(
+    df: DataFrame, sizes: DataFrame, settings: OutlierSettings, keys: Sequence[str], id_column: str = "listing_id"
+) -> DataFrame:
+    """A row for each tree that a listing is drawn for, with ``tree``.
+
+    One rule for a segment of any size n: a (listing, tree) pair is drawn if a seeded hash of both falls below
+    rows_per_tree / n. So a tree has about rows_per_tree rows, all of a smaller segment's, and is drawn in the JVM.
+    """
+    chance = F.least(F.lit(1.0), F.lit(float(settings.rows_per_tree)) / F.col("_rows"))
+    low = (chance * F.lit(float(1 << 62))).cast("bigint")
+    drawn = F.filter(
+        F.sequence(F.lit(0), F.lit(settings.trees - 1)),
+        lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), t, F.col(id_column)), 2) < low,
+    )
+    sized = with_group_values(df, sizes, keys, "inner", stored=True)
+    return sized.withColumn("tree", F.explode(F.when(chance < 1, drawn).otherwise(F.sequence(F.lit(0), F.lit(settings.trees - 1)))))
+
+
 def fit_forests(
-    df: DataFrame, columns: Sequence[str], settings: OutlierSettings = OutlierSettings(), keys: Sequence[str] = SEGMENT
+    df: DataFrame,
+    sizes: DataFrame,
+    settings: OutlierSettings = OutlierSettings(),
+    keys: Sequence[str] = SEGMENT,
 ) -> DataFrame:
-    """One serialised forest per segment.
+    """One serialised forest per segment, from rows (keys, listing_id, _x): ``_x`` holds the features as numbers.
 
-    The trees of a segment need at most trees x rows_per_tree rows between them. That many rows, those with the
-    smallest seeded digests, are its draw: all rows of a smaller segment, and for a larger one enough that no
-    two trees share a row. So the group handed to Python has a fixed upper size, whatever the segment.
+    ``sizes`` is a stored table of (keys, _rows). A group handed to Python holds about trees x rows_per_tree rows.
     """
-    keys, columns = list(keys), list(columns)
-    pool = settings.trees * settings.rows_per_tree
-    drawn = smallest_by_hash(
-        df, keys, "listing_id", lambda n: F.least(n, F.lit(pool)).cast("bigint"), settings.seed, "_drawn"
-    ).where("_drawn")
+    keys = list(keys)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("listing_id")[columns].to_numpy(dtype=float)
-        feature, threshold, path = grow_trees(
-            np.nan_to_num(x), settings.trees, settings.rows_per_tree, settings.seed
-        )
+        pdf = pdf.sort_values(["tree", "listing_id"])
+        rows = int(min(settings.rows_per_tree, pdf["_rows"].iloc[0]))
+        x = np.nan_to_num(np.stack(pdf["_x"].to_numpy()).astype(float))
+        feature, threshold, path = grow_trees(x, pdf["tree"].to_numpy(), settings.trees, rows, settings.seed)
         out = pdf[keys].head(1).copy()
-        out["rows_per_tree"] = min(settings.rows_per_tree, len(x))
-        out["nodes"] = feature.shape[1]
+        out["rows_per_tree"], out["nodes"] = rows, feature.shape[1]
         out["features"], out["thresholds"], out["paths"] = feature.tobytes(), threshold.tobytes(), path.tobytes()
         return out
 
@@ -215,71 +228,64 @@ def fit_forests(
             T.StructField("paths", T.BinaryType()),
         ]
     )
-    groups = drawn.select(*keys, "listing_id", *columns).repartition(python_tasks(df.sparkSession), *keys)
-    return groups.groupBy(*keys).applyInPandas(fit, schema)
+    drawn = drawn_rows(df.select(*keys, "listing_id", "_x"), sizes, settings, keys)
+    return drawn.groupBy(*keys).applyInPandas(fit, schema)
 
 
-def score_forest(
-    df: DataFrame, forests: DataFrame, columns: Sequence[str], keys: Sequence[str] = SEGMENT
-) -> DataFrame:
-    """(keys, listing_id, score) of every row, scored by the forest of its segment.
+def score_forest(df: DataFrame, forests: DataFrame, sizes: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
+    """All columns of ``df`` but ``_x``, and ``score``: every row by the forest of its segment.
 
     Rows meet their forest in groups of about ``ROWS_PER_SCORING_GROUP``: a large segment is cut into that many
     parts by a hash of the id, and its forest is copied to each part.
     """
-    keys, columns = list(keys), list(columns)
-    count = F.ceil(F.count(F.lit(1)) / ROWS_PER_SCORING_GROUP).cast("int")
-    parts = materialise(df.groupBy(*keys).agg(count.alias("_parts")))
-    part = F.pmod(F.xxhash64("listing_id"), F.col("_parts")).cast("int")
-    rows = df.select(*keys, "listing_id", *columns)
-    rows = with_group_values(rows, parts, keys, "inner", stored=True).withColumn("_part", part)
-    copies = forests.join(parts, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-
-    def score(group: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
-        out = group[[*keys, "listing_id"]].copy()
-        out["score"] = 0.0
-        if len(group) and len(forest):
-            f = forest.iloc[0]
-            shape = (-1, int(f["nodes"]))
-            out["score"] = path_scores(
-                np.nan_to_num(group[columns].to_numpy(dtype=float)),
+    keys = list(keys)
+    parts = F.ceil(F.col("_rows") / ROWS_PER_SCORING_GROUP).cast("int")
+    sized = with_group_values(df, sizes, keys, "inner", stored=True)
+    rows = sized.withColumn("_part", F.pmod(F.xxhash64("listing_id"), parts).cast("int")).drop("_rows")
+    copies = forests.join(sizes, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_rows")
+    kept = [c for c in df.columns if c != "_x"]
+
+    def score(group: pa.Table, forest: pa.Table) -> pa.Table:
+        scores = np.zeros(group.num_rows)
+        if group.num_rows and forest.num_rows:
+            f = {c: forest.column(c)[0].as_py() for c in ("nodes", "rows_per_tree", "features", "thresholds", "paths")}
+            x = group.column("_x").combine_chunks()
+            x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+            shape = (-1, f["nodes"])
+            scores = path_scores(
+                np.nan_to_num(x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(group.num_rows, -1)),
                 np.frombuffer(f["features"], dtype=np.int16).reshape(shape),
                 np.frombuffer(f["thresholds"]).reshape(shape),
                 np.frombuffer(f["paths"], dtype=np.float32).reshape(shape),
-                int(f["rows_per_tree"]),
+                f["rows_per_tree"],
             )
-        return out
+        return group.select(kept).append_column("score", pa.array(scores))
 
-    schema = T.StructType(
-        [
-            *[df.schema[k] for k in keys],
-            T.StructField("listing_id", df.schema["listing_id"].dataType),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-    tasks, by = python_tasks(df.sparkSession), [*keys, "_part"]
-    rows, copies = (side.drop("_parts").repartition(tasks, *by).groupBy(*by) for side in (rows, copies))
-    return rows.cogroup(copies).applyInPandas(score, schema)
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField("score", T.DoubleType())])
+    by = [*keys, "_part"]
+    return rows.groupBy(*by).cogroup(copies.groupBy(*by)).applyInArrow(score, schema)
 
 
 def flag_isolation_forest(
     df: DataFrame, settings: OutlierSettings = OutlierSettings(), keys: Sequence[str] = SEGMENT
 ) -> DataFrame:
-    """Add ``is_outlier``: the share ``contamination`` of every segment that is easiest to isolate."""
+    """Add ``is_outlier``: the share ``contamination`` of every segment that is easiest to isolate.
+
+    Rows keep their columns through scoring. A row without make or model belongs to no segment and is never flagged.
+    """
     keys = list(keys)
     columns, words = forest_features(df, ("listing_id", *keys))
-    # The numbers are read by the draw, the fit and the scoring; the scores by the cut and the flag.
-    numeric = materialise(
-        category_codes(df, words, keys).select(
-            *keys, "listing_id", *[F.col(c).cast("double").alias(c) for c in columns]
-        )
-    )
-    forests = materialise(fit_forests(numeric, columns, settings, keys))
-    scores = materialise(score_forest(numeric, forests, columns, keys))
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    coded = category_codes(df.where(named), words, keys, suffix="_code")
+    numbers = [F.coalesce(F.col(f"{c}_code" if c in words else c).cast("double"), F.lit(0.0)) for c in columns]
+    rows = materialise(coded.withColumn("_x", F.array(*numbers)).select(*df.columns, "_x"))
+    sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    forests = materialise(fit_forests(rows, sizes, settings, keys))
+    scores = materialise(score_forest(rows, forests, sizes, keys))
     cuts = exact_quantiles(scores, keys, "score", {"_cut": 1 - settings.contamination})
-    beyond = F.max(F.col("score") > F.col("_cut")).alias("is_outlier")
-    flags = with_group_values(scores, cuts, keys, "inner").groupBy(*keys, "listing_id").agg(beyond)
-    return df.join(flags, [*keys, "listing_id"], "left")
+    flagged = with_group_values(scores, cuts, keys).withColumn("is_outlier", F.col("score") > F.col("_cut"))
+    flagged = flagged.select(*df.columns, "is_outlier")
+    return flagged.unionByName(df.where(~named).withColumn("is_outlier", F.lit(False)))
 
 
 # --- The switch ---------------------------------------------------------------------------------------------
@@ -299,7 +305,7 @@ def flag_outliers(df: DataFrame, settings: OutlierSettings = OutlierSettings())
 def remove_outliers(df: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
     if settings.method == "none":
         return df
-    return flag_outliers(df, settings).where(~F.col("is_outlier")).drop("is_outlier")
+    return flag_outliers(df, settings).where(~F.coalesce("is_outlier", F.lit(False))).drop("is_outlier")
 
 
 def outlier_report(flagged: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:

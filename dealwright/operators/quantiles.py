@@ -3,7 +3,9 @@
 Spark's own ``percentile`` merges one value-to-count map per group, so a segment holding a third of all rows
 ends up in a single buffer. Here rows are first counted per (group, cell, value), with map-side combining.
 A cell is a narrow range of values on a logarithmic scale; a group has at most about 1.5 million cells whatever
-its size. Running totals over cells find the few that hold the wanted ranks, and only those are sorted.
+its size. Running totals over cells find the few that hold the wanted ranks. A wanted cell with more than
+``CELL_VALUES`` different values, as doubles may have, is cut into ``SUB_CELLS`` equal parts of its range, again and again,
+and only the parts that hold a wanted rank are kept; what is left is sorted.
 """
 
 from __future__ import annotations
@@ -15,7 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dealwright.session import materialise
+
 CELLS_PER_UNIT = 1024
+CELL_VALUES, SUB_CELLS = 20_000, 4096
 
 
 def value_cell(value: Column) -> Column:
@@ -24,6 +29,35 @@ def value_cell(value: Column) -> Column:
     return F.coalesce(cell.cast("bigint"), F.lit(0))
 
 
+def _refined(held: DataFrame, keys: Sequence[str], holding) -> DataFrame:
+    """``held`` (keys, _cell, _n, _below, _v, _c) cut down to cells of few values, each with what lies below it."""
+    held = materialise(held)
+    while True:
+        sizes = held.groupBy(*keys, "_cell").agg(
+            F.count(F.lit(1)).alias("_values"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        )
+        large = materialise(sizes.where((F.col("_values") > CELL_VALUES) & (F.col("_lo") < F.col("_hi"))))
+        if large.isEmpty():
+            return held
+        at = F.least(
+            F.lit(SUB_CELLS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * SUB_CELLS)
+        ).cast("int")
+        cut = held.join(large.drop("_values"), [*keys, "_cell"]).withColumn("_sub", at)
+        upto = Window.partitionBy(*keys, "_cell").orderBy("_sub")
+        parts = (
+            cut.groupBy(*keys, "_cell", "_sub")
+            .agg(F.sum("_c").alias("_cc"), F.first("_n").alias("_n"), F.first("_below").alias("_from"))
+            .withColumn("_under", F.col("_from") + F.sum("_cc").over(upto) - F.col("_cc"))
+            .where(holding(F.col("_under"), F.col("_cc")))
+            .select(*keys, "_cell", "_sub", "_under")
+        )
+        smaller = cut.join(parts, [*keys, "_cell", "_sub"]).select(
+            *keys, F.concat_ws("/", "_cell", "_sub").alias("_cell"), "_n", F.col("_under").alias("_below"), "_v", "_c"
+        )
+        small = held.join(large.select(*keys, "_cell"), [*keys, "_cell"], "left_anti")
+        held = materialise(small.select(*smaller.columns).unionByName(smaller))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], count_as: str | None = None
 ) -> DataFrame:
@@ -60,14 +94,16 @@ def exact_quantiles(
         return (start <= k) & (k < start + size)
 
     ranks = [(i, upper) for i in range(len(levels)) for upper in (False, True)]
-    wanted = reduce(lambda a, b: a | b, [holds(F.col("_below"), F.col("_cc"), rank(*r)) for r in ranks])
-    wanted_cells = cells.where(wanted).select(*keys, "_cell", "_n", "_below")
+    def holding(below: Column, size: Column) -> Column:
+        return reduce(lambda a, b: a | b, [holds(below, size, rank(*r)) for r in ranks])
+
+    wanted_cells = cells.where(holding(F.col("_below"), F.col("_cc"))).select(*keys, "_cell", "_n", "_below")
+    held = counts.join(wanted_cells, [*keys, "_cell"]).withColumn("_cell", F.col("_cell").cast("string"))
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        held = _refined(held, keys, holding)
 
     in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v")
-    picked = (
-        counts.join(wanted_cells, [*keys, "_cell"])
-        .withColumn("_start", F.col("_below") + F.sum("_c").over(in_cell) - F.col("_c"))
-    )
+    picked = held.withColumn("_start", F.col("_below") + F.sum("_c").over(in_cell) - F.col("_c"))
     at_rank = {
         (i, upper): F.max(F.when(holds(F.col("_start"), F.col("_c"), rank(i, upper)), F.col("_v")))
         for i, upper in ranks

@@ -12,18 +12,28 @@ from dealwright.functions.hashing import digest_number, seeded_digest
 from dealwright.operators.joins import with_group_values
 
 
-def smallest_by_hash(
-    df: DataFrame, keys: Sequence[str], id_column: str, size, seed: int, flag: str, cell_digits: int = 3
-) -> DataFrame:
+#: Rows that share the first digits of their digest, at most about, even if all rows are one group.
+CELL_ROWS = 4096
+
+
+def cell_digits(rows: int) -> int:
+    """Hex digits that cut so many rows into cells of at most about ``CELL_ROWS``."""
+    digits = 1
+    while rows > CELL_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def smallest_by_hash(df: DataFrame, keys: Sequence[str], id_column: str, size, seed: int, flag: str) -> DataFrame:
     """Flag exactly ``size(n)`` rows of each group: those with the smallest seeded digests.
 
-    Digests are counted by their first hex digits; only the one cell per group that holds the cut is sorted,
-    so rows are never gathered by group. ``id_column`` must be unique within a group.
+    Digests are counted by their first hex digits, as many as the number of rows calls for; only the one cell per
+    group that holds the cut is sorted, so rows are never gathered by group. ``id_column`` must be unique within a group.
     """
     keys = list(keys)
     digest = seeded_digest(seed, F.col(id_column))
     hashed = df.select(*keys, F.col(id_column).cast("string").alias("_id"), digest.alias("_h"))
-    hashed = hashed.withColumn("_cell", F.substring("_h", 1, cell_digits))
+    hashed = hashed.withColumn("_cell", F.substring("_h", 1, cell_digits(df.count())))
     group = Window.partitionBy(*keys).orderBy("_cell")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cut_cells = (
@@ -67,7 +77,7 @@ def oos_split_by_threshold(
 
 
 def anti_split(df: DataFrame, sample: DataFrame, id_column: str = "listing_id") -> DataFrame:
-    """Rows whose key is not in the sample."""
+    """Rows whose key is not in the sample; where the sample is a flag on the same rows, filter by the flag instead."""
     return df.join(sample.select(id_column), id_column, "left_anti")
 
 

@@ -31,4 +31,5 @@ def features(spark: SparkSession, sf_dir: str, *columns: str, thin: bool = False
         df = df.transform(clean.derive_age_km, AS_OF_YEAR)
     df = df.transform(clean.fill_text_defaults).transform(clean.coerce_flags)
     text = [c for c in ("region", "transmission", "fuel", "cylinders") if c in df.columns]
-    return df.transform(clean.coerce_categoricals, text).select(*columns)
+    # a table of few files or row groups would keep all later steps in few tasks
+    return df.transform(clean.coerce_categoricals, text).select(*columns).hint("rebalance")

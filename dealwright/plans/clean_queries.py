@@ -258,7 +258,7 @@ def oos_split_by_threshold(spark, sf_dir):
 @query("anti_split", f"WITH {SPLIT_SQL} SELECT make, model, listing_id FROM split WHERE NOT is_oos")
 def anti_split(spark, sf_dir):
     df = materialise(features(spark, sf_dir, "make", "model", "listing_id"))
-    return sampling.anti_split(df, sampling.oos_split(df).where("is_oos"))
+    return sampling.oos_split(df).where("NOT is_oos").drop("is_oos")
 
 
 @query(

@@ -56,15 +56,28 @@ def candidates(spark, sf_dir):
     )
     general = train.train_general(fitted)
     scored = with_group_values(general.attach(scored), centre, SEGMENT)
-    return scored.withColumns({"by_line": train.line_value("s_"), "by_general": general.value()})
+    for name, models in (("ridge", train.fit_ridge(fitted, features=PAIR)), ("bag", train.bag_ridge(fitted, features=PAIR))):
+        models = models.select(*SEGMENT, *[F.col(c).alias(f"{name}_{c}") for c in ("intercept", "coefficients")])
+        scored = with_group_values(scored, models, SEGMENT)
+    return scored.withColumns(
+        {
+            "by_line": train.line_value("s_"),
+            "by_general": general.value(),
+            "by_ridge": train.ridge_value(PAIR, "ridge_"),
+            "by_bag": train.ridge_value(PAIR, "bag_"),
+        }
+    )
 
 
+PAIR = ("age", "odometer")
 CANDIDATES = {
     "segment mean": "by_mean",
     "segment median": "by_median",
     "line": "by_line",
     "line and region": "prediction_label",
     "general": "by_general",
+    "ridge": "by_ridge",
+    "bagged ridge": "by_bag",
 }
 
 
@@ -72,13 +85,18 @@ CANDIDATES = {
     "leaderboard",
     f"""WITH {HELD_OUT_SQL},
     centre AS (SELECT make, model, avg(price) AS by_mean, median(price) AS by_median FROM train GROUP BY ALL),
-    wide AS (SELECT h.*, c.by_mean, c.by_median, s_intercept + s_b_age * age + s_b_odometer * odometer AS by_line
-             FROM held h JOIN centre c USING (make, model)),
+    {model_sql.ridge("train")}, {model_sql.bagged("train")},
+    wide AS (SELECT h.*, c.by_mean, c.by_median, s_intercept + s_b_age * age + s_b_odometer * odometer AS by_line,
+                    r.intercept + r.b_age * age + r.b_odometer * odometer AS by_ridge,
+                    b.intercept + b.b_age * age + b.b_odometer * odometer AS by_bag
+             FROM held h JOIN centre c USING (make, model) JOIN ridges r USING (make, model) JOIN bags b USING (make, model)),
     long AS (SELECT make, model, price, 'segment mean' AS candidate, by_mean AS p FROM wide
              UNION ALL SELECT make, model, price, 'segment median', by_median FROM wide
              UNION ALL SELECT make, model, price, 'line', by_line FROM wide
              UNION ALL SELECT make, model, price, 'line and region', prediction_label FROM wide
-             UNION ALL SELECT make, model, price, 'general', general FROM wide),
+             UNION ALL SELECT make, model, price, 'general', general FROM wide
+             UNION ALL SELECT make, model, price, 'ridge', by_ridge FROM wide
+             UNION ALL SELECT make, model, price, 'bagged ridge', by_bag FROM wide),
     board AS (SELECT make, model, candidate, count(*) AS n, avg(abs(price - p)) AS e,
                      sqrt(avg((price - p) * (price - p))) AS r FROM long GROUP BY ALL)
     SELECT make, model, candidate, n, e::FLOAT::DOUBLE AS mae, r::FLOAT::DOUBLE AS rmse,
@@ -92,14 +110,11 @@ def leaderboard(spark, sf_dir):
 
 FEATURES = ("age", "odometer", "region")
 IMPORTANCE_SQL = f"""{HELD_OUT_SQL},
-blocks AS (SELECT make, model, ceil(count(*) / 10000.0)::BIGINT AS n_blocks FROM held GROUP BY ALL),
-numbered AS (SELECT h.*, r::INT AS rep, md5(r || '|' || listing_id) AS ord,
-                    ('0x' || substr(md5('7|' || listing_id), 1, 8))::BIGINT % n_blocks AS block
-             FROM held h JOIN blocks USING (make, model), range(1, 4) t(r)),
+numbered AS (SELECT h.*, r::INT AS rep, md5(r || '|' || listing_id) AS ord FROM held h, range(1, 4) t(r)),
 moved AS (SELECT *, coalesce(lead(age) OVER w, first_value(age) OVER w) AS other_age,
                  coalesce(lead(odometer) OVER w, first_value(odometer) OVER w) AS other_odometer,
                  coalesce(lead(region) OVER w, first_value(region) OVER w) AS other_region
-          FROM numbered WINDOW w AS (PARTITION BY make, model, rep, block ORDER BY ord, listing_id)),
+          FROM numbered WINDOW w AS (PARTITION BY make, model, rep ORDER BY ord, listing_id)),
 rises AS (
   SELECT make, model, rep, 'age' AS feature,
          abs(price - prediction_label - s_b_age * (other_age - age)) - abs(residual) AS rise FROM moved

@@ -32,26 +32,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def python_tasks(spark: SparkSession) -> int:
-    """Partitions for a stage whose cost is computing, not bytes.
-
-    Given as a fixed number, adaptive execution does not merge them for being small.
-    """
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Used where several passes or an iteration read the same rows: it cuts the lineage, survives lost executors, and
-    later passes read only the columns they need. In a local session, rows that come from fewer files than there are
-    cores are spread first, as all the passes would share the few tasks that read them.
+    later passes read only the columns they need.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "kept")
-    cores = spark.sparkContext.defaultParallelism
-    if spark.sparkContext.master.startswith("local") and 0 < len(df.inputFiles()) < cores:
-        df = df.repartition(cores)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -72,7 +72,7 @@ def test_leaderboard_puts_the_better_model_first(rows):
 
 @pytest.mark.parametrize("block", [10, 10_000])
 def test_permutation_moves_every_value_once(rows, monkeypatch, block):
-    monkeypatch.setattr(diagnose, "ROWS_PER_PERMUTATION_BLOCK", block)
+    monkeypatch.setattr(diagnose, "RANGE_ROWS", block)
     moved = diagnose.permuted(rows, ["age", "listing_id"], repeats=2).toPandas()
     assert len(moved) == 1000
     for _, part in moved.groupby(["model", "repeat"]):
@@ -80,6 +80,16 @@ def test_permutation_moves_every_value_once(rows, monkeypatch, block):
         assert (part.other_listing_id != part.listing_id).mean() > 0.9
 
 
+def test_permutation_does_not_depend_on_its_ranges(rows, monkeypatch):
+    def pairs():
+        moved = diagnose.permuted(rows, ["listing_id"], repeats=2)
+        return sorted(tuple(r) for r in moved.select("repeat", "listing_id", "other_listing_id").collect())
+
+    whole = pairs()
+    monkeypatch.setattr(diagnose, "RANGE_ROWS", 7)
+    assert pairs() == whole
+
+
 def test_importance_is_zero_for_an_unused_feature(rows):
     scored = rows.withColumn("prediction_label", F.col("price").cast("double"))
     predict = {"age": F.col("prediction_label"), "price": F.col("other_price").cast("double")}

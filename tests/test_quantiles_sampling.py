@@ -18,6 +18,28 @@ def check(spark, groups):
             assert got[k][name] == pytest.approx(np.quantile(vs, level), rel=1e-12, abs=1e-12)
 
 
+def test_cells_of_doubles_are_refined_until_they_are_small(spark, monkeypatch):
+    from dealwright.operators import quantiles
+
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.uniform(0.4, 0.6, 60_000), 0.5 + rng.normal(0, 1e-9, 20_000), np.full(9000, 0.55), [1e9, -1e9]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    sizes = []
+    plain = quantiles._refined
+
+    def watched(held, keys, holding):
+        found = plain(held, keys, holding)
+        sizes.append(max(r["count"] for r in found.groupBy("_cell").count().collect()))
+        return found
+
+    monkeypatch.setattr(quantiles, "CELL_VALUES", 500)
+    monkeypatch.setattr(quantiles, "_refined", watched)
+    got = exact_quantiles(df, [], "v", LEVELS).first()
+    for name, level in LEVELS.items():
+        assert got[name] == pytest.approx(np.quantile(values, level), rel=1e-12, abs=1e-12)
+    assert sizes and max(sizes) <= 500
+
+
 def test_worked_example(spark):
     df = spark.createDataFrame([(1,), (2,), (4,), (9,)], "v int")
     r = exact_quantiles(df, [], "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
