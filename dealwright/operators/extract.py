@@ -19,8 +19,12 @@ YEAR_LIMITS, ENGINE_LIMITS = (1990, 2026), (500, 8000)
 KM_PER_MILE = 1.609
 # Patterns of the fields in free text.
 YEAR = r"\b((?:19|20)[0-9]{2})\b"
+MODEL_YEAR = r"\b((?:19|20)[0-9]{2}) model\b"
 SHORT_YEAR = r"\b([0-9]{2}) model\b"
-KM = r"([0-9][0-9,]*)\s*kms?\b"
+# Amounts of money, distance and engine size, which are no years.
+AMOUNT = r"\$\s*[0-9][0-9,]*|\b[0-9][0-9,]*\s*(?:k|kms?|k\s*kms?|mi|miles?|cc)\b"
+KM = r"\b([0-9][0-9,]*)\s*kms?\b"
+THOUSAND_KM = r"\b([0-9][0-9,]*)\s*k\s*kms?\b"
 MILES = r"([0-9][0-9,]*)\s*mi(?:les?)?\b"
 LITRES = r"\b([0-9]+\.?[0-9]*)\s*l\b"
 CC = r"\b([0-9]{3,4})\s*cc\b"
@@ -43,13 +47,16 @@ def extract_fields(texts: DataFrame, text: str = "text", regions: tuple[str, ...
     """Everything the text itself tells; make and model come from ``match_catalog``."""
     t = F.lower(F.col(text))
     short_year = _first(t, SHORT_YEAR).try_cast("int")
-    km = _whole(_first(t, KM))
+    km = F.coalesce(_whole(_first(t, THOUSAND_KM)) * 1000, _whole(_first(t, KM)))
+    years = F.regexp_replace(t, AMOUNT, " ")
     miles = (_whole(_first(t, MILES)) * KM_PER_MILE).try_cast("bigint")
     litres = (_first(t, LITRES).try_cast("double") * 1000).try_cast("bigint")
     named = F.filter(F.array(*[F.lit(r) for r in regions]), lambda r: t.contains(F.lower(r)))
     return texts.withColumns(
         {
-            "year": F.coalesce(_first(t, YEAR).try_cast("int"), F.lit(2000) + short_year),
+            "year": F.coalesce(
+                _first(t, MODEL_YEAR).try_cast("int"), F.lit(2000) + short_year, _first(years, YEAR).try_cast("int")
+            ),
             "odometer": F.coalesce(km, miles),
             "engine_size_cc": F.coalesce(litres, _first(t, CC).try_cast("bigint")),
             "fuel_type": parsing.fuel(_first(t, FUEL)),

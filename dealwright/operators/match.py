@@ -6,15 +6,13 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealwright.functions.scoring import best_option, edit_similarity
-from dealwright.session import materialise, python_tasks
+from dealwright.session import materialise
 
 CHUNK = 5000
-BROADCAST_CHUNKS = 64
-PARTS_PER_CHUNK = 64
 FALLBACK_SEGMENT = ("General", "Model")
 
 
@@ -43,25 +41,16 @@ def in_chunks(df: DataFrame, columns: Sequence[str], chunk: int = CHUNK) -> tupl
 def best_in_chunks(
     df: DataFrame, id_column: str, candidates: DataFrame, columns: Sequence[str], score, chunk: int = CHUNK
 ) -> DataFrame:
-    """(id, best): the best-scoring candidate of every row, over all candidates.
+    """(id, best): the best-scoring candidate of every row, over all of a few candidates.
 
     Each row meets every chunk of candidates by an equi-join on the chunk number and keeps only the best of it, so
-    no pair of row and candidate is ever a row. ``score(options)`` gives a struct that orders by quality first.
+    no pair of row and candidate is ever a row. ``score(options)`` gives a struct that orders by quality first. Made
+    for the handful of classes of a classifier; a catalog is searched by ``fuzzy_segment``.
     """
     options, n = in_chunks(candidates, columns, chunk)
-    rows = df.repartition(python_tasks(df.sparkSession), id_column).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    if n <= BROADCAST_CHUNKS:
-        pairs = rows.join(F.broadcast(options), "chunk")
-    else:
-        # Too many candidates to copy to every task: meet them by shuffle, in parts of each chunk's rows.
-        parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS_PER_CHUNK - 1)))
-        rows = rows.withColumn("part", F.pmod(F.xxhash64(id_column), F.lit(PARTS_PER_CHUNK)).cast("int"))
-        pairs = rows.join(options.withColumn("part", parts), ["chunk", "part"])
-    return (
-        pairs.select(id_column, score(F.col("options")).alias("_best"))
-        .groupBy(id_column)
-        .agg(F.max("_best").alias("best"))
-    )
+    rows = df.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = rows.join(materialise(options), "chunk").select(id_column, score(F.col("options")).alias("_best"))
+    return pairs.groupBy(id_column).agg(F.max("_best").alias("best"))
 
 
 def _edit_score(query: str):
@@ -99,24 +88,50 @@ def _sequence_score(query: str):
     return lambda options: udf(F.col(query), options)
 
 
+def _within_lengths(queries: DataFrame, known: DataFrame, cutoff: float, score) -> DataFrame:
+    """(query, best) over the candidates whose length alone does not keep them below the cutoff.
+
+    A distance is at least the difference of the lengths, so a text meets only names between cutoff and 1 / cutoff times
+    its own length: an equi-join on the length, with names of one length in arrays of about ``CHUNK``.
+    """
+    sized = known.withColumn("length", F.length("text"))
+    parts = F.pmod(F.xxhash64("text", "make", "model"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("length")) / CHUNK))
+    options = sized.withColumn("part", parts).groupBy("length", "part").agg(
+        F.collect_list(F.struct("make", "model", "text")).alias("options")
+    )
+    shortest = F.ceil(F.length("query") * cutoff).cast("int")
+    longest = F.floor(F.length("query") / cutoff).cast("int")
+    wanted = queries.withColumn("length", F.explode(F.sequence(shortest, longest)))
+    met = wanted.join(materialise(options), "length").select("query", score(F.col("options")).alias("_best"))
+    return met.groupBy("query").agg(F.max("_best").alias("best"))
+
+
 def fuzzy_segment(
     requests: DataFrame, column: str, catalog: DataFrame, cutoff: float = 0.5, similarity: str = "edit"
 ) -> DataFrame:
     """(text, known_make, known_model, score): the catalog segment closest to each distinct requested text.
 
-    Without a match at the cutoff it is the first segment of the catalog, and with an empty catalog a fixed
-    general one. ``similarity`` is 'edit' (edit distance, in the JVM) or 'sequence' (matching blocks).
+    Texts that are a catalog name meet it by equality; only the others are compared, with names of a length that can
+    reach the cutoff. Without a match at the cutoff it is the first segment of the catalog, and with an empty catalog a
+    fixed general one. ``similarity`` is 'edit' (edit distance, in the JVM) or 'sequence' (matching blocks).
     """
     known = catalog.select("make", "model").distinct()
     known = materialise(known.withColumn("text", F.lower(F.concat_ws(" ", "make", "model"))))
     first = known.agg(F.min(F.struct("make", "model")).alias("s")).first()["s"] or FALLBACK_SEGMENT
-    queries = requests.select(F.lower(F.col(column)).alias("text")).distinct()
-    queries = queries.withColumnRenamed("text", "query")
     scores = {"edit": _edit_score, "sequence": _sequence_score}
     if similarity not in scores:
         raise ValueError(f"unknown similarity {similarity!r}")
-    score = scores[similarity]("query")
-    best = best_in_chunks(queries, "query", known, ["make", "model", "text"], score)
+    queries = materialise(requests.select(F.lower(F.col(column)).alias("query")).distinct())
+    same = known.groupBy(F.col("text").alias("query")).agg(
+        F.max(F.struct(F.lit(1.0).alias("score"), "text", "make", "model")).alias("best")
+    )
+    equal = queries.join(same, "query")
+    others = queries.join(same, "query", "left_anti")
+    if similarity == "edit":
+        near = _within_lengths(others, known, cutoff, _edit_score("query"))
+    else:
+        near = best_in_chunks(others, "query", known, ["make", "model", "text"], _sequence_score("query"))
+    best = equal.select("query", "best").union(near.select("query", "best"))
     found = F.coalesce(F.col("best.score") >= cutoff, F.lit(False))
     return queries.join(best, "query", "left").select(
         F.col("query").alias("text"),

@@ -20,14 +20,17 @@ SPEC_ENGINE = """CASE transmission WHEN 'A' THEN concat(engine_size / 1000, 'L')
                  WHEN 'N' THEN concat(CAST(engine_size AS BIGINT), 'CC') ELSE concat(CAST(engine_size AS BIGINT), '') END"""
 DISTANCE_TEXT = """CASE transmission WHEN 'A' THEN concat(CAST(odometer AS BIGINT), ' km')
                    WHEN 'N' THEN concat(CAST(odometer / 1000 AS BIGINT), ',000') ELSE 'unknown' END"""
-AD_TEXT = f"""concat_ws(' ', CASE WHEN is_dealer THEN concat(substr(CAST(year AS VARCHAR(4)), 3, 2), ' model')
-                                  ELSE CAST(year AS VARCHAR(4)) END,
+AD_TEXT = f"""concat_ws(' ', CASE transmission WHEN 'A' THEN concat('asking ', price_display, ' or $2001 cash for my')
+                              WHEN 'N' THEN '2002 cc engine,' END,
+    CASE WHEN is_dealer AND is_4wd THEN concat(year, ' model') WHEN is_dealer THEN concat(substr(CAST(year AS VARCHAR(4)), 3, 2), ' model')
+         ELSE CAST(year AS VARCHAR(4)) END,
     make, model, exterior_colour,
     CASE transmission WHEN 'R' THEN concat(CAST(odometer / 1.6 AS BIGINT), ' miles')
-                      WHEN 'N' THEN concat(CAST(odometer / 1000 AS BIGINT), ',000km')
+                      WHEN 'N' THEN concat(CAST(odometer / 1000 AS BIGINT), CASE WHEN is_dealer THEN 'k km' ELSE ',000km' END)
                       ELSE concat(CAST(odometer AS BIGINT), ' kms') END,
     CASE WHEN is_4wd THEN concat(engine_size / 1000, 'L 4WD') ELSE concat(CAST(engine_size AS BIGINT), 'cc') END,
-    {FUEL_TEXT}, {GEAR_TEXT}, concat(CAST(cylinders AS BIGINT), ' cyl'), 'located in', region, 'asking', price_display)"""
+    {FUEL_TEXT}, {GEAR_TEXT}, concat(CAST(cylinders AS BIGINT), ' cyl'), 'located in', region,
+    CASE WHEN transmission <> 'A' THEN concat('asking ', price_display) END)"""
 
 
 def rx(pattern: str, text: str = "t") -> str:
@@ -188,11 +191,13 @@ def fields_sql(source: str) -> str:
     """CTE ``fields`` over a source with the listing text in ``text``."""
     place = " ".join(f"WHEN contains(t, '{p.lower()}') THEN '{p}'" for p in PLACES)
     return f"""
-lowered AS (SELECT *, lower(text) AS t FROM {source}),
+lowered AS (SELECT *, lower(text) AS t, regexp_replace(lower(text), '{extract.AMOUNT}', ' ', 'g') AS no_amounts FROM {source}),
 fields AS (
-  SELECT * EXCLUDE (t),
-    coalesce(try_cast({rx(extract.YEAR)} AS INT), 2000 + try_cast({rx(extract.SHORT_YEAR)} AS INT)) AS f_year,
-    coalesce(try_cast(replace({rx(extract.KM)}, ',', '') AS BIGINT),
+  SELECT * EXCLUDE (t, no_amounts),
+    coalesce(try_cast({rx(extract.MODEL_YEAR)} AS INT), 2000 + try_cast({rx(extract.SHORT_YEAR)} AS INT),
+             try_cast({rx(extract.YEAR, "no_amounts")} AS INT)) AS f_year,
+    coalesce(1000 * try_cast(replace({rx(extract.THOUSAND_KM)}, ',', '') AS BIGINT),
+             try_cast(replace({rx(extract.KM)}, ',', '') AS BIGINT),
              trunc(try_cast(replace({rx(extract.MILES)}, ',', '') AS BIGINT) * 1.609::DOUBLE)::BIGINT) AS f_odometer,
     coalesce(trunc(try_cast({rx(extract.LITRES)} AS DOUBLE) * 1000)::BIGINT, try_cast({rx(extract.CC)} AS BIGINT)) AS f_engine,
     {sql_fuel(rx(extract.FUEL))} AS f_fuel,

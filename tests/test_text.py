@@ -37,9 +37,48 @@ def test_sequence_matching_agrees_with_the_standard_library(spark):
         assert got[q] == (expected[0] if expected else None)
 
 
-@pytest.mark.parametrize("broadcast_chunks", [0, 64])
-def test_every_candidate_is_seen_in_chunks(spark, monkeypatch, broadcast_chunks):
-    monkeypatch.setattr(match, "BROADCAST_CHUNKS", broadcast_chunks)
+def test_segments_compared_by_length_are_those_of_a_full_comparison(spark, monkeypatch):
+    monkeypatch.setattr(match, "CHUNK", 4)
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcd"), n))
+    names = sorted({(word(rng.integers(1, 4)), word(rng.integers(1, 9))) for _ in range(60)})
+    queries = sorted({word(rng.integers(1, 12)) for _ in range(60)} | {f"{a} {b}" for a, b in names[:5]} | {""})
+    catalog = spark.createDataFrame(names, "make string, model string")
+    df = spark.createDataFrame([(q,) for q in queries], "v string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(new[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+            row = new
+        return row[-1]
+
+    for r in match.fuzzy_segment(df, "v", catalog).collect():
+        scored = [(1 - distance(f"{a} {b}", r.text) / max(len(f"{a} {b}"), len(r.text)), f"{a} {b}", a, b) for a, b in names]
+        best = max(scored)
+        if best[0] >= 0.5:
+            assert (r.known_make, r.known_model) == best[2:] and r.score == pytest.approx(best[0])
+        else:
+            assert (r.known_make, r.known_model, r.score) == (*names[0], None)
+
+
+def test_amounts_are_no_years_and_thousands_are_distances(spark):
+    ads = {
+        "asking $2000 for my 2012 toyota": (2012, None),
+        "2000 cc engine, 2015 model": (2015, None),
+        "98 model 85k km": (2098, 85000),
+        "driven 2010 km, 1,999 miles, of 2008": (2008, 2010),
+        "2003 holden 120,500kms": (2003, 120500),
+        "$1999 and nothing else": (None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(ads)), "id int, text string")
+    got = {r.text: (r.year, r.odometer) for r in extract.extract_fields(df).collect()}
+    assert got == ads
+
+
+def test_every_candidate_is_seen_in_chunks(spark):
     candidates = spark.createDataFrame([(f"{a}{b}", "m", "x") for a, b in itertools.product("abcd", "efgh")],
                                        "text string, make string, model string")
     df = spark.createDataFrame([("ae",), ("dh",), ("cf",)], "q string")
