@@ -35,6 +35,7 @@ CYLINDERS = (3, 4, 6, 8, 10, 12)
 TEXT_DEFAULTS = {"exterior_colour": "No colour", "stereo_description": "No stereo"}
 
 NUMERIC_FEATURES = ("engine_size", "odometer", "year", "is_new", "age", "km_per_year")
+# The categories among the features.
 CATEGORICAL_FEATURES = (
     "region",
     "transmission",
@@ -43,6 +44,7 @@ CATEGORICAL_FEATURES = (
     "colour_label",
     "stereo_label",
 )
+# The columns a listing is priced from.
 FEATURE_COLUMNS = (
     "listing_id",
     "make",
@@ -62,6 +64,19 @@ FEATURE_COLUMNS = (
     "price",
 )
 
+# What a segment's ridge prices on: numbers, flags, and words of the categories as flags. Regions are effects of their own.
+PRICE_FEATURES = (
+    "engine_size",
+    "odometer",
+    "age",
+    "km_per_year",
+    "is_new",
+    "is_4wd",
+    "is_dealer",
+    *(f"fuel={word}" for word in FUELS[1:]),
+    *(f"transmission={word}" for word in TRANSMISSIONS[1:]),
+)
+
 QUANTILE_LEVELS = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
 
 
@@ -92,12 +107,15 @@ class BlendSettings:
 
 @dataclass(frozen=True)
 class TrainingSettings:
+    """``model`` is 'line' (age and distance), 'ridge' (all of ``features``) or 'bag' (that ridge, bagged)."""
+
     min_rows_specific: int = 20
     min_rows_general: int = 10
+    model: str = "line"
+    features: tuple[str, ...] = PRICE_FEATURES
     ridge_alpha: float = 1.0
     bag_folds: int = 5
     min_tail_rows: int = 10
-    oos_fraction: float = 0.4
     seed: int = 42
 
 
@@ -151,7 +169,11 @@ def settings_from_mappings(search: dict, model: dict) -> Settings:
             full_general_below=general.get("blend_threshold_min", 50),
             full_specific_from=general.get("blend_threshold_max", 200),
         ),
-        training=TrainingSettings(bag_folds=training.get("num_bag_folds", 5)),
+        training=TrainingSettings(
+            model=training.get("model", "line"),
+            features=tuple(training.get("features", PRICE_FEATURES)),
+            bag_folds=training.get("num_bag_folds", 5),
+        ),
         search=DealSearch(
             min_discount_pct=search.get("minimum_discount_percent", 40),
             max_discount_pct=search.get("maximum_discount_percent", 80),

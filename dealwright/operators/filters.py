@@ -31,6 +31,11 @@ def segment_sizes(df: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def segment_counts(df: DataFrame, name: str, keys: Sequence[str] = SEGMENT) -> DataFrame:
+    """Add the number of rows of each row's segment."""
+    return with_group_values(df, segment_sizes(df, keys).withColumnRenamed("n", name), keys)
+
+
 def min_rows_gate(df: DataFrame, minimum: int, keys: Sequence[str] = SEGMENT) -> DataFrame:
     """Rows of the segments holding at least ``minimum`` rows."""
     large = segment_sizes(df, keys).where(F.col("n") >= minimum)

@@ -89,17 +89,34 @@ def train_specific(df: DataFrame, keys: Sequence[str] = SEGMENT, shrinkage: floa
 
 
 def specific_value(
-    prefix: str = "", age: Column | None = None, odometer: Column | None = None, region: Column | None = None
+    prefix: str = "",
+    age: Column | None = None,
+    odometer: Column | None = None,
+    region: Column | None = None,
+    features: Sequence[str] | None = None,
 ) -> Column:
-    """Segment estimate from an attached ``train_specific`` row; null when the segment has no model."""
+    """Segment estimate from an attached ``train_specific`` or, with ``features``, ``train_ridge`` row.
+
+    Null when the segment has no model.
+    """
     region = F.col("region") if region is None else region
     effect = F.coalesce(F.try_element_at(F.col(f"{prefix}region_effects"), region), F.lit(0.0))
-    return line_value(prefix, age, odometer) + effect
+    if features is None:
+        return line_value(prefix, age, odometer) + effect
+    at_age = F.col("age") if age is None else age
+    driven = F.col("odometer") if odometer is None else odometer
+    changed = {} if age is None and odometer is None else {
+        "age": at_age,
+        "odometer": driven,
+        "year": F.col("year") - (at_age - F.col("age")) if "year" in features else F.lit(None),
+        "km_per_year": F.try_divide(driven, F.greatest(at_age, F.lit(1))),
+    }
+    return ridge_value(features, prefix, changed) + effect
 
 
 @dataclass(frozen=True)
 class GeneralModel:
-    """The cross-segment model: one pooled line, and what make and model add to it."""
+    """The cross-segment model: one pooled line, what a make adds to it, and what a model adds to its make."""
 
     intercept: float
     b_age: float
@@ -110,7 +127,7 @@ class GeneralModel:
 
     def attach(self, df: DataFrame) -> DataFrame:
         out = with_group_values(df, self.make_effects, ["make"], stored=True)
-        out = with_group_values(out, self.model_effects, ["model"], stored=True)
+        out = with_group_values(out, self.model_effects, list(SEGMENT), stored=True)
         return out.withColumns(
             {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("general_make_effect", "general_model_effect")}
         )
@@ -123,24 +140,21 @@ class GeneralModel:
 
 
 def train_general(df: DataFrame, shrinkage: float = EFFECT_SHRINKAGE) -> GeneralModel:
-    """Pooled line over all segments, then shrunken mean residuals by make and by model name.
+    """Pooled line over all segments, the shrunken mean residual of each make, and of each of its models what is left.
 
-    Only the four numbers of the line come to the driver.
+    Residuals are summed once per segment; the effects of makes follow from those sums, and the effect of a model
+    is fitted on what its make leaves, so nothing counts twice. Only the four numbers of the line come to the driver.
     """
     line = fit_lines(df, []).first()
     rest = F.col("price") - (
         F.lit(line["intercept"]) + F.lit(line["b_age"]) * F.col("age") + F.lit(line["b_odometer"]) * F.col("odometer")
     )
-    effect = F.sum(rest) / (F.count(F.lit(1)) + shrinkage)
-    rows = _complete(df)
-    return GeneralModel(
-        line["intercept"],
-        line["b_age"],
-        line["b_odometer"],
-        line["n"],
-        materialise(rows.groupBy("make").agg(effect.alias("general_make_effect"))),
-        materialise(rows.groupBy("model").agg(effect.alias("general_model_effect"))),
-    )
+    sums = materialise(_complete(df).groupBy(*SEGMENT).agg(F.sum(rest).alias("_s"), F.count(F.lit(1)).alias("_n")))
+    make_effect = F.sum("_s") / (F.sum("_n") + shrinkage)
+    makes = materialise(sums.groupBy("make").agg(make_effect.alias("general_make_effect")))
+    left = (F.col("_s") - F.col("_n") * F.col("general_make_effect")) / (F.col("_n") + shrinkage)
+    models = sums.join(makes, "make").select(*SEGMENT, left.alias("general_model_effect"))
+    return GeneralModel(line["intercept"], line["b_age"], line["b_odometer"], line["n"], makes, materialise(models))
 
 
 # --- Ridge from grouped sums of products --------------------------------------------------------------------
@@ -150,11 +164,18 @@ def _pairs(d: int) -> list[tuple[int, int]]:
     return list(combinations_with_replacement(range(d), 2))
 
 
+def feature_value(feature: str, overrides: Mapping[str, Column] | None = None) -> Column:
+    """A feature as a number, null as 0. ``column=word`` is 1 where the column holds the word."""
+    column, _, word = feature.partition("=")
+    value = (overrides or {}).get(column, F.col(column))
+    if word:
+        return F.coalesce((value.cast("string") == word).cast("double"), F.lit(0.0))
+    return F.coalesce(value.cast("double"), F.lit(0.0))
+
+
 def gram_table(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str = "price") -> DataFrame:
     """Per group: row count and the sums, squares and products of centred features and target. Nulls count as 0."""
-    z = [
-        (F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - CENTRES.get(f, 0.0)) / SPREADS.get(f, 1.0) for f in features
-    ]
+    z = [(feature_value(f) - CENTRES.get(f, 0.0)) / SPREADS.get(f, 1.0) for f in features]
     wide = df.where(F.col(target).isNotNull()).select(
         *keys, *[c.alias(f"_z{i}") for i, c in enumerate(z)], F.col(target).cast("double").alias("_y")
     )
@@ -265,14 +286,36 @@ def ridge_value(
     features: Sequence[str] = NUMERIC_FEATURES, prefix: str = "", overrides: Mapping[str, Column] | None = None
 ) -> Column:
     """Value of an attached ridge row; null features count as 0, as in the fit."""
-    overrides = overrides or {}
     total = F.col(f"{prefix}intercept")
     for i, f in enumerate(features):
-        x = F.coalesce(overrides.get(f, F.col(f)).cast("double"), F.lit(0.0))
-        total = total + F.col(f"{prefix}coefficients")[i] * x
+        total = total + F.col(f"{prefix}coefficients")[i] * feature_value(f, overrides)
     return total
 
 
+def train_ridge(
+    df: DataFrame,
+    features: Sequence[str],
+    keys: Sequence[str] = SEGMENT,
+    alpha: float = 1.0,
+    folds: int = 0,
+    seed: int = 42,
+    shrinkage: float = EFFECT_SHRINKAGE,
+) -> DataFrame:
+    """A stored table like ``train_specific``'s, with a ridge over ``features`` (bagged over ``folds``, if any) as line."""
+    keys, features = list(keys), list(features)
+    fit = bag_ridge(df, keys, features, alpha, folds, seed) if folds else fit_ridge(df, keys, features, alpha)
+    models = materialise(fit.select(*keys, "n", "intercept", "coefficients"))
+    residual = F.col("price") - ridge_value(features)
+    effects = (
+        with_group_values(df.where(F.col("price").isNotNull()), models, keys, "inner", stored=True)
+        .groupBy(*keys, "region")
+        .agg((F.sum(residual) / (F.count(F.lit(1)) + shrinkage)).alias("effect"))
+        .groupBy(*keys)
+        .agg(F.map_from_entries(F.collect_list(F.struct("region", "effect"))).alias("region_effects"))
+    )
+    return materialise(models.join(effects, keys))
+
+
 def bag_ridge(
     df: DataFrame,
     keys: Sequence[str] = SEGMENT,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,12 @@ from dealwright.functions import scoring
 from dealwright.operators import train
 from dealwright.operators.joins import with_group_values
 
-MODEL_COLUMNS = ("n", "intercept", "b_age", "b_odometer", "region_effects")
-
-
 def attach_specific(df: DataFrame, models: DataFrame) -> DataFrame:
     """Add each row's segment model under the prefix ``s_``; rows of segments without one keep nulls.
 
-    ``models`` is a stored table, as ``train_specific`` returns.
+    ``models`` is a stored table, as ``train_specific`` and ``train_ridge`` return.
     """
-    renamed = models.select(*SEGMENT, *[F.col(c).alias(f"s_{c}") for c in MODEL_COLUMNS])
+    renamed = models.select(*SEGMENT, *[F.col(c).alias(f"s_{c}") for c in models.columns if c not in SEGMENT])
     return with_group_values(df, renamed, SEGMENT, stored=True)
 
 
@@ -27,7 +26,11 @@ def drop_models(df: DataFrame) -> DataFrame:
 
 
 def predict_blended(
-    df: DataFrame, models: DataFrame, general: train.GeneralModel | None, blend: BlendSettings = BlendSettings()
+    df: DataFrame,
+    models: DataFrame,
+    general: train.GeneralModel | None,
+    blend: BlendSettings = BlendSettings(),
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``specific``, ``general``, ``weight`` and ``prediction_label``.
 
@@ -38,7 +41,7 @@ def predict_blended(
     general_value = general.value() if general else F.lit(None).cast("double")
     out = out.withColumns(
         {
-            "specific": train.specific_value("s_"),
+            "specific": train.specific_value("s_", features=features),
             "general": general_value,
             "weight": scoring.blend_weight(F.col("s_n"), blend),
         }
@@ -69,7 +72,7 @@ def ridge_of(model: str, features=train.NUMERIC_FEATURES) -> Column:
     """Value of a ridge kept in a struct column."""
     total = F.col(model)["intercept"]
     for i, f in enumerate(features):
-        total = total + F.col(model)["coefficients"][i] * F.coalesce(F.col(f).cast("double"), F.lit(0.0))
+        total = total + F.col(model)["coefficients"][i] * train.feature_value(f)
     return total
 
 
@@ -91,13 +94,17 @@ def tail_adjust(df: DataFrame, tails: DataFrame, value=ridge_of) -> DataFrame:
 
 
 def regional_compare(
-    df: DataFrame, region: str, base: str = "specific", skip_own: bool = False
+    df: DataFrame,
+    region: str,
+    base: str = "specific",
+    skip_own: bool = False,
+    features: Sequence[str] | None = None,
 ) -> DataFrame:
     """Value in another region against the estimate; with ``skip_own``, nothing for rows already there.
 
     The segment model is still attached, so this is one more expression on the row, not a second pass.
     """
-    there = train.specific_value("s_", region=F.lit(region))
+    there = train.specific_value("s_", region=F.lit(region), features=features)
     elsewhere = F.col("region") != region if skip_own else F.lit(True)
     return df.withColumns(
         {
@@ -108,11 +115,13 @@ def regional_compare(
     )
 
 
-def depreciation(df: DataFrame, distance: float = 10000.0, base: str = "specific") -> DataFrame:
+def depreciation(
+    df: DataFrame, distance: float = 10000.0, base: str = "specific", features: Sequence[str] | None = None
+) -> DataFrame:
     """Value a year on, with and without the given distance, and the drops from today's value."""
     older = F.col("age") + 1
-    driven = train.specific_value("s_", age=older, odometer=F.col("odometer") + distance)
-    parked = train.specific_value("s_", age=older)
+    driven = train.specific_value("s_", age=older, odometer=F.col("odometer") + distance, features=features)
+    parked = train.specific_value("s_", age=older, features=features)
     return (
         df.withColumns({"value_10k": driven, "value_0k": parked})
         .withColumns(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from dealwright.config import NUMERIC_FEATURES, SEGMENT, DealSearch, OutlierSettings
+from dealwright.config import NUMERIC_FEATURES, SEGMENT, DealSearch, OutlierSettings, TrainingSettings
 from dealwright.functions import scoring
 from dealwright.operators import deals, ensemble, filters, outliers, train, value
 from dealwright.plans import deal_search, model_sql, valuation
@@ -62,6 +62,19 @@ def outlier_isolation_forest(spark, sf_dir):
     return flagged.select("make", "model", "listing_id", "price", "is_outlier")
 
 
+@query(
+    "outlier_forest_share",
+    f"""WITH {FEATURES_SQL} SELECT make, model, count(*) AS n, true AS within_share FROM features GROUP BY ALL""",
+)
+def outlier_forest_share(spark, sf_dir):
+    """Whether the rows removed from a segment are the configured share of it, up to ties."""
+    flagged = outliers.flag_isolation_forest(materialise(features(spark, sf_dir, *FOREST_INPUT)))
+    report = outliers.outlier_report(flagged)
+    share = OutlierSettings().contamination
+    near = (F.col("n_removed") <= F.col("n") * share + 1) & (F.col("n_removed") >= F.col("n") * share - 3)
+    return report.select(*SEGMENT, "n", near.alias("within_share"))
+
+
 @query(
     "outlier_category_codes",
     f"""WITH {FEATURES_SQL}
@@ -313,26 +326,34 @@ def tail_adjust(spark, sf_dir):
     return out.select("listing_id", "prediction_label", "tail", F.round("estimate", 2).alias("estimate"))
 
 
+# Outliers are left out of every fit of a valuation; segments are judged large enough on all their rows.
+KEPT_MODELS = f"""{THIN_SQL}, {model_sql.robust("thin")},
+    kept AS (SELECT * EXCLUDE (is_outlier) FROM flagged WHERE NOT is_outlier),
+    {model_sql.gate("kept", 20, "large", "thin")}, {model_sql.specific("large")},
+    {model_sql.gate("kept", 10, "gated", "thin")}, {model_sql.general("gated")}, {model_sql.predicted("thin")}"""
+ROBUST = OutlierSettings(method="robust")
+
+
 @query(
     "predict_with_confidence",
-    f"""WITH {THIN_MODELS},
+    f"""WITH {KEPT_MODELS},
     points AS (SELECT *, {model_sql.BLENDED} AS prediction_label FROM predicted),
-    {model_sql.quantiles("points")}, {model_sql.tails("thin")}, {TAIL_ADJUST_SQL.format(source="with_q")}
+    {model_sql.quantiles("points", "kept")}, {model_sql.tails("kept")}, {TAIL_ADJUST_SQL.format(source="with_q")}
     SELECT listing_id, round(estimate, 2) AS estimate, tail, round(q10, 4) AS lo80, round(q90, 4) AS hi80,
            round(q25, 4) AS lo50, round(q75, 4) AS hi50 FROM adjusted""",
 )
 def predict_with_confidence(spark, sf_dir):
-    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, thin=True))
-    out = valuation.predict_with_confidence(rows, valuation.train_models(rows))
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, "km_per_year", thin=True))
+    out = valuation.predict_with_confidence(rows, valuation.train_models(rows, outlier_settings=ROBUST))
     return out.select(
         "listing_id", F.round("estimate", 2).alias("estimate"), "tail",
         *[F.round(F.col(f"ci_{c}.{e}"), 4).alias(f"{e}{c}") for c in (80, 50) for e in ("lo", "hi")],
     )
 
 
-VALUE_SQL = f"""WITH {THIN_MODELS},
+VALUE_SQL = f"""WITH {KEPT_MODELS},
     points AS (SELECT *, {model_sql.BLENDED} AS prediction_label FROM predicted),
-    {model_sql.tails("thin")}, {TAIL_ADJUST_SQL.format(source="points")}
+    {model_sql.tails("kept")}, {TAIL_ADJUST_SQL.format(source="points")}
     SELECT a.listing_id, round(estimate, 2) AS estimate, tail,
            CASE WHEN a.region <> '{REGION}' THEN round(specific - s_effect + coalesce(c.effect, 0), 2) END AS comparison_value,
            CASE WHEN a.region <> '{REGION}' AND specific IS NOT NULL
@@ -344,8 +365,8 @@ VALUE_SQL = f"""WITH {THIN_MODELS},
 
 @query("value_specs", VALUE_SQL)
 def value_specs(spark, sf_dir):
-    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, thin=True))
-    out = valuation.value_specs(rows, valuation.train_models(rows), REGION)
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, "km_per_year", thin=True))
+    out = valuation.value_specs(rows, valuation.train_models(rows, outlier_settings=ROBUST), REGION)
     columns = ("estimate", "comparison_value", "regional_diff", "value_10k", "value_0k")
     return rounded(out.select("listing_id", "tail", "reliable", *columns), two=columns)
 
@@ -486,9 +507,9 @@ def deals_per_segment(spark, sf_dir):
 
 
 def search_sql():
-    return f"""WITH {FEATURES_SQL}, {model_sql.robust("features")},
+    return f"""WITH {FEATURES_SQL}, {model_sql.gate("features", 20, "large")}, {model_sql.robust("large")},
     kept AS (SELECT * EXCLUDE (is_outlier) FROM flagged WHERE NOT is_outlier),
-    {model_sql.gate("kept", 20, "large")}, {model_sql.specific("large")},
+    {model_sql.specific("kept")},
     scored AS (
       SELECT f.*, l.intercept + l.b_age * age + l.b_odometer * odometer + coalesce(e.effect, 0) AS prediction_label,
              coalesce(c.effect, 0) - coalesce(e.effect, 0) AS regional_diff
@@ -522,6 +543,87 @@ def search(spark, sf_dir):
     )
 
 
+PAIR = ("age", "odometer")
+RIDGE_SEARCH_SQL = f"""WITH {FEATURES_SQL}, {model_sql.gate("features", 20, "large")}, {model_sql.robust("large")},
+    kept AS (SELECT * EXCLUDE (is_outlier) FROM flagged WHERE NOT is_outlier), {model_sql.ridge("kept")},
+    effects AS (SELECT make, model, region,
+                       sum(price - (intercept + b_age * age + b_odometer * odometer)) / (count(*) + 20) AS effect
+                FROM kept JOIN ridges USING (make, model) GROUP BY make, model, region),
+    scored AS (SELECT f.*, intercept + b_age * age + b_odometer * odometer + coalesce(effect, 0) AS prediction_label
+               FROM kept f JOIN ridges USING (make, model) LEFT JOIN effects USING (make, model, region)),
+    rated AS (SELECT *, (prediction_label - price) / nullif(prediction_label, 0) * 100 AS discount_pct FROM scored)
+    SELECT listing_id, make, model, price, round(prediction_label, 2) AS prediction_label,
+           round(discount_pct, 4) AS discount_pct
+    FROM rated WHERE prediction_label > 0 AND rated.discount_pct BETWEEN 40 AND 80"""
+
+
+@query("deal_search_ridge", RIDGE_SEARCH_SQL)
+def search_ridge(spark, sf_dir):
+    """The search with ridge models, on the two features for which SQL has the solution."""
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, "km_per_year"))
+    training = TrainingSettings(model="ridge", features=PAIR)
+    found = deal_search.search_deals(rows, DealSearch(), ROBUST, training)
+    out = found.select("listing_id", "make", "model", "price", "prediction_label", "discount_pct")
+    return rounded(out, two=("prediction_label",), four=("discount_pct",))
+
+
+@query(
+    "train_ridge_pair",
+    f"""WITH {FEATURES_SQL}, {model_sql.ridge("features")}
+    SELECT make, model, n, round(intercept, 2) AS intercept, round(b_age, 4) AS b_age,
+           round(b_odometer, 8) AS b_odometer FROM ridges""",
+)
+def train_ridge_pair(spark, sf_dir):
+    return pair_columns(train.fit_ridge(features(spark, sf_dir, *MODEL_INPUT), features=PAIR)).select(
+        *SEGMENT, "n", "intercept", "b_age", "b_odometer"
+    )
+
+
+def pair_columns(models):
+    return models.withColumns(
+        {
+            "intercept": F.round("intercept", 2),
+            "b_age": F.round(F.col("coefficients")[0], 4),
+            "b_odometer": F.round(F.col("coefficients")[1], 8),
+        }
+    )
+
+
+@query(
+    "kfold_bag_pair",
+    f"""WITH {FEATURES_SQL}, {model_sql.bagged("features")}
+    SELECT make, model, folds::INT AS folds, round(intercept, 2) AS intercept, round(b_age, 4) AS b_age,
+           round(b_odometer, 8) AS b_odometer FROM bags""",
+)
+def kfold_bag_pair(spark, sf_dir):
+    return pair_columns(train.bag_ridge(features(spark, sf_dir, *MODEL_INPUT), features=PAIR)).select(
+        *SEGMENT, "folds", "intercept", "b_age", "b_odometer"
+    )
+
+
+@query(
+    "train_tails_ridge_pair",
+    f"""WITH {FEATURES_SQL},
+    bounds AS (SELECT make, model, quantile_cont(price, 0.25) AS q25, quantile_cont(price, 0.75) AS q75
+               FROM features GROUP BY ALL),
+    tail_rows AS (SELECT f.*, CASE WHEN price < q25 THEN 'low' ELSE 'high' END AS side
+                  FROM features f JOIN bounds USING (make, model) WHERE price < q25 OR price > q75),
+    {model_sql.ridge("tail_rows", "make, model, side")}
+    SELECT make, model, side, n, round(intercept, 2) AS intercept, round(b_age, 4) AS b_age,
+           round(b_odometer, 8) AS b_odometer FROM ridges WHERE n >= 10""",
+)
+def train_tails_ridge_pair(spark, sf_dir):
+    def fit(rows, keys):
+        return train.fit_ridge(rows, keys, PAIR)
+
+    tails = train.train_tails(materialise(features(spark, sf_dir, *MODEL_INPUT)), fit)
+    sides = F.array(
+        *(F.struct(F.lit(s).alias("side"), F.col(f"{s}_n").alias("n"), F.col(s).alias("m")) for s in ("low", "high"))
+    )
+    each = tails.select(*SEGMENT, F.inline(sides)).where("m IS NOT NULL").select(*SEGMENT, "side", "n", "m.*")
+    return pair_columns(each).select(*SEGMENT, "side", "n", "intercept", "b_age", "b_odometer")
+
+
 @query("deal_search_forest")
 def search_forest(spark, sf_dir):
     rows = materialise(features(spark, sf_dir, *FOREST_INPUT))

@@ -40,7 +40,8 @@ def general(source: str) -> str:
         lines(source, "", "pooled")
         + f""",
 make_effects AS (SELECT make, sum({rest}) / (count(*) + 20) AS make_effect FROM {source}, pooled p GROUP BY make),
-model_effects AS (SELECT model, sum({rest}) / (count(*) + 20) AS model_effect FROM {source}, pooled p GROUP BY model)"""
+model_effects AS (SELECT make, model, sum({rest} - make_effect) / (count(*) + 20) AS model_effect
+                  FROM {source} JOIN make_effects USING (make), pooled p GROUP BY make, model)"""
     )
 
 
@@ -54,15 +55,40 @@ def predicted(source: str, name: str = "predicted") -> str:
          p.intercept + p.b_age * f.age + p.b_odometer * f.odometer + coalesce(make_effect, 0)
            + coalesce(model_effect, 0) AS general
   FROM {source} f LEFT JOIN lines l USING (make, model) LEFT JOIN effects e USING (make, model, region)
-       LEFT JOIN make_effects USING (make) LEFT JOIN model_effects USING (model), pooled p)"""
+       LEFT JOIN make_effects USING (make) LEFT JOIN model_effects USING (make, model), pooled p)"""
 
 
-def gate(source: str, minimum: int, name: str) -> str:
+def gate(source: str, minimum: int, name: str, counted: str | None = None) -> str:
+    """CTE with the source's rows of segments that have ``minimum`` rows in ``counted``, the source itself by default."""
     return f"""
-{name} AS (SELECT * FROM {source} SEMI JOIN (SELECT make, model FROM {source} GROUP BY ALL
+{name} AS (SELECT * FROM {source} SEMI JOIN (SELECT make, model FROM {counted or source} GROUP BY ALL
            HAVING count(*) >= {minimum}) USING (make, model))"""
 
 
+def ridge(source: str, keys: str = "make, model", name: str = "ridges", alpha: float = 1.0) -> str:
+    """CTE with the ridge on age and distance: the normal equations with alpha added to both squares."""
+    return f"""
+{name}_moments AS (SELECT {keys}, {MOMENTS} FROM {source} GROUP BY {keys}),
+{name} AS (SELECT {keys}, n,
+     ((n * cay) * (n * voo + {alpha}) - (n * coy) * (n * vao))
+       / ((n * vaa + {alpha}) * (n * voo + {alpha}) - (n * vao) * (n * vao)) AS b_age,
+     ((n * coy) * (n * vaa + {alpha}) - (n * cay) * (n * vao))
+       / ((n * vaa + {alpha}) * (n * voo + {alpha}) - (n * vao) * (n * vao)) AS b_odometer,
+     my - b_age * ma - b_odometer * mo AS intercept FROM {name}_moments)"""
+
+
+def bagged(source: str) -> str:
+    """CTE ``bags``: the mean of the ridges that each leave one of five folds out."""
+    return f"""
+folded AS (SELECT *, ('0x' || substr(md5('42|' || listing_id), 1, 8))::BIGINT % 5 AS fold FROM {source}),
+without AS (SELECT f.* EXCLUDE (fold), k.fold AS left_out FROM folded f
+            JOIN (SELECT DISTINCT make, model, fold FROM folded) k
+            ON f.make = k.make AND f.model = k.model AND f.fold <> k.fold),
+{ridge("without", "make, model, left_out", "fold_ridges")},
+bags AS (SELECT make, model, count(*) AS folds, avg(intercept) AS intercept, avg(b_age) AS b_age,
+                avg(b_odometer) AS b_odometer FROM fold_ridges GROUP BY ALL)"""
+
+
 WEIGHT = "CASE WHEN coalesce(s_n, 0) < 50 THEN 0.0 WHEN s_n >= 200 THEN 1.0 ELSE (s_n - 50) / 150.0 END"
 BLENDED = f"coalesce({WEIGHT} * specific + (1 - {WEIGHT}) * general, specific, general)"
 
@@ -85,17 +111,18 @@ def quantile_columns() -> str:
     return ", ".join(f"quantile_cont(price, {p}) AS {q}" for q, p in levels.items())
 
 
-def quantiles(source: str) -> str:
-    """CTE ``with_q``: the source with the quantiles of its leaf, segment or everything."""
+def quantiles(source: str, fitted: str | None = None) -> str:
+    """CTE ``with_q``: the source with the quantiles of its leaf, segment or everything among ``fitted`` rows."""
     picks = ", ".join(
         f"CASE WHEN lf.leaf_n >= 10 THEN lf.{q} ELSE coalesce(sg.{q}, al.{q}) END AS {q}"
         for q in ("q10", "q25", "q50", "q75", "q90")
     )
     return f"""
 banded AS (SELECT *, floor(age / 2)::INT AS age_band, floor(odometer / 50000)::INT AS km_band FROM {source}),
-leaf_q AS (SELECT make, model, age_band, km_band, count(*) AS leaf_n, {quantile_columns()} FROM banded GROUP BY ALL),
-segment_q AS (SELECT make, model, {quantile_columns()} FROM banded GROUP BY ALL),
-all_q AS (SELECT {quantile_columns()} FROM banded),
+learned AS (SELECT *, floor(age / 2)::INT AS age_band, floor(odometer / 50000)::INT AS km_band FROM {fitted or source}),
+leaf_q AS (SELECT make, model, age_band, km_band, count(*) AS leaf_n, {quantile_columns()} FROM learned GROUP BY ALL),
+segment_q AS (SELECT make, model, {quantile_columns()} FROM learned GROUP BY ALL),
+all_q AS (SELECT {quantile_columns()} FROM learned),
 with_q AS (SELECT b.*, {picks} FROM banded b LEFT JOIN leaf_q lf USING (make, model, age_band, km_band)
            LEFT JOIN segment_q sg USING (make, model), all_q al)"""
 

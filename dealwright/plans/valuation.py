@@ -6,8 +6,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from dealwright.config import BlendSettings, TrainingSettings
-from dealwright.operators import filters, train, value
+from dealwright.config import BlendSettings, OutlierSettings, TrainingSettings
+from dealwright.operators import filters, outliers, train, value
+from dealwright.plans.deal_search import fit_segments, price_features
+from dealwright.session import materialise
 
 
 @dataclass(frozen=True)
@@ -18,32 +20,59 @@ class Models:
     general: train.GeneralModel | None
     quantiles: train.QuantileModel | None = None
     tails: DataFrame | None = None
+    training: TrainingSettings = TrainingSettings()
+
+    def tail_value(self, model: str):
+        features = price_features(self.training)
+        return value.line_of(model) if features is None else value.ridge_of(model, features)
 
 
 LINE_DETAILS = ("intercept", "b_age", "b_odometer")
 
 
-def train_models(features: DataFrame, training: TrainingSettings = TrainingSettings()) -> Models:
-    """Fit every model a valuation needs on cleaned listings; each is kept as a small table."""
-    own = filters.min_rows_gate(features, training.min_rows_specific)
-    general = train.train_general(filters.min_rows_gate(features, training.min_rows_general))
+def train_tails(features: DataFrame, training: TrainingSettings = TrainingSettings()) -> DataFrame:
+    """Tail models of the same kind as the segment models."""
+    priced_on = price_features(training)
+    if priced_on is None:
+        return train.train_tails(features, train.fit_lines, min_rows=training.min_tail_rows, details=LINE_DETAILS)
+
+    def fit(rows: DataFrame, keys) -> DataFrame:
+        return train.fit_ridge(rows, keys, priced_on, training.ridge_alpha)
+
+    return train.train_tails(features, fit, min_rows=training.min_tail_rows)
+
+
+def train_models(
+    features: DataFrame,
+    training: TrainingSettings = TrainingSettings(),
+    outlier_settings: OutlierSettings = OutlierSettings(),
+) -> Models:
+    """Fit every model a valuation needs on cleaned listings; each is kept as a small table.
+
+    Segments are judged large enough on all their rows; outliers are left out of every fit.
+    """
+    rows = filters.segment_counts(features, "_segment_rows")
+    if outlier_settings.method != "none":
+        rows = materialise(outliers.remove_outliers(rows, outlier_settings))
+    large = rows.where(rows["_segment_rows"] >= training.min_rows_specific).drop("_segment_rows")
+    general = train.train_general(rows.where(rows["_segment_rows"] >= training.min_rows_general).drop("_segment_rows"))
+    rows = rows.drop("_segment_rows")
     return Models(
-        train.train_specific(own),
+        fit_segments(large, training),
         general,
-        train.train_quantiles(train.add_bands(features)),
-        train.train_tails(features, train.fit_lines, min_rows=training.min_tail_rows, details=LINE_DETAILS),
+        train.train_quantiles(train.add_bands(rows)),
+        train_tails(rows, training),
+        training,
     )
 
 
-def predict_with_confidence(
-    specs: DataFrame, models: Models, blend: BlendSettings = BlendSettings(), tail_value=value.line_of
-) -> DataFrame:
+def predict_with_confidence(specs: DataFrame, models: Models, blend: BlendSettings = BlendSettings()) -> DataFrame:
     """Blended estimate with intervals and tail correction. The intervals are not moved by the correction."""
-    rows = value.predict_blended(specs, models.specific, models.general, blend)
+    rows = value.predict_blended(specs, models.specific, models.general, blend, price_features(models.training))
     if models.quantiles:
         rows = value.predict_interval(train.add_bands(rows), models.quantiles).drop("age_band", "km_band")
     if models.tails is not None:
-        return value.tail_adjust(rows, models.tails, tail_value)
+        return value.tail_adjust(rows, models.tails, models.tail_value)
     return rows.withColumn("estimate", rows["prediction_label"])
 
 
@@ -53,14 +82,14 @@ def value_specs(
     comparison_region: str | None = None,
     base: str = "specific",
     blend: BlendSettings = BlendSettings(),
-    tail_value=value.line_of,
 ) -> DataFrame:
     """Value every row of ``specs``.
 
     The what-ifs compare with the segment model's own estimate, ``base='specific'``, as the estimate shown may
     mix in the general model.
     """
-    rows = predict_with_confidence(specs, models, blend, tail_value)
+    priced_on = price_features(models.training)
+    rows = predict_with_confidence(specs, models, blend)
     if comparison_region:
-        rows = value.regional_compare(rows, comparison_region, base, skip_own=True)
-    return value.drop_models(value.depreciation(rows, base=base))
+        rows = value.regional_compare(rows, comparison_region, base, skip_own=True, features=priced_on)
+    return value.drop_models(value.depreciation(rows, base=base, features=priced_on))

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dealwright.config import DealSearch, OutlierSettings
+from dealwright.config import DealSearch, OutlierSettings, TrainingSettings
 from dealwright.operators import outliers, train, value
 from dealwright.plans import deal_search, valuation
+from dealwright.session import materialise
 
 FEATURES = ["engine_size", "odometer", "year", "is_new", "age", "km_per_year"]
 
@@ -102,8 +103,8 @@ def test_quantiles_do_not_cross_and_thin_leaves_fall_back(spark, rows):
     assert model.attach(stranger).first().q50 == pytest.approx(model.overall["q50"])
 
 
-def all_models(rows):
-    return valuation.train_models(rows)
+def all_models(rows, **settings):
+    return valuation.train_models(rows, TrainingSettings(**settings), OutlierSettings(method="robust"))
 
 
 def test_valuation_of_specs(rows):
@@ -171,7 +172,8 @@ def test_forest_flags_the_share_and_the_planted_row(spark):
 def test_forest_scores_match_a_plain_walk():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 4))
-    feature, threshold, path = outliers.grow_trees(x, 20, 64, 7)
+    drawn = np.concatenate([rng.permutation(500)[:64] for _ in range(20)])
+    feature, threshold, path = outliers.grow_trees(x[drawn], np.repeat(np.arange(20), 64), 20, 64, 7)
     got = outliers.path_scores(x, feature, threshold, path, 64)
     for r in range(0, 500, 50):
         depths = []
@@ -185,13 +187,92 @@ def test_forest_scores_match_a_plain_walk():
 
 
 def test_scoring_in_parts_gives_the_same_scores(rows, monkeypatch):
-    columns = ["odometer", "price", "age"]
-    numeric = rows.select("make", "model", "listing_id", *[F.col(c).cast("double").alias(c) for c in columns])
-    forests = outliers.fit_forests(numeric, columns).cache()
-    whole = {r.listing_id: r.score for r in outliers.score_forest(numeric, forests, columns).collect()}
+    x = F.array(*[F.col(c).cast("double") for c in ("odometer", "price", "age")])
+    numeric = rows.select("make", "model", "listing_id", "region", x.alias("_x"))
+    sizes = materialise(numeric.groupBy("make", "model").agg(F.count(F.lit(1)).alias("_rows")))
+    forests = materialise(outliers.fit_forests(numeric, sizes))
+    whole = {r.listing_id: r.score for r in outliers.score_forest(numeric, forests, sizes).collect()}
     monkeypatch.setattr(outliers, "ROWS_PER_SCORING_GROUP", 25)
-    parts = {r.listing_id: r.score for r in outliers.score_forest(numeric, forests, columns).collect()}
-    assert whole == parts and len(whole) == 400
+    parts = {r.listing_id: (r.score, r.region) for r in outliers.score_forest(numeric, forests, sizes).collect()}
+    assert whole == {k: v[0] for k, v in parts.items()} and len(whole) == 400 and {v[1] for v in parts.values()} >= {"North"}
+
+
+def test_every_tree_draws_about_its_rows_by_one_rule(spark):
+    rows = spark.range(40_000).select(F.lit("A").alias("make"), F.when(F.col("id") < 39_900, "big").otherwise("small").alias("model"),
+                                      F.col("id").cast("string").alias("listing_id"))
+    sizes = materialise(rows.groupBy("make", "model").agg(F.count(F.lit(1)).alias("_rows")))
+    drawn = outliers.drawn_rows(rows, sizes, OutlierSettings(), ["make", "model"])
+    counts = {(r.model, r.tree): r["count"] for r in drawn.groupBy("model", "tree").count().collect()}
+    assert all(counts["small", t] == 100 for t in range(100))
+    assert all(190 < counts["big", t] < 330 for t in range(100)) and 250 < sum(counts["big", t] for t in range(100)) / 100 < 262
+
+
+@pytest.mark.parametrize("method", ["robust", "isolation_forest"])
+def test_listings_without_make_or_model_survive_outlier_removal(spark, method):
+    rows = spark.createDataFrame(make_rows(), SCHEMA)
+    some = rows.withColumn("make", F.when(F.col("model") == "M0", F.col("make")))
+    kept = outliers.remove_outliers(some, OutlierSettings(method=method))
+    assert kept.where("make IS NULL").count() == some.where("make IS NULL").count() > 0
+    assert 0 < kept.where("make IS NOT NULL").count() < some.where("make IS NOT NULL").count() + 1
+
+
+def test_general_model_counts_a_make_once(spark):
+    rows = [("A", "same", 20000), ("B", "same", 10000)]
+    df = spark.createDataFrame([(m, n, "North", i % 7, float(i % 11), p) for m, n, p in rows for i in range(300)],
+                               "make string, model string, region string, age int, odometer double, price long")
+    model = train.train_general(df)
+    got = {r.make: r.p for r in model.attach(df).select("make", model.value().alias("p")).groupBy("make").agg(F.avg("p").alias("p")).collect()}
+    assert got["A"] == pytest.approx(20000, rel=0.01) and got["B"] == pytest.approx(10000, rel=0.01)
+    new = model.attach(df.limit(1).withColumn("model", F.lit("unseen"))).select(model.value().alias("p")).first().p
+    assert new == pytest.approx(got[df.first().make], rel=0.05)
+
+
+def test_segments_are_judged_before_outliers_go(spark):
+    rows = make_rows(40)[:19] + [("odd", "Make", "M0", "North", 2000.0, 50000.0, 2016, 0, 990000, 10, 5000.0)]
+    df = spark.createDataFrame([(*r[:2], "M0", *r[3:]) for r in rows], SCHEMA)
+    assert df.count() == 20
+    search = DealSearch(min_discount_pct=-1000, max_discount_pct=1000)
+    found = deal_search.search_deals(df, search, OutlierSettings(method="robust"))
+    assert 15 <= found.count() < 20  # a model although fewer than 20 are left
+
+
+@pytest.mark.parametrize("model", ["ridge", "bag"])
+def test_ridge_prices_follow_engine_and_fuel(spark, model):
+    rng = np.random.default_rng(8)
+    listed = []
+    for i in range(400):
+        engine, diesel, km, age = float(rng.integers(1000, 4000)), bool(i % 2), float(rng.integers(0, 200000)), int(rng.integers(1, 20))
+        price = int(8000 + 3 * engine + 2500 * diesel - 0.02 * km - 300 * age)
+        listed.append((f"L{i}", "A", "B", "North", engine, km, 2026 - age, 0, price, age, km / age, "Diesel" if diesel else "Petrol", "Manual", 1, 0))
+    df = spark.createDataFrame(listed, SCHEMA + ", fuel string, transmission string, is_4wd int, is_dealer int")
+    training = TrainingSettings(model=model)
+    models = valuation.train_models(df, training, OutlierSettings(method="none"))
+    base = df.limit(1).withColumns({"engine_size": F.lit(2000.0), "fuel": F.lit("Petrol"), "listing_id": F.lit("a")})
+    other = base.withColumns({"engine_size": F.lit(3000.0), "listing_id": F.lit("b")}).unionByName(
+        base.withColumns({"fuel": F.lit("Diesel"), "listing_id": F.lit("c")}))
+    got = {r.listing_id: r.specific for r in valuation.value_specs(base.unionByName(other), models, "South").collect()}
+    assert got["b"] - got["a"] == pytest.approx(3000, rel=0.02) and got["c"] - got["a"] == pytest.approx(2500, rel=0.05)
+    assert len(deal_search.search_deals(df, DealSearch(), OutlierSettings(method="robust"), training).columns) > 5
+
+
+def test_models_are_the_same_without_broadcasts_and_with_a_hot_segment(spark):
+    listed = make_rows(100)
+    rows = spark.createDataFrame(listed + [(f"h{i}", "Make", "M0", *r[3:]) for i, r in enumerate(listed)], SCHEMA)
+
+    def both():
+        search = DealSearch(min_discount_pct=-50, max_discount_pct=80, comparison_region="South")
+        found = deal_search.search_deals(rows, search, OutlierSettings(method="robust"))
+        valued = valuation.value_specs(rows, all_models(rows), "North")
+        return [sorted(str(tuple(r)) for r in d.select("listing_id", F.round(c, 4)).collect())
+                for d, c in ((found, "discount_pct"), (valued, "estimate"))]
+
+    copied = both()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = both()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert copied == shuffled and all(copied)
 
 
 def test_category_codes(spark):
@@ -204,15 +285,3 @@ def test_outlier_switch(rows):
     assert outliers.flag_outliers(rows, OutlierSettings(method="robust")).columns[-1] == "is_outlier"
     with pytest.raises(ValueError):
         outliers.flag_outliers(rows, OutlierSettings(method="other"))
-
-
-def test_group_values_joined_in_parts_equal_the_copied_ones(spark, rows, monkeypatch):
-    from dealwright.operators import joins
-
-    values = rows.groupBy("make", "model").agg(F.avg("price").alias("m")).where("model = 'M0'")
-    for how in ("left", "inner", "left_semi"):
-        copied = sorted(map(str, joins.with_group_values(rows, values, ["make", "model"], how).collect()))
-        monkeypatch.setattr(joins, "BROADCAST_GROUPS", 0)
-        parted = sorted(map(str, joins.with_group_values(rows, values, ["make", "model"], how).collect()))
-        monkeypatch.undo()
-        assert copied == parted and copied
