@@ -22,7 +22,7 @@ SHARE, MOST = 1.5, 2
 #: Words of a block, slots of an output shard, and the rounds of a permutation.
 BLOCK, SHARD, ROUNDS = 64, 8192, 16
 #: Documents whose words are summed in one window, about.
-STRETCH = 20_000
+STRETCH = 4_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -136,7 +136,8 @@ def _taken_blocks(rows: DataFrame, plan: DataFrame) -> DataFrame:
             F.sequence(F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK))
         ),
     )
-    times = draws(plan).groupBy("_key", "block").agg(F.sort_array(F.collect_list("pass")).alias("passes"))
+    # stored, as Spark can't tell from the few sources how many slots they make
+    times = stored(draws(plan).groupBy("_key", "block").agg(F.sort_array(F.collect_list("pass")).alias("passes")))
     low = F.greatest(F.col("start"), F.col("block") * BLOCK)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     return touched.join(times, ["_key", "block"]).select(
