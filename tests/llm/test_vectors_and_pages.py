@@ -303,7 +303,7 @@ def test_quality_odd_rows(spark):
     got = quality.classify(docs, labels).collect()
     assert len(got) == len(rows)
     kept = {r["doc_id"]: r for r in got}
-    assert all(kept[i]["kept"] for i in range(30)) and kept[43]["kept"] is not None and not kept[44]["kept"]
+    assert all(kept[i]["kept"] for i in range(20)) and kept[43]["kept"] is not None and not kept[44]["kept"]
     assert all(kept[i]["perplexity"] is None and not kept[i]["kept"] for i in (40, 41, 42))
     assert not any(r["kept"] for r in quality.classify(docs, labels.limit(0)).collect())
     assert quality.classify(docs.limit(0), labels).count() == 0
