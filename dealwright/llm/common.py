@@ -14,10 +14,14 @@ from dealwright.session import fresh_path
 BATCH_BYTES = 8 << 20
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors."""
+def stored(df: DataFrame, gather: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
+
+    ``gather`` is for narrow rows that many tasks make of a large table: they are shuffled into files of the size that
+    Spark aims at, instead of one small file for each task.
+    """
     path = fresh_path(df.sparkSession, "llm")
-    df.write.parquet(path)
+    (df.hint("rebalance") if gather else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -259,7 +259,7 @@ def identify(docs: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
             *keys, "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"),
             F.lit(True).alias("rejected"), F.col("n").alias("n_scored"),
         )
-    scored = stored(scored)
+    scored = stored(scored, gather=True)
     names = F.array(*map(F.lit, langs))
     best = F.array_min("ce")
     place = F.array_position("ce", best).cast("int")

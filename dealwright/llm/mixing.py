@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ BLOCK, SHARD, ROUNDS = 64, 8192, 16
 STRETCH = 4_000
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word and the white space behind it, whole or not at all.
+WORDS = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 
 
 def permuted(index: Column, size: Column, *seed: Column) -> Column:
@@ -120,14 +123,15 @@ def _prepared(docs: DataFrame, size: Column) -> tuple[DataFrame, DataFrame]:
             _source_key(F.col("source")).alias("_key"),
             size.alias("size"),
             F.xxhash64(F.lit("order"), "doc_id", "text").alias("_order"),
-        ).withColumn("_row", F.monotonically_increasing_id())
+        ).withColumn("_row", F.monotonically_increasing_id()),
+        gather=True,
     )
     sizes = rows.groupBy("_key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
     return rows, stored(targets(sizes))
 
 
 def _taken_blocks(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """(_row, start, size, block, _lo, _n, passes) for the blocks of each document that the mix takes."""
+    """(_row, start, block, _n, times) for the blocks of each document: words it has in one, times the mix takes it."""
     stretches = max(1, rows.count() // STRETCH)
     placed = _streams(rows, stretches).where("size > 0")
     touched = placed.withColumn(
@@ -137,11 +141,11 @@ def _taken_blocks(rows: DataFrame, plan: DataFrame) -> DataFrame:
         ),
     )
     # stored, as Spark can't tell from the few sources how many slots they make
-    times = stored(draws(plan).groupBy("_key", "block").agg(F.sort_array(F.collect_list("pass")).alias("passes")))
+    times = stored(draws(plan).groupBy("_key", "block").agg(F.count(F.lit(1)).alias("times")))
     low = F.greatest(F.col("start"), F.col("block") * BLOCK)
     high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return touched.join(times, ["_key", "block"]).select(
-        "_row", (low - F.col("start")).alias("_lo"), (high - low).alias("_n"), "passes"
+    return touched.join(times, ["_key", "block"], "left").select(
+        "_row", "start", "block", (high - low).alias("_n"), F.coalesce("times", F.lit(0)).cast("int").alias("times")
     )
 
 
@@ -157,7 +161,7 @@ def mix(docs: DataFrame) -> DataFrame:
     reruns agree. Extra columns play no part.
     """
     rows, plan = _prepared(docs, word_count(F.col("text")))
-    words = _taken_blocks(rows, plan).groupBy("_row").agg(F.sum(F.col("_n") * F.size("passes")).alias("taken"))
+    words = _taken_blocks(rows, plan).groupBy("_row").agg(F.sum(F.col("_n") * F.col("times")).alias("taken"))
     return (
         rows.join(words, "_row", "left")
         .join(plan, "_key")
@@ -166,29 +170,38 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The mix itself, in the columns of ``docs``: a row for each pass that takes words of a document.
+    """The mix itself, in the columns of ``docs``: a row for each time that words of a document are taken.
 
-    Its text is what the pass takes, in the order of the document and with its white space; n_chars follows. A document
-    taken whole comes as it was, from its first word on. Documents without words are in no block and so in no mix.
+    The first has the blocks taken at least once, the second those taken twice, in the order of the document and with
+    its white space; n_chars follows. A document taken whole comes as it was, from its first word on. Documents without
+    words are in no block and so in no mix.
     """
-    kept = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # read twice under the same row numbers; on the executors' disks, as it is as large as the table itself
+    kept = docs.withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
     sized = kept.select(
         "doc_id", "source", _source_key(F.col("source")).alias("_key"), word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit("order"), "doc_id", "text").alias("_order"), "_row",
     )
-    rows = stored(sized)
+    rows = stored(sized, gather=True)
     sizes = rows.groupBy("_key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
     taken = _taken_blocks(rows, stored(targets(sizes)))
     passes = (
-        taken.select("_row", "_lo", "_n", F.explode("passes").alias("_pass"))
-        .groupBy("_row", "_pass")
-        .agg(F.sort_array(F.collect_list(F.struct("_lo", "_n"))).alias("_spans"))
+        taken.groupBy("_row", (F.col("start") % BLOCK).alias("_skip"))
+        .agg(F.array_sort(F.collect_list(F.struct("block", "times"))).alias("_blocks"))
+        .withColumn("_times", F.transform("_blocks", lambda b: b["times"]))
+        .select("_row", "_skip", "_times", F.explode(F.sequence(F.lit(1), F.lit(MOST))).alias("_pass"))
+        .where(F.exists("_times", lambda t: t >= F.col("_pass")))
     )
-    words = F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
-    pieces = F.transform(
-        "_spans", lambda s: F.array_join(F.slice(F.col("_words"), (s["_lo"] + 1).cast("int"), s["_n"].cast("int")), "")
-    )
-    texts = kept.join(passes, "_row").withColumn("_words", words).withColumn("text", F.array_join(pieces, ""))
+    # the words up to the first border of a block, then block by block
+    trimmed = F.ltrim("text", F.lit(" \t\n\x0b\f\r"))
+    first = F.concat(F.lit(f"^(?:{WORDS}){{1,"), (BLOCK - F.col("_skip")).cast("string"), F.lit("}+"))
+    head = F.call_function("regexp_extract", trimmed, first, F.lit(0))
+    rest = F.substring(trimmed, F.length(head) + 1, F.length(trimmed))
+    pieces = F.concat(F.array(head), F.regexp_extract_all(rest, F.lit(f"((?:{WORDS}){{1,{BLOCK}}}+)"), F.lit(1)))
+    some = F.filter(pieces, lambda piece, i: F.element_at("_times", i + 1) >= F.col("_pass"))
+    whole = F.forall("_times", lambda t: t >= F.col("_pass"))
+    text = F.when(whole, trimmed).otherwise(F.array_join(some, ""))
+    texts = kept.join(passes, "_row").withColumn("text", text)
     if "n_chars" in docs.columns:
         texts = texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return texts.select(*docs.columns)

@@ -246,7 +246,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keys: Sequence[str], shard
             for i, level in enumerate(levels[:-2])
         ]
         shared = spark.sparkContext.broadcast(Shard(number, shards, [*long, *short]))
-        passes.append(_score(docs, shared, keys) if shards == 1 else stored(_score(docs, shared, keys)))
+        passes.append(_score(docs, shared, keys) if shards == 1 else stored(_score(docs, shared, keys), gather=True))
     if shards == 1:
         return passes[0]
     summed = reduce(DataFrame.unionByName, passes).groupBy(*keys).agg(
@@ -284,7 +284,7 @@ def classify(docs: DataFrame, labels: DataFrame, shard_ngrams: int = SHARD_NGRAM
     rows = rows.withColumn("lang_number", number.cast("long")).withColumn("_h", F.xxhash64("text"))
     trusted = trusted.withColumn("lang_number", number.cast("long"))
     keys = ("doc_id", "_lang", "_h")
-    found = stored(perplexities(rows, trusted, keys, shard_ngrams)).withColumn("ce", -F.try_divide("log_p", "n"))
+    found = stored(perplexities(rows, trusted, keys, shard_ngrams), gather=True).withColumn("ce", -F.try_divide("log_p", "n"))
 
     learned = found.where("n > 0").join(trusted_ids, "doc_id", "left_semi").select("_lang", "ce", "n")
     both = learned.unionByName(learned.withColumn("_lang", F.lit(None).cast("string")))  # null stands for all together

@@ -166,7 +166,7 @@ def near_duplicates(
     texts have fingerprint zero and are linked like any other. Equal fingerprints are one node of the graph however many
     rows have them, so repeated rows and large groups of copies cost no pairs. Extra columns play no part.
     """
-    found = stored(fingerprints(docs, shingle, keys))
+    found = stored(fingerprints(docs, shingle, keys), gather=True)
     nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     linked = components(link_fingerprints(nodes.select("fp"), max_bits))
     grouped = nodes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(

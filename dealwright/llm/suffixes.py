@@ -220,7 +220,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, k1, start_word, end_word, repeated) of ``docs`` (doc_id, text): see ``repeated_passages``."""
     keyed = _with_keys(docs).where("text IS NOT NULL")
     kinds = "_doc long, _k1 long, _k2 long, words int, h array<long>, pos array<int>"
-    sketches = stored(keyed.select("_doc", "_k1", "_k2", "text").mapInArrow(_sketched, kinds))
+    sketches = stored(keyed.select("_doc", "_k1", "_k2", "text").mapInArrow(_sketched, kinds), gather=True)
     sketches = sketches.where(F.col("words") >= MIN_WORDS)
     texts = stored(sketches.groupBy("_k1", "_k2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.max("words").alias("words")))
     one_each = sketches.join(texts.select("_k1", "_k2", F.col("_first").alias("_doc")), ["_k1", "_k2", "_doc"], "left_semi")
