@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,35 +117,65 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = moved
 
 
+def cell_bits(rows: int, min_cluster_size: int) -> int:
+    """Hyperplanes of a band, so that evenly spread rows leave less than half of the smallest cluster in a cell."""
+    return max(1, round(math.log2(max(1.0, rows / min_cluster_size)) + 1))
+
+
 def cluster_density(
     vectors: DataFrame,
     id_column: str,
     bands: int = 4,
-    bits: int = 6,
+    bits: int | None = None,
     dimensions: int = 64,
     min_cluster_size: int = 10,
     weight: str | None = None,
+    min_cosine: float = 0.2,
+    min_share: float = 0.5,
 ) -> DataFrame:
     """(id, cluster): groups of vectors that lie densely together, -1 for noise.
 
-    Each band cuts the space into 2^bits cells by random hyperplanes. A cell holding at least
-    ``min_cluster_size`` rows is dense, and dense cells of different bands that share a vector belong to one
-    cluster. The graph joins cells, not vectors: it has at most bands x 2^bits nodes, and no pairs of vectors
-    are formed. ``weight`` counts a vector several times.
+    Each band cuts the space into 2^bits cells by random hyperplanes, as many as the number of rows calls for. A cell
+    keeps the vectors within ``min_cosine`` of its members' mean, and is dense if ``min_cluster_size`` rows are left.
+    Dense cells of different bands belong to one cluster if they share at least that many rows and ``min_share`` of the
+    larger one: few common members do not join what lies apart, nor does a cell that holds two groups. A vector goes to
+    the cluster of the cell whose mean it is closest to. The graph joins cells, not vectors, and no pairs of vectors are
+    formed. ``weight`` counts a vector several times.
     """
-    count = F.col(weight) if weight else F.lit(1)
+    count = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    rows = vectors.select(id_column, F.col("embedding").cast("array<double>").alias("embedding"), count.alias("_weight"))
+    if bits is None:
+        bits = cell_bits(int(rows.agg(F.coalesce(F.sum("_weight"), F.lit(0))).first()[0]), min_cluster_size)
     cells = F.posexplode(cells_of(F.col("embedding"), bands, bits, dimensions)).alias("band", "cell")
-    placed = materialise(vectors.select(id_column, count.alias("_weight"), cells))
-    dense = placed.groupBy("cell").agg(F.sum("_weight").alias("_size")).where(F.col("_size") >= min_cluster_size)
-    dense = materialise(dense.select("cell"))
-    inside = placed.join(dense, "cell")
-    order = Window.partitionBy(id_column).orderBy("band")
-    edges = (
-        inside.select(F.lag("cell").over(order).alias("a"), F.col("cell").alias("b")).where(F.col("a").isNotNull())
+    placed = materialise(rows.select("*", cells))
+    size = F.sum("_weight").alias("_size")
+    filled = placed.groupBy("cell").agg(size).where(F.col("_size") >= min_cluster_size).select("cell")
+    members = placed.join(materialise(filled), "cell")
+    centres = (
+        members.select("cell", "_weight", F.posexplode("embedding").alias("_at", "_x"))
+        .groupBy("cell", "_at")
+        .agg((F.sum(F.col("_x") * F.col("_weight")) / F.sum("_weight")).alias("_x"))
+        .groupBy("cell")
+        .agg(F.array_sort(F.collect_list(F.struct("_at", "_x"))).alias("_parts"))
+        .select("cell", F.transform("_parts", lambda p: p["_x"]).alias("_centre"))
+    )
+    length = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("_centre"), F.col("_centre")))
+    near = F.round(F.try_divide(dot(F.col("embedding"), F.col("_centre")), length), 9)
+    met = members.join(materialise(centres), "cell").withColumn("_near", near).where(F.col("_near") >= min_cosine)
+    inside = materialise(met.select(id_column, "_weight", "band", "cell", "_near"))
+    dense = materialise(inside.groupBy("cell").agg(size).where(F.col("_size") >= min_cluster_size))
+    inside = inside.join(dense, "cell")
+    a, b = inside.alias("a"), inside.alias("b")
+    both = (F.col(f"a.{id_column}") == F.col(f"b.{id_column}")) & (F.col("a.band") < F.col("b.band"))
+    shared = (
+        a.join(b, both)
+        .groupBy(F.col("a.cell").alias("a"), F.col("b.cell").alias("b"))
+        .agg(F.sum("a._weight").alias("_shared"), F.first(F.greatest("a._size", "b._size")).alias("_larger"))
     )
-    components = connected_components(dense.withColumnRenamed("cell", "node"), edges.distinct())
+    linked = (F.col("_shared") >= min_cluster_size) & (F.col("_shared") >= min_share * F.col("_larger"))
+    components = connected_components(dense.select(F.col("cell").alias("node")), shared.where(linked).select("a", "b"))
     named = inside.join(components.withColumnRenamed("node", "cell"), "cell")
-    clusters = named.groupBy(id_column).agg(F.min("component").alias("cluster"))
+    clusters = named.groupBy(id_column).agg(F.max_by("component", F.struct("_near", -F.col("component"))).alias("cluster"))
     return vectors.select(id_column).join(clusters, id_column, "left").fillna(NOISE, ["cluster"])
 
 
@@ -218,7 +249,7 @@ def predict_label(vectors: DataFrame, classifier: PipelineModel) -> DataFrame:
     return classifier.transform(rows).select(*vectors.columns, "predicted")
 
 
-def label_texts(df: DataFrame, column: str, fill: str, dimensions: int = 256, bits: int = 6) -> DataFrame:
+def label_texts(df: DataFrame, column: str, fill: str, dimensions: int = 256, bits: int | None = None) -> DataFrame:
     """(value, label) of every distinct text, by a classifier trained on its dense clusters.
 
     'Unknown' throughout when the column holds nothing but the fill value or no cluster is dense.

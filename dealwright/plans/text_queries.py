@@ -331,21 +331,31 @@ def typed_segments(spark, sf_dir, similarity):
 # --- Labels -------------------------------------------------------------------------------------------------
 
 CLUSTER_SQL = """
-RECURSIVE planes AS (
+RECURSIVE width AS (SELECT greatest(1, round(log2(greatest(1, count(*) / 10.0)) + 1))::INT AS bits FROM embeddings),
+planes AS (
   SELECT b, k, list(CASE WHEN substr(md5(b || '|' || k || '|' || d), 1, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0 END
                     ORDER BY d) AS signs
-  FROM range(4) t(b), range(6) u(k), range(64) v(d) GROUP BY b, k),
+  FROM range(4) t(b), range(30) u(k), range(64) v(d) WHERE k < (SELECT bits FROM width) GROUP BY b, k),
 placed AS (
-  SELECT vec_id, b, (b * 64 + sum(CASE WHEN list_inner_product(embedding::DOUBLE[], signs) > 0
-                                       THEN 1 << k ELSE 0 END))::BIGINT AS cell
+  SELECT vec_id, b, ((b * (1 << (SELECT bits FROM width)))
+                     + sum(CASE WHEN list_inner_product(embedding::DOUBLE[], signs) > 0 THEN 1 << k ELSE 0 END))::BIGINT AS cell
   FROM embeddings, planes GROUP BY vec_id, b),
-dense AS (SELECT cell FROM placed GROUP BY cell HAVING count(*) >= 10),
-inside AS (SELECT * FROM placed SEMI JOIN dense USING (cell)),
-links AS (SELECT DISTINCT x.cell AS a, y.cell AS c FROM inside x JOIN inside y USING (vec_id)),
+filled AS (SELECT cell FROM placed GROUP BY cell HAVING count(*) >= 10),
+members AS (SELECT p.*, e.embedding::DOUBLE[] AS x FROM placed p SEMI JOIN filled USING (cell) JOIN embeddings e USING (vec_id)),
+coordinates AS (SELECT cell, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM members),
+centres AS (SELECT cell, list(v ORDER BY d) AS centre FROM (SELECT cell, d, avg(v) AS v FROM coordinates GROUP BY ALL) GROUP BY cell),
+kept AS (SELECT vec_id, b, cell, round(list_cosine_similarity(x, centre), 9) AS near FROM members JOIN centres USING (cell)
+         WHERE round(list_cosine_similarity(x, centre), 9) >= 0.2),
+dense AS (SELECT cell, count(*) AS size FROM kept GROUP BY cell HAVING count(*) >= 10),
+inside AS (SELECT * FROM kept JOIN dense USING (cell)),
+half_links AS (SELECT x.cell AS a, y.cell AS c FROM inside x JOIN inside y USING (vec_id) WHERE x.b < y.b
+               GROUP BY x.cell, y.cell, x.size, y.size
+               HAVING count(*) >= 10 AND count(*) >= 0.5 * greatest(x.size, y.size)),
+links AS (SELECT a, c FROM half_links UNION SELECT c, a FROM half_links),
 reach AS (SELECT cell AS node, cell AS root FROM dense UNION SELECT l.c, r.root FROM reach r JOIN links l ON l.a = r.node),
 components AS (SELECT node AS cell, min(root) AS component FROM reach GROUP BY node),
 clustered AS (
-  SELECT e.vec_id, e.label, coalesce(min(component), -1)::BIGINT AS cluster
+  SELECT e.vec_id, e.label, coalesce(arg_max(component, (near, -component)), -1)::BIGINT AS cluster
   FROM embeddings e LEFT JOIN inside USING (vec_id) LEFT JOIN components USING (cell) GROUP BY ALL),
 modes AS (SELECT cluster, label FROM (SELECT cluster, label, count(*) AS n FROM clustered WHERE cluster <> -1 GROUP BY ALL)
           QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) = 1)"""

@@ -155,6 +155,20 @@ def test_clusters_separate_tight_groups_and_leave_noise(spark):
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and got["lonely"] == labels.NOISE
 
 
+@pytest.mark.parametrize("n", [500, 4000])
+def test_planted_clusters_come_out_pure_at_any_size(spark, n):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(10, 64))
+    rows = [(i, i % 12, (centres[i % 12] + rng.normal(0, 0.25, 64) if i % 12 < 10 else rng.normal(size=64)).tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id int, truth int, embedding array<double>")
+    got = labels.cluster_density(df, "id").join(df.select("id", "truth"), "id").toPandas()
+    found = got[got.cluster != labels.NOISE]
+    purity = found.groupby("cluster")["truth"].agg(lambda t: t.value_counts().iloc[0]).sum() / len(found)
+    planted = got[got.truth < 10]
+    assert purity >= 0.9 and found.groupby("cluster")["truth"].agg(lambda t: t.mode()[0]).nunique() >= 8
+    assert (planted.cluster != labels.NOISE).mean() > 0.5 and (got[got.truth >= 10].cluster == labels.NOISE).mean() > 0.5
+
+
 def test_weights_count_rows(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0], 12), ("b", [-1.0, 0.5], 3)], "id string, embedding array<double>, w int")
     got = {r.id: r.cluster for r in labels.cluster_density(df, "id", bits=4, dimensions=2, weight="w").collect()}
