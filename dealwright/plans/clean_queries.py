@@ -285,10 +285,18 @@ def union_train_oos(spark, sf_dir):
     return sampling.union_parts(*parts).select("listing_id", "part")
 
 
-@query("display_projection")
+@query(
+    "display_projection",
+    f"""WITH {FEATURES_SQL},
+    estimates AS (SELECT make, model, floor(avg(price)) + 0.25 AS e FROM features GROUP BY ALL)
+    SELECT make AS "Make", model AS "Model", title AS "Title", '$' || format('{{:,}}', price) AS price,
+           '$' || format('{{:,}}', floor(e)::BIGINT) AS "Est. Value", printf('%.1f%%', (e - price) / e * 100) AS "Discount",
+           region AS "Region", listing_id AS "ListingId"
+    FROM features JOIN estimates USING (make, model)""",
+)
 def display_projection(spark, sf_dir):
     df = features(spark, sf_dir, "make", "model", "title", "price", "region", "listing_id")
-    mean = df.groupBy(*SEGMENT).agg(F.avg("price").alias("prediction_label"))
+    mean = df.groupBy(*SEGMENT).agg((F.floor(F.avg("price")) + 0.25).cast("double").alias("prediction_label"))
     from dealwright.operators.deals import add_discount
 
     return filters.display_projection(add_discount(df.join(mean, list(SEGMENT))))

@@ -8,7 +8,7 @@ from dealwright.plans import model_sql
 from dealwright.plans.base import features
 from dealwright.plans.catalog import query
 from dealwright.plans.model_queries import DEAL_SQL, rounded, scored_listings
-from dealwright.session import fresh_path
+from dealwright.session import fresh_path, materialise
 from dealwright.sources.listings import FEATURES_SQL, table
 from dealwright.streaming import scoring as stream
 
@@ -42,7 +42,8 @@ def arrival_models(spark, sf_dir):
 )
 def stream_score(spark, sf_dir):
     path = fresh_path(spark, "scored")
-    scored = stream.score_arrivals(stream.read_arrivals(spark, sf_dir, "events.parquet"), arrival_models(spark, sf_dir))
+    models = materialise(arrival_models(spark, sf_dir))  # a stored table: a micro-batch does not train again
+    scored = stream.score_arrivals(stream.read_arrivals(spark, sf_dir, "events.parquet"), models)
     stream.append_to(scored, path, fresh_path(spark, "scored-progress")).awaitTermination()
     out = spark.read.parquet(path).drop("ts", "batch")
     return rounded(out, four=("prediction_label", "discount_pct"))
@@ -56,6 +57,7 @@ def stream_score(spark, sf_dir):
     WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM arrivals) - INTERVAL 1 DAY""",
 )
 def stream_daily_counts(spark, sf_dir):
+    """Days that the watermark has passed; the last, still open ones come with later arrivals."""
     path = fresh_path(spark, "daily")
     counts = stream.daily_counts(stream.read_arrivals(spark, sf_dir, "events.parquet"))
     stream.append_to(counts, path, fresh_path(spark, "daily-progress")).awaitTermination()
@@ -163,13 +165,16 @@ def regional_arbitrage(spark, sf_dir):
 
 @query(
     "deal_precision",
-    """SELECT lang, count(*) AS n_graded, sum(quality)::BIGINT AS n_correct, avg(quality) AS precision
-    FROM documents JOIN labels USING (doc_id) GROUP BY lang""",
+    f"""WITH {DEAL_SQL}
+    SELECT region, count(*) AS n_graded, sum(quality)::BIGINT AS n_correct, avg(quality) AS precision
+    FROM deals JOIN labels ON doc_id = split_part(listing_id, '-', 1)::BIGINT GROUP BY region""",
 )
 def deal_precision(spark, sf_dir):
-    graded = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("correct"))
-    flagged = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return history.deal_precision(flagged, graded, "doc_id", ["lang"])
+    """Precision of the flagged deals whose order was graded."""
+    graded = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("graded_id"), F.col("quality").alias("correct"))
+    found = deals.undervalued_pct(scored_listings(spark, sf_dir))
+    flagged = found.withColumn("graded_id", F.split("listing_id", "-")[0].cast("bigint"))
+    return history.deal_precision(flagged, graded, "graded_id", ["region"])
 
 
 DRIFT_SQL = f"""{FEATURES_SQL},

@@ -8,7 +8,7 @@ from dealwright.operators import deals, ensemble, filters, outliers, train, valu
 from dealwright.plans import deal_search, model_sql, valuation
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
-from dealwright.session import materialise
+from dealwright.session import fresh_path, materialise
 from dealwright.sources.listings import FEATURES_SQL
 
 MODEL_INPUT = ("listing_id", "make", "model", "region", "age", "odometer", "price")
@@ -202,8 +202,6 @@ def train_tails_ridge(spark, sf_dir):
 
 
 def store_tails(spark, sf_dir):
-    from dealwright.session import fresh_path
-
     path = fresh_path(spark, "tails")
     train.train_tails(materialise(features(spark, sf_dir, *RIDGE_INPUT))).write.parquet(path)
     return path
@@ -371,6 +369,17 @@ def value_specs(spark, sf_dir):
     return rounded(out.select("listing_id", "tail", "reliable", *columns), two=columns)
 
 
+@query("value_specs_stored", VALUE_SQL)
+def value_specs_stored(spark, sf_dir):
+    """The same from models that were saved and loaded."""
+    rows = materialise(features(spark, sf_dir, *MODEL_INPUT, "km_per_year", thin=True))
+    path = fresh_path(spark, "models")
+    valuation.save_models(valuation.train_models(rows, outlier_settings=ROBUST), path)
+    out = valuation.value_specs(rows, valuation.load_models(spark, path), REGION)
+    columns = ("estimate", "comparison_value", "regional_diff", "value_10k", "value_0k")
+    return rounded(out.select("listing_id", "tail", "reliable", *columns), two=columns)
+
+
 # --- Deals --------------------------------------------------------------------------------------------------
 
 DEAL_SQL = f"""{FEATURES_SQL}, {model_sql.gate("features", 20, "large")}, {model_sql.specific("large")},

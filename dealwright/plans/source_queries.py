@@ -7,14 +7,20 @@ from dealwright.operators import filters
 from dealwright.operators.joins import with_group_values
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
-from dealwright.schemas import PAGE
 from dealwright.session import fresh_path
 from dealwright.sources import pages, registry, tables
 from dealwright.sources.listings import LISTINGS_SQL, listings, table
 
 
-def search_pages(spark, sf_dir):
-    """The pages of one search per segment as JSON text, of about 500 listings each."""
+SHORT, NONE = "STANDARD", "NOTHING"
+
+
+def landed_pages(spark, sf_dir):
+    """The page files of one search per segment, landed in the shared folder and read back as any such files.
+
+    Pages of about 500 listings, a file each. The first page of a segment has a column that the others lack; one model
+    states a listing more than its pages hold, and one search found nothing.
+    """
     records = listings(
         spark, sf_dir, "listing_id", "make", "model", "title", "price_display", "odometer", "year", "bid_count"
     )
@@ -23,16 +29,19 @@ def search_pages(spark, sf_dir):
     record = F.struct(*[F.col(c).alias(n) for c, n in names.items()])
     totals = records.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("TotalCount"))
     page = F.pmod(F.xxhash64("listing_id"), F.ceil(F.col("TotalCount") / pages.ROWS_PER_PAGE))
-    return (
+    found = (
         with_group_values(records, totals, SEGMENT, "inner")
         .groupBy(*SEGMENT, "TotalCount", page.alias("number"))
         .agg(F.collect_list(record).alias("List"))
-        .select(*SEGMENT, F.to_json(F.struct("TotalCount", "List")).alias("page"))
     )
-
-
-def parsed_pages(spark, sf_dir):
-    return search_pages(spark, sf_dir).select(*SEGMENT, F.from_json("page", PAGE).alias("p")).select(*SEGMENT, "p.*")
+    total = (F.col("TotalCount") + F.when(F.col("model") == SHORT, 1).otherwise(0)).alias("TotalCount")
+    more = F.transform("List", lambda r: r.withField("Shipping", F.lit("pick up")))
+    text = F.when(F.col("number") == 0, F.to_json(F.struct(total, more.alias("List")))).otherwise(F.to_json(F.struct(total, "List")))
+    empty = spark.range(1).select(F.lit("Brand#0").alias("make"), F.lit(NONE).alias("model"), F.lit('{"TotalCount": 0, "List": []}').alias("page"))
+    path = fresh_path(spark, "pages")
+    landed = found.select(*SEGMENT, text.alias("page")).union(empty)
+    landed.write.partitionBy(*SEGMENT).option("maxRecordsPerFile", 1).text(path)
+    return pages.read_pages(spark, path)
 
 
 @query(
@@ -41,7 +50,7 @@ def parsed_pages(spark, sf_dir):
     SELECT make, model, listing_id, title, price_display, odometer, year, bid_count FROM listings""",
 )
 def ingest_pages(spark, sf_dir):
-    return pages.explode_pages(parsed_pages(spark, sf_dir)).select(
+    return pages.explode_pages(landed_pages(spark, sf_dir)).select(
         *SEGMENT, "listing_id", "title", "price_display", "odometer", "year", "bid_count"
     )
 
@@ -49,11 +58,13 @@ def ingest_pages(spark, sf_dir):
 @query(
     "ingest_completeness",
     f"""WITH {LISTINGS_SQL}
-    SELECT make, model, count(*) AS total_count, count(listing_id) AS n_received, count(*) // 500 + 1 AS n_pages,
-           'complete' AS status FROM listings GROUP BY make, model""",
+    SELECT make, model, n + (model = '{SHORT}')::INT AS total_count, n AS n_received,
+           (n + (model = '{SHORT}')::INT) // 500 + 1 AS n_pages,
+           CASE WHEN n = 0 THEN 'no listings' WHEN model = '{SHORT}' THEN 'incomplete' ELSE 'complete' END AS status
+    FROM (SELECT make, model, count(*) AS n FROM listings GROUP BY ALL UNION ALL SELECT 'Brand#0', '{NONE}', 0)""",
 )
 def ingest_completeness(spark, sf_dir):
-    return pages.completeness(parsed_pages(spark, sf_dir))
+    return pages.completeness(landed_pages(spark, sf_dir))
 
 
 @query(
@@ -73,13 +84,14 @@ def scan_segment(spark, sf_dir):
     SELECT make || '_' || model || '_data.json' AS file_name, make, model, count(*) AS n FROM listings GROUP BY ALL""",
 )
 def scan_all_segments(spark, sf_dir):
-    suffix = "_data.json"
-    files = (
-        listings(spark, sf_dir, "make", "model")
-        .select(F.concat(F.concat_ws("_", *SEGMENT), F.lit(suffix)).alias("file_name"))
-        .groupBy("file_name")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """Segments by the names of what is stored: a folder for each, and one whose name is none of a segment."""
+    suffix, path = "_data.json", fresh_path(spark, "named")
+    named = listings(spark, sf_dir, "listing_id", "make", "model").select(
+        F.concat(F.concat_ws("_", *SEGMENT), F.lit(suffix)).alias("file_name"), "listing_id"
     )
+    stray = named.limit(1).withColumn("file_name", F.lit("notes.txt"))
+    named.union(stray).write.partitionBy("file_name").parquet(path)
+    files = tables.scan_all_segments(spark, path).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
     return tables.segments_of_names(files, "file_name", suffix)
 
 

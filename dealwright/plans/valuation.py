@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from dealwright.config import BlendSettings, OutlierSettings, TrainingSettings
 from dealwright.operators import filters, outliers, train, value
@@ -66,6 +67,48 @@ def train_models(
     )
 
 
+def save_models(models: Models, path: str) -> None:
+    """Every model as a Parquet table under ``path``; what is not there is not written."""
+    spark = models.specific.sparkSession
+    models.specific.write.parquet(f"{path}/specific")
+    if models.general:
+        g = models.general
+        line = [(g.intercept, g.b_age, g.b_odometer, g.n)]
+        spark.createDataFrame(line, "intercept double, b_age double, b_odometer double, n long").write.parquet(f"{path}/general/line")
+        g.make_effects.write.parquet(f"{path}/general/makes")
+        g.model_effects.write.parquet(f"{path}/general/models")
+    if models.quantiles:
+        q = models.quantiles
+        q.leaves.write.parquet(f"{path}/quantiles/leaves")
+        q.segments.write.parquet(f"{path}/quantiles/segments")
+        overall = [(json.dumps({"overall": dict(q.overall), "leaf": q.leaf_keys, "segment": q.segment_keys, "rows": q.min_leaf_rows}),)]
+        spark.createDataFrame(overall, "settings string").write.parquet(f"{path}/quantiles/settings")
+    if models.tails is not None:
+        models.tails.write.parquet(f"{path}/tails")
+    spark.createDataFrame([(json.dumps(asdict(models.training)),)], "settings string").write.parquet(f"{path}/training")
+
+
+def load_models(spark: SparkSession, path: str) -> Models:
+    """Models that ``save_models`` has stored with all their parts."""
+
+    def settings(name: str) -> dict:
+        return json.loads(spark.read.parquet(f"{path}/{name}").first()["settings"])
+
+    line = spark.read.parquet(f"{path}/general/line").first()
+    general = train.GeneralModel(
+        *line, spark.read.parquet(f"{path}/general/makes"), spark.read.parquet(f"{path}/general/models")
+    )
+    q, training = settings("quantiles/settings"), settings("training")
+    quantiles = train.QuantileModel(
+        spark.read.parquet(f"{path}/quantiles/leaves"), spark.read.parquet(f"{path}/quantiles/segments"),
+        q["overall"], tuple(q["leaf"]), tuple(q["segment"]), q["rows"],
+    )
+    training["features"] = tuple(training["features"])
+    return Models(
+        spark.read.parquet(f"{path}/specific"), general, quantiles, spark.read.parquet(f"{path}/tails"), TrainingSettings(**training)
+    )
+
+
 def predict_with_confidence(specs: DataFrame, models: Models, blend: BlendSettings = BlendSettings()) -> DataFrame:
     """Blended estimate with intervals and tail correction. The intervals are not moved by the correction."""
     rows = value.predict_blended(specs, models.specific, models.general, blend, price_features(models.training))
