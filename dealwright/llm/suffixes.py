@@ -163,7 +163,8 @@ def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans that match another document, from rows sorted by run and content."""
+    """The span of each suffix that matches other documents, from rows sorted by run and content: what a smaller document
+    has too (repeated), and what only larger ones have."""
     for rows in joined_runs(batches, "run"):
         run, doc, pos = rows["run"].to_numpy(), rows["_doc"].to_numpy(), rows["pos"].to_numpy().astype(np.int64)
         k1, right, left = rows["_k1"].to_numpy(), _matrix(rows["right"]), _matrix(rows["left"])
@@ -183,17 +184,25 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = a[inside], b[inside]
         use = (run[a] == run[b]) & (doc[a] != doc[b])
         a, b = a[use], b[use]
+        far = np.iinfo(np.int64).max
+        begin, end = ([np.full(n, v) for _ in range(2)] for v in (far, -1))
         for at in range(0, len(a), 1 << 16):
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
             onward, back = _common(right, x, y), _common(left, x, y)
-            long = onward + back >= MIN_WORDS
-            x, y = x[long], y[long]
-            begin, end, repeat = pos[x] - back[long], pos[x] + onward[long], doc[y] < doc[x]
-            if len(x):
-                made = np.unique(np.stack((doc[x], k1[x], begin, end, repeat.astype(np.int64)), axis=1), axis=0)
+            long, repeat = onward + back >= MIN_WORDS, doc[y] < doc[x]
+            for kind in range(2):
+                rows_of = long & (repeat == kind)
+                np.minimum.at(begin[kind], x[rows_of], pos[x[rows_of]] - back[rows_of])
+                np.maximum.at(end[kind], x[rows_of], pos[x[rows_of]] + onward[rows_of])
+        # all matches of a suffix hold its first words, so they are one span; it is kept where no smaller document has it
+        begin[0][(begin[1] <= begin[0]) & (end[1] >= end[0])] = far
+        for kind in range(2):
+            some = np.flatnonzero(begin[kind] < far)
+            if len(some):
+                made = np.unique(np.stack((doc[some], k1[some], begin[kind][some], end[kind][some]), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays(
                     [*(pa.array(made[:, c]) for c in range(2)), *(pa.array(made[:, c], pa.int32()) for c in (2, 3)),
-                     pa.array(made[:, 4] == 1)],
+                     pa.array(np.full(len(made), bool(kind)))],
                     ["_doc", "_k1", "start_word", "end_word", "repeated"],
                 )
 
