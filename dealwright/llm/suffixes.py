@@ -26,7 +26,7 @@ ALIKE = MIN_WORDS - WINDOW + 1 - GRAM
 #: In a run of one repeated word, where all positions tie, one in so many is retained.
 RUN_STEP = 20
 #: Suffixes sorted in one go; larger groups are dealt out, each part with the group's smallest document.
-GROUP = 20_000
+GROUP = 5_000
 
 _FACTOR, _UNFACTOR, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = []
