@@ -276,7 +276,7 @@ def classify(docs: DataFrame, labels: DataFrame, shard_ngrams: int = SHARD_NGRAM
     )
     trusted_ids = stored(good.where("_good AND _toxic = 0").select("doc_id"))
     rows = docs.select("doc_id", "text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("_lang"))
-    trusted = rows.where("text IS NOT NULL").join(trusted_ids, "doc_id", "left_semi").select("_lang", "text")
+    trusted = rows.where("text IS NOT NULL").join(trusted_ids.hint("merge"), "doc_id", "left_semi").select("_lang", "text")
     names = sorted(r[0] for r in rows.select("_lang").distinct().collect())
     if len(names) >= 1 << (63 - ORDER * BITS):
         raise ValueError("more languages than the codes have numbers for")
