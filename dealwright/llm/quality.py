@@ -28,8 +28,10 @@ SHARD_NGRAMS = 2_000_000
 #: Characters that are worked on at once.
 SLICE = 1 << 20
 #: Quantiles of the trusted documents' cross-entropies that bound what is kept, and by how much of their distance to the
-#: median the bounds are widened, as documents that were not learned from fit a little less.
-LOW, HIGH, WIDENED = 0.001, 0.999, 0.25
+#: median the bounds are widened.
+LOW, HIGH, WIDENED = 0.001, 0.999, 0.5
+#: One in so many trusted documents is not learned from: what a document fits that the model has not seen, they tell.
+HELD_OUT = 5
 #: Characters from which a document's cross-entropy is taken as it is; shorter ones scatter more, by the root of the ratio.
 STEADY = 2000
 NO_LANGUAGE = ""
@@ -256,6 +258,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame, keys: Sequence[str], shard
     return each.select(*keys, (F.col("log_p") / F.col("_times")).alias("log_p"), (F.col("n") / F.col("_times")).cast("long").alias("n"))
 
 
+def _held(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(HELD_OUT)) == 0
+
+
 def _excess(ce: Column, middle: Column, n: Column) -> Column:
     """Distance from the median, less for short documents, as chance moves them further."""
     return (ce - middle) * F.sqrt(F.least(n, F.lit(STEADY)) / STEADY)
@@ -266,8 +272,8 @@ def classify(docs: DataFrame, labels: DataFrame, shard_ngrams: int = SHARD_NGRAM
 
     Trusted are all documents that ``labels`` (doc_id, quality, toxic) call good (1) and nowhere bad or toxic. ``quality``
     is the distance of the log-perplexity from the median of the trusted documents of the language, in units of the
-    bound on that side; 1 or less is kept. The bounds are the quantiles ``LOW`` and ``HIGH``, widened: text that is far
-    too predictable repeats itself, text that is far too surprising is no prose. A language without trusted documents,
+    bound on that side; 1 or less is kept. The bounds are the quantiles ``LOW`` of all and ``HIGH`` of held-out trusted
+    documents, widened: text that is far too predictable repeats itself, text that is far too surprising is no prose. A language without trusted documents,
     null included, is judged by all trusted documents together; null, empty and blank texts have no perplexity and are
     not kept; without any trusted document nothing is. Repeated rows stay as many as they are; extra columns play no part.
     """
@@ -276,7 +282,8 @@ def classify(docs: DataFrame, labels: DataFrame, shard_ngrams: int = SHARD_NGRAM
     )
     trusted_ids = stored(good.where("_good AND _toxic = 0").select("doc_id"))
     rows = docs.select("doc_id", "text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("_lang"))
-    trusted = rows.where("text IS NOT NULL").join(trusted_ids.hint("merge"), "doc_id", "left_semi").select("_lang", "text")
+    trusted = rows.where("text IS NOT NULL").where(~_held("doc_id"))
+    trusted = trusted.join(trusted_ids.hint("merge"), "doc_id", "left_semi").select("_lang", "text")
     names = sorted(r[0] for r in rows.select("_lang").distinct().collect())
     if len(names) >= 1 << (63 - ORDER * BITS):
         raise ValueError("more languages than the codes have numbers for")
@@ -286,16 +293,22 @@ def classify(docs: DataFrame, labels: DataFrame, shard_ngrams: int = SHARD_NGRAM
     keys = ("doc_id", "_lang", "_h")
     found = stored(perplexities(rows, trusted, keys, shard_ngrams), gather=True).withColumn("ce", -F.try_divide("log_p", "n"))
 
-    learned = found.where("n > 0").join(trusted_ids, "doc_id", "left_semi").select("_lang", "ce", "n")
-    both = learned.unionByName(learned.withColumn("_lang", F.lit(None).cast("string")))  # null stands for all together
-    middle = stored(both.groupBy("_lang").agg(F.percentile_approx("ce", 0.5, 10_000).alias("middle")))
+    judged = found.where("n > 0").join(trusted_ids, "doc_id", "left_semi").select("_lang", "ce", "n", _held("doc_id").alias("_out"))
+    both = judged.unionByName(judged.withColumn("_lang", F.lit(None).cast("string")))  # null stands for all together
+
+    def quantile(value: str, level: float, held: bool) -> Column:
+        every = F.percentile_approx(value, level, 10_000)
+        return F.coalesce(F.percentile_approx(F.when(F.col("_out"), F.col(value)), level, 10_000), every) if held else every
+
+    middle = stored(both.groupBy("_lang").agg(quantile("ce", 0.5, True).alias("middle")))
     scaled = both.join(middle, both["_lang"].eqNullSafe(middle["_lang"])).select(
-        middle["_lang"], "middle", _excess(F.col("ce"), F.col("middle"), F.col("n")).alias("_x")
+        middle["_lang"], "middle", "_out", _excess(F.col("ce"), F.col("middle"), F.col("n")).alias("_x")
     )
     ends = scaled.groupBy("_lang", "middle").agg(
-        F.percentile_approx("_x", F.array(F.lit(LOW), F.lit(HIGH)), 10_000).alias("_ends")
+        quantile("_x", LOW, False).alias("_low"),
+        F.greatest(quantile("_x", HIGH, True), quantile("_x", HIGH, False)).alias("_high"),
     )
-    bounds = {r["_lang"]: (r["middle"], *r["_ends"]) for r in ends.collect()}
+    bounds = {r["_lang"]: (r["middle"], r["_low"], r["_high"]) for r in ends.collect()}
     none = (float("nan"), 0.0, 0.0)
     told = [bounds.get(name, bounds.get(None, none)) for name in names] or [none]
     of = lambda i: F.element_at(F.array(*(F.lit(float(t[i])) for t in told)), (F.col("_number") + 1).cast("int"))
