@@ -114,6 +114,11 @@ def draws(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     )
 
 
+def shard_counts(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """(shard, _key, n): the draw of each output shard, how many of its slots every source has."""
+    return draws(plan, block, shard).groupBy("shard", "_key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _prepared(docs: DataFrame, size: Column) -> tuple[DataFrame, DataFrame]:
     """Rows (_row, doc_id, _key, size, _order) and the sources' plan."""
     rows = stored(

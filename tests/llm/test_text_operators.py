@@ -285,6 +285,24 @@ def test_permutations_hit_every_index_once(spark):
         assert sorted(r["p"] for r in rows.collect()) == list(range(n))
 
 
+def test_mixing_draws_of_the_shards_are_multinomial_given_the_totals(spark):
+    plan = spark.createDataFrame([("a", 64_000, 96_000.0), ("b", 32_000, 16_000.0), ("c", 640, 1_280.0)], "_key string, source_size long, target double")
+    rows = mixing.shard_counts(plan, shard=100).collect()
+    total, by_shard = {}, {}
+    for r in rows:
+        total[r["_key"]] = total.get(r["_key"], 0) + r["n"]
+        by_shard.setdefault(r["shard"], {})[r["_key"]] = r["n"]
+    assert total == {"a": 1500, "b": 250, "c": 20}
+    sizes = sorted(sum(s.values()) for s in by_shard.values())
+    assert sizes == [70] + [100] * 17
+    share = [s.get("b", 0) for s in by_shard.values() if sum(s.values()) == 100]
+    assert len(set(share)) > 4 and 9 < sum(share) / len(share) < 19 and max(share) < 32
+    taken = {}
+    for r in mixing.draws(plan, shard=100).collect():
+        taken.setdefault((r["_key"], r["block"]), []).append(r["pass"])
+    assert len(taken) == 1000 + 250 + 10 and all(sorted(t) == list(range(len(t))) for t in taken.values())
+
+
 def test_mixing_runs_no_python(spark):
     plan = mixing.mix(spark.createDataFrame([(1, "a b", "en", "s", 3)], SCHEMA))
     text = plan._jdf.queryExecution().executedPlan().toString()
