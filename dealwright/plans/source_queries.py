@@ -160,14 +160,15 @@ def registry_write(spark, sf_dir):
 @query(
     "registry_read",
     f"""WITH {RUNS_SQL}
-    SELECT sum(n)::BIGINT AS n_training_samples, count(*)::INT AS car_types,
-           string_agg(make || '_' || model || '=' || n, ';' ORDER BY make || '_' || model) AS counts FROM sizes""",
+    SELECT NULL AS make, NULL AS model, 'general' AS kind, sum(n)::BIGINT AS n_training_samples, count(*)::INT AS car_types
+    FROM sizes
+    UNION ALL SELECT make, model, 'general_part', n, NULL FROM sizes""",
 )
 def registry_read(spark, sf_dir):
     sizes = registry.latest(training_runs(spark, sf_dir)).withColumnRenamed("n_training_samples", "n")
-    general = registry.general_entry(sizes, F.current_timestamp(), "models/general")
-    pairs = F.transform(F.map_entries("sample_counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
-    return general.select("n_training_samples", "car_types", F.array_join(pairs, ";").alias("counts"))
+    path = fresh_path(spark, "registry")
+    registry.registry_write(registry.general_entries(sizes, F.current_timestamp(), "models/general"), path)
+    return registry.registry_read(spark, path).select(*SEGMENT, "kind", "n_training_samples", "car_types")
 
 
 @query(

@@ -62,7 +62,6 @@ REGISTRY = T.StructType(
         T.StructField("training_date", T.TimestampType()),
         T.StructField("path", T.StringType()),
         T.StructField("car_types", T.IntegerType()),
-        T.StructField("sample_counts", T.MapType(T.StringType(), T.LongType())),
     ]
 )
 

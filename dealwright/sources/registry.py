@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dealwright.config import SEGMENT
 from dealwright.schemas import REGISTRY
 
-GENERAL = "general"
+GENERAL, GENERAL_PART = "general", "general_part"
 
 
 def segment_entries(sizes: DataFrame, kind: str, trained_at: Column, path: str) -> DataFrame:
@@ -21,32 +21,24 @@ def segment_entries(sizes: DataFrame, kind: str, trained_at: Column, path: str)
         trained_at.cast("timestamp").alias("training_date"),
         F.concat_ws("/", F.lit(path), F.concat_ws("_", "make", "model")).alias("path"),
         F.lit(None).cast("int").alias("car_types"),
-        F.lit(None).cast("map<string,bigint>").alias("sample_counts"),
     )
 
 
-def general_entry(sizes: DataFrame, trained_at: Column, path: str) -> DataFrame:
-    """The registry row of the cross-segment model, with the rows each segment gave.
-
-    The map holds one entry per segment, so it grows with the catalog of segments, not with the listings.
-    """
-    label = F.concat_ws("_", "make", "model")
-    return sizes.agg(
-        F.sum("n").cast("bigint").alias("n_training_samples"),
-        F.count(F.lit(1)).cast("int").alias("car_types"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct(label, F.col("n").cast("bigint"))))).alias(
-            "sample_counts"
-        ),
+def general_entries(sizes: DataFrame, trained_at: Column, path: str) -> DataFrame:
+    """The registry row of the cross-segment model, and a row with the rows that each segment gave it."""
+    when = trained_at.cast("timestamp").alias("training_date")
+    whole = sizes.agg(
+        F.sum("n").cast("bigint").alias("n_training_samples"), F.count(F.lit(1)).cast("int").alias("car_types")
     ).select(
         F.lit(None).cast("string").alias("make"),
         F.lit(None).cast("string").alias("model"),
         F.lit(GENERAL).alias("kind"),
         "n_training_samples",
-        trained_at.cast("timestamp").alias("training_date"),
+        when,
         F.lit(path).alias("path"),
         "car_types",
-        "sample_counts",
     )
+    return whole.unionByName(segment_entries(sizes, GENERAL_PART, trained_at, path))
 
 
 def registry_write(entries: DataFrame, path: str) -> None:

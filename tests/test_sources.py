@@ -50,11 +50,12 @@ def test_registry(spark, tmp_path):
     for day in (1, 5):
         at = F.lit(datetime.datetime(2026, 1, day))
         registry.registry_write(registry.segment_entries(sizes.withColumn("n", F.col("n") + day), "specific", at, "m"), path)
-    registry.registry_write(registry.general_entry(sizes, F.current_timestamp(), "m/general"), path)
+    registry.registry_write(registry.general_entries(sizes, F.current_timestamp(), "m/general"), path)
     newest = registry.latest(registry.registry_read(spark, path))
     rows = {(r.kind, r.make): r for r in newest.collect()}
     assert rows["specific", "A"].n_training_samples == 125 and rows["specific", "B"].path == "m/B_y"
-    assert rows["general", None].sample_counts == {"A_x": 120, "B_y": 30} and rows["general", None].car_types == 2
+    assert rows["general", None].n_training_samples == 150 and rows["general", None].car_types == 2
+    assert {k[1]: r.n_training_samples for k, r in rows.items() if k[0] == "general_part"} == {"A": 120, "B": 30}
     assert registry.has_general_model(newest)
     data = spark.createDataFrame([("A", "x"), ("C", "z")], "make string, model string")
     assert [tuple(r) for r in registry.catalog_available(data, newest).collect()] == [("A", ["x"])]
