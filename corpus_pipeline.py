@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealwright.llm import bpe, langid, mixing, simhash, suffixes
-from dealwright.llm.common import stored, table
+from dealwright.llm.common import in_small_batches, stored, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KEYS = ("doc_id", "_text_hash")
@@ -15,7 +15,7 @@ KEYS = ("doc_id", "_text_hash")
 
 def _hashed(docs: DataFrame) -> DataFrame:
     """Documents with a hash that tells rows of one doc_id apart by their text."""
-    return docs.withColumn("_text_hash", F.xxhash64("text"))
+    return in_small_batches(docs).withColumn("_text_hash", F.xxhash64("text"))
 
 
 def _same(left: DataFrame, right: DataFrame):
@@ -45,7 +45,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words or more that a document with a smaller doc_id has."""
-    return suffixes.remove_repeats(docs)
+    return suffixes.remove_repeats(in_small_batches(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token ids of every text: doc_id, lang, source, n_tokens, ids, and the digest of the bytes they decode to."""
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
     keep = ("doc_id", "lang", "source")
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=keep)
+    encoded = bpe.encode(in_small_batches(docs), ranks, public_tokenizers.PATTERN, keep=keep)
     rows = encoded.withColumn("n_tokens", F.size("ids").cast("long"))
     decoded = bpe.decode(rows, ranks, keep=(*keep, "n_tokens", "ids"))
     return decoded.select(*keep, "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -27,7 +27,7 @@ CHUNK, OVERLAP = 65_536, 1_024
 #: A match that ends so near a chunk's end may go on in the full text: the longest lookahead of the pattern.
 LOOKAHEAD = 3
 #: Pieces whose ids a task remembers; when there are more, it starts anew. Bounds memory, not results.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 Ranks = dict[bytes, int]
 
@@ -59,6 +59,11 @@ class _Pieces:
             out += ids
         return np.array(out, np.int32)
 
+    def forget(self) -> None:
+        """At a task's end: the Python worker stays, and what runs in it next needs the memory."""
+        self.known.clear()
+        pa.default_memory_pool().release_unused()
+
 
 _made: list[tuple[Ranks, str, _Pieces]] = []
 
@@ -140,6 +145,7 @@ def encode(
     def whole(batches):
         made = _pieces(pattern, shared.value)
         yield from _with_ids(batches, "_text", lambda t: made.ids(made.split.findall(t)))
+        made.forget()
 
     def owned(batches):
         made = _pieces(pattern, shared.value)
@@ -152,6 +158,7 @@ def encode(
             return made.ids(pieces)
 
         yield from _with_ids(batches, "_body", ids)
+        made.forget()
 
     short = narrow.where(length <= chunk + overlap).mapInArrow(whole, out)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dealwright.session import fresh_path
 
-#: Arrow batches handed back by Python tasks hold about so many bytes.
+#: Arrow batches handed to and back by Python tasks hold about so many bytes.
 BATCH_BYTES = 8 << 20
 
 
@@ -25,8 +25,17 @@ def stored(df: DataFrame, gather: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that hands Python batches of at most ``BATCH_BYTES``: several long texts at a time, not
+    thousands of them. A session that names a size of its own keeps it."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return in_small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def list_array(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
