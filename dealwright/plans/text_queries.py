@@ -231,7 +231,8 @@ extracted AS (
 
 def extracted(spark, sf_dir):
     rows = listings(spark, sf_dir)
-    ads = materialise(rows.select("listing_id", F.expr(AD_TEXT).alias("text")))
+    # dealt out, as patterns are matched over and over against rows that come from a single file
+    ads = materialise(rows.select("listing_id", F.expr(AD_TEXT).alias("text")).hint("rebalance"))
     catalog = listings(spark, sf_dir, "make", "model")
     return extract.extract_listings(ads, catalog, "listing_id", regions=PLACES).select(
         "listing_id", "make", "model", *FIELDS, "confidence"
