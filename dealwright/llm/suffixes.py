@@ -1,11 +1,13 @@
-"""Removal of passages that repeat across documents, by sparse suffix arrays.
+"""Removal of passages that repeat across documents, by sparse suffixes.
 
 Texts are sequences of words. A suffix is retained where the hash of its first ``GRAM`` words is the smallest of
-``WINDOW`` neighbouring positions, so the choice depends on content alone: any passage of ``MIN_WORDS`` words retains a
-suffix at the same place in every document, at least ``MIN_WORDS - WINDOW + 1`` words before its end. Retained suffixes
-whose first words occur in several documents are sorted by their words; each is compared with its neighbours in that
-order and with the one of the smallest document among those that begin alike, and the match is extended left and right.
-Spans of following suffixes join, so a passage may have any length.
+``WINDOW`` neighbouring positions, so the choice depends on content alone: any window of ``MIN_WORDS`` words has the same
+smallest hash in every document, at one of its first ``WINDOW`` words. A window can only repeat if a suffix that begins
+with that hash is retained in another document, and windows are looked at only there. Neighbouring windows of one smallest
+hash form a block. Blocks of equal content are settled together, by the smallest and the largest document that have them;
+where blocks of one hash differ, one document's block of each content meets the others window by window. So every window
+is judged as if compared with all documents, whatever surrounds it and however many have it. Windows that follow each
+other join to spans, so a passage may have any length.
 """
 
 from __future__ import annotations
@@ -18,15 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealwright.llm.common import joined_runs, list_array, stored
+from dealwright.llm.common import list_array, stored
 
 MIN_WORDS, GRAM, WINDOW = 50, 10, 32
-#: Words after the first GRAM that suffixes share to be sorted together: what the first retained suffix guarantees.
-ALIKE = MIN_WORDS - WINDOW + 1 - GRAM
-#: In a run of one repeated word, where all positions tie, one in so many is retained.
-RUN_STEP = 20
-#: Suffixes sorted in one go; larger groups are dealt out, each part with the group's smallest document.
-GROUP = 5_000
+#: Windows of a block at most; only runs of one repeated word have more, and results do not depend on where they are cut.
+GROUP = 32
 
 _FACTOR, _UNFACTOR, _WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64)), np.uint64(0xD6E8FEB86659FD93)
 _powers: list[np.ndarray] = []
@@ -71,142 +69,67 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return values
 
 
-def retained(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the retained suffixes among word hashes, and the hash of each one's first words."""
+def _lowest(hashes: np.ndarray) -> np.ndarray:
+    """For each window of ``MIN_WORDS`` words the hash of its retained suffix: the smallest hash of ``GRAM`` words that
+    begin at one of its first ``WINDOW`` words."""
     n = len(hashes) - GRAM + 1
-    if n < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
     gram = hashes[:n].copy()
     for k in range(1, GRAM):
         gram = gram * _FACTOR + hashes[k : n + k]
-    gram = _mixed(gram)
-    low = _slide(gram, WINDOW, np.minimum)
-    pad = np.zeros(WINDOW - 1, np.uint64)
-    chosen = np.flatnonzero(_slide(np.concatenate((pad, low, pad)), WINDOW, np.maximum) == gram)
-    same = np.concatenate(([False], (np.diff(chosen) == 1) & (gram[chosen[1:]] == gram[chosen[:-1]])))
-    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(chosen))))
-    chosen = chosen[(np.arange(len(chosen)) - first) % RUN_STEP == 0]
-    return chosen, gram[chosen]
+    return _slide(_mixed(gram), WINDOW, np.minimum)[: len(hashes) - MIN_WORDS + 1].view(np.int64)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hashes, places, words = [], [], []
+        hashes, words = [], []
         for text in batch.column("text"):
             found, _, _ = words_of((text.as_py() or "").encode("utf-8", "surrogatepass"))
-            at, gram = retained(found)
-            hashes.append(gram.view(np.int64))
-            places.append(at)
+            hashes.append(np.unique(_lowest(found)) if len(found) >= MIN_WORDS else np.empty(0, np.int64))
             words.append(len(found))
         yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(c) for c in ("_doc", "_k1", "_k2")),
-                pa.array(words, pa.int32()),
-                list_array(hashes, pa.int64()),
-                list_array(places, pa.int32()),
-            ],
-            ["_doc", "_k1", "_k2", "words", "h", "pos"],
+            [*(batch.column(c) for c in ("_doc", "_k1", "_k2")), pa.array(words, pa.int32()), list_array(hashes, pa.int64())],
+            ["_doc", "_k1", "_k2", "words", "h"],
         )
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """A binary value of each row of a matrix."""
-    width = rows.shape[1] * rows.itemsize
-    offsets = (np.arange(len(rows) + 1) * width).astype(np.int32)
-    return pa.Array.from_buffers(
-        pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())]
-    )
+def _window_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hash of every window of ``MIN_WORDS`` words, from those of its words."""
+    n = len(hashes) - MIN_WORDS + 1
+    window = hashes[:n].copy()
+    for k in range(1, MIN_WORDS):
+        window = window * _UNFACTOR + hashes[k : n + k]
+    return _mixed(window)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shared suffix: the words from it on and those before it, backwards."""
+def _blocks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for at most ``size`` following windows whose smallest hash is one of the shared ``hits``: the hash, the first
+    window's place and the hashes of the windows."""
     for batch in batches:
         for i in range(batch.num_rows):
-            hits = batch.column("hits")[i].as_py()
+            hits = batch.column("hits")[i].values.to_numpy(zero_copy_only=False)
             hashes, _, _ = words_of(batch.column("text")[i].as_py().encode("utf-8", "surrogatepass"))
-            pad = np.zeros(MIN_WORDS, np.uint32)
-            word = np.concatenate((pad, (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1), pad))
-            view = np.lib.stride_tricks.sliding_window_view(word, MIN_WORDS)
-            for k in range(0, len(hits), 8192):
-                part = hits[k : k + 8192]
-                at = np.array([x["pos"] for x in part], np.int64)
-                right, left = view[at + MIN_WORDS], view[at][:, ::-1]
-                key = np.array([x["h"] for x in part], np.int64).view(np.uint64)
-                for j in range(GRAM, GRAM + ALIKE):
-                    key = key * _FACTOR + right[:, j]
+            windows = _window_hashes(hashes).view(np.int64)
+            low = _lowest(hashes)
+            place = np.arange(len(low))
+            run = np.maximum.accumulate(np.where(np.concatenate(([True], low[1:] != low[:-1])), place, 0))
+            start = np.flatnonzero((place - run) % size == 0)
+            end = np.append(start[1:], len(low))
+            shared = np.isin(low[start], hits)
+            start, end = start[shared], end[shared]
+            for k in range(0, len(start), 8192):
+                at, to = start[k : k + 8192], end[k : k + 8192]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(_mixed(key).view(np.int64)),
-                        pa.array([x["parts"] for x in part], pa.int32()),
-                        pa.array([x["lead"] for x in part], pa.bool_()),
-                        pa.array(np.full(len(part), batch.column("_doc")[i].as_py()), pa.int64()),
-                        pa.array(np.full(len(part), batch.column("_k1")[i].as_py()), pa.int64()),
+                        pa.array(low[at]),
+                        pa.array(np.full(len(at), batch.column("_doc")[i].as_py()), pa.int64()),
+                        pa.array(np.full(len(at), batch.column("_k1")[i].as_py()), pa.int64()),
                         pa.array(at, pa.int32()),
-                        _binary(right),
-                        _binary(left),
+                        list_array([windows[x:y] for x, y in zip(at, to, strict=True)], pa.int64()),
                     ],
-                    ["key", "parts", "lead", "_doc", "_k1", "pos", "right", "left"],
+                    ["h", "_doc", "_k1", "start_word", "windows"],
                 )
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    array = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
-    data = np.frombuffer(array.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    return data.view(np.uint32).reshape(len(array), MIN_WORDS)
-
-
-def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words rows a and b share; 0 stands for no word."""
-    same = (words[a] == words[b]) & (words[a] != 0)
-    return np.where(same.all(axis=1), MIN_WORDS, same.argmin(axis=1))
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The span of each suffix that matches other documents, from rows sorted by run and content: what a smaller document
-    has too (repeated), and what only larger ones have."""
-    for rows in joined_runs(batches, "run"):
-        run, doc, pos = rows["run"].to_numpy(), rows["_doc"].to_numpy(), rows["pos"].to_numpy().astype(np.int64)
-        k1, right, left = rows["_k1"].to_numpy(), _matrix(rows["right"]), _matrix(rows["left"])
-        n = len(run)
-        start = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
-        smallest = np.flatnonzero(doc == np.minimum.reduceat(doc, start)[group])
-        first = smallest[np.searchsorted(smallest, start)][group]
-        here = np.arange(n)
-        fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (run[1:] != run[:-1])))
-        streak = np.flatnonzero(fresh)
-        before = streak[np.cumsum(fresh) - 1] - 1
-        after = np.append(streak[1:], n)[np.cumsum(fresh) - 1]
-        a = np.concatenate((here, here, here, first))
-        b = np.concatenate((before, after, first, here))
-        inside = (b >= 0) & (b < n)
-        a, b = a[inside], b[inside]
-        use = (run[a] == run[b]) & (doc[a] != doc[b])
-        a, b = a[use], b[use]
-        far = np.iinfo(np.int64).max
-        begin, end = ([np.full(n, v) for _ in range(2)] for v in (far, -1))
-        for at in range(0, len(a), 1 << 16):
-            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-            onward, back = _common(right, x, y), _common(left, x, y)
-            long, repeat = onward + back >= MIN_WORDS, doc[y] < doc[x]
-            for kind in range(2):
-                rows_of = long & (repeat == kind)
-                np.minimum.at(begin[kind], x[rows_of], pos[x[rows_of]] - back[rows_of])
-                np.maximum.at(end[kind], x[rows_of], pos[x[rows_of]] + onward[rows_of])
-        # all matches of a suffix hold its first words, so they are one span; it is kept where no smaller document has it
-        begin[0][(begin[1] <= begin[0]) & (end[1] >= end[0])] = far
-        for kind in range(2):
-            some = np.flatnonzero(begin[kind] < far)
-            if len(some):
-                made = np.unique(np.stack((doc[some], k1[some], begin[kind][some], end[kind][some]), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(made[:, c]) for c in range(2)), *(pa.array(made[:, c], pa.int32()) for c in (2, 3)),
-                     pa.array(np.full(len(made), bool(kind)))],
-                    ["_doc", "_k1", "start_word", "end_word", "repeated"],
-                )
-
-
 def _with_keys(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and ``more`` with two hashes of the text and an order: null ids come behind all others."""
     k1 = F.xxhash64("text")
@@ -225,39 +148,49 @@ def _joined(spans: DataFrame, *keys: str) -> DataFrame:
     ).drop("_part")
 
 
+def _settled(blocks: DataFrame) -> DataFrame:
+    """(doc, k1, start_word, end_word, repeated) from blocks of windows: spans that a smaller document has too (repeated),
+    and those that only larger ones have."""
+    ends = [F.min("_doc").alias("low"), F.max("_doc").alias("high")]
+    contents = stored(blocks.groupBy("h", "content").agg(*ends))
+    hashes = contents.groupBy("h").agg((F.min("content") != F.max("content")).alias("differ"))
+    contents = stored(contents.join(hashes, "h"))
+    open_ = F.col("differ") & (F.col("_doc") == F.col("low"))
+    told = stored(
+        blocks.join(contents, ["h", "content"]).select(
+            "h", "_doc", "_k1", "start_word", "low", "high", "differ",
+            (F.col("start_word") + F.size("windows") + (MIN_WORDS - 1)).alias("end_word"), F.when(open_, F.col("windows")).alias("windows"),
+        )
+    )
+    repeated = (F.col("_doc") > F.col("low")).alias("repeated")
+    whole = told.where("_doc > low OR NOT differ AND high > low").select("_doc", "_k1", "start_word", "end_word", repeated)
+    each = told.where("windows IS NOT NULL").select(
+        "h", "_doc", "_k1", "start_word", "high", F.posexplode("windows").alias("at", "window")
+    )
+    met = stored(
+        each.groupBy("h", "window").agg(F.min("_doc").alias("low"), F.max("high").alias("most")).where("low <> most")
+    )
+    start = (F.col("start_word") + F.col("at")).alias("start_word")
+    single = each.join(met, ["h", "window"]).select("_doc", "_k1", start, (start + MIN_WORDS).alias("end_word"), repeated)
+    return whole.unionByName(single)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, k1, start_word, end_word, repeated) of ``docs`` (doc_id, text): see ``repeated_passages``."""
     keyed = _with_keys(docs).where("text IS NOT NULL")
-    kinds = "_doc long, _k1 long, _k2 long, words int, h array<long>, pos array<int>"
+    kinds = "_doc long, _k1 long, _k2 long, words int, h array<long>"
     sketches = stored(keyed.select("_doc", "_k1", "_k2", "text").mapInArrow(_sketched, kinds), gather=True)
     sketches = sketches.where(F.col("words") >= MIN_WORDS)
     texts = stored(sketches.groupBy("_k1", "_k2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.max("words").alias("words")))
     one_each = sketches.join(texts.select("_k1", "_k2", F.col("_first").alias("_doc")), ["_k1", "_k2", "_doc"], "left_semi")
-    suffixes = one_each.select("_doc", "_k1", F.inline(F.arrays_zip("h", "pos")))
-    shared = stored(
-        suffixes.groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("_doc").alias("low"), F.max("_doc").alias("high"))
-        .where("low <> high")
-        .select("h", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"), "low")
-    )
-    hits = (
-        suffixes.join(shared, "h")
-        .groupBy("_doc", "_k1")
-        .agg(F.collect_list(F.struct("pos", "h", "parts", (F.col("_doc") == F.col("low")).alias("lead"))).alias("hits"))
-    )
+    suffixes = one_each.select("_doc", "_k1", F.explode("h").alias("h"))
+    shared = stored(suffixes.groupBy("h").agg(F.min("_doc").alias("low"), F.max("_doc").alias("high")).where("low <> high").select("h"))
+    hits = suffixes.join(shared, "h").groupBy("_doc", "_k1").agg(F.collect_list("h").alias("hits"))
     found = keyed.select("_doc", "_k1", "text").join(hits, ["_doc", "_k1"])
-    kinds = "key long, parts int, lead boolean, _doc long, _k1 long, pos int, right binary, left binary"
-    rows = found.mapInArrow(_contexts, kinds)
-    part = F.explode(
-        F.when(F.col("lead"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
-            F.array(F.pmod(F.xxhash64("_doc"), F.col("parts")).cast("int"))
-        )
-    )
-    dealt = rows.withColumn("_part", part).select(
-        F.xxhash64("key", "_part").alias("run"), "_doc", "_k1", "pos", "right", "left"
-    )
-    kinds = "_doc long, _k1 long, start_word int, end_word int, repeated boolean"
-    near = dealt.repartition("run").sortWithinPartitions("run", "right").mapInArrow(_compared, kinds)
+    size = GROUP
+    kinds = "h long, _doc long, _k1 long, start_word int, windows array<long>"
+    blocks = stored(found.mapInArrow(lambda it: _blocks(size, it), kinds).withColumn("content", F.xxhash64("windows")), gather=True)
+    near = _settled(blocks)
     copies = texts.where("_first <> _last")
     whole = [F.lit(0).alias("start_word"), F.col("words").alias("end_word")]
     firsts = copies.select(F.col("_first").alias("_doc"), "_k1", *whole, F.lit(False).alias("repeated"))
@@ -272,7 +205,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
     A passage counts from ``MIN_WORDS`` words on. ``kept`` is false where a document with a smaller doc_id has it and
     true in the document that keeps it; a document may have both kinds, but none that is kept within one that is not. Whole copies of a text are found by its hashes
-    (128 bits) and enter the sort once. Null and shorter texts have no rows; null ids come last, by the text's hash;
+    (128 bits) and are looked at once. Null and shorter texts have no rows; null ids come last, by the text's hash;
     rows with one doc_id are one document and do not repeat each other. Extra columns play no part.
     """
     spans = stored(repeated_spans(docs))

@@ -202,6 +202,19 @@ def test_suffix_passages_of_near_copies(spark):
     assert {r["text"] for r in left} >= {texts[0]} and all(r["n_chars"] == len(r["text"]) for r in left)
 
 
+def test_suffix_passages_that_end_in_a_frequent_line_or_begin_in_the_smallest_document(spark):
+    rng = random.Random(11)
+    line = prose(rng, 28)
+    passages_, fragment = [f"{prose(rng, 22)} {line}" for _ in range(25)], prose(rng, 60)
+    texts = [f"{prose(rng, 20)} {' '.join(fragment.split()[:45])} {prose(rng, 20)}"]
+    texts += [f"{prose(rng, 40)} {p} {prose(rng, 40)}" for p in passages_ for _ in range(2)]
+    texts += [f"{prose(rng, 40)} {line} {prose(rng, 40)}" for _ in range(150)]
+    texts += [f"{prose(rng, rng.randint(1, 60))} {fragment} {prose(rng, 40)}" for _ in range(40)]
+    covered, later = passages(suffixes.repeated_passages(frame(spark, texts)).collect())
+    want_covered, want_later = plain_repeats(texts)
+    assert covered == want_covered and later == want_later and 0 not in covered
+
+
 def test_suffix_removal_cuts_words_and_nothing_else(spark):
     rng = random.Random(7)
     passage = prose(rng, 80)
