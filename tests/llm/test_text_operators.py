@@ -215,6 +215,20 @@ def test_suffix_passages_that_end_in_a_frequent_line_or_begin_in_the_smallest_do
     assert covered == want_covered and later == want_later and 0 not in covered
 
 
+@pytest.mark.parametrize("group", [20_000, 3])
+def test_suffix_passages_in_many_documents_of_a_line_whose_first_document_has_only_the_line(spark, monkeypatch, group):
+    monkeypatch.setattr(suffixes, "GROUP", group)
+    rng = random.Random(12)
+    line = prose(rng, 30)
+    texts = [f"{prose(rng, 30)} {line} {prose(rng, 30)}" for _ in range(20)]
+    for copies in (2, 2, 2, 40):
+        passage = f"{prose(rng, 15)} {line} {prose(rng, 15)}"
+        texts += [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(copies)]
+    covered, later = passages(suffixes.repeated_passages(frame(spark, texts)).collect())
+    want_covered, want_later = plain_repeats(texts)
+    assert covered == want_covered and later == want_later
+
+
 def test_suffix_removal_cuts_words_and_nothing_else(spark):
     rng = random.Random(7)
     passage = prose(rng, 80)
