@@ -1,8 +1,10 @@
 """Language identification by character models.
 
-For every language an interpolated Kneser-Ney model of ``ORDER`` characters is learned. n-grams are counted by Spark;
-the models are kept as sorted arrays of n-gram codes with a column of log-probabilities per language, so that one
-binary search per character scores all languages. The language with the lowest cross-entropy per character wins.
+For every language an interpolated Kneser-Ney model of ``ORDER`` characters is learned. Spark counts the n-grams of all
+orders and stores them in shards by the two characters before the last, which an n-gram shares with its context and its
+shorter forms. Tasks read one shard after the other and keep it as sorted arrays of n-gram codes with a column of
+log-probabilities per language, so that one binary search per character scores all languages. The language with the
+lowest cross-entropy per character wins.
 
 A character is a letter or the gap between words: text is lower-cased, everything that is no letter becomes one gap.
 A letter has ``BITS`` bits of a code, so an n-gram is an integer whose context and shorter form are shifts and masks.
@@ -13,21 +15,25 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealwright.llm.common import list_array, stored
+from dealwright.session import fresh_path
 
 ORDER, BITS = 4, 11
 SYMBOLS = 1 << BITS
-#: n-grams kept for each language, the most frequent first; the model of the others is the next shorter one. This
-#: bounds what the driver assembles and every task holds: 16 bytes a language and n-gram.
-MAX_NGRAMS = 2_000_000
+#: n-grams of a shard, about, over all languages: what a task holds at a time.
+SHARD_NGRAMS = 4_000_000
 #: Characters that are worked on at once.
 SLICE = 1 << 20
+#: Characters that a task holds while it reads one shard after the other, if there are several.
+HELD = 1 << 24
 #: Steps of the margin for which accuracy is measured.
 MARGIN_STEPS = 128
 #: A document is rejected if its cross-entropy lies so many standard errors beyond its language's bound.
@@ -98,6 +104,19 @@ def ngram_counts(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
+def levels_of(counts: DataFrame) -> list[DataFrame]:
+    """(lang, code, n) of each order, longest first: counts at the top, numbers of different left neighbours below."""
+    levels = [stored(counts)]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.col("code").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("code")
+        levels.append(stored(levels[-1].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n"))))
+    return levels
+
+
+def _discount(ones: int, twos: int) -> float:
+    return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+
 @dataclass
 class Level:
     """One order of one language's model: sorted n-gram codes and their discounted shares, contexts and what is left."""
@@ -107,6 +126,13 @@ class Level:
     contexts: np.ndarray
     rest: np.ndarray
 
+    @classmethod
+    def of(cls, codes: np.ndarray, counts: np.ndarray, discount: float) -> Level:
+        contexts, where = np.unique(codes >> BITS, return_inverse=True)
+        total = np.bincount(where, counts, len(contexts))
+        share = np.maximum(counts - discount, 0) / total[where]
+        return cls(codes, share, contexts, np.bincount(where, np.minimum(counts, discount), len(contexts)) / total)
+
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions in sorted ``keys`` by binary search, and whether each wanted key is there."""
@@ -120,13 +146,7 @@ def _levels(codes: np.ndarray, counts: np.ndarray) -> list[Level]:
     """Kneser-Ney levels, longest first: raw counts at the top, numbers of different left neighbours below."""
     levels = []
     for order in range(ORDER, 0, -1):
-        contexts, where = np.unique(codes >> BITS, return_inverse=True)
-        total = np.bincount(where, counts)
-        ones, twos = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
-        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-        share = np.maximum(counts - discount, 0) / total[where]
-        rest = np.bincount(where, np.minimum(counts, discount)) / total
-        levels.append(Level(codes, share, contexts, rest))
+        levels.append(Level.of(codes, counts, _discount(np.count_nonzero(counts == 1), np.count_nonzero(counts == 2))))
         if order > 1:
             codes, counts = np.unique(codes & ((1 << BITS * (order - 1)) - 1), return_counts=True)
     return levels
@@ -137,26 +157,31 @@ def _probability(levels: list[Level], codes: np.ndarray) -> np.ndarray:
     result, weight = np.zeros(len(codes)), np.ones(len(codes))
     for order, level in zip(range(len(levels), 0, -1), levels, strict=True):
         at, there = _find(level.codes, codes)
-        result += np.where(there, weight * level.share[at], 0)
+        if len(level.codes):
+            result += np.where(there, weight * level.share[at], 0)
         at, there = _find(level.contexts, codes >> BITS)
-        weight = weight * np.where(there, level.rest[at], 1)
+        if len(level.contexts):
+            weight = weight * np.where(there, level.rest[at], 1)
         codes = codes & ((1 << BITS * (order - 1)) - 1)
     return result + weight / SYMBOLS
 
 
 @dataclass
-class CharacterModels:
-    """Models of all languages; ``codes`` and ``log_p`` (a column per language) answer for every n-gram seen."""
+class Shard:
+    """The part of all languages' models that answers for the codes of one shard."""
+
+    levels: list[list[Level]]
+    codes: np.ndarray = field(init=False)
+    log_p: np.ndarray = field(init=False)
 
-    langs: list[str]
-    levels: list[list[Level]] = field(default_factory=list)
-    codes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    log_p: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
+    def __post_init__(self):
+        self.codes = np.unique(np.concatenate([levels[0].codes for levels in self.levels]))
+        self.log_p = self._log_p(self.codes).astype(np.float32)
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         """Log-probability of each code in each language."""
         if not len(self.codes):
-            return np.zeros((len(codes), len(self.langs)))
+            return self._log_p(codes)
         at, there = _find(self.codes, codes)
         scores = self.log_p[at].astype(np.float64)
         missing = ~there
@@ -168,59 +193,131 @@ class CharacterModels:
         return np.stack([np.log(_probability(levels, codes)) for levels in self.levels], axis=1)
 
 
-def learn(labelled: DataFrame, max_ngrams: int = MAX_NGRAMS) -> CharacterModels:
-    """Models from rows (lang, text); rows with a null in either teach nothing."""
-    counts = stored(ngram_counts(labelled))
-    langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    models = CharacterModels(langs)
-    for lang in langs:
-        kept = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(max_ngrams).select("code", "n")
-        found = kept.toArrow()
-        codes, n = found["code"].to_numpy(), found["n"].to_numpy()
-        order = np.argsort(codes)
-        models.levels.append(_levels(codes[order], n[order].astype(np.float64)))
+@dataclass(frozen=True)
+class CharacterModels:
+    """Where the models of all languages are stored; ``discounts`` has those of each language, by order."""
+
+    langs: tuple[str, ...]
+    path: str
+    shards: int
+    discounts: tuple[tuple[float, ...], ...]
+
+
+def shard_of(code, shards: int):
+    """The shard of an n-gram of three characters or more: by the two characters before the last."""
+    pair = (1 << 2 * BITS) - 1
+    if isinstance(code, Column):
+        return F.shiftright(F.shiftright(code, BITS).bitwiseAND(F.lit(pair)) * F.lit(40503), 8) % shards
+    return ((((code >> BITS) & pair) * 40503) >> 8) % shards
+
+
+def _read(path: str) -> pa.Table:
+    """What Spark has stored in a folder that all machines share; nothing, if a shard had no rows."""
+    schema = pa.schema([("lang", pa.string()), ("level", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
+    system, place = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    if system.get_file_info(place).type != fs.FileType.Directory:
+        return schema.empty_table()
+    return dataset.dataset(place, schema=schema, format="parquet", filesystem=system).to_table()
+
+
+@lru_cache(maxsize=1)
+def _shard(models: CharacterModels, number: int) -> Shard:
+    rows = pa.concat_tables([_read(f"{models.path}/long/shard={number}"), _read(f"{models.path}/short")])
+    place = {lang: i for i, lang in enumerate(models.langs)}
+    names = rows["lang"].combine_chunks().dictionary_encode()
+    owner = np.array([place[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+    kind = owner * ORDER + rows["level"].to_numpy()
+    codes, n = rows["code"].to_numpy(), rows["n"].to_numpy()
+    order = np.lexsort((codes, kind))
+    ends = np.searchsorted(kind[order], np.arange(len(place) * ORDER + 1))
+    parts = [order[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+    return Shard([
+        [Level.of(codes[part], n[part].astype(np.float64), d) for part, d in zip(parts[i * ORDER : (i + 1) * ORDER], found, strict=True)]
+        for i, found in enumerate(models.discounts)
+    ])
+
+
+def learn(labelled: DataFrame, shard_ngrams: int = SHARD_NGRAMS) -> CharacterModels:
+    """Models from rows (lang, text); rows with a null in either teach nothing.
+
+    All n-grams stay. Those of three and four characters lie in shards; the shorter ones, which the alphabet bounds, go
+    with every shard.
+    """
+    levels = [level.withColumn("level", F.lit(i)) for i, level in enumerate(levels_of(ngram_counts(labelled)))]
+    times = {}
+    rare = reduce(DataFrame.unionByName, levels).groupBy("lang", "level")
+    for r in rare.agg(*(F.count(F.when(F.col("n") == k, 1)).alias(c) for k, c in ((1, "ones"), (2, "twos"))), F.count(F.lit(1)).alias("size")).collect():
+        times[r["lang"], r["level"]] = r
+    langs = tuple(sorted({lang for lang, _ in times}))
+    size = sum(r["size"] for (_, level), r in times.items() if level == 0) * max(1, len(langs) / 8)
+    shards, path = max(1, int(-(-size // shard_ngrams))), fresh_path(labelled.sparkSession, "langid")
     if langs:
-        models.codes = np.unique(np.concatenate([levels[0].codes for levels in models.levels]))
-        models.log_p = models._log_p(models.codes).astype(np.float32)
-    return models
+        columns = ["lang", "level", "code", "n"]
+        long = levels[0].unionByName(levels[1]).select(*columns, shard_of(F.col("code"), shards).alias("shard"))
+        long.write.partitionBy("shard").parquet(f"{path}/long")
+        levels[2].unionByName(levels[3]).select(*columns).write.parquet(f"{path}/short")
+    discounts = tuple(tuple(_discount(times[x, i]["ones"], times[x, i]["twos"]) for i in range(ORDER)) for x in langs)
+    return CharacterModels(langs, path, shards, discounts)
 
 
 def score(docs: DataFrame, models: CharacterModels, keys: list[str]) -> DataFrame:
     """``keys``, ``n`` (characters scored, 0 without letters) and ``ce``: mean cross-entropy in each language."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+    limit = SLICE if models.shards == 1 else HELD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        waiting: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, int, np.ndarray]] = []
+        size = 0
+
+        def told():
+            for kept, n, sums in waiting:
+                ce = -sums / np.maximum(n, 1)[:, None]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, pa.array(n), list_array(list(ce), pa.float64())], [*kept.schema.names, "n", "ce"]
+                )
+            waiting.clear()
+
         for batch in batches:
             n, sums = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, len(models.langs)))
-            held, owner, size = [], [], 0
+            waiting.append((batch.drop_columns(["_text"]), n, sums))
             for i, text in enumerate(batch.column("_text")):
                 for code in codes_of(text.as_py() or ""):
-                    held.append(code)
-                    owner.append(i)
+                    n[i] += len(code)
+                    held.append((code, i, sums))
                     size += len(code)
-                    if size >= SLICE:
-                        _add(models, held, owner, n, sums)
-                        held, owner, size = [], [], 0
-            _add(models, held, owner, n, sums)
-            ce = -sums / np.maximum(n, 1)[:, None]
-            kept = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(n), list_array(list(ce), pa.float64())], [*kept.schema.names, "n", "ce"]
-            )
+                    if size >= limit:
+                        _add(models, held)
+                        held, size = [], 0
+            if models.shards == 1 or not held:
+                _add(models, held)
+                held, size = [], 0
+                yield from told()
+        _add(models, held)
+        yield from told()
 
     narrow = docs.select(*keys, F.col("text").alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != "_text")
     return narrow.mapInArrow(run, f"{kept}, n long, ce array<double>")
 
 
-def _add(models: CharacterModels, held: list[np.ndarray], owner: list[int], n: np.ndarray, sums: np.ndarray) -> None:
-    if held:
-        lengths = np.array([len(c) for c in held])
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        scores = np.add.reduceat(models.score(np.concatenate(held)), starts, axis=0)
-        np.add.at(n, owner, lengths)
-        np.add.at(sums, owner, scores)
+def _add(models: CharacterModels, held: list[tuple[np.ndarray, int, np.ndarray]]) -> None:
+    """Adds the log-probabilities of each part of a text to the row of the sums that it belongs to."""
+    if not held or not models.langs:
+        return
+    codes, owner = np.concatenate([c for c, _, _ in held]), np.repeat(np.arange(len(held)), [len(c) for c, _, _ in held])
+    total = np.zeros((len(held), len(models.langs)))
+    for number in range(models.shards):
+        model = _shard(models, number)
+        for at in range(0, len(codes), SLICE):
+            part, row = codes[at : at + SLICE], owner[at : at + SLICE]
+            if models.shards > 1:
+                mine = shard_of(part, models.shards) == number
+                part, row = part[mine], row[mine]
+            if len(part):
+                starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                total[row[starts]] += np.add.reduceat(model.score(part), starts, axis=0)
+    for (_, i, sums), value in zip(held, total, strict=True):
+        sums[i] += value
 
 
 def _isotonic(n: list[float], right: list[float]) -> list[float]:

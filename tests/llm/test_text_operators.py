@@ -355,6 +355,38 @@ def test_language_models_are_distributions():
         assert langid._probability(levels, every).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("shard_ngrams", [2_000_000, 300])
+def test_language_scores_are_those_of_all_ngrams_in_shards_of_any_size(spark, monkeypatch, shard_ngrams):
+    import numpy as np
+
+    rng = random.Random(13)
+    rows = [(i, prose(rng, 200) if i % 2 else prose(rng, 150).translate(str.maketrans("aeiou", "éüøåw")), "aé"[i % 2], None, 0) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    models = langid.learn(df.select("lang", "text"), shard_ngrams)
+    assert (models.shards > 1) == (shard_ngrams == 300)
+    plain = []
+    for lang in models.langs:
+        codes, n = np.unique(np.concatenate([c for r in rows if r[2] == lang for c in langid.codes_of(r[1])]), return_counts=True)
+        plain.append(langid._levels(codes, n.astype(float)))
+    seen = df.unionByName(spark.createDataFrame([(100, "zzz qqq éa", None, None, 0), (101, None, None, None, 0)], SCHEMA))
+    texts = {r["doc_id"]: r["text"] or "" for r in seen.collect()}
+    got = langid.score(seen, models, ["doc_id"]).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        codes = np.concatenate([np.empty(0, np.int64), *langid.codes_of(texts[r["doc_id"]])])
+        want = [-np.log(langid._probability(levels, codes)).mean() if len(codes) else 0 for levels in plain]
+        assert r["n"] == len(codes) and r["ce"] == pytest.approx(want, rel=1e-5)
+
+
+def test_language_models_keep_ngrams_past_the_former_limit(spark):
+    rng = random.Random(14)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 2000)]
+    made = spark.createDataFrame([(i, "".join(rng.choices(letters, k=55_000)), "zh", None, 0) for i in range(40)], SCHEMA)
+    models = langid.learn(made.unionByName(made.where("doc_id < 4")).select("lang", "text"))
+    stored_ = spark.read.parquet(f"{models.path}/long").where("level = 0")
+    assert stored_.count() > 2_100_000 and 0.7 < models.discounts[0][0] < 0.9
+
+
 def test_languages_of_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r["doc_id"]: (r["lang"], r["text"]) for r in df.collect()}
