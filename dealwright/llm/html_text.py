@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from dealwright.llm.common import BATCH_BYTES, stored
 
-#: A subtree is template if it is on so many different pages of its host, and on such a part of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is template if it is on so many different pages of its host.
+MIN_PAGES = 5
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,6 +56,15 @@ OUTSIDE_NAMES = frozenset(
     "notification pager pagination popup promo promotion related reply replies respond share sharing sidebar signup skip "
     "social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that, within an article, may stand beside those names in a class or id that marks what is no part of it. Others
+#: tell that the name is about the text (``reply-to-critics``).
+STRUCTURE = frozenset(
+    "area articles bar block body bottom box btn button buttons center column container content fixed form group icons "
+    "inline inner item items left line link links list main middle nav outer panel post posts row section site slot small "
+    "sticky tool tools top right unit wrap wrapper".split()
+)
+#: Elements whose ids within an article are slugs of their text.
+SLUGGED = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are text of the article itself; within it, they are never taken for template.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre body html article main td th li dd dt".split())
 
@@ -68,6 +77,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_CLASS_OR_ID = re.compile(r"""(?<![\w-])(class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ROLE = re.compile(r"""\brole\s*=\s*["']?([a-zA-Z]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
@@ -171,9 +181,16 @@ def _is_outside(node: Node, in_article: bool) -> bool:
     role = _ROLE.search(node.attrs)
     if role and role[1].lower() in OUTSIDE_ROLES:
         return True
-    names = {w for value in _NAMED.findall(node.attrs) for w in _SPLIT.split(value.lower())}
-    names -= {"header", "banner"} if in_article else set()
-    return not names.isdisjoint(OUTSIDE_NAMES)
+    if not in_article:
+        return not OUTSIDE_NAMES.isdisjoint(w for value in _NAMED.findall(node.attrs) for w in _SPLIT.split(value.lower()))
+    for kind, value in _CLASS_OR_ID.findall(node.attrs):
+        if kind.lower() == "id" and node.tag in SLUGGED:
+            continue
+        for name in value.strip("\"'").lower().split():
+            words = {w for w in _SPLIT.split(name) if w and not w.isdigit()}
+            if (words - {"header", "banner"}) & OUTSIDE_NAMES and words <= OUTSIDE_NAMES | STRUCTURE:
+                return True
+    return False
 
 
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -217,51 +234,57 @@ def host_of(url: Column) -> Column:
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, subtree, page): block elements of each page once; ``page`` is the hash of all its content."""
+    """(host, k1, k2, page, subtrees): block elements of each page once; ``page`` is the hash of all its content."""
     for batch in batches:
-        hosts, subtrees, pages = [], [], []
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
+        pages, subtrees = [], []
+        for html in batch.column("html"):
             nodes = hash_subtrees(parse(html.as_py() or ""))
-            own = {n.hash for n in nodes if n.tag in BLOCK and n.tag not in ("html", "head", "body")}
-            hosts += [host] * len(own)
-            subtrees += own
-            pages += [nodes[0].hash] * len(own)
-        arrays = [pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(pages, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, ["host", "subtree", "page"])
+            subtrees.append(list({n.hash for n in nodes if n.tag in BLOCK and n.tag not in ("html", "head", "body")}))
+            pages.append(nodes[0].hash)
+        kept = [batch.column(c) for c in ("host", "_k1", "_k2")]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(pages, pa.int64()), pa.array(subtrees, pa.list_(pa.int64()))], ["host", "_k1", "_k2", "page", "subtrees"]
+        )
+
+
+def _named(pages: DataFrame) -> DataFrame:
+    """page_id, url and html with the host and two hashes of the html."""
+    html = F.coalesce("html", F.lit(""))
+    hashes = F.xxhash64(html).alias("_k1"), F.xxhash64(F.lit(1), html).alias("_k2")
+    return pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), *hashes)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): hashes of the subtrees that recur on at least ``min_pages`` different pages of a host and on
-    ``min_share`` of them. That share bounds the list: a host has at most as many as a page has elements, over it.
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, k1, k2, template): for each different page, by the hashes of its html, those of its own subtrees that recur
+    on at least ``min_pages`` different pages of its host. Pages without any have no row.
 
     Exact copies of a page are one page, so a page that is stored many times is not its own template.
     """
-    found = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_hashes, "host string, subtree long, page long")
-    once = found.distinct()
-    counts = once.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = once.groupBy("host").agg(F.approx_count_distinct("page", 0.01).alias("pages"))
-    recurring = counts.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return recurring.groupBy("host").agg(F.sort_array(F.collect_list("subtree")).alias("template"))
+    kinds = "host string, _k1 long, _k2 long, page long, subtrees array<long>"
+    found = stored(_named(pages).select("host", "_k1", "_k2", "html").mapInArrow(_hashes, kinds))
+    once = found.select("host", "page", "subtrees").dropDuplicates(["host", "page"]).select("host", F.explode("subtrees").alias("subtree"))
+    recurring = stored(once.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "subtree"))
+    rows = found.select("host", "_k1", "_k2", F.explode("subtrees").alias("subtree"))
+    return rows.join(recurring, ["host", "subtree"]).groupBy("host", "_k1", "_k2").agg(
+        F.sort_array(F.collect_set("subtree")).alias("template")
+    )
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Null or empty html, or a page without an article or other text, gives an empty text. A null url belongs to the host
     without name. Repeated rows give repeated rows; extra columns play no part.
     """
-    known = stored(templates(pages, min_pages, min_share))
-    named = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = named.join(known, "host", "left").select("page_id", "url", "html", "template")
+    known = stored(templates(pages, min_pages))
+    rows = _named(pages).join(known, ["host", "_k1", "_k2"], "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, set[int]] = {}
             start, texts, size = 0, [], 0
             for i in range(batch.num_rows):
                 hashes = batch.column("template")[i].as_py()
-                template = seen.setdefault(hash(tuple(hashes)), set(hashes)) if hashes else frozenset()
-                texts.append(main_text(batch.column("html")[i].as_py() or "", template))
+                texts.append(main_text(batch.column("html")[i].as_py() or "", frozenset(hashes or ())))
                 size += len(texts[-1])
                 if size >= BATCH_BYTES or i == batch.num_rows - 1:
                     kept = [batch.column(c).slice(start, i + 1 - start) for c in ("page_id", "url")]

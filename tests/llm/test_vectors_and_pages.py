@@ -247,6 +247,23 @@ def test_templates_of_sites_go_and_articles_stay(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_template_of_a_section_goes_however_large_the_host_is(spark):
+    rows = [(i, f"http://big/{i}", f"<div><p>own text {i}</p>{'<div>Section menu</div>' if i < 6 else ''}{'<div>rare</div>' if i < 4 else ''}</div>") for i in range(200)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"own text {i}" + ("\n\nrare" if i < 4 else "") for i in range(200)}
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<article><h2 id='related-work'>Related work</h2><p>a</p></article>", "Related work\n\na"),
+    ("<article><section id='social-policy'><p>a</p></section></article>", "a"),
+    ("<article><div class='reply-to-critics'><p>a</p></div></article>", "a"),
+    ("<article><p>a</p><div class='share-buttons'>x</div><div id=comments>y</div><div class='post-2 related'>z</div></article>", "a"),
+    ("<div class='reply-to-critics'>x</div><p>a</p>", "a"),
+])
+def test_slugs_within_an_article_are_its_text(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_text_of_the_given_pages(spark):
     import re
     from html import unescape
