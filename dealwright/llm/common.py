@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dealwright.session import fresh_path
 
@@ -78,3 +79,21 @@ def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         if np.array_equal(new, label):
             return label
         label = new
+
+
+#: Keys that more than one in so many rows have are copied to the rows instead of shuffled: there are fewer than that.
+HOT = 1_000
+
+
+def met(rows: DataFrame, values: DataFrame, keys: list[str], often: Column, row: str = "row") -> DataFrame:
+    """``rows`` left-joined with ``values``, one row per ``keys``, so that no key gathers many rows in one task.
+
+    ``often`` says which of the values are met by more than one in ``HOT`` of all rows; these are copied to every task
+    and their rows spread by ``row``.
+    """
+    added = [c for c in values.columns if c not in keys]
+    hot = values.where(often).select(*keys, *(F.col(c).alias(f"hot_{c}") for c in added), F.lit(True).alias("is_hot"))
+    salt = F.when(F.col("is_hot"), F.xxhash64(row).bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    seldom = values.where(~often).withColumn("salt", F.lit(0).cast("long"))
+    found = rows.join(F.broadcast(hot), keys, "left").withColumn("salt", salt).join(seldom, [*keys, "salt"], "left")
+    return found.select(*rows.columns, *(F.coalesce(f"hot_{c}", c).alias(c) for c in added))
