@@ -107,7 +107,9 @@ class BlendSettings:
 
 @dataclass(frozen=True)
 class TrainingSettings:
-    """``model`` is 'line' (age and distance), 'ridge' (all of ``features``) or 'bag' (that ridge, bagged)."""
+    """``model`` is 'line' (age and distance), 'ridge' (all of ``features``), 'bag' (that ridge, bagged) or 'absolute'
+    (all of ``features``, by absolute error). With ``general_folds`` the general model is bagged over as many folds;
+    with ``quantile_lines`` intervals come from quantile regression where a segment has rows enough for it."""
 
     min_rows_specific: int = 20
     min_rows_general: int = 10
@@ -117,6 +119,8 @@ class TrainingSettings:
     bag_folds: int = 5
     min_tail_rows: int = 10
     seed: int = 42
+    general_folds: int = 0
+    quantile_lines: bool = False
 
 
 @dataclass(frozen=True)
@@ -173,6 +177,8 @@ def settings_from_mappings(search: dict, model: dict) -> Settings:
             model=training.get("model", "line"),
             features=tuple(training.get("features", PRICE_FEATURES)),
             bag_folds=training.get("num_bag_folds", 5),
+            general_folds=general.get("num_bag_folds", 0),
+            quantile_lines=training.get("quantile_lines", False),
         ),
         search=DealSearch(
             min_discount_pct=search.get("minimum_discount_percent", 40),

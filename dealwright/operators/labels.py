@@ -122,7 +122,7 @@ def cell_bits(rows: int, min_cluster_size: int) -> int:
     return max(1, round(math.log2(max(1.0, rows / min_cluster_size)) + 1))
 
 
-def cluster_density(
+def cluster_cells(
     vectors: DataFrame,
     id_column: str,
     bands: int = 4,
@@ -133,7 +133,8 @@ def cluster_density(
     min_cosine: float = 0.2,
     min_share: float = 0.5,
 ) -> DataFrame:
-    """(id, cluster): groups of vectors that lie densely together, -1 for noise.
+    """(id, cluster): groups of vectors that share dense cells, -1 for noise: ``density.cluster_density`` at the price of
+    a few cells per vector, for very many texts and low similarities.
 
     Each band cuts the space into 2^bits cells by random hyperplanes, as many as the number of rows calls for. A cell
     keeps the vectors within ``min_cosine`` of its members' mean, and is dense if ``min_cluster_size`` rows are left.
@@ -259,7 +260,7 @@ def label_texts(df: DataFrame, column: str, fill: str, dimensions: int = 256, bi
     if texts.where(F.col("value") != fill).isEmpty():
         return unknown
     vectors = materialise(embed_text(texts, fit_embedder(texts, dimensions)))
-    clusters = cluster_density(vectors, "value", bits=bits, dimensions=dimensions, weight="weight")
+    clusters = cluster_cells(vectors, "value", bits=bits, dimensions=dimensions, weight="weight")
     members = drop_noise(clusters).join(vectors, "value")
     labelled = materialise(label_lookup(members, mode_per_cluster(members, "value", "weight")))
     names = labelled.select("label").distinct().limit(2).collect()

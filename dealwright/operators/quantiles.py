@@ -118,3 +118,53 @@ def exact_quantiles(
     if count_as:
         outputs.append(F.col("_n").alias(count_as))
     return rows.select(*keys, *outputs)
+
+
+#: Running sums of weights are compared up to this share of their total.
+WEIGHT_SLACK = 1e-9
+
+
+def weighted_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str, share: str | None = None, name: str = "quantile"
+) -> DataFrame:
+    """One row per group: the smallest value up to which the weights add up to their wanted part of the total.
+
+    ``share`` is the column with the part each row's weight calls for, half by default: the weighted median. Rows with a
+    null key, value or weight, or without a positive weight, count for nothing. As in ``exact_quantiles`` weights are
+    added up per cell of values, so that no group is sorted as a whole.
+    """
+    keys = list(keys)
+    called = F.col(share).cast("double") if share else F.lit(0.5)
+    rows = df.select(
+        *keys, F.col(value).cast("double").alias("_v"), F.col(weight).cast("double").alias("_c"), called.alias("_share")
+    )
+    present = [F.col(c).isNotNull() for c in [*keys, "_v"]]
+    rows = rows.where(reduce(lambda a, b: a & b, present)).where((F.col("_c") > 0) & ~F.isnan("_v"))
+    counts = (
+        rows.groupBy(*keys, value_cell(F.col("_v")).alias("_cell"), "_v")
+        .agg(F.sum("_c").alias("_c"), F.sum(F.col("_c") * F.col("_share")).alias("_called"))
+        .withColumnRenamed("_called", "_part")
+    )
+    group = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_cell")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = (
+        counts.groupBy(*keys, "_cell")
+        .agg(F.sum("_c").alias("_cc"), F.sum("_part").alias("_part"))
+        .withColumns(
+            {
+                "_n": F.struct(F.sum("_part").over(whole).alias("at"), F.sum("_cc").over(whole).alias("all")),
+                "_below": F.sum("_cc").over(group) - F.col("_cc"),
+            }
+        )
+    )
+    wanted, slack = F.col("_n.at"), F.col("_n.all") * WEIGHT_SLACK
+
+    def holding(below: Column, size: Column) -> Column:
+        return (below <= wanted + slack) & (below + size >= wanted - slack)
+
+    wanted_cells = cells.where(holding(F.col("_below"), F.col("_cc"))).select(*keys, "_cell", "_n", "_below")
+    held = counts.drop("_part").join(wanted_cells, [*keys, "_cell"]).withColumn("_cell", F.col("_cell").cast("string"))
+    held = _refined(held.select(*keys, "_cell", "_n", "_below", "_v", "_c"), keys, holding)
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("_v"))
+    reached = held.withColumn("_upto", upto).where(F.col("_upto") >= wanted - slack)
+    return reached.groupBy(*keys).agg(F.min("_v").alias(name))

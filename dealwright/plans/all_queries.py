@@ -6,6 +6,7 @@ from dealwright.plans import (  # noqa: F401
     history_queries,
     market_queries,
     model_queries,
+    robust_queries,
     source_queries,
     text_queries,
 )

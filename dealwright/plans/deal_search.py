@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from dealwright.config import DealSearch, OutlierSettings, TrainingSettings
-from dealwright.operators import deals, filters, outliers, train, value
+from dealwright.operators import deals, filters, outliers, robust, train, value
 from dealwright.session import materialise
 from dealwright.sources.tables import scan_segments
 
 
 def price_features(training: TrainingSettings) -> Sequence[str] | None:
     """What the segment models price on; None stands for the line in age and distance."""
-    if training.model not in ("line", "ridge", "bag"):
+    if training.model not in ("line", "ridge", "bag", "absolute"):
         raise ValueError(f"unknown segment model {training.model!r}")
     return None if training.model == "line" else training.features
 
@@ -24,6 +24,8 @@ def fit_segments(rows: DataFrame, training: TrainingSettings = TrainingSettings(
     features = price_features(training)
     if features is None:
         return train.train_specific(rows)
+    if training.model == "absolute":
+        return robust.train_absolute(rows, features)
     folds = training.bag_folds if training.model == "bag" else 0
     return train.train_ridge(rows, features, alpha=training.ridge_alpha, folds=folds, seed=training.seed)
 

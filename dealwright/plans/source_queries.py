@@ -113,6 +113,72 @@ def sink_segment(spark, sf_dir):
     )
 
 
+@query(
+    "sink_segment_again",
+    f"""WITH {LISTINGS_SQL},
+    stored AS (SELECT make, model, listing_id, odometer + (make = 'Brand#7' AND model = 'STANDARD')::INT AS odometer FROM listings
+               WHERE NOT (make = 'Brand#7' AND model = 'STANDARD' AND odometer = 4000))
+    SELECT make, model, count(*) AS n, sum(odometer) AS km FROM stored GROUP BY ALL""",
+)
+def sink_segment_again(spark, sf_dir):
+    """One segment fetched and saved again, with other distances and without some listings: the others stay."""
+    path = fresh_path(spark, "listings")
+    df = listings(spark, sf_dir, "listing_id", "make", "model", "odometer")
+    tables.sink_segments(df, path)
+    again = tables.scan_segment(df, "Brand#7", "STANDARD").where("odometer <> 4000").withColumn("odometer", F.col("odometer") + 1)
+    for _ in range(2):  # a job that is run again changes nothing
+        tables.sink_segments(again, path)
+    return tables.scan_all_segments(spark, path).groupBy(*SEGMENT).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("odometer").alias("km")
+    )
+
+
+def changing_pages(spark, sf_dir):
+    """Landed pages whose records differ: those of 1998 have a field that the schema does not name, and the year of those
+    with the shortest distance is a word."""
+    records = listings(spark, sf_dir, "listing_id", "make", "model", "title", "odometer", "year").withColumn(
+        "page", F.substring(F.md5("listing_id"), 1, 1)
+    )
+    plain = F.to_json(F.struct(F.col("listing_id").alias("ListingId"), F.col("title").alias("Title"), F.col("odometer").alias("Odometer")))
+    year = F.when(F.col("odometer") == 4000, F.lit('"unread"')).otherwise(F.col("year").cast("string"))
+    more = F.when(F.col("year") == 1998, F.lit(',"Shipping":{"way":"pick up","days":3}')).otherwise(F.lit(""))
+    text = F.concat(F.expr("substring({0}, 1, length({0}) - 1)".format("plain")), F.lit(',"Year":'), year, more, F.lit("}"))
+    rows = records.withColumn("plain", plain).select(*SEGMENT, "page", text.alias("record"))
+    found = rows.groupBy(*SEGMENT, "page").agg(
+        F.concat(F.lit('{"TotalCount":1,"List":['), F.concat_ws(",", F.collect_list("record")), F.lit("]}")).alias("value")
+    )
+    path = fresh_path(spark, "changing")
+    found.select(*SEGMENT, "value").write.partitionBy(*SEGMENT).option("maxRecordsPerFile", 1).text(path)
+    return pages.explode_variant_pages(pages.read_variant_pages(spark, path))
+
+
+@query(
+    "ingest_changing_pages",
+    f"""WITH {LISTINGS_SQL}
+    SELECT make, model, listing_id, title, odometer, year, CASE WHEN year = 1998 THEN 'pick up' END AS shipping_way,
+           CASE WHEN year = 1998 THEN 3 END AS shipping_days FROM listings WHERE odometer <> 4000""",
+)
+def ingest_changing_pages(spark, sf_dir):
+    """Listings stored with what the schema does not name, and read again with that field typed."""
+    path = fresh_path(spark, "changing-listings")
+    tables.sink_segments(changing_pages(spark, sf_dir)[0], path)
+    read = pages.with_extra(tables.scan_all_segments(spark, path), {"Shipping": "struct<way:string,days:int>"})
+    return read.select(
+        *SEGMENT, "listing_id", "title", "odometer", "year", F.col("shipping.way").alias("shipping_way"),
+        F.col("shipping.days").alias("shipping_days"),
+    )
+
+
+@query(
+    "ingest_quarantine",
+    f"""WITH {LISTINGS_SQL}
+    SELECT make, model, listing_id, 'Year is no int' AS reason FROM listings WHERE odometer = 4000""",
+)
+def ingest_quarantine(spark, sf_dir):
+    bad = changing_pages(spark, sf_dir)[1]
+    return bad.select(*SEGMENT, F.get_json_object("payload", "$.ListingId").alias("listing_id"), "reason")
+
+
 @query(
     "load_combined_column",
     f"""WITH {LISTINGS_SQL}

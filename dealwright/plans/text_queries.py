@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from dealwright.config import SEGMENT, FeatureSettings
 from dealwright.functions import parsing
-from dealwright.operators import clean, extract, filters, labels, match, outliers
+from dealwright.operators import clean, density, extract, filters, labels, match, outliers
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
 from dealwright.session import materialise
@@ -331,7 +331,7 @@ def typed_segments(spark, sf_dir, similarity):
 
 # --- Labels -------------------------------------------------------------------------------------------------
 
-CLUSTER_SQL = """
+CELLS_SQL = """
 RECURSIVE width AS (SELECT greatest(1, round(log2(greatest(1, count(*) / 10.0)) + 1))::INT AS bits FROM embeddings),
 planes AS (
   SELECT b, k, list(CASE WHEN substr(md5(b || '|' || k || '|' || d), 1, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0 END
@@ -362,9 +362,34 @@ modes AS (SELECT cluster, label FROM (SELECT cluster, label, count(*) AS n FROM
           QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) = 1)"""
 
 
+@query("cluster_cells", f"WITH {CELLS_SQL} SELECT vec_id, cluster FROM clustered")
+def cluster_cells(spark, sf_dir):
+    return labels.cluster_cells(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
+#: Cosine from which the given vectors, which have little structure, count as neighbours.
+NEAR = 0.3
+CLUSTER_SQL = f"""
+RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.x, b.x), 9) AS c
+          FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE round(list_cosine_similarity(a.x, b.x), 9) >= {NEAR}),
+cores AS (SELECT a AS core FROM pairs GROUP BY a HAVING count(*) + 1 >= 10),
+links AS (SELECT a, b FROM pairs SEMI JOIN cores ON a = core WHERE b IN (SELECT core FROM cores)),
+reach AS (SELECT core AS node, core AS root FROM cores UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node),
+components AS (SELECT node, min(root) AS component FROM reach GROUP BY node),
+border AS (SELECT a AS node, arg_max(b, (c, -b)) AS core FROM pairs
+           WHERE b IN (SELECT core FROM cores) AND a NOT IN (SELECT core FROM cores) GROUP BY a),
+clustered AS (
+  SELECT e.vec_id, e.label, coalesce(own.component, near.component, -1)::BIGINT AS cluster
+  FROM e LEFT JOIN components own ON own.node = e.vec_id LEFT JOIN border b ON b.node = e.vec_id
+       LEFT JOIN components near ON near.node = b.core),
+modes AS (SELECT cluster, label FROM (SELECT cluster, label, count(*) AS n FROM clustered WHERE cluster <> -1 GROUP BY ALL)
+          QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) = 1)"""
+
+
 def clustered(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    return labels.cluster_density(vectors, "vec_id").join(vectors.select("vec_id", "label"), "vec_id")
+    return density.cluster_density(vectors, "vec_id", NEAR).join(vectors.select("vec_id", "label"), "vec_id")
 
 
 @query("cluster_density", f"WITH {CLUSTER_SQL} SELECT vec_id, cluster FROM clustered")

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from dealwright.config import BlendSettings, OutlierSettings, TrainingSettings
-from dealwright.operators import filters, outliers, train, value
+from dealwright.operators import filters, outliers, robust, stacking, train, value
 from dealwright.plans.deal_search import fit_segments, price_features
 from dealwright.session import materialise
 
@@ -19,7 +19,7 @@ class Models:
 
     specific: DataFrame
     general: train.GeneralModel | None
-    quantiles: train.QuantileModel | None = None
+    quantiles: train.QuantileModel | robust.QuantileRegression | None = None
     tails: DataFrame | None = None
     training: TrainingSettings = TrainingSettings()
 
@@ -56,12 +56,19 @@ def train_models(
     if outlier_settings.method != "none":
         rows = materialise(outliers.remove_outliers(rows, outlier_settings))
     large = rows.where(rows["_segment_rows"] >= training.min_rows_specific).drop("_segment_rows")
-    general = train.train_general(rows.where(rows["_segment_rows"] >= training.min_rows_general).drop("_segment_rows"))
+    pooled = rows.where(rows["_segment_rows"] >= training.min_rows_general).drop("_segment_rows")
+    if training.general_folds:
+        general = stacking.train_general_bag(pooled, training.general_folds, training.seed)
+    else:
+        general = train.train_general(pooled)
     rows = rows.drop("_segment_rows")
+    quantiles = train.train_quantiles(train.add_bands(rows))
+    if training.quantile_lines:
+        quantiles = robust.train_quantile_regression(rows, fallback=quantiles)
     return Models(
         fit_segments(large, training),
         general,
-        train.train_quantiles(train.add_bands(rows)),
+        quantiles,
         train_tails(rows, training),
         training,
     )
@@ -79,6 +86,11 @@ def save_models(models: Models, path: str) -> None:
         g.model_effects.write.parquet(f"{path}/general/models")
     if models.quantiles:
         q = models.quantiles
+        if isinstance(q, robust.QuantileRegression):
+            q.lines.write.parquet(f"{path}/quantiles/lines")
+            named = json.dumps({"features": q.features, "keys": q.keys, "levels": dict(q.levels)})
+            spark.createDataFrame([(named,)], "settings string").write.parquet(f"{path}/quantiles/line_settings")
+            q = q.fallback
         q.leaves.write.parquet(f"{path}/quantiles/leaves")
         q.segments.write.parquet(f"{path}/quantiles/segments")
         overall = [(json.dumps({"overall": dict(q.overall), "leaf": q.leaf_keys, "segment": q.segment_keys, "rows": q.min_leaf_rows}),)]
@@ -104,6 +116,10 @@ def load_models(spark: SparkSession, path: str) -> Models:
         q["overall"], tuple(q["leaf"]), tuple(q["segment"]), q["rows"],
     )
     training["features"] = tuple(training["features"])
+    if training.get("quantile_lines"):
+        named = settings("quantiles/line_settings")
+        lines = spark.read.parquet(f"{path}/quantiles/lines")
+        quantiles = robust.QuantileRegression(lines, tuple(named["features"]), tuple(named["keys"]), named["levels"], quantiles)
     return Models(
         spark.read.parquet(f"{path}/specific"), general, quantiles, spark.read.parquet(f"{path}/tails"), TrainingSettings(**training)
     )

@@ -9,24 +9,42 @@ from pyspark.sql import functions as F
 
 from dealwright.config import SEGMENT
 from dealwright.functions.parsing import segment_part
+from dealwright.session import materialise
 
 ROWS_PER_FILE = 2_000_000
 
 
-def sink_segments(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def sink_segments(df: DataFrame, path: str, mode: str = "overwrite", replace_all: bool = False) -> None:
     """Write listings partitioned by make and model.
 
-    The rebalance hint lets adaptive execution cut a large segment into several writers.
+    Segments that ``df`` holds take the place of what is stored of them, all others stay as they are; ``replace_all`` lets
+    the table hold ``df`` alone. A segment's new files appear together when the job commits, so a job that fails or is
+    run again changes nothing twice. The rebalance hint lets adaptive execution cut a large segment into several writers.
     """
     (
         df.hint("rebalance", *SEGMENT)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "static" if replace_all else "dynamic")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy(*SEGMENT)
         .parquet(path)
     )
 
 
+def compact_segments(spark: SparkSession, path: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """Rewrite the segments that appends have left in more than twice the files they need; returns them with their files.
+
+    Only their folders are read and replaced.
+    """
+    files = scan_all_segments(spark, path).groupBy(*SEGMENT).agg(
+        F.countDistinct(F.col("_metadata.file_path")).alias("n_files"), F.count(F.lit(1)).alias("n")
+    )
+    scattered = materialise(files.where(F.col("n_files") > 2 * F.ceil(F.col("n") / rows_per_file)))
+    if not scattered.isEmpty():
+        sink_segments(materialise(scan_all_segments(spark, path).join(scattered.select(*SEGMENT), list(SEGMENT), "left_semi")), path)
+    return scattered
+
+
 def scan_all_segments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -150,7 +150,7 @@ def test_clusters_separate_tight_groups_and_leave_noise(spark):
     rows = [(f"{g}-{i}", (centres[g] + rng.normal(0, 0.01, 16)).tolist()) for g in range(3) for i in range(30)]
     rows += [("lonely", rng.normal(size=16).tolist())]
     df = spark.createDataFrame(rows, "id string, embedding array<double>")
-    got = {r.id: r.cluster for r in labels.cluster_density(df, "id", bits=12, dimensions=16).collect()}
+    got = {r.id: r.cluster for r in labels.cluster_cells(df, "id", bits=12, dimensions=16).collect()}
     groups = [{got[f"{g}-{i}"] for i in range(30)} - {labels.NOISE} for g in range(3)]
     assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and got["lonely"] == labels.NOISE
 
@@ -161,7 +161,7 @@ def test_planted_clusters_come_out_pure_at_any_size(spark, n):
     centres = rng.normal(size=(10, 64))
     rows = [(i, i % 12, (centres[i % 12] + rng.normal(0, 0.25, 64) if i % 12 < 10 else rng.normal(size=64)).tolist()) for i in range(n)]
     df = spark.createDataFrame(rows, "id int, truth int, embedding array<double>")
-    got = labels.cluster_density(df, "id").join(df.select("id", "truth"), "id").toPandas()
+    got = labels.cluster_cells(df, "id").join(df.select("id", "truth"), "id").toPandas()
     found = got[got.cluster != labels.NOISE]
     purity = found.groupby("cluster")["truth"].agg(lambda t: t.value_counts().iloc[0]).sum() / len(found)
     planted = got[got.truth < 10]
@@ -171,7 +171,7 @@ def test_planted_clusters_come_out_pure_at_any_size(spark, n):
 
 def test_weights_count_rows(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0], 12), ("b", [-1.0, 0.5], 3)], "id string, embedding array<double>, w int")
-    got = {r.id: r.cluster for r in labels.cluster_density(df, "id", bits=4, dimensions=2, weight="w").collect()}
+    got = {r.id: r.cluster for r in labels.cluster_cells(df, "id", bits=4, dimensions=2, weight="w").collect()}
     assert got["a"] != labels.NOISE and got["b"] == labels.NOISE
 
 
