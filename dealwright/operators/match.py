@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealwright.functions.scoring import best_option, edit_similarity
+from dealwright.functions.scoring import best_option, edit_similarity, weighted_ratio
 from dealwright.session import materialise
 
 CHUNK = 5000
@@ -30,6 +30,30 @@ def fuzzy_match(df: DataFrame, column: str, options: Sequence[str], threshold: f
     ).drop("_best")
 
 
+def fuzzy_match_weighted(df: DataFrame, column: str, options: Sequence[str], threshold: float = 80) -> DataFrame:
+    """As ``fuzzy_match``, by the weighted ratio: words may be swapped, added or cut.
+
+    Each distinct text is compared once. The first option wins a tie; a null or blank text matches nothing.
+    """
+    texts = df.select(column).distinct()
+    # one row per option: a literal in every place would repeat the whole expression per option
+    known = F.array(*(F.struct(F.lit(-i).alias("preference"), F.lit(str(o)).alias("option")) for i, o in enumerate(options)))
+    scored = texts.select(column, F.explode(known).alias("_o")).select(
+        column, F.struct(weighted_ratio(F.col(column), F.col("_o.option")).alias("score"), "_o.preference", "_o.option").alias("_s")
+    )
+    best = materialise(scored.groupBy(column).agg(F.max("_s").alias("_best")))
+    out = df.join(best.withColumnRenamed(column, "_text"), F.col(column).eqNullSafe(F.col("_text")), "left").drop("_text")
+    score = F.coalesce(F.col("_best.score"), F.lit(0))
+    accepted = score >= threshold
+    return out.withColumns(
+        {
+            "match_score": score,
+            "matched": F.when(accepted, F.col("_best.option")),
+            "match_note": F.when(~accepted, "not recognised").when(score < 100, "corrected"),
+        }
+    ).drop("_best")
+
+
 def in_chunks(df: DataFrame, columns: Sequence[str], chunk: int = CHUNK) -> tuple[DataFrame, int]:
     """The rows of a candidate table as arrays of about ``chunk`` structs: (chunk, options), and how many."""
     n = max(1, -(-df.count() // chunk))

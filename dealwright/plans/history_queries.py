@@ -1,16 +1,19 @@
 """Queries over listings seen repeatedly and arriving as a stream."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from dealwright.config import SEGMENT
-from dealwright.operators import deals, history, train
-from dealwright.plans import model_sql
+from dealwright.config import SEGMENT, OutlierSettings
+from dealwright.operators import deals, history, sampling, train
+from dealwright.plans import model_sql, valuation
 from dealwright.plans.base import features
 from dealwright.plans.catalog import query
-from dealwright.plans.model_queries import DEAL_SQL, rounded, scored_listings
+from dealwright.plans.clean_queries import SPLIT_SQL
+from dealwright.plans.model_queries import DEAL_SQL, MODEL_INPUT, rounded, scored_listings
 from dealwright.session import fresh_path, materialise
 from dealwright.sources.listings import FEATURES_SQL, table
 from dealwright.streaming import scoring as stream
+from dealwright.streaming import stateful
 
 ARRIVALS_SQL = """
 arrivals AS (SELECT event_id, ts, user_id AS listing_id, event_type AS model, value AS price,
@@ -49,6 +52,102 @@ def stream_score(spark, sf_dir):
     return rounded(out, four=("prediction_label", "discount_pct"))
 
 
+@query(
+    "stream_score_listings",
+    f"""WITH {SPLIT_SQL}, train AS (SELECT * FROM split WHERE NOT is_oos),
+    {model_sql.gate("train", 20, "large")}, {model_sql.gate("train", 10, "wide")},
+    {model_sql.specific("large")}, {model_sql.general("wide")},
+    oos AS (SELECT * FROM split WHERE is_oos), {model_sql.predicted("oos", "p0")},
+    estimates AS (SELECT listing_id, make, model, price, {model_sql.BLENDED} AS e FROM p0)
+    SELECT listing_id, make, model, round(e, 2) AS prediction_label, round((e - price) / nullif(e, 0) * 100, 4) AS discount_pct
+    FROM estimates""",
+)
+def stream_score_listings(spark, sf_dir):
+    """Held-out listings arrive, one part of them twice, and are valued by stored models of all others."""
+    rows = materialise(sampling.oos_split(materialise(features(spark, sf_dir, *MODEL_INPUT))))
+    models, landed = fresh_path(spark, "models"), fresh_path(spark, "arriving")
+    valuation.save_models(
+        valuation.train_models(rows.where("NOT is_oos").drop("is_oos"), outlier_settings=OutlierSettings(method="none")), models
+    )
+    new = rows.where("is_oos").drop("is_oos").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.pmod(F.xxhash64("listing_id"), F.lit(3600))))
+    new.write.parquet(landed)
+    new.where("model = 'STANDARD'").write.mode("append").parquet(landed)
+    scored = stream.score_listings(spark.readStream.schema(new.schema).parquet(landed), valuation.load_models(spark, models))
+    path = fresh_path(spark, "valued")
+    stream.append_to(
+        scored.select("listing_id", *SEGMENT, "prediction_label", "discount_pct"), path, fresh_path(spark, "valued-progress")
+    ).awaitTermination()
+    return spark.read.parquet(path).select(
+        "listing_id", *SEGMENT, F.round("prediction_label", 2).alias("prediction_label"), F.round("discount_pct", 4).alias("discount_pct")
+    )
+
+
+def run_with_state(spark, stream_rows, name):
+    """The rows that a stream with state appends while it reads what is there."""
+    path = fresh_path(spark, name)
+    with stateful.state_store(spark):
+        query = stream.append_to(stream_rows, path, fresh_path(spark, f"{name}-progress"))
+    query.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query(
+    "stream_price_moves",
+    f"""WITH {ARRIVALS_SQL},
+    moves AS (SELECT event_id, listing_id, ts, price, lag(price) OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS previous FROM arrivals)
+    SELECT event_id, listing_id, price, previous, round(price - previous, 4) AS move FROM moves
+    WHERE ts < (SELECT max(ts) FROM arrivals) - INTERVAL 25 HOURS""",
+)
+def stream_price_moves(spark, sf_dir):
+    """Moves that the watermark has passed by an hour; the others come with later arrivals."""
+    newest = arrivals(spark, sf_dir).agg(F.max("ts") - F.expr("INTERVAL 25 HOURS")).first()[0]
+    moves = stateful.price_moves(stream.read_arrivals(spark, sf_dir, "events.parquet"))
+    out = run_with_state(spark, moves, "moves").where(F.col("ts") < F.lit(newest))
+    return out.select("event_id", "listing_id", "price", "previous", F.round("move", 4).alias("move"))
+
+
+@query(
+    "stream_daily_digest",
+    f"""WITH {ARRIVAL_MODEL_SQL},
+    per_listing AS (SELECT strftime(ts, '%Y-%m-%d') AS day, listing_id, max(struct_pack(d := discount_pct, p := price)) AS best
+                    FROM scored WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM arrivals) - INTERVAL 25 HOURS GROUP BY ALL)
+    SELECT day, row_number() OVER (PARTITION BY day ORDER BY best.d DESC, listing_id)::INT AS place, listing_id,
+           round(best.d, 4) AS discount_pct, best.p AS price FROM per_listing QUALIFY place <= 10""",
+)
+def stream_daily_digest(spark, sf_dir):
+    """The ten best listings of each day, told when the watermark has passed the day."""
+    newest = arrivals(spark, sf_dir).agg(F.date_format(F.max("ts") - F.expr("INTERVAL 49 HOURS"), "yyyy-MM-dd")).first()[0]
+    models = materialise(arrival_models(spark, sf_dir))
+    found = stream.deals_of(stream.read_arrivals(spark, sf_dir, "events.parquet"), models)
+    told = run_with_state(spark, stateful.best_of_days(found), "digest")
+    out = stateful.digest(told.where(F.col("day") <= F.lit(newest)))
+    return out.withColumn("discount_pct", F.round("discount_pct", 4))
+
+
+@query(
+    "stream_alerts",
+    f"""WITH {ARRIVAL_MODEL_SQL},
+    watches AS (SELECT row_number() OVER (ORDER BY model) AS watch_id, model, min(price) * 2 AS budget FROM arrivals GROUP BY model)
+    SELECT DISTINCT watch_id, listing_id FROM scored JOIN watches USING (model) WHERE price <= budget""",
+)
+def stream_alerts(spark, sf_dir):
+    """Searches and the listings that have met them, from a stream that tells each pair once."""
+    models = materialise(arrival_models(spark, sf_dir))
+    budgets = arrivals(spark, sf_dir).groupBy("model").agg((F.min("price") * 2).alias("budget"))
+    watches = materialise(  # a row per model
+        budgets.select(
+            F.row_number().over(Window.orderBy("model")).cast("long").alias("watch_id"), F.lit("any").alias("make"), "model",
+            "budget", F.lit(None).cast("string").alias("region"),
+        )
+    )
+    found = stream.deals_of(stream.read_arrivals(spark, sf_dir, "events.parquet"), models).withColumns(
+        {"make": F.lit("any"), "region": F.lit("everywhere")}
+    )
+    path = fresh_path(spark, "alerts")
+    stream.append_to(stateful.alerts(found, watches), path, fresh_path(spark, "alerts-progress")).awaitTermination()
+    return spark.read.parquet(path).select("watch_id", "listing_id").distinct()
+
+
 @query(
     "stream_daily_counts",
     f"""WITH {ARRIVALS_SQL},

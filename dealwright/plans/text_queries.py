@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from dealwright.config import SEGMENT, FeatureSettings
-from dealwright.functions import parsing
+from dealwright.functions import parsing, scoring
 from dealwright.operators import clean, density, extract, filters, labels, match, outliers
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
@@ -293,6 +293,42 @@ def fuzzy_match(spark, sf_dir):
     return match.fuzzy_match(orders, "o_orderpriority", PRIORITIES)
 
 
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+#: What users type for a type: its words swapped with the brand's, and cut.
+SWAPPED = "concat(substr(p_type, 1, 4 + p_size % 5), ' ', lower(p_brand))"
+OPTIONS_SQL = ", ".join(f"({i}, 'Brand 1 {o}')" for i, o in enumerate(TYPES))
+
+
+@query(
+    "fuzzy_words",
+    f"""WITH options AS (SELECT * FROM (VALUES {OPTIONS_SQL}) t(i, o)),
+    typed AS (SELECT DISTINCT {SWAPPED} AS typed FROM part),
+    pairs AS (SELECT typed, o, list_sort(string_split(trim(regexp_replace(lower(typed), '[^a-z0-9]+', ' ', 'g')), ' ')) AS a,
+                     list_sort(string_split(lower(o), ' ')) AS b FROM typed, options),
+    texts AS (SELECT typed, o, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b FROM pairs),
+    letters AS (SELECT typed, o, a, b, list_transform(string_split(a, ''), lambda c: [ord(c)]) AS x,
+                       list_transform(string_split(b, ''), lambda c: ord(c)) AS y FROM texts),
+    rows AS (SELECT typed, o, a, b, list_reduce(list_concat([list_transform(range(len(y) + 1), lambda z: 0)], x), lambda last, c:
+               list_reduce(list_concat([[0]], list_transform(range(1, len(y) + 1), lambda j: [j::INT])), lambda found, j:
+                 list_append(found, CASE WHEN y[j[1]] = c[1] THEN last[j[1]] + 1 ELSE greatest(last[j[1] + 1], found[j[1]]) END))) AS r
+             FROM letters)
+    SELECT typed, o AS option, round(200.0::DOUBLE * r[-1] / (length(a) + length(b)))::INT AS score FROM rows""",
+)
+def fuzzy_words(spark, sf_dir):
+    """The ratio of sorted words of every typed text with every option."""
+    typed = table(spark, sf_dir, "part").select(F.expr(SWAPPED).alias("typed")).distinct()
+    rows = typed.select("typed", F.explode(F.array(*(F.lit(f"Brand 1 {o}") for o in TYPES))).alias("option"))
+    words = (scoring.in_order(scoring.plain_words(F.col(c))) for c in ("typed", "option"))
+    return rows.select("typed", "option", scoring.common_ratio(*words).alias("score"))
+
+
+@query("fuzzy_match_weighted")
+def fuzzy_match_weighted(spark, sf_dir):
+    """The type that each text stands for, by the weighted ratio of plain, sorted, shared and partial words."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.expr(SWAPPED).alias("typed"))
+    return match.fuzzy_match_weighted(parts, "typed", [f"Brand 1 {o}" for o in TYPES])
+
+
 TYPED = "concat(replace(p_brand, 'Brand#', 'brnd '), ' ', replace(p_type, 'A', 'E'), ' ', p_size)"
 
 

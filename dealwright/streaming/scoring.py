@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from dealwright.operators import deals
+from dealwright.operators import deals, value
+from dealwright.plans import valuation
 
 ARRIVALS = T.StructType(
     [
@@ -54,6 +55,27 @@ def score_arrivals(arrivals: DataFrame, models: DataFrame, delay: str = "1 day",
     )
 
 
+def deals_of(arrivals: DataFrame, models: DataFrame) -> DataFrame:
+    """Estimate and discount of every arrival, repeated ones too, for steps that tell them apart by themselves."""
+    scored = arrivals.join(models, "model").withColumn(
+        "prediction_label", F.col("intercept") + F.col("slope") * F.col("odometer")
+    )
+    return deals.add_discount(scored).drop("intercept", "slope")
+
+
+def score_listings(
+    arrivals: DataFrame, models: valuation.Models, delay: str = "1 day", ts: str = "ts", id_column: str = "listing_id"
+) -> DataFrame:
+    """New listings valued by the models that deal search and valuation use, each once within ``delay``.
+
+    ``arrivals`` are cleaned listings with an event time. The stored models are joined by make and model, so segments of one
+    model name under two makes stay apart; small segments lean on the general model as in ``valuation``.
+    """
+    fresh = arrivals.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_column])
+    valued = value.drop_models(valuation.predict_with_confidence(fresh, models))
+    return deals.add_discount(valued)
+
+
 def daily_counts(arrivals: DataFrame, delay: str = "1 day") -> DataFrame:
     """New listings and mean ask per day and segment, final once the watermark has passed the day."""
     return (

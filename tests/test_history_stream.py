@@ -4,7 +4,7 @@ import pytest
 
 from dealwright.operators import history
 from dealwright.session import fresh_path
-from dealwright.streaming import scoring
+from dealwright.streaming import scoring, stateful
 
 
 def at(day, hour=0):
@@ -57,3 +57,42 @@ def test_stream_scores_each_arrival_once_across_restarts(spark, tmp_path):
     deliver([first, (2, at(1, 1), 9, "view", 150.0, '{"k": 50}')])
     got = {r.event_id: r.discount_pct for r in spark.read.parquet(out).collect()}
     assert spark.read.parquet(out).count() == 2 and got == {1: 50.0, 2: 0.0}
+
+
+def test_streamed_moves_and_digest_are_those_of_the_batch_with_late_and_repeated_files(spark, tmp_path):
+    source, moves, told = str(tmp_path / "in"), fresh_path(spark, "moves"), fresh_path(spark, "told")
+    progress = {p: fresh_path(spark, "progress") for p in (moves, told)}
+    columns = "event_id long, ts timestamp, listing_id long, price double, discount_pct double"
+    files = [
+        [(1, at(1, 3), 7, 100.0, 5.0), (2, at(1, 9), 7, 90.0, 9.0), (3, at(1, 9), 8, 50.0, 7.0)],
+        [(4, at(1, 6), 7, 95.0, 6.0), (2, at(1, 9), 7, 90.0, 9.0), (5, at(2, 1), 8, None, 1.0)],  # late, and repeated
+        [(6, at(2, 20), 8, 40.0, 30.0), (7, at(2, 20), 7, 80.0, 30.0), (8, at(2, 21), 9, 10.0, 2.0)],
+        [(1, at(1, 3), 7, 100.0, 5.0), (9, at(4, 23), 1, 1.0, 1.0)],
+        [(10, at(9), 1, 1.0, 1.0), (11, at(2, 20), 8, 1.0, 99.0)],  # long after its time: left out
+    ]
+    with stateful.state_store(spark):
+        for rows in files:
+            spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+            for path, step in ((moves, stateful.price_moves), (told, lambda s: stateful.best_of_days(s, n=2))):
+                stream = spark.readStream.schema(columns).parquet(source)
+                scoring.append_to(step(stream), path, progress[path]).awaitTermination()
+    all_rows = {r[0]: r for rows in files for r in rows if r[0] < 10}
+    batch = spark.createDataFrame(list(all_rows.values()), columns)
+    want = {r.event_id: (r.previous, r.move) for r in history.price_moves(batch).collect()}
+    got = {r.event_id: (r.previous, r.move) for r in spark.read.parquet(moves).collect()}
+    assert got == want and spark.read.parquet(moves).count() == 9
+    best = stateful.digest(spark.read.parquet(told), 2).orderBy("day", "place").collect()
+    assert [(r.day, r.place, r.listing_id) for r in best] == [
+        ("2024-01-01", 1, 7), ("2024-01-01", 2, 8), ("2024-01-02", 1, 7), ("2024-01-02", 2, 8), ("2024-01-04", 1, 1)
+    ]
+
+
+def test_alerts_come_once_per_search_and_listing(spark, tmp_path):
+    source, out, progress = str(tmp_path / "in"), fresh_path(spark, "out"), fresh_path(spark, "progress")
+    columns = "listing_id long, make string, model string, region string, ts timestamp, price double, discount_pct double"
+    watches = spark.createDataFrame([(1, "A", "x", 100.0, None), (2, "A", "x", 60.0, "N")], "watch_id long, make string, model string, budget double, region string")
+    for hour, price in ((1, 90.0), (2, 55.0), (3, 50.0)):
+        spark.createDataFrame([(5, "A", "x", "N", at(1, hour), price, 1.0)], columns).write.mode("append").parquet(source)
+        found = stateful.alerts(spark.readStream.schema(columns).parquet(source), watches)
+        scoring.append_to(found, out, progress).awaitTermination()
+    assert sorted((r.watch_id, r.price) for r in spark.read.parquet(out).collect()) == [(1, 90.0), (2, 55.0)]

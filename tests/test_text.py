@@ -124,6 +124,32 @@ def test_defaults(spark):
     assert tuple(b) == (1985, 10, 2000, 6, "Otago", "year out of range")
 
 
+def test_weighted_ratio_forgives_swapped_extra_and_cut_words(spark, one):
+    from dealwright.functions import scoring
+
+    options = ["North Harbour", "Bay of Plenty", "Hawke's Bay", "Petrol", "Automatic", "Otago"]
+    typed = {"harbour north": "North Harbour", "NORTH  HARBOUR!": "North Harbour", "the bay of plenty region": "Bay of Plenty",
+             "hawkes bay": "Hawke's Bay", "petro": "Petrol", "automatic transmission": "Automatic", "otgao": "Otago",
+             "zzz": None, "": None, "  ?! ": None, None: None}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(typed)], "i int, v string")
+    got = {r.v: r for r in match.fuzzy_match_weighted(df, "v", options).collect()}
+    assert {t: r.matched for t, r in got.items()} == typed
+    assert got["NORTH  HARBOUR!"].match_score == 100 and got["harbour north"].match_score == 95 and got["zzz"].match_note == "not recognised"
+    pairs = [("kitten", "sitting"), ("", "a"), ("abc", "abc"), ("aabb", "bbaa"), ("x", "y"), ("banana", "ananas")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            new = [0]
+            for j, d in enumerate(b):
+                new.append(row[j] + 1 if c == d else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    assert [r[0] for r in df.select(scoring.common_length(F.col("a"), F.col("b"))).collect()] == [common(*p) for p in pairs]
+
+
 def test_components_against_brute_force(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(100 + i, 101 + i) for i in range(30)]
