@@ -10,6 +10,7 @@ pre-tokenised as a whole: such a text is one row of bounded size anyway.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealwright.llm.common import BATCH_BYTES, list_array, stored
+from dealwright.llm.common import BATCH_BYTES, held, list_array, stored
 
 #: Characters of a chunk, and of its overlap with the next.
 CHUNK, OVERLAP = 65_536, 1_024
@@ -45,6 +46,11 @@ class _Pieces:
         self.split = regex.compile(pattern)
         self.single = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.known: dict[str, list[int]] = {}
+        self.token = {rank: token for token, rank in ranks.items()}
+
+    def decoded_digest(self, ids: np.ndarray) -> str:
+        """Lower-case hex SHA-256 of the bytes that ids stand for."""
+        return hashlib.sha256(b"".join(map(self.token.__getitem__, ids.tolist()))).hexdigest()
 
     def ids(self, pieces: Sequence[str]) -> np.ndarray:
         known, out = self.known, []
@@ -65,18 +71,16 @@ class _Pieces:
         pa.default_memory_pool().release_unused()
 
 
-_made: list[tuple[Ranks, str, _Pieces]] = []
-
-
 def _pieces(pattern: str, ranks: Ranks) -> _Pieces:
     """The encoder of this Python worker, made once for all its tasks with the same vocabulary."""
-    if not (_made and _made[0][0] is ranks and _made[0][1] == pattern):
-        _made[:] = [(ranks, pattern, _Pieces(pattern, ranks))]
-    return _made[0][2]
+    return held((pattern, ranks), lambda: _Pieces(pattern, ranks))
 
 
-def _with_ids(batches: Iterator[pa.RecordBatch], column: str, ids_of: Callable[..., np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The batches with ``column`` and all ``_own`` columns replaced by the ids, in batches of bounded size."""
+def _with_ids(
+    batches: Iterator[pa.RecordBatch], column: str, ids_of: Callable[..., np.ndarray], digest: Callable | None = None
+) -> Iterator[pa.RecordBatch]:
+    """The batches with ``column`` and all ``_own`` columns replaced by the ids and, if asked for, the digest of what they
+    decode to, in batches of bounded size."""
     for batch in batches:
         keep = [i for i, n in enumerate(batch.schema.names) if n != column and not n.startswith("_own")]
         extra = [batch.column(n).to_pylist() for n in batch.schema.names if n.startswith("_own")]
@@ -87,7 +91,11 @@ def _with_ids(batches: Iterator[pa.RecordBatch], column: str, ids_of: Callable[.
             if size >= BATCH_BYTES or i == batch.num_rows - 1:
                 kept = [batch.column(k).slice(start, i + 1 - start) for k in keep]
                 names = [batch.schema.names[k] for k in keep]
-                yield pa.RecordBatch.from_arrays([*kept, list_array(parts, pa.int32())], [*names, "ids"])
+                made, added = [list_array(parts, pa.int32())], ["ids"]
+                if digest:
+                    made.append(pa.array(map(digest, parts), pa.string()))
+                    added.append("decoded_sha256")
+                yield pa.RecordBatch.from_arrays([*kept, *made], [*names, *added])
                 start, parts, size = i + 1, [], 0
 
 
@@ -129,22 +137,27 @@ def encode(
     keep: Sequence[str] = ("doc_id",),
     chunk: int = CHUNK,
     overlap: int = OVERLAP,
+    decoded: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: the columns ``keep`` and ``ids`` array<int>, the ids of the whole text.
 
-    As the vocabulary's own library encodes it without special tokens. A null or empty text has no ids. Repeated rows
+    With ``decoded`` also decoded_sha256, the digest of the bytes that the ids decode to, made by the task that has found
+    them: encoding and decoding share one Python worker and one vocabulary. As the vocabulary's own library encodes it without special tokens. A null or empty text has no ids. Repeated rows
     stay repeated, columns of any value or null may be kept; other columns play no part, so their names cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     names = [f"_k{i}" for i in range(len(keep))]
     narrow = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, names, strict=True)), F.col(text).alias("_text"))
     schema = narrow.drop("_text").schema
-    out = T.StructType([*schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    found_ids = T.StructField("ids", T.ArrayType(T.IntegerType()))
+    added = [found_ids, T.StructField("decoded_sha256", T.StringType())] if decoded else [found_ids]
+    out = T.StructType([*schema.fields, *added])
     length = F.coalesce(F.length("_text"), F.lit(0))
 
     def whole(batches):
         made = _pieces(pattern, shared.value)
-        yield from _with_ids(batches, "_text", lambda t: made.ids(made.split.findall(t)))
+        digest = made.decoded_digest if decoded else None
+        yield from _with_ids(batches, "_text", lambda t: made.ids(made.split.findall(t)), digest)
         made.forget()
 
     def owned(batches):
@@ -191,12 +204,15 @@ def encode(
     parts = (
         chunks.join(stitched.where("NOT _apart").drop("_apart"), ["_row", "_chunk"])
         .select(*names, "_row", "_chunk", "_body", "_own_start", "_own_end")
-        .mapInArrow(owned, T.StructType([*schema.fields, row, number, out["ids"]]))
+        .mapInArrow(owned, T.StructType([*schema.fields, row, number, found_ids]))
     )
     one = parts.groupBy("_row").agg(
         F.first(F.struct(*names)).alias("_k"), F.array_sort(F.collect_list(F.struct("_chunk", "ids"))).alias("_p")
     )
     stitches = one.select("_k.*", F.flatten(F.transform("_p", lambda p: p["ids"])).alias("ids"))
+    if decoded:
+        joined = decode(stitches, ranks, keep=(*names, "ids"))
+        stitches = joined.withColumn("decoded_sha256", F.sha2("bytes", 256)).drop("bytes")
     again = (
         chunks.join(stitched.where("_apart AND _chunk = 0").select("_row"), "_row", "left_semi")
         .withColumn("_body", F.when(F.col("_last"), F.col("_body")).otherwise(F.substring("_body", 1, chunk)))
@@ -206,7 +222,7 @@ def encode(
         .mapInArrow(whole, out)
     )
     result = short.unionByName(stitches).unionByName(again)
-    return result.select(*(F.col(n).alias(k) for k, n in zip(keep, names, strict=True)), "ids")
+    return result.select(*(F.col(n).alias(k) for k, n in zip(keep, names, strict=True)), *(f.name for f in added))
 
 
 def decode(rows: DataFrame, ranks: Ranks, ids: str = "ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -242,8 +258,7 @@ def ids_digest(ids: Column) -> Column:
 
 def round_trip(docs: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded from the ids."""
-    encoded = encode(docs, ranks, pattern).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), "ids"
+    found = encode(docs, ranks, pattern, decoded=True)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_digest(F.col("ids")).alias("ids_sha256"), "decoded_sha256"
     )
-    decoded = decode(encoded, ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))

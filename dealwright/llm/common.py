@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,27 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+_held: list[tuple[object, object]] = []
+
+
+def held[T](key: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives for ``key``, made once for all tasks of this Python worker that ask for it in a row.
+
+    A worker keeps one such object: workers outlive their stage, and what an earlier one has left would take the memory
+    of the next. ``key`` is compared by identity or equality.
+    """
+    if not (_held and (_held[0][0] is key or _held[0][0] == key)):
+        release()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
+def release() -> None:
+    """Lets go of what ``held`` keeps, for operators that keep nothing between tasks."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return in_small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealwright.llm.common import list_array, stored
+from dealwright.llm.common import held, list_array, stored
 from dealwright.session import fresh_path
 
 ORDER, BITS = 4, 11
@@ -220,8 +220,11 @@ def _read(path: str) -> pa.Table:
     return dataset.dataset(place, schema=schema, format="parquet", filesystem=system).to_table()
 
 
-@lru_cache(maxsize=1)
 def _shard(models: CharacterModels, number: int) -> Shard:
+    return held((models, number), lambda: _shard_read(models, number))
+
+
+def _shard_read(models: CharacterModels, number: int) -> Shard:
     rows = pa.concat_tables([_read(f"{models.path}/long/shard={number}"), _read(f"{models.path}/short")])
     place = {lang: i for i, lang in enumerate(models.langs)}
     names = rows["lang"].combine_chunks().dictionary_encode()
