@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +21,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 #: Words of a block, slots of an output shard, and the rounds of a permutation.
 BLOCK, SHARD, ROUNDS = 64, 8192, 16
+#: Slots that a task draws, about.
+SLOTS = 1 << 16
 #: Documents whose words are summed in one window, about.
 STRETCH = 4_000
 
@@ -98,12 +99,13 @@ def draws(plan: DataFrame, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
     sources = sources.withColumn("_from", F.sum("_slots").over(by_name) - F.col("_slots")).withColumn(
         "_all", F.sum("_slots").over(Window.partitionBy())
     )
-    chunk = 1 << 16
+    chunk, slots = SLOTS, sources.agg(F.sum("_slots")).first()[0] or 0
     dealt = sources.where("_slots > 0").withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / chunk)))
     )
     first = F.col("_chunk") * chunk
-    slots = dealt.repartition("_key", "_chunk").withColumn(
+    # as many tasks as there are chunks of slots: a number that adaptive execution, which sees only few rows here, leaves alone
+    slots = dealt.repartition(max(1, -(-slots // chunk))).withColumn(
         "_slot", F.explode(F.sequence(first, F.least(first + chunk, F.col("_slots")) - 1))
     )
     turn = F.floor(F.col("_slot") / F.col("_blocks"))
@@ -181,11 +183,13 @@ def mixture(docs: DataFrame) -> DataFrame:
     its white space; n_chars follows. A document taken whole comes as it was, from its first word on. Documents without
     words are in no block and so in no mix.
     """
-    # read twice under the same row numbers; on the executors' disks, as it is as large as the table itself
-    kept = docs.withColumn("_row", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    # read twice under the same row numbers, whatever executors are lost; a row in a struct, so that no name can clash
+    kept = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")))
+    text = F.col("doc.text")
     sized = kept.select(
-        "doc_id", "source", _source_key(F.col("source")).alias("_key"), word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit("order"), "doc_id", "text").alias("_order"), "_row",
+        F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").alias("source"),
+        _source_key(F.col("doc.source")).alias("_key"), word_count(text).alias("size"),
+        F.xxhash64(F.lit("order"), "doc.doc_id", "doc.text").alias("_order"), "_row",
     )
     rows = stored(sized, gather=True)
     sizes = rows.groupBy("_key").agg(F.max("source").alias("source"), F.sum("size").alias("source_size"))
@@ -198,15 +202,16 @@ def mixture(docs: DataFrame) -> DataFrame:
         .where(F.exists("_times", lambda t: t >= F.col("_pass")))
     )
     # the words up to the first border of a block, then block by block
-    trimmed = F.ltrim("text", F.lit(" \t\n\x0b\f\r"))
+    trimmed = F.ltrim(text, F.lit(" \t\n\x0b\f\r"))
     first = F.concat(F.lit(f"^(?:{WORDS}){{1,"), (BLOCK - F.col("_skip")).cast("string"), F.lit("}+"))
     head = F.call_function("regexp_extract", trimmed, first, F.lit(0))
     rest = F.substring(trimmed, F.length(head) + 1, F.length(trimmed))
     pieces = F.concat(F.array(head), F.regexp_extract_all(rest, F.lit(f"((?:{WORDS}){{1,{BLOCK}}}+)"), F.lit(1)))
     some = F.filter(pieces, lambda piece, i: F.element_at("_times", i + 1) >= F.col("_pass"))
     whole = F.forall("_times", lambda t: t >= F.col("_pass"))
-    text = F.when(whole, trimmed).otherwise(F.array_join(some, ""))
-    texts = kept.join(passes, "_row").withColumn("text", text)
+    words = F.when(whole, trimmed).otherwise(F.array_join(some, ""))
+    texts = kept.join(passes, "_row").select("doc", words.alias("words"))
+    changed = {"text": F.col("words")}
     if "n_chars" in docs.columns:
-        texts = texts.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return texts.select(*docs.columns)
+        changed["n_chars"] = F.length("words").cast(docs.schema["n_chars"].dataType)
+    return texts.select(*(changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
