@@ -242,8 +242,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spans = repeated_spans(docs).where("repeated").groupBy("_doc", "_k1").agg(
         F.collect_list(F.struct("start_word", "end_word")).alias("_cuts")
     )
+    # the other columns travel in one, under names that cannot clash
     others = [c for c in columns if c not in ("doc_id", "text")]
-    joined = _with_keys(docs, *others).join(stored(spans), ["_doc", "_k1"], "left").select(*columns, "_cuts")
+    rest = F.struct(F.lit(True).alias("there"), *(F.col(c).alias(f"f{i}") for i, c in enumerate(others)))
+    packed = docs.select("doc_id", "text", rest.alias("_rest"))
+    joined = _with_keys(packed, "_rest").join(stored(spans), ["_doc", "_k1"], "left").select("doc_id", "text", "_rest", "_cuts")
     schema = T.StructType([f for f in joined.schema.fields if f.name != "_cuts"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +256,17 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 for t, s in zip(batch.column("text"), batch.column("_cuts"), strict=True)
             ]
             made = pa.array(texts, batch.schema.field("text").type)
-            arrays = [made if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made, batch.column("_rest")], ["doc_id", "text", "_rest"])
+
+    def unpacked(rows: DataFrame, changed: bool) -> DataFrame:
+        found = {c: F.col("_rest")[f"f{i}"] for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+        if changed and "n_chars" in columns:
+            found["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+        return rows.select(*(found[c].alias(c) for c in columns))
 
     untouched = joined.where("_cuts IS NULL").drop("_cuts")
     changed = joined.where("_cuts IS NOT NULL").mapInArrow(cut, schema).where(has_words(F.col("text")))
-    if "n_chars" in columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return untouched.unionByName(changed.select(*columns))
+    return unpacked(untouched, False).unionByName(unpacked(changed, True))
 
 
 def has_words(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from dealwright.llm import mixing, simhash
 from dealwright.llm.common import table
@@ -63,3 +66,34 @@ def test_mix_of_the_stage_is_that_of_the_operator(spark):
     for r in pipeline.mix_sources(spark, docs, SF).collect():
         taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(r["text"].split())
     assert taken == {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect() if r["taken"]}
+
+
+CLASHING = """_row _pass _times _skip _blocks _n _key doc words _k1 _k2 _doc _cuts _rest there f0 _text_hash _c group_key component_id
+fingerprint start_word end_word ids decoded_sha256 _text _k0 lang_pred rejected score _lang held_out ce n""".split()
+
+
+@pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
+def test_stages_take_columns_of_any_name_long_texts_and_empty_tables(spark, name):
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    texts = [prose(rng, 40) for _ in range(20)] + [passage + " one", "two " + passage, None, "", prose(rng, 20_000), "x" * 300_000]
+    plain = rows(spark, texts + [texts[0]], [*range(len(texts)), 0])
+    clashing = plain.select("*", *(F.lit(c).alias(c) for c in CLASHING))
+    stage = dict(pipeline.STAGES)[name]
+    got = stage(spark, clashing, SF)
+    want = stage(spark, plain, SF)
+    if name == "bpe":
+        assert got.columns == want.columns
+    else:
+        assert got.columns == clashing.columns
+        assert all(r[c] == c for r in got.select(*CLASHING).collect() for c in CLASHING)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert want.count() > 0 and stage(spark, plain.limit(0), SF).count() == 0
+
+
+def test_the_mix_is_drawn_in_as_many_tasks_as_it_has_chunks(spark):
+    words = 64 * 1_000_000
+    plan = spark.createDataFrame([("a", words, 2.0 * words)], "_key string, source_size long, target double")
+    drawn = mixing.draws(plan)
+    tasks = drawn.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 2_000_000 and len(tasks) >= 25 and max(r["n"] for r in tasks) <= 2 * mixing.SLOTS
