@@ -99,8 +99,8 @@ def test_odd_segments(spark):
 def test_quantile_lines_cover_their_share_and_rise(spark):
     rng = np.random.default_rng(4)
     price = lambda s, a, k, r: 30000 - 800 * a + r.exponential(300 * a)
-    df, _ = listings_frame(spark, rng, (3000, 20), price)
-    fresh, _ = listings_frame(spark, rng, (3000,), price)
+    df, _ = listings_frame(spark, rng, (12_000, 20), price)
+    fresh, _ = listings_frame(spark, rng, (12_000,), price)
     leaves = train.train_quantiles(train.add_bands(df))
     model = robust.train_quantile_regression(df, fallback=leaves)
     assert {r.model for r in model.lines.select("model").distinct().collect()} == {"s0"}
