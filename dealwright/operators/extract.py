@@ -70,27 +70,29 @@ def extract_fields(texts: DataFrame, text: str = "text", regions: tuple[str, ...
     )
 
 
+def name_anchors(catalog: DataFrame) -> DataFrame:
+    """A stored row per catalog name: its words' number and the place of the one that the fewest names have."""
+    known = catalog.select("make", "model").distinct()
+    known = materialise(known.withColumn("run", F.lower(F.concat_ws(" ", "make", "model"))))
+    parts = known.select("make", "model", "run", F.posexplode(F.split("run", r"\s+")).alias("offset", "word"))
+    names = parts.groupBy("word").agg(F.countDistinct("run").alias("_names"))
+    rarest = F.min_by(F.struct("word", "offset"), F.struct("_names", -F.length("word"), "word", "offset"))
+    anchored = parts.join(names, "word").groupBy("make", "model", "run").agg(rarest.alias("_a"), F.max("offset").alias("_last"))
+    return materialise(anchored.select("make", "model", "run", "_a.word", "_a.offset", (F.col("_last") + 1).alias("n_words")))
+
+
 def match_catalog(texts: DataFrame, catalog: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     """(id, make, model): the catalog segment named first in each text, the longest one there.
 
-    Runs of words are looked up by equality, so texts and catalog are never paired. Only runs as long as some
-    catalog name are formed.
+    A catalog name is looked up by its rarest word alone, and compared with the words around that word where it stands; runs
+    of words are not formed, and texts and catalog are never paired.
     """
-    known = catalog.select("make", "model").distinct()
-    known = materialise(known.withColumn("run", F.lower(F.concat_ws(" ", "make", "model"))))
-    lengths = [r[0] for r in known.select(F.size(F.split("run", r"\s+")).alias("n")).distinct().collect()]
-    words = F.split(F.trim(F.lower(F.col(text))), r"\s+")
-
-    def of_length(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1))
-        return F.transform(
-            F.coalesce(starts, F.array().cast("array<int>")),
-            lambda i: F.struct(i.alias("at"), F.array_join(F.slice(words, i, n), " ").alias("run")),
-        )
-
-    nothing = F.array().cast("array<struct<at:int,run:string>>")
-    runs = F.flatten(F.array(nothing, *[of_length(n) for n in sorted(lengths)]))
-    found = texts.select(id_column, F.inline(runs)).join(known, "run")
+    anchors = name_anchors(catalog)
+    words = F.split(F.trim(F.lower(F.col(text))), r"\s+").alias("_words")
+    each = texts.select(id_column, words).select(id_column, "_words", F.posexplode("_words").alias("_at", "word"))
+    start = F.col("_at") - F.col("offset")
+    stands = (start >= 0) & (F.array_join(F.slice("_words", F.greatest(start, F.lit(0)) + 1, F.col("n_words")), " ") == F.col("run"))
+    found = each.join(anchors, "word").where(stands).withColumn("at", start)
     first = F.min_by(F.struct("make", "model"), F.struct("at", -F.length("run"), "run"))
     return found.groupBy(id_column).agg(first.alias("_s")).select(id_column, "_s.make", "_s.model")
 

@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealwright.functions.scoring import best_option, edit_similarity, weighted_ratio
@@ -119,8 +119,9 @@ def _within_lengths(queries: DataFrame, known: DataFrame, cutoff: float, score)
     its own length: an equi-join on the length, with names of one length in arrays of about ``CHUNK``.
     """
     sized = known.withColumn("length", F.length("text"))
-    parts = F.pmod(F.xxhash64("text", "make", "model"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("length")) / CHUNK))
-    options = sized.withColumn("part", parts).groupBy("length", "part").agg(
+    counts = materialise(sized.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts")))
+    part = F.pmod(F.xxhash64("text", "make", "model"), F.col("parts"))
+    options = sized.join(counts, "length").withColumn("part", part).groupBy("length", "part").agg(
         F.collect_list(F.struct("make", "model", "text")).alias("options")
     )
     shortest = F.ceil(F.length("query") * cutoff).cast("int")
