@@ -23,6 +23,8 @@ from dealwright.llm.common import HOT, list_array, met, stored
 
 #: Features whose bucket a task remembers; bounds memory, not results.
 REMEMBERED = 200_000
+#: Tasks that add up what the others have counted.
+SUMS = 16
 
 #: Bytes of a text as words see them: A-Z in lower case, ASCII that is neither digit nor letter a gap.
 _AS_WORDS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
@@ -108,19 +110,30 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _counted(rows: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, n) of rows (buckets, occurrences): each task adds up its rows first."""
+def _counted(rows: DataFrame, buckets: int) -> np.ndarray:
+    """The features in each bucket of rows (buckets, occurrences). Each task adds up its rows to one array, and a bounded
+    number of tasks adds up those; what is left for the driver is ``SUMS`` arrays at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             values, offsets = _values(batch.column("buckets"))
             np.add.at(total, values, np.repeat(batch.column("occurrences").to_numpy(), np.diff(offsets)))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["bucket", "n"])
+        yield told(total)
 
-    found = rows.select("buckets", "occurrences").mapInArrow(count, "bucket int, n long")
-    return found.groupBy("bucket").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for one in batch.column("counts").to_pylist():
+                total += np.frombuffer(one, np.int64)
+        yield told(total)
+
+    def told(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if total.any() else [], pa.binary())], ["counts"])
+
+    of_tasks = rows.select("buckets", "occurrences").mapInArrow(count, "counts binary")
+    sums = of_tasks.repartition(SUMS).mapInArrow(add, "counts binary").collect()
+    return sum((np.frombuffer(r["counts"], np.int64) for r in sums), np.zeros(buckets, np.int64))
 
 
 def _cross_features(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -137,17 +150,11 @@ def _cross_features(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def bucket_counts(docs: DataFrame, settings: Settings, found: DataFrame | None = None) -> np.ndarray:
-    """How many features of all documents fall into each bucket; ``found`` are their segments, if already at hand.
-
-    The driver gets one number per bucket.
-    """
+    """How many features of all documents fall into each bucket; ``found`` are their segments, if already at hand."""
     rows = (segments(docs, settings) if found is None else found).select("buckets", "occurrences")
     if settings.max_n > 1:
         rows = rows.unionByName(_cross_features(docs, settings))
-    counts = np.zeros(settings.buckets, np.int64)
-    for r in _counted(rows, settings.buckets).collect():
-        counts[r["bucket"]] = r["n"]
-    return counts
+    return _counted(rows, settings.buckets)
 
 
 def gains(target: np.ndarray, corpus: np.ndarray) -> np.ndarray:
