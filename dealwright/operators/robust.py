@@ -54,7 +54,7 @@ def _sums(met: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFram
     w = F.col("_w")
     return rows.groupBy(*keys, "_level").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.when(F.col("_r") > 0, F.col("_tau") * F.col("_r")).otherwise((F.col("_tau") - 1) * F.col("_r"))).alias("_loss"),
+        F.sum(F.when(F.col("_r") > 0, F.col("_tau") * F.col("_r")).otherwise((F.col("_tau") - 1) * F.col("_r"))).alias("_now"),
         F.array(*(F.sum(w * F.col(names[i]) * F.col(names[j])) for i, j in pairs)).alias("_zz"),
         F.array(*(F.sum(w * F.col(n) * F.col("_y")) for n in names)).alias("_zy"),
         F.array(*(F.sum(n) for n in names)).alias("_z"),
@@ -64,7 +64,7 @@ def _sums(met: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFram
 def _state_type(df: DataFrame, keys: Sequence[str]) -> T.StructType:
     fields = [df.schema[k] for k in keys]
     for name, kind in (("_level", "string"), ("_tau", "double"), ("_b", "array<double>"), ("_n", "bigint"),
-                       ("_loss", "double"), ("_floor", "double"), ("_rounds", "int"), ("_open", "boolean")):
+                       ("_best", "array<double>"), ("_loss", "double"), ("_now", "double"), ("_floor", "double"), ("_rounds", "int"), ("_open", "boolean")):
         fields.append(T.StructField(name, T._parse_datatype_string(kind)))
     return T.StructType(fields)
 
@@ -83,19 +83,24 @@ def _next(size: int):
                 square[:, i, j] = square[:, j, i] = flat[:, k]
             tau = pdf["_tau"].to_numpy(float)
             right = np.stack(pdf["_zy"].to_numpy()).astype(float)
-            right = right + (2 * tau - 1)[:, None] * np.stack(pdf["_z"].to_numpy()).astype(float)
+            rounds = pdf["_rounds"].to_numpy(int)
+            # the first step has equal weights: least squares, which no later choice may be worse than
+            pull = np.where(rounds > 0, 2 * tau - 1, 0.0)
+            right = right + pull[:, None] * np.stack(pdf["_z"].to_numpy()).astype(float)
             # so small a penalty decides only between features that say the same
             ease = 1e-10 * np.trace(square, axis1=1, axis2=2) / size + 1e-300
             found = np.linalg.solve(square + ease[:, None, None] * np.eye(size), right[:, :, None])[:, :, 0]
-            loss, before, rounds = pdf["_loss"].to_numpy(float), pdf["_before"].to_numpy(float), pdf["_rounds"].to_numpy(int)
+            loss, before, least = (pdf[c].to_numpy(float) for c in ("_now", "_before", "_loss"))
             mean = loss / pdf["_n"].to_numpy(float)
             part = np.maximum(FIRST_FLOOR * 0.3**rounds, LAST_FLOOR)
             settled = (part <= LAST_FLOOR) & (np.abs(before - loss) <= SETTLED * loss) | (loss <= 0)
             # a fit without loss stays: its floor would be none
             keep = loss <= 0
-            old = np.stack(pdf["_b"].to_numpy()).astype(float)
+            old, best = (np.stack(pdf[c].to_numpy()).astype(float) for c in ("_b", "_best"))
+            better = loss < least
             yield pdf.assign(
-                _b=list(np.where(keep[:, None], old, found)), _floor=np.maximum(mean * part, 1e-12), _rounds=rounds + 1,
+                _b=list(np.where(keep[:, None], old, found)), _best=list(np.where(better[:, None], old, best)),
+                _loss=np.where(better, loss, least), _floor=np.maximum(mean * part, 1e-12), _rounds=rounds + 1,
                 _open=~settled & (rounds + 1 < ROUNDS),
             ).drop(columns=["_zz", "_zy", "_z", "_before"])
 
@@ -123,17 +128,19 @@ def fit_levels(
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("_level"), F.lit(float(p)).alias("_tau")) for n, p in levels.items())))
     start = F.array(*([F.col("_mean")] if intercept else []), *[F.lit(0.0)] * (size - intercept))
     state = counts.where(F.col("_n") >= min_rows).select(*keys, "_n", "_mean", each.alias("_l")).select(
-        *keys, "_l._level", "_l._tau", start.alias("_b"), "_n", F.lit(float("inf")).alias("_loss"),
-        (F.abs("_mean") + 1e-12).alias("_floor"), F.lit(0).alias("_rounds"), F.lit(True).alias("_open"),
+        *keys, "_l._level", "_l._tau", start.alias("_b"), "_n", start.alias("_best"),
+        F.lit(float("inf")).alias("_loss"), F.lit(float("inf")).alias("_now"),
+        (1e9 * F.abs("_mean") + 1e9).alias("_floor"), F.lit(0).alias("_rounds"), F.lit(True).alias("_open"),
     )
     open_, done = materialise(state.select(*kind.names)), []
     while not open_.isEmpty():
-        sums = _sums(rows.join(open_.drop("_n", "_loss", "_rounds", "_open"), keys), keys, names)
-        old = open_.select(*keys, "_level", "_tau", "_b", F.col("_loss").alias("_before"), "_rounds")
+        sums = _sums(rows.join(open_.select(*keys, "_level", "_tau", "_b", "_floor"), keys), keys, names)
+        old = open_.select(*keys, "_level", "_tau", "_b", "_best", "_loss", F.col("_now").alias("_before"), "_rounds")
         new = materialise(sums.join(old, [*keys, "_level"]).mapInPandas(_next(size), kind))
         done.append(new.where(~F.col("_open")))
         open_ = new.where("_open")
-    fitted = materialise(reduce(DataFrame.unionByName, done)) if done else open_
+    fitted = reduce(DataFrame.unionByName, done) if done else open_
+    fitted = materialise(fitted.withColumn("_b", F.col("_best")))
 
     along = F.lit(1.0) if intercept else _fit_value(names)
     left = rows.join(fitted.select(*keys, "_level", "_tau", "_b"), keys).select(
