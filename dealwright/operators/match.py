@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,8 @@ from dealwright.functions.scoring import best_option, edit_similarity, weighted_
 from dealwright.session import materialise
 
 CHUNK = 5000
+#: Similarities at which the closest name is looked for by its pairs of characters, one after the other.
+LEVELS = (0.9, 0.8, 0.65)
 FALLBACK_SEGMENT = ("General", "Model")
 
 
@@ -131,14 +134,63 @@ def _within_lengths(queries: DataFrame, known: DataFrame, cutoff: float, score)
     return met.groupBy("query").agg(F.max("_best").alias("best"))
 
 
+def _grams(text: Column) -> Column:
+    """The different pairs of neighbouring characters of a text; none below two characters."""
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: text.substr(i, F.lit(2)))
+    return F.when(F.length(text) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+
+def gram_index(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, n): names that hold each gram; (gram, part, options): the names, in arrays of about ``CHUNK``."""
+    grams = known.select(F.explode(_grams(F.col("text"))).alias("gram"), "text", "make", "model")
+    counts = materialise(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    part = F.pmod(F.xxhash64("text", "make", "model"), F.ceil(F.col("n") / CHUNK))
+    options = grams.join(counts, "gram").groupBy("gram", part.alias("part")).agg(
+        F.collect_list(F.struct("make", "model", "text")).alias("options")
+    )
+    return counts, materialise(options)
+
+
+def gram_probes(queries: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """(query, gram, n): the grams of which a name with a similarity of ``least`` must hold at least one, rarest first.
+
+    A distance of d changes 2 d pairs of a text's characters at most, and of a text of length l no more than
+    2 (1 - least) l for any name in reach, whatever its length. So one more of its different pairs than that cannot all be
+    missing in the name. Texts with fewer different pairs have no row: this level says nothing about them.
+    """
+    lost = F.floor(2 * (1 - least) * F.length("query") + 1e-9).cast("int")
+    grams = queries.select("query", F.explode(_grams(F.col("query"))).alias("gram"))
+    held = grams.join(counts, "gram", "left").groupBy("query").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("grams")
+    )
+    first = held.where(F.size("grams") > lost).select("query", F.explode(F.slice("grams", F.lit(1), lost + 1)).alias("g"))
+    return first.where(F.col("g.n") > 0).select("query", "g.gram", "g.n")
+
+
+def _by_grams(queries: DataFrame, index: tuple[DataFrame, DataFrame], least: float) -> DataFrame:
+    """(query, best) of the texts with a name at ``least`` or more: exact for these, no row for the others."""
+    counts, options = index
+    parts = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / CHUNK) - 1)
+    probes = gram_probes(queries, counts, least).select("query", "gram", F.explode(parts).alias("part"))
+    size = F.length("query")
+    in_reach = F.filter(
+        "options", lambda o: (F.length(o["text"]) >= size * least - 1e-9) & (F.length(o["text"]) * least <= size + 1e-9)
+    )
+    met = probes.join(options, ["gram", "part"]).select("query", in_reach.alias("options")).where(F.size("options") > 0)
+    best = met.groupBy("query").agg(F.max(_edit_score("query")(F.col("options"))).alias("best"))
+    return best.where(F.col("best.score") >= least)
+
+
 def fuzzy_segment(
     requests: DataFrame, column: str, catalog: DataFrame, cutoff: float = 0.5, similarity: str = "edit"
 ) -> DataFrame:
     """(text, known_make, known_model, score): the catalog segment closest to each distinct requested text.
 
-    Texts that are a catalog name meet it by equality; only the others are compared, with names of a length that can
-    reach the cutoff. Without a match at the cutoff it is the first segment of the catalog, and with an empty catalog a
-    fixed general one. ``similarity`` is 'edit' (edit distance, in the JVM) or 'sequence' (matching blocks).
+    Texts that are a catalog name meet it by equality. Others meet the names that hold one of their rarest pairs of
+    characters, first at a similarity of 0.9, then 0.8 and 0.65 (``LEVELS``): what is found there is the closest. Pairs cannot
+    exclude names less similar than that, so texts still without one meet all names of a length that can reach the cutoff.
+    Without a match at the cutoff it is the first segment of the catalog, and with an empty catalog a fixed general one.
+    A null text is one text without a match. ``similarity`` is 'edit' (edit distance, in the JVM) or 'sequence' (matching blocks).
     """
     known = catalog.select("make", "model").distinct()
     known = materialise(known.withColumn("text", F.lower(F.concat_ws(" ", "make", "model"))))
@@ -153,7 +205,11 @@ def fuzzy_segment(
     equal = queries.join(same, "query")
     others = queries.join(same, "query", "left_anti")
     if similarity == "edit":
-        near = _within_lengths(others, known, cutoff, _edit_score("query"))
+        index, found_at = gram_index(known), []
+        for level in (level for level in LEVELS if level > cutoff):
+            found_at.append(materialise(_by_grams(others, index, level)))
+            others = materialise(others.join(found_at[-1], "query", "left_anti"))
+        near = reduce(DataFrame.union, found_at, _within_lengths(others, known, cutoff, _edit_score("query")))
     else:
         near = best_in_chunks(others, "query", known, ["make", "model", "text"], _sequence_score("query"))
     best = equal.select("query", "best").union(near.select("query", "best"))

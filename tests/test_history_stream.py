@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from dealwright.operators import history
 from dealwright.session import fresh_path
@@ -42,6 +43,24 @@ def test_watchlist(spark):
     assert {(r.watch_id, r.listing_id) for r in history.watchlist_match(deals, watch).collect()} == {(7, "1"), (8, "2")}
 
 
+def test_watchlist_of_one_hot_segment(spark, monkeypatch):
+    """Half of both sides in one segment: every pair that plain comparison finds, and no group beyond a band."""
+    monkeypatch.setattr(history, "BAND", 16)
+    deals = [(f"L{i}", "A" if i % 2 else f"M{i % 9}", "x", i * 7 % 50 if i % 11 else None, ["N", "S", None][i % 3], 1.0) for i in range(300)]
+    watches = [(i, "A" if i % 2 else f"M{i % 9}", "x", float(i * 3 % 40) if i % 13 else None, [None, "N", "S"][i % 3]) for i in range(200)]
+    watches += [watches[1], (900, None, "x", 99.0, None)]
+    d = spark.createDataFrame(deals, "listing_id string, make string, model string, price int, region string, discount_pct double")
+    w = spark.createDataFrame(watches, "watch_id int, make string, model string, budget double, region string")
+    expected = sorted(
+        (i, listing) for listing, make, model, price, region, _ in deals for i, m, o, budget, wanted in watches
+        if price is not None and budget is not None and (make, model) == (m, o) and price <= budget and wanted in (None, region)
+    )
+    assert sorted((r.watch_id, r.listing_id) for r in history.watchlist_match(d, w).collect()) == expected
+    assert history.watchlist_match(d.limit(0), w).count() == history.watchlist_match(d, w.limit(0)).count() == 0
+    rows = history._bands(d.where("price IS NOT NULL").withColumn("place", F.lit("")), "price", "listing_id")
+    assert rows.groupBy("make", "band").count().agg(F.max("count")).first()[0] <= 16
+
+
 def test_stream_scores_each_arrival_once_across_restarts(spark, tmp_path):
     source, out, progress = str(tmp_path / "in"), fresh_path(spark, "out"), fresh_path(spark, "progress")
     columns = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"

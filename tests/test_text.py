@@ -1,5 +1,6 @@
 import difflib
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -24,6 +25,50 @@ def test_fuzzy_segment(spark, similarity):
     assert {(r.known_make, r.known_model) for r in nothing} == {("General", "Model")}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_segments_by_their_rarest_pairs_are_the_closest_of_all(spark, monkeypatch):
+    monkeypatch.setattr(match, "CHUNK", 3)
+    draw = random.Random(5)
+    names = sorted({("".join(draw.choices("abc", k=draw.randint(1, 5))), "".join(draw.choices("abcd", k=draw.randint(1, 8)))) for _ in range(80)})
+    typed = {"".join(draw.choices("abcd ", k=draw.randint(1, 14))) for _ in range(60)} | {"", "aaaaaaaa", "a"}
+    for name in names[::2]:
+        text = list(" ".join(name))
+        text[draw.randrange(len(text))] = draw.choice("abcdx")
+        typed.add("".join(text))
+    catalog = spark.createDataFrame(names, "make string, model string")
+    got = match.fuzzy_segment(spark.createDataFrame([(t,) for t in typed] + [(None,)], "v string"), "v", catalog).collect()
+    assert len(got) == len(typed) + 1
+    for r in got:
+        best = None
+        if r.text is not None:
+            texts = ((1 - edit_distance(r.text, " ".join(n)) / max(len(r.text), len(" ".join(n))), " ".join(n)) for n in names)
+            best = max(texts)
+        if best is None or best[0] < 0.5:
+            assert (r.known_make, r.known_model, r.score) == (*names[0], None)
+        else:
+            assert (f"{r.known_make} {r.known_model}", r.score) == (best[1], pytest.approx(best[0]))
+
+
+def test_rare_pairs_leave_few_names_to_compare(spark):
+    """Texts with one wrong letter meet a small part of a catalog."""
+    draw = random.Random(6)
+    names = [("".join(draw.choices("abcdefghijklmnoprstuvw", k=6)), "".join(draw.choices("abcdefghijklmnoprstuvw", k=8))) for _ in range(3000)]
+    known = spark.createDataFrame(names, "make string, model string").withColumn("text", F.concat_ws(" ", "make", "model"))
+    queries = known.limit(200).select(F.concat(F.expr("substr(text, 1, 4)"), F.lit("z"), F.expr("substr(text, 6)")).alias("query"))
+    counts, _ = match.gram_index(known)
+    met = match.gram_probes(queries, counts, match.LEVELS[0]).agg(F.sum("n")).first()[0]
+    print("share of pairs compared", met / (200 * 3000))
+    assert met < 0.05 * 200 * 3000
+
+
 def test_sequence_matching_agrees_with_the_standard_library(spark):
     names = [("Toyota", "Corolla"), ("Toyota", "Caldina"), ("Subaru", "Legacy"), ("Subaru", "Outback"), ("Mazda", "Demio")]
     catalog = spark.createDataFrame(names, "make string, model string")
