@@ -80,6 +80,11 @@ def best_in_chunks(
     return pairs.groupBy(id_column).agg(F.max("_best").alias("best"))
 
 
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has: a few bytes of text can be much work, which their size does not tell."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def _edit_score(query: str):
     def score(options: Column) -> Column:
         return F.array_max(
@@ -130,7 +135,7 @@ def _within_lengths(queries: DataFrame, known: DataFrame, cutoff: float, score)
     shortest = F.ceil(F.length("query") * cutoff).cast("int")
     longest = F.floor(F.length("query") / cutoff).cast("int")
     wanted = queries.withColumn("length", F.explode(F.sequence(shortest, longest)))
-    met = wanted.join(materialise(options), "length").select("query", score(F.col("options")).alias("_best"))
+    met = _spread(wanted, "query", "length").join(materialise(options), "length").select("query", score(F.col("options")).alias("_best"))
     return met.groupBy("query").agg(F.max("_best").alias("best"))
 
 
@@ -176,7 +181,7 @@ def _by_grams(queries: DataFrame, index: tuple[DataFrame, DataFrame], least: flo
     in_reach = F.filter(
         "options", lambda o: (F.length(o["text"]) >= size * least - 1e-9) & (F.length(o["text"]) * least <= size + 1e-9)
     )
-    met = probes.join(options, ["gram", "part"]).select("query", in_reach.alias("options")).where(F.size("options") > 0)
+    met = _spread(probes, "query", "gram", "part").join(options, ["gram", "part"]).select("query", in_reach.alias("options")).where(F.size("options") > 0)
     best = met.groupBy("query").agg(F.max(_edit_score("query")(F.col("options"))).alias("best"))
     return best.where(F.col("best.score") >= least)
 
