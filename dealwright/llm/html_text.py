@@ -63,6 +63,9 @@ STRUCTURE = frozenset(
     "inline inner item items left line link links list main middle nav outer panel post posts row section site slot small "
     "sticky tool tools top right unit wrap wrapper".split()
 )
+#: Words that name readers' comments whatever stands before them in a class, and words for those who wrote them.
+COMMENTS = frozenset("comments commentlist replies".split())
+READERS = frozenset("reader readers user users visitor visitors guest guests member members".split())
 #: Elements whose ids within an article are slugs of their text.
 SLUGGED = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are text of the article itself; within it, they are never taken for template.
@@ -190,9 +193,29 @@ def _is_outside(node: Node, in_article: bool) -> bool:
             words = {w for w in _SPLIT.split(name) if w and not w.isdigit()}
             if (words - {"header", "banner"}) & OUTSIDE_NAMES and words <= OUTSIDE_NAMES | STRUCTURE:
                 return True
+            if words & READERS and words & (COMMENTS | {"comment", "reply"}) and words <= OUTSIDE_NAMES | STRUCTURE | READERS:
+                return True
+    return False
+
+
+def _maybe_comments(node: Node) -> bool:
+    """Whether a class says comments of some kind (``latest-comments``); ids may be slugs of a section's heading."""
+    for kind, value in _CLASS_OR_ID.findall(node.attrs):
+        for name in value.strip("\"'").lower().split() if kind.lower() == "class" else ():
+            words = [w for w in _SPLIT.split(name) if w and not w.isdigit() and w not in STRUCTURE]
+            if words[-1:] and words[-1] in COMMENTS:
+                return True
     return False
 
 
+def _sizes(nodes: list[Node]) -> dict[int, int]:
+    """Words that each node holds, by its id, from all nodes with parents before their children."""
+    sizes: dict[int, int] = {}
+    for node in reversed(nodes):
+        sizes[id(node)] = sum(sizes[id(c)] if isinstance(c, Node) else len(c.split()) for c in node.children)
+    return sizes
+
+
 def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The article's blocks in page order, joined by an empty line."""
     root = parse(html)
@@ -200,9 +223,18 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
     roots = _articles(nodes)
     blocks: list[str] = []
     line: list[str] = []
+    sizes: dict[int, int] = {}
+
+    def is_comments(node: Node) -> bool:
+        """Comments by their class, unless that is most of the article."""
+        if not roots or node.tag in ("article", "main") or not _maybe_comments(node):
+            return False
+        if not sizes:
+            sizes.update(_sizes(nodes))
+        return 2 * sizes[id(node)] <= sum(sizes[id(r)] for r in roots)
 
     def end_block():
-        text = " ".join(unescape("".join(line)).split())
+        text = " ".join("".join(line).split())
         if text:
             blocks.append(text)
         line.clear()
@@ -213,12 +245,12 @@ def main_text(html: str, template: frozenset[int] | set[int] = frozenset()) -> s
         if node is None:
             end_block()
         elif isinstance(node, str):
-            line.append(node)
+            line.append(unescape(node))  # here, as a reference never reaches into the next element
         else:
             if node.tag in ("br", "img", "wbr", "input"):
                 line.append("" if node.tag == "wbr" else " ")
                 continue
-            if _is_outside(node, bool(roots)) or node.hash in template and not (roots and node.tag in PROSE):
+            if _is_outside(node, bool(roots)) or is_comments(node) or node.hash in template and not (roots and node.tag in PROSE):
                 continue
             if node.tag in BLOCK or node.tag == "#root":
                 todo.append(None)

@@ -215,6 +215,7 @@ CASES = [
     ("<article><p>one</p></article><article><p>two</p><article><p>in</p></article></article>", "one\n\ntwo\n\nin"),
     ("<title>t</title><textarea>a</textarea><p>&copy; 2</p><nav>n</nav>", "© 2"),
     ("<script>never closed <p>x</p>", ""),
+    ("<p>a &<b>lt;</b>b &am<!-- x -->p; &lt<i>c</i></p>", "a &lt;b &amp; <c"),
 ]
 
 
@@ -259,6 +260,11 @@ def test_template_of_a_section_goes_however_large_the_host_is(spark):
     ("<article><div class='reply-to-critics'><p>a</p></div></article>", "a"),
     ("<article><p>a</p><div class='share-buttons'>x</div><div id=comments>y</div><div class='post-2 related'>z</div></article>", "a"),
     ("<div class='reply-to-critics'>x</div><p>a</p>", "a"),
+    ("<article><p>a</p><div class='reader-comments'><p>one two three</p></div><ol id='user-comments'><li>b</ol></article>", "a"),
+    ("<article><p>a b c</p><div class='latest-comments'><p>one</p></div><li class='user-comment'>d</li></article>", "a b c"),
+    ("<article><div class='editor-comments'><p>a b c</p></div><p>d</p></article>", "a b c\n\nd"),
+    ("<article><p>a b c</p><section id='closing-comments'><p>d</p></section></article>", "a b c\n\nd"),
+    ("<article><p>a b c</p><p class='comments-on-the-text'>d</p><p class='user-guide'>e</p></article>", "a b c\n\nd\n\ne"),
 ])
 def test_slugs_within_an_article_are_its_text(html, text):
     assert html_text.main_text(html) == text
