@@ -24,6 +24,8 @@ MIN_COSINE = 0.95
 DIMENSIONS = 8
 #: Vectors of a block, and of an interval that is compared as a whole.
 BLOCK, LEAF = 4096, 256
+#: Blocks of a group, and the bytes of its vectors at most; two groups meet in one task.
+TILE, TILE_BYTES = 4, 32 << 20
 #: Far above what rounding does to a distance, far below what matters: skipping stays safe.
 SAFE = 1e-9
 
@@ -62,9 +64,9 @@ def _apart(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.
 class _Side:
     """A block's vectors, in grid order, with their leading coordinates and the bounds of any interval."""
 
-    def __init__(self, row: dict, side: str, axes: dict[int, np.ndarray]):
-        self.ids, self.raw = unpacked(row[f"{side}_ids"], row[f"{side}_vectors"])
-        self.weights = np.frombuffer(row[f"{side}_weights"], np.int64)
+    def __init__(self, row: dict, axes: dict[int, np.ndarray]):
+        self.ids, self.raw = unpacked(row["ids"], row["vectors"])
+        self.weights = np.frombuffer(row["weights"], np.int64)
         vectors, axes = self.raw, axes[self.raw.shape[1]]
         self.units = unit(vectors)
         self.leading = self.units @ axes
@@ -139,26 +141,36 @@ def _blocks(axes: dict[int, np.ndarray], batches: Iterator[pa.RecordBatch]) -> I
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, kind), pa.array(high, kind)], [*batch.schema.names, "low", "high"])
 
 
-def _met(axes: dict[int, np.ndarray], least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, other, links): counts of links with other null, and connecting links with links null."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
-            x = _Side(row, "a", axes)
-            y = x if row["a"] == row["b"] else _Side(row, "b", axes)
-            count_x, count_y, held = join_blocks(x, y, least)
-            some_x, some_y = np.flatnonzero(count_x), np.flatnonzero(count_y)
-            ids = np.concatenate((x.ids[some_x], y.ids[some_y]))
-            if not len(ids):
+def _met(axes: dict[int, np.ndarray], least: float, tile: pa.Table) -> pa.Table:
+    """(vec_id, other, links) of a tile, that is every block of one group with every block of another or of its own:
+    counts of links with other null, and connecting links with links null."""
+    one, two = tile.column("a")[0].as_py(), tile.column("b")[0].as_py()
+    rows = sorted(tile.select(["group", "block", "ids", "vectors", "weights"]).to_pylist(), key=lambda r: r["block"])
+    sides = [(r["group"], r["block"], _Side(r, axes)) for r in rows]
+    counted: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for group, block, x in sides:
+        for other_group, other_block, y in sides:
+            if (group, other_group) != (one, two) or block > other_block or x.raw.shape[1] != y.raw.shape[1]:
                 continue
-            links = np.concatenate((count_x[some_x], count_y[some_y]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.nulls(len(ids), pa.int64()), pa.array(links)], ["vec_id", "other", "links"])
-            u, v = (np.concatenate(side) for side in zip(*held, strict=True))
-            nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
-            root = local_roots(at[: len(u)], at[len(u) :], len(nodes))
-            other = root != np.arange(len(nodes))
-            u, v = nodes[other], nodes[root[other]]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64())], ["vec_id", "other", "links"])
+            count_x, count_y, links = join_blocks(x, y, least)
+            counted += [(side.ids[count > 0], count[count > 0]) for side, count in ((x, count_x), (y, count_y))]
+            held += links
+    none = np.empty(0, np.int64)
+    ids, links = (np.concatenate((none, *side)) for side in zip((none, none), *counted, strict=True))
+    ids, at = np.unique(ids, return_inverse=True)
+    total = np.zeros(len(ids), np.int64)
+    np.add.at(total, at, links)
+    u, v = (np.concatenate((none, *side)) for side in zip((none, none), *held, strict=True))
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    root = local_roots(at[: len(u)], at[len(u) :], len(nodes))
+    other = root != np.arange(len(nodes))
+    u, v = nodes[other], nodes[root[other]]
+    return pa.table({
+        "vec_id": np.concatenate((ids, u)),
+        "other": pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(v, pa.int64())]),
+        "links": pa.concat_arrays([pa.array(total, pa.int64()), pa.nulls(len(u), pa.int64())]),
+    })
 
 
 def near_vectors(table: DataFrame, least: float = MIN_COSINE, block: int = BLOCK) -> DataFrame:
@@ -213,11 +225,14 @@ def near_vectors(table: DataFrame, least: float = MIN_COSINE, block: int = BLOCK
     )
     distance = F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
     pairs = left.join(right, ["width", "_cell"]).where(F.col("a") <= F.col("b")).where(distance <= eps * eps + SAFE)
-    pairs = stored(pairs.select("a", "b").distinct())
-    parts = ("ids", "vectors", "weights")
-    one, two = (blocks.select(F.col("block").alias(s), *(F.col(p).alias(f"{s}_{p}") for p in parts)) for s in "ab")
-    met = pairs.join(one, "a").join(two, "b").repartition("a", "b")
-    found = stored(met.mapInArrow(lambda it: _met(axes, least, it), "vec_id long, other long, links long"))
+    # groups of blocks that follow each other meet as tiles: a block travels once for each tile, not for each pair
+    size = F.greatest(F.lit(1), F.least(F.lit(TILE), F.floor(F.lit(TILE_BYTES) / (F.col("width") * 8 * block))))
+    group = lambda c: F.floor(F.col(c) / size)
+    tiles = stored(pairs.select(group("a").alias("a"), group("b").alias("b")).distinct())
+    grouped = blocks.select(group("block").alias("group"), "block", "ids", "vectors", "weights")
+    sent = tiles.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("group"))
+    met = sent.join(grouped, "group").groupBy("a", "b")
+    found = stored(met.applyInArrow(lambda tile: _met(axes, least, tile), "vec_id long, other long, links long"))
 
     linked = components(found.where("other IS NOT NULL").select(F.col("vec_id").alias("u"), F.col("other").alias("v")))
     counts = found.where("other IS NULL").groupBy("vec_id").agg(F.sum("links").alias("links"))
