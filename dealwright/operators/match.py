@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from dealwright.functions.scoring import best_option, edit_similarity, weighted_
 from dealwright.session import materialise
 
 CHUNK = 5000
+#: Texts and names of a tile at most when all are compared by matching blocks, places that characters are dealt to, and
+#: names that are looked at before the bounds of the others are seen again.
+ASKED, NAMES, LETTERS, AT_ONCE = 4096, 16_384, 128, 64
 #: Similarities at which the closest name is looked for by its pairs of characters, one after the other.
 LEVELS = (0.9, 0.8, 0.65)
 FALLBACK_SEGMENT = ("General", "Model")
@@ -99,25 +104,105 @@ def _edit_score(query: str):
     return score
 
 
-def _sequence_score(query: str):
-    """Best option by matching-blocks ratio, computed in Python; the last text in order on ties."""
+def _letters(texts: Sequence[str]) -> np.ndarray:
+    """How often each text holds each character, characters dealt to ``LETTERS`` places."""
+    counts = np.zeros((len(texts), LETTERS), np.int32)
+    for i, text in enumerate(texts):
+        for letter, n in Counter(text).items():
+            counts[i, ord(letter) % LETTERS] += n
+    return counts
 
-    def best_of(queries: pd.Series, options: pd.Series) -> pd.DataFrame:
-        rows = []
+
+def _places(text: str) -> dict[str, int]:
+    """A bit for each place of each character."""
+    places: dict[str, int] = {}
+    for i, letter in enumerate(text):
+        places[letter] = places.get(letter, 0) | 1 << i
+    return places
+
+
+def _common(places: dict[str, int], size: int, text: str) -> int:
+    """Length of the longest common subsequence of a text of that size and another one; its rows are bits of a number."""
+    whole = (1 << size) - 1
+    rows = whole
+    for letter in text:
+        met = rows & places.get(letter, 0)
+        rows = ((rows + met) | (rows - met)) & whole
+    return size - rows.bit_count()
+
+
+def _closest_of_tile(cutoff: float):
+    """Best name of a tile for each of its texts by matching-blocks ratio; the last text in order on ties.
+
+    Matching blocks are a common subsequence, and that has no more characters than the texts share in any order: two bounds
+    of the ratio. Names are compared from the highest bound on, until none can reach the best or the cutoff.
+    """
+
+    def closest(key: tuple, queries: pa.Table, options: pa.Table) -> pa.Table:
+        asked, names = queries["query"].to_pylist(), options.select(["text", "make", "model"]).to_pylist()
+        if not asked or not names:
+            return _CLOSEST.empty_table()
+        texts = [n["text"] for n in names]
+        held, lengths = _letters(texts), np.array([len(t) for t in texts])
+        told = []
         matcher = difflib.SequenceMatcher()
-        for text, choices in zip(queries, options):
-            best = (-1.0, "", None, None)
+        for text, own in zip(asked, _letters(asked)):
+            some = np.flatnonzero(own)
+            shared = np.minimum(held[:, some], own[some]).sum(axis=1)
+            # as the matcher has it: 1 for two empty texts
+            both = lengths + len(text)
+            bound = np.where(both > 0, 2.0 * shared / np.maximum(both, 1), 1.0)
+            order = np.argsort(-bound, kind="stable")
+            places, best, chosen = _places(text), (cutoff,), None
             matcher.set_seq2(text)
-            for choice in choices:
-                matcher.set_seq1(choice["text"])
-                if matcher.real_quick_ratio() >= best[0] and matcher.quick_ratio() >= best[0]:
-                    found = (matcher.ratio(), choice["text"], choice["make"], choice["model"])
-                    best = max(best, found, key=lambda b: b[:2])
-            rows.append(best)
-        return pd.DataFrame(rows, columns=["score", "text", "make", "model"])
-
-    udf = F.pandas_udf(best_of, "struct<score:double,text:string,make:string,model:string>")
-    return lambda options: udf(F.col(query), options)
+            for at in range(0, len(order), AT_ONCE):
+                some = order[at : at + AT_ONCE]
+                some = some[bound[some] >= best[0]]
+                if not len(some):
+                    break
+                common = np.array([_common(places, len(text), texts[i]) for i in some])
+                closer = np.where(both[some] > 0, 2.0 * common / np.maximum(both[some], 1), 1.0)
+                for j in np.argsort(-closer, kind="stable"):
+                    if closer[j] < best[0]:
+                        break
+                    name = names[some[j]]
+                    matcher.set_seq1(name["text"])
+                    # a null is before any other, as in Spark
+                    found = (matcher.ratio(), name["text"], *((v is not None, v or "") for v in (name["make"], name["model"])))
+                    if found > best:
+                        best, chosen = found, name
+            if chosen:
+                told.append((text, {"score": best[0], **chosen}))
+        return pa.table({"query": [q for q, _ in told], "best": [b for _, b in told]}, schema=_CLOSEST)
+
+    return closest
+
+
+_CLOSEST = pa.schema([
+    ("query", pa.string()),
+    ("best", pa.struct([("score", pa.float64()), ("text", pa.string()), ("make", pa.string()), ("model", pa.string())])),
+])
+
+
+def best_by_sequence(queries: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+    """(query, best) of the texts with a name at the cutoff or more, over all names, by matching-blocks ratio.
+
+    Texts and names meet as tiles: a name travels once for each block of texts, a text once for each block of names, and a
+    task holds one tile.
+    """
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = queries.count()
+    rows = max(1, -(-size // max(-(-size // ASKED), 4 * tasks)))
+    texts, names = max(1, -(-size // rows)), max(1, -(-known.count() // NAMES))
+    block = F.pmod(F.xxhash64("query"), F.lit(texts)).cast("int").alias("block")
+    asked = queries.where("query IS NOT NULL").select("query", block, F.explode(F.sequence(F.lit(0), F.lit(names - 1))).alias("part"))
+    part = F.pmod(F.xxhash64("text", "make", "model"), F.lit(names)).cast("int").alias("part")
+    told = known.select("text", "make", "model", part, F.explode(F.sequence(F.lit(0), F.lit(texts - 1))).alias("block"))
+    asked, told = (_spread(df, "block", "part").groupBy("block", "part") for df in (asked, told))
+    met = asked.cogroup(told).applyInArrow(
+        _closest_of_tile(cutoff), "query string, best struct<score:double,text:string,make:string,model:string>"
+    )
+    return met.groupBy("query").agg(F.max("best").alias("best"))
 
 
 def _within_lengths(queries: DataFrame, known: DataFrame, cutoff: float, score) -> DataFrame:
@@ -194,14 +279,14 @@ def fuzzy_segment(
     Texts that are a catalog name meet it by equality. Others meet the names that hold one of their rarest pairs of
     characters, first at a similarity of 0.9, then 0.8 and 0.65 (``LEVELS``): what is found there is the closest. Pairs cannot
     exclude names less similar than that, so texts still without one meet all names of a length that can reach the cutoff.
-    Without a match at the cutoff it is the first segment of the catalog, and with an empty catalog a fixed general one.
+    The matching-blocks ratio is searched by ``best_by_sequence``. Without a match at the cutoff it is the first segment
+    of the catalog, and with an empty catalog a fixed general one.
     A null text is one text without a match. ``similarity`` is 'edit' (edit distance, in the JVM) or 'sequence' (matching blocks).
     """
     known = catalog.select("make", "model").distinct()
     known = materialise(known.withColumn("text", F.lower(F.concat_ws(" ", "make", "model"))))
     first = known.agg(F.min(F.struct("make", "model")).alias("s")).first()["s"] or FALLBACK_SEGMENT
-    scores = {"edit": _edit_score, "sequence": _sequence_score}
-    if similarity not in scores:
+    if similarity not in ("edit", "sequence"):
         raise ValueError(f"unknown similarity {similarity!r}")
     queries = materialise(requests.select(F.lower(F.col(column)).alias("query")).distinct())
     same = known.groupBy(F.col("text").alias("query")).agg(
@@ -216,7 +301,7 @@ def fuzzy_segment(
             others = materialise(others.join(found_at[-1], "query", "left_anti"))
         near = reduce(DataFrame.union, found_at, _within_lengths(others, known, cutoff, _edit_score("query")))
     else:
-        near = best_in_chunks(others, "query", known, ["make", "model", "text"], _sequence_score("query"))
+        near = best_by_sequence(others, known, cutoff)
     best = equal.select("query", "best").union(near.select("query", "best"))
     found = F.coalesce(F.col("best.score") >= cutoff, F.lit(False))
     return queries.join(best, "query", "left").select(

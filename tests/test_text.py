@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,47 @@ def test_sequence_matching_agrees_with_the_standard_library(spark):
         assert got[q] == (expected[0] if expected else None)
 
 
+def test_few_ratios_are_taken_to_find_the_closest_sequence(monkeypatch):
+    """Two bounds leave a small part of all pairs, and the name found is that of a full comparison."""
+    draw = random.Random(8)
+    word = lambda n: "".join(draw.choices("abcdefghijklmno", k=n))
+    names = [{"text": f"{m} {n}", "make": m, "model": n} for m, n in {(word(5), word(9)) for _ in range(300)}]
+    names += [{"text": "zzz", "make": None, "model": "zzz"}, {"text": "zzz", "make": "zzz", "model": None}, {"text": "", "make": None, "model": None}]
+    typed = [n["text"][:4] + "z" + n["text"][5:] for n in names[:40]] + ["", "zzz", "é" * 300]
+    taken = []
+
+    class Counted(difflib.SequenceMatcher):
+        def ratio(self):
+            taken.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(match.difflib, "SequenceMatcher", Counted)
+    tile = match._closest_of_tile(0.5)
+    got = tile((), pa.table({"query": typed}), pa.Table.from_pylist(names)).to_pylist()
+    print("ratios taken", len(taken), "of", len(typed) * len(names))
+    assert len(taken) < 0.05 * len(typed) * len(names)
+    monkeypatch.undo()
+    expected = {}
+    for q in typed:
+        best = max((difflib.SequenceMatcher(None, n["text"], q).ratio(), n["text"]) for n in names)
+        if best[0] >= 0.5:
+            expected[q] = best
+    assert {r["query"]: (r["best"]["score"], r["best"]["text"]) for r in got} == expected
+
+
+def test_sequences_meet_as_tiles(spark, monkeypatch):
+    monkeypatch.setattr(match, "ASKED", 7)
+    monkeypatch.setattr(match, "NAMES", 5)
+    draw = random.Random(9)
+    names = sorted({("".join(draw.choices("abc", k=draw.randint(1, 5))), "".join(draw.choices("abcd", k=draw.randint(1, 8)))) for _ in range(40)})
+    typed = {"".join(draw.choices("abcd ", k=draw.randint(0, 14))) for _ in range(60)}
+    catalog = spark.createDataFrame(names, "make string, model string")
+    rows = spark.createDataFrame([(t,) for t in typed] + [(None,)], "v string")
+    for r in match.fuzzy_segment(rows, "v", catalog, similarity="sequence").collect():
+        best = max((difflib.SequenceMatcher(None, " ".join(n), r.text).ratio(), " ".join(n), *n) for n in names) if r.text is not None else (0,)
+        assert (r.known_make, r.known_model, r.score) == ((*best[2:], best[0]) if best[0] >= 0.5 else (*names[0], None))
+
+
 def test_segments_compared_by_length_are_those_of_a_full_comparison(spark, monkeypatch):
     monkeypatch.setattr(match, "CHUNK", 4)
     rng = np.random.default_rng(2)
