@@ -1,7 +1,7 @@
 """Streams that keep state: asking-price moves per listing, the best deals of a day, alerts of saved searches.
 
 State is bounded: a listing keeps its last ask and what has arrived but is not settled, a part of a day its ten best, and
-both are emptied by event-time timers. Late rows within the delay are put in their place, later ones and repeated
+what waits is emptied by event-time timers. Late rows within the delay are put in their place, later ones and repeated
 deliveries change nothing.
 """
 
@@ -21,6 +21,8 @@ from dealwright.operators.history import watch_met
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Parts that a day's deals are dealt to before the best of each are put together.
 PARTS = 64
+#: Buckets that listings are dealt to, whose state is kept together.
+BUCKETS = 1024
 
 
 @contextmanager
@@ -35,43 +37,60 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def _micros(ts: pd.Series) -> list[int]:
-    return [int(t.value // 1000) for t in ts]
-
-
 class PriceMoves(StatefulProcessor):
-    """Sightings of one listing in the order of time, each with the ask before it, once the watermark has passed them."""
+    """Sightings of the listings of a bucket in the order of time, each with the ask before it, once the watermark has passed
+    them. A call to the state is a round trip, so what waits is one list: read and written as a whole, with one timer."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "price double")
-        self.waiting = handle.getMapState("waiting", "ts long, event_id long", "price double")
+        self.last = handle.getMapState("last", "listing_id long", "price double")
+        self.waiting = handle.getListState("waiting", "listing_id long, ts long, event_id long, price double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for pdf in rows:
-            for at, event, price in zip(_micros(pdf["ts"]), pdf["event_id"], pdf["price"]):
-                place = (at, int(event))
-                if not self.waiting.containsKey(place):
-                    self.waiting.updateValue(place, (None if pd.isna(price) else float(price),))
-                    # a timer counts in milliseconds and fires when the watermark is beyond it
-                    self.handle.registerTimer(at // 1000 + 1)
+            if len(pdf):
+                at = pdf["ts"].astype("datetime64[us]").astype("int64")
+                prices = [None if pd.isna(p) else float(p) for p in pdf["price"]]
+                self.waiting.appendList(list(zip(pdf["listing_id"].tolist(), at.tolist(), pdf["event_id"].tolist(), prices)))
+                first = min(int(at.min()), first if first is not None else int(at.min()))
+        if first is not None:
+            # a timer counts in milliseconds and fires when the watermark is beyond it
+            self.handle.registerTimer(first // 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = sorted(k for k in self.waiting.keys() if k[0] // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs())
-        before = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for place in due:
-            price = self.waiting.getValue(place)[0]
-            out.append((key[0], place[1], pd.Timestamp(place[0], unit="us"), price, before))
-            before = price
-            self.waiting.removeKey(place)
-        if out:
-            if before is None:
-                self.last.clear()
+        fired, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        due: dict[int, dict[tuple, float | None]] = {}
+        left, held = [], False
+        for listing, at, event, price in self.waiting.get():
+            held = True
+            ready = at // 1000 + 1
+            if ready <= fired or ready < watermark:
+                due.setdefault(listing, {}).setdefault((at, event), price)  # the first of repeated deliveries
             else:
-                self.last.update((before,))
-            yield pd.DataFrame(out, columns=["listing_id", "event_id", "ts", "price", "previous"])
+                left.append((listing, at, event, price))
+        if not due:
+            return
+        out = []
+        for listing, seen in due.items():
+            had = self.last.getValue((listing,))[0] if self.last.containsKey((listing,)) else None
+            before = had
+            for at, event in sorted(seen):
+                price = seen[at, event]
+                out.append((listing, event, at, price, before))
+                before = price
+            if before is not None:
+                self.last.updateValue((listing,), (before,))
+            elif had is not None:
+                self.last.removeKey((listing,))
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(min(row[1] for row in left) // 1000 + 1)
+        elif held:
+            self.waiting.clear()
+        told = pd.DataFrame(out, columns=["listing_id", "event_id", "ts", "price", "previous"])
+        yield told.assign(ts=pd.to_datetime(told["ts"], unit="us"))
 
     def close(self) -> None:
         pass
@@ -84,7 +103,8 @@ def price_moves(arrivals: DataFrame, delay: str = "1 day") -> DataFrame:
     """
     named = arrivals.where("listing_id IS NOT NULL AND event_id IS NOT NULL AND ts IS NOT NULL")
     rows = named.select("listing_id", "event_id", "ts", "price").withWatermark("ts", delay)
-    moved = rows.groupBy("listing_id").transformWithStateInPandas(
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("listing_id"), F.lit(BUCKETS)))
+    moved = dealt.groupBy("bucket").transformWithStateInPandas(
         PriceMoves(), "listing_id long, event_id long, ts timestamp, price double, previous double", "Append", "EventTime"
     )
     return moved.withColumn("move", F.col("price") - F.col("previous"))

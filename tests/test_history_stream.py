@@ -1,5 +1,6 @@
 import datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,81 @@ def test_streamed_moves_and_digest_are_those_of_the_batch_with_late_and_repeated
     ]
 
 
+def test_moves_of_a_bucket_take_few_calls_to_the_state():
+    """Calls to the state grow with the listings that moved, not with their sightings."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.rows, self.values = [], {}
+
+        def __getattribute__(self, name):
+            if name not in ("rows", "values"):
+                calls.append(name)
+            return object.__getattribute__(self, name)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def get(self):
+            return iter(list(self.rows))
+
+        def clear(self):
+            self.rows = []
+
+        def containsKey(self, key):
+            return key in self.values
+
+        def getValue(self, key):
+            return self.values[key]
+
+        def updateValue(self, key, value):
+            self.values[key] = value
+
+        def removeKey(self, key):
+            del self.values[key]
+
+    class Handle:
+        timers: list = []
+
+        def getMapState(self, *_):
+            return State()
+
+        def getListState(self, *_):
+            return State()
+
+        def registerTimer(self, ms):
+            calls.append("timer")
+            self.timers.append(ms)
+
+    class Clock:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getExpiryTimeInMs(self):
+            return self.ms
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    moves, handle = stateful.PriceMoves(), Handle()
+    moves.init(handle)
+    stamps = pd.date_range("2024-01-01", periods=1000, freq="min")
+    rows = pd.DataFrame({"listing_id": [i % 5 for i in range(1000)], "event_id": range(1000), "ts": stamps, "price": [float(i) for i in range(1000)]})
+    list(moves.handleInputRows((1,), iter([rows.iloc[::-1], rows.iloc[:10]]), None))
+    middle = Clock(stamps[499].value // 1_000_000 + 1)
+    first = pd.concat(moves.handleExpiredTimer((1,), middle, middle))
+    end = Clock(handle.timers[-1] + 10**9)
+    second = pd.concat(moves.handleExpiredTimer((1,), end, end))
+    assert len(first) == 500 and len(second) == 500 and handle.timers[-1] == stamps[500].value // 1_000_000 + 1
+    both = pd.concat([first, second]).sort_values("event_id")
+    assert both["previous"].tolist()[5:] == [float(i) for i in range(995)] and both["previous"].isna().sum() == 5
+    print("calls to the state", len(calls))
+    assert len(calls) < 100
+
+
 def test_alerts_come_once_per_search_and_listing(spark, tmp_path):
     source, out, progress = str(tmp_path / "in"), fresh_path(spark, "out"), fresh_path(spark, "progress")
     columns = "listing_id long, make string, model string, region string, ts timestamp, price double, discount_pct double"
