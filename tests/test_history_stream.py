@@ -62,6 +62,16 @@ def test_watchlist_of_one_hot_segment(spark, monkeypatch):
     assert rows.groupBy("make", "band").count().agg(F.max("count")).first()[0] <= 16
 
 
+def test_watchlist_tiles_are_dealt_to_tasks(spark, monkeypatch):
+    """The rows of many tiles are few, their pairs are not: tiles stay in several tasks, and no pair is lost."""
+    monkeypatch.setattr(history, "BAND", 16)
+    d = spark.range(200).selectExpr("string(id) AS listing_id", "'A' AS make", "'x' AS model", "id AS price", "'N' AS region", "1.0D AS discount_pct")
+    w = spark.range(160).selectExpr("id AS watch_id", "'A' AS make", "'x' AS model", "double(id) AS budget", "string(NULL) AS region")
+    met = history.watchlist_match(d, w)
+    assert met.rdd.getNumPartitions() > 8
+    assert met.count() == met.distinct().count() == sum(price <= budget for price in range(200) for budget in range(160))
+
+
 def test_stream_scores_each_arrival_once_across_restarts(spark, tmp_path):
     source, out, progress = str(tmp_path / "in"), fresh_path(spark, "out"), fresh_path(spark, "progress")
     columns = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
