@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,26 +248,27 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rest = F.struct(F.lit(True).alias("there"), *(F.col(c).alias(f"f{i}") for i, c in enumerate(others)))
     packed = docs.select("doc_id", "text", rest.alias("_rest"))
     joined = _with_keys(packed, "_rest").join(stored(spans), ["_doc", "_k1"], "left").select("doc_id", "text", "_rest", "_cuts")
-    schema = T.StructType([f for f in joined.schema.fields if f.name != "_cuts"])
+    schema = T.StructType([*(f for f in joined.schema.fields if f.name != "_cuts"), T.StructField("_changed", T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                t.as_py() if not s.is_valid else _without(t.as_py(), s.as_py())
-                for t, s in zip(batch.column("text"), batch.column("_cuts"), strict=True)
-            ]
-            made = pa.array(texts, batch.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), made, batch.column("_rest")], ["doc_id", "text", "_rest"])
-
-    def unpacked(rows: DataFrame, changed: bool) -> DataFrame:
-        found = {c: F.col("_rest")[f"f{i}"] for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
-        if changed and "n_chars" in columns:
-            found["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-        return rows.select(*(found[c].alias(c) for c in columns))
-
-    untouched = joined.where("_cuts IS NULL").drop("_cuts")
-    changed = joined.where("_cuts IS NOT NULL").mapInArrow(cut, schema).where(has_words(F.col("text")))
-    return unpacked(untouched, False).unionByName(unpacked(changed, True))
+            texts, cuts = batch.column("text"), batch.column("_cuts")
+            changed = cuts.is_valid()
+            some = zip(texts.filter(changed), cuts.filter(changed), strict=True)
+            left = pa.array([_without(t.as_py(), s.as_py()) for t, s in some], texts.type)
+            if len(left):
+                texts = pc.replace_with_mask(texts, changed, left)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), texts, batch.column("_rest"), changed], ["doc_id", "text", "_rest", "_changed"]
+            )
+
+    # all rows in one pass, as each branch of a union would shuffle the texts again
+    done = joined.mapInArrow(cut, schema).where(~F.col("_changed") | has_words(F.col("text")))
+    found = {c: F.col("_rest")[f"f{i}"] for i, c in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in columns:
+        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found["n_chars"] = F.when(F.col("_changed"), n_chars).otherwise(found["n_chars"])
+    return done.select(*(found[c].alias(c) for c in columns))
 
 
 def has_words(text: Column) -> Column:

@@ -239,6 +239,21 @@ def test_suffix_removal_cuts_words_and_nothing_else(spark):
     assert none.count() == 0 and none.columns == "doc_id text lang source n_chars".split()
 
 
+def test_suffix_removal_shuffles_texts_once(spark):
+    """Cut and untouched texts come out of one join; a join for each would move all texts twice."""
+    rng = random.Random(9)
+    passage = prose(rng, 80)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = suffixes.remove_repeats(frame(spark, [passage, passage + " one", "two"], clash=False))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("SortMergeJoin") == 1
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in left.collect()} == {(0, passage, len(passage)), (1, "one", 3), (2, "two", 3)}
+
+
 def test_suffix_null_and_repeated_ids(spark):
     rng = random.Random(8)
     passage = prose(rng, 90)
