@@ -164,17 +164,26 @@ def path_scores(
     """Anomaly score in (0, 1): near 1 for rows that random splits isolate early."""
     trees, size = feature.shape
     levels = int(np.log2(size + 1))
-    tree = np.arange(trees)[None, :]
+    # a leaf hands its path to all below it, so that every row goes down to the last level without asking where it stops
+    path, closed = path.copy(), feature < 0
+    for level in range(levels - 1):
+        here, below = slice(2**level - 1, 2 ** (level + 1) - 1), slice(2 ** (level + 1) - 1, 2 ** (level + 2) - 1)
+        ends = np.repeat(closed[:, here], 2, axis=1)
+        closed[:, below] |= ends
+        path[:, below] = np.where(ends, np.repeat(path[:, here], 2, axis=1), path[:, below])
+    split, cut, path = np.maximum(feature, 0).astype(np.intp).ravel(), threshold.ravel(), path.ravel()
+    first = np.arange(trees) * size
     depth = np.empty(len(x))
-    for start in range(0, len(x), 2000):
-        rows = x[start : start + 2000]
-        at = np.arange(len(rows))[:, None]
-        node = np.zeros((len(rows), trees), dtype=np.int64)
+    for start in range(0, len(x), 500):  # few rows, so that what is looked up stays in the processor's caches
+        rows = x[start : start + 500]
+        values, before = rows.ravel(), np.arange(len(rows))[:, None] * rows.shape[1]
+        node = np.repeat(first[None, :], len(rows), axis=0)
         for _ in range(levels - 1):
-            f = feature[tree, node]
-            right = rows[at, np.maximum(f, 0)] > threshold[tree, node]
-            node = np.where(f >= 0, 2 * node + 1 + right, node)
-        depth[start : start + 2000] = path[tree, node].mean(axis=1)
+            right = values.take(split.take(node) + before) > cut.take(node)
+            node *= 2
+            node -= first - 1
+            node += right
+        depth[start : start + 500] = path.take(node).mean(axis=1)
     return 2.0 ** (-depth / max(float(average_path(np.array(rows_per_tree))), 1e-12))
 
 
@@ -188,12 +197,10 @@ def drawn_rows(
     """
     chance = F.least(F.lit(1.0), F.lit(float(settings.rows_per_tree)) / F.col("_rows"))
     low = (chance * F.lit(float(1 << 62))).cast("bigint")
-    drawn = F.filter(
-        F.sequence(F.lit(0), F.lit(settings.trees - 1)),
-        lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), t, F.col(id_column)), 2) < low,
-    )
+    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), "tree", F.col(id_column)), 2) < low
     sized = with_group_values(df, sizes, keys, "inner", stored=True)
-    return sized.withColumn("tree", F.explode(F.when(chance < 1, drawn).otherwise(F.sequence(F.lit(0), F.lit(settings.trees - 1)))))
+    # the trees as rows that a condition thins out are compiled, a lambda over an array of them is not
+    return sized.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(settings.trees - 1)))).where((chance >= 1) | drawn)
 
 
 def fit_forests(

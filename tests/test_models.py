@@ -227,6 +227,19 @@ def test_general_model_counts_a_make_once(spark):
     assert new == pytest.approx(got[df.first().make], rel=0.05)
 
 
+def test_drawing_rows_runs_no_lambda(spark):
+    """Trees are drawn by a compiled condition: the same hash of seed, tree and listing as one by one."""
+    rows = spark.range(3000).selectExpr("'A' AS make", "IF(id < 2990, 'big', 'small') AS model", "concat('L', id) AS listing_id")
+    sizes = materialise(rows.groupBy("make", "model").agg(F.count(F.lit(1)).alias("_rows")))
+    settings = OutlierSettings(trees=5)
+    drawn = outliers.drawn_rows(rows, sizes, settings, ["make", "model"])
+    assert "lambda" not in drawn._jdf.queryExecution().executedPlan().toString()
+    low = int(settings.rows_per_tree / 2990 * float(1 << 62))
+    pairs = rows.crossJoin(spark.range(5).selectExpr("int(id) AS tree"))
+    plain = pairs.where(f"model = 'small' OR shiftrightunsigned(xxhash64({settings.seed}, tree, listing_id), 2) < {low}")
+    assert sorted(drawn.select("listing_id", "tree").collect()) == sorted(plain.select("listing_id", "tree").collect())
+
+
 def test_segments_are_judged_before_outliers_go(spark):
     rows = make_rows(40)[:19] + [("odd", "Make", "M0", "North", 2000.0, 50000.0, 2016, 0, 990000, 10, 5000.0)]
     df = spark.createDataFrame([(*r[:2], "M0", *r[3:]) for r in rows], SCHEMA)
