@@ -298,3 +298,26 @@ def test_outlier_switch(rows):
     assert outliers.flag_outliers(rows, OutlierSettings(method="robust")).columns[-1] == "is_outlier"
     with pytest.raises(ValueError):
         outliers.flag_outliers(rows, OutlierSettings(method="other"))
+
+
+def test_tree_fits_deal_rows_by_their_number(spark, monkeypatch):
+    from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
+
+    from dealwright.operators import ensemble
+
+    sizes = []
+    for kind in (GBTRegressor, DecisionTreeRegressor):
+        def fit(self, dataset, params=None, own=kind.fit):
+            sizes.append(sorted(r["count"] for r in dataset.groupBy(F.spark_partition_id()).count().collect()))
+            return own(self, dataset, params)
+
+        monkeypatch.setattr(kind, "fit", fit)
+    monkeypatch.setattr(ensemble, "TASK_ROWS", 50, raising=False)
+    names = ("engine_size", "odometer", "year", "age", "km_per_year")
+    rows = [(f"m{i % 3}", f"x{i % 7}", *(float(i * k % 97) for k in range(1, 6)), 1000 + i % 113) for i in range(1000)]
+    df = spark.createDataFrame(rows, ["make", "model", *names, "price"]).coalesce(1)
+    model = ensemble.train_general_trees(df, ("make", "model"), names, rounds=2, depth=2)
+    leaves = ensemble.fit_leaves(df, names, depth=2)
+    assert [len(s) for s in sizes] == [20, 20] and all(s[-1] <= 60 for s in sizes)
+    assert ensemble.predict_general_trees(df, model, names).where("general IS NOT NULL").count() == 1000
+    assert ensemble.add_leaf(df, leaves, names).select("leaf").distinct().count() > 1
