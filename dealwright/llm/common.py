@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,14 @@ def stored(df: DataFrame, gather: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_rows(path: str, schema: pa.Schema) -> dataset.Dataset:
+    """What Spark has stored in a folder that all machines share, for tasks to read; nothing, if there is no such folder."""
+    system, place = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    if system.get_file_info(place).type != fs.FileType.Directory:
+        return dataset.dataset(schema.empty_table())
+    return dataset.dataset(place, schema=schema, format="parquet", filesystem=system)
+
+
 def in_small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session that hands Python batches of at most ``BATCH_BYTES``: several long texts at a time, not
     thousands of them. A session that names a size of its own keeps it."""

@@ -19,11 +19,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealwright.llm.common import held, list_array, stored
+from dealwright.llm.common import held, list_array, stored, stored_rows
 from dealwright.session import fresh_path
 
 ORDER, BITS = 4, 11
@@ -211,13 +210,7 @@ def shard_of(code, shards: int):
     return ((((code >> BITS) & pair) * 40503) >> 8) % shards
 
 
-def _read(path: str) -> pa.Table:
-    """What Spark has stored in a folder that all machines share; nothing, if a shard had no rows."""
-    schema = pa.schema([("lang", pa.string()), ("level", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
-    system, place = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    if system.get_file_info(place).type != fs.FileType.Directory:
-        return schema.empty_table()
-    return dataset.dataset(place, schema=schema, format="parquet", filesystem=system).to_table()
+_NGRAMS = pa.schema([("lang", pa.string()), ("level", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
 
 
 def _shard(models: CharacterModels, number: int) -> Shard:
@@ -225,7 +218,7 @@ def _shard(models: CharacterModels, number: int) -> Shard:
 
 
 def _shard_read(models: CharacterModels, number: int) -> Shard:
-    rows = pa.concat_tables([_read(f"{models.path}/long/shard={number}"), _read(f"{models.path}/short")])
+    rows = pa.concat_tables([stored_rows(f"{models.path}/{part}", _NGRAMS).to_table() for part in (f"long/shard={number}", "short")])
     place = {lang: i for i, lang in enumerate(models.langs)}
     names = rows["lang"].combine_chunks().dictionary_encode()
     owner = np.array([place[x] for x in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]

@@ -9,7 +9,8 @@ those of the different longer ones (update exclusion). What escapes every contex
 The trie is a table per order, made by Spark from counts of all training documents. What a context's symbols exclude one
 order below depends on the context alone, so its escapes are columns. The most frequent contexts with their symbol, a
 bounded number, go to every task and answer for nearly all positions; all others are told apart as rows and meet the
-tables by joins, order by order. Nothing is left out, and no task reads the whole model. Words are met the same way.
+tables by joins, order by order. Nothing is left out, and no task reads the whole model. Words are met the same way. What
+goes to every task is stored, and tasks read it from there: it passes neither the driver nor a broadcast.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealwright.llm.common import HOT, met, stored
+from dealwright.llm.common import HOT, held, met, release, stored, stored_rows
+from dealwright.session import fresh_path
 
 #: Bytes of a context. With its symbol it is 56 bits of a code, which leaves 8 for the piece it is in.
 ORDER = 6
@@ -38,6 +40,8 @@ SYMBOLS = 244
 RESIDENT, RESIDENT_WORDS = 3_000_000, 300_000
 #: Bytes that are worked on at once, and different codes and words that a task counts before it tells them.
 SLICE, COUNTED, COUNTED_WORDS = 1 << 20, 4_000_000, 500_000
+#: Rows that a task tells at once: an executor holds what it is told outside its heap.
+TOLD = 1 << 17
 #: What every token's count is raised by in the base score.
 RAISED = 0.1
 
@@ -104,8 +108,10 @@ class _Counts:
 
     def merge(self) -> None:
         codes, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts = []  # let go before the sort takes as much again
         order = np.argsort(codes, kind="stable")
-        codes, n = codes[order], n[order]
+        codes = codes[order]
+        n = n[order]
         starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
         self.parts = [(codes[starts], np.add.reduceat(n, starts))]
         self.size = len(starts)
@@ -128,16 +134,20 @@ _COUNTS = pa.schema([("code", pa.int64()), ("word", pa.binary()), ("n", pa.int64
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(code, word, n) of a task's texts, either code or word being null."""
+    release()
     codes, words = _Counts(), Counter()
 
     def told_codes():
         found, n = codes.take()
-        return _batch({"code": pa.array(found.astype(np.int64)), "n": pa.array(n, pa.int64())}, _COUNTS)
+        for at in range(0, len(found), TOLD):
+            part = slice(at, at + TOLD)
+            yield _batch({"code": pa.array(found[part].astype(np.int64)), "n": pa.array(n[part], pa.int64())}, _COUNTS)
 
     def told_words():
-        made = {"word": pa.array(list(words), pa.binary()), "n": pa.array(list(words.values()), pa.int64())}
+        made = pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())
         words.clear()
-        return _batch(made, _COUNTS)
+        for at in range(0, len(made[0]), TOLD):
+            yield _batch({"word": made[0].slice(at, TOLD), "n": made[1].slice(at, TOLD)}, _COUNTS)
 
     def split(texts):
         for text in texts:
@@ -149,16 +159,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, _ in _pieces(split(batch.column(0).cast(pa.binary()).to_pylist())):
             codes.add(found)
             if codes.size > COUNTED:
-                yield told_codes()
+                yield from told_codes()
         if len(words) > COUNTED_WORDS:
-            yield told_words()
-    yield told_codes()
-    yield told_words()
+            yield from told_words()
+    yield from told_codes()
+    yield from told_words()
 
 
 def counts(training: DataFrame) -> DataFrame:
-    """Stored (code, word, n) over all rows (text): how often each context comes with a symbol, and each word."""
-    found = training.select("text").mapInArrow(_count, "code long, word binary, n long")
+    """Stored (code, word, n) over all rows (text): how often each context comes with a symbol, and each word.
+
+    A task tells a code about once, so rows are dealt out before they are added up: adding them up first would shorten nothing.
+    """
+    found = training.select("text").mapInArrow(_count, "code long, word binary, n long").repartition("code", "word")
     return stored(found.groupBy("code", "word").agg(F.sum("n").alias("n")))
 
 
@@ -213,15 +226,12 @@ class Trie:
             )
         self.unseen = SYMBOLS - self.symbols[0].count()
 
-    def resident(self) -> tuple[np.ndarray, np.ndarray]:
-        """The most frequent codes, at most ``RESIDENT``, in order, and log10 of their symbol's probability."""
+    def resident(self) -> DataFrame:
+        """The most frequent codes, at most ``RESIDENT``, and ``p``: log10 of their symbol's probability."""
         often = self.symbols[ORDER].where(most_frequent(self.symbols[ORDER], RESIDENT))
         known = self.contexts[ORDER].select("context", "sees")
         rows = often.join(known, F.shiftright("code", 8) == F.col("context"))
-        found = rows.select("code", (F.log10(F.col("n") - ESCAPED) - F.col("sees")).alias("p")).toArrow().combine_chunks()
-        codes, p = found["code"].to_numpy(), found["p"].to_numpy()
-        order = np.argsort(codes)
-        return codes[order], p[order]
+        return rows.select("code", (F.log10(F.col("n") - ESCAPED) - F.col("sees")).alias("p"))
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """``rows`` (code, times) with ``p``: log10 of the probability of each code's symbol after its context."""
@@ -267,12 +277,33 @@ _TOLD = pa.schema([
 ])
 
 
-def _told(docs: DataFrame, resident: tuple[np.ndarray, np.ndarray], words: dict[bytes, float], end: float) -> DataFrame:
-    """Stored rows of three kinds: documents, and the codes and words of each that the resident ones don't answer for."""
-    shared = docs.sparkSession.sparkContext.broadcast((*resident, words))
+_RESIDENT = pa.schema([("code", pa.int64()), ("p", pa.float64())])
+_RESIDENT_WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+
+def _resident(path: str, whole: float) -> tuple[np.ndarray, np.ndarray, dict[bytes, float]]:
+    """Codes in order, log10 of their symbol's probability, and that of each word, as they are stored under ``path``."""
+    rows = stored_rows(f"{path}/codes", _RESIDENT)
+    codes, p, at = np.empty(size := rows.count_rows(), np.int64), np.empty(size, np.float64), 0
+    for batch in rows.to_batches(batch_readahead=1, fragment_readahead=1, use_threads=False):
+        codes[at : at + len(batch)], p[at : at + len(batch)] = batch["code"].to_numpy(), batch["p"].to_numpy()
+        at += len(batch)
+    order = np.argsort(codes)
+    codes = codes[order]
+    p = p[order]
+    words = stored_rows(f"{path}/words", _RESIDENT_WORDS).to_table().sort_by([("n", "descending")])  # frequent ones lie together
+    log_p = np.log10((words["n"].to_numpy() + RAISED) / whole).tolist()
+    known_words = dict(zip(words["word"].to_pylist(), log_p, strict=True))
+    del rows, words, order, log_p
+    pa.default_memory_pool().release_unused()
+    return codes, p, known_words
+
+
+def _told(docs: DataFrame, resident: str, whole: float, end: float) -> DataFrame:
+    """Stored rows of three kinds: documents, and the codes and words of each that those under ``resident`` don't answer for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, p, known_words = shared.value
+        codes, p, known_words = held(resident, lambda: _resident(resident, whole))
         for batch in batches:
             rows = batch.column("row").to_numpy()
             tokens, known, base = (np.zeros(len(rows), t) for t in (np.int64, np.int64, np.float64))
@@ -292,9 +323,13 @@ def _told(docs: DataFrame, resident: tuple[np.ndarray, np.ndarray], words: dict[
 
             for found, owner in _pieces(split(batch.column("text").cast(pa.binary()).to_pylist())):
                 code, of, n = _grouped(found, owner)
-                at = np.minimum(np.searchsorted(codes, code), max(0, len(codes) - 1))
-                there = codes[at] == code if len(codes) else np.zeros(len(code), bool)
-                score += np.bincount(of[there], n[there] * p[at[there]] if len(codes) else None, len(rows))
+                first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+                at = np.minimum(np.searchsorted(codes, code[first]), max(0, len(codes) - 1))
+                known_code = codes[at] == code[first] if len(codes) else np.zeros(len(first), bool)
+                times = np.diff(np.append(first, len(code)))
+                there = np.repeat(known_code, times)
+                gain = np.repeat(p[at[known_code]], times[known_code])
+                score += np.bincount(of[there], n[there] * gain, len(rows))
                 gone = ~there
                 if gone.any():
                     yield _batch({"row": pa.array(rows[of[gone]]), "code": pa.array(code[gone]), "n": pa.array(n[gone])}, _TOLD)
@@ -320,9 +355,7 @@ def _told(docs: DataFrame, resident: tuple[np.ndarray, np.ndarray], words: dict[
     schema = (
         "row long, doc_id long, n_tokens long, n_known long, base double, score double, code long, word binary, n long"
     )
-    found = stored(rows.mapInArrow(run, schema))
-    shared.destroy()
-    return found
+    return stored(rows.mapInArrow(run, schema))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -348,10 +381,10 @@ def score(docs: DataFrame) -> DataFrame:
     whole = all_tokens + RAISED * (kinds + 1)
 
     trie = Trie(found.where("code IS NOT NULL").select("code", "n"))
-    often = word_counts.where(most_frequent(word_counts, RESIDENT_WORDS)).toArrow()
-    log_p = np.log10((often["n"].to_numpy() + RAISED) / whole).tolist()
-    words = dict(zip(often["word"].to_pylist(), log_p, strict=True))
-    told = _told(docs, trie.resident(), words, float(np.log10((n_docs + RAISED) / whole)))
+    resident = fresh_path(docs.sparkSession, "ppm")
+    trie.resident().write.parquet(f"{resident}/codes")
+    word_counts.where(most_frequent(word_counts, RESIDENT_WORDS)).write.parquet(f"{resident}/words")
+    told = _told(docs, resident, whole, float(np.log10((n_docs + RAISED) / whole)))
 
     codes = told.where("code IS NOT NULL").select("row", "code", "n")
     kinds_of = trie.scored(codes.groupBy("code").agg(F.count(F.lit(1)).alias("times")))

@@ -169,6 +169,17 @@ def test_scores_are_those_of_a_trie_of_dictionaries(spark, monkeypatch, resident
         assert r["score"] == pytest.approx(want, abs=1e-8)
 
 
+def test_what_every_task_needs_passes_neither_the_driver_nor_a_broadcast(spark, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("the resident model went through the driver")
+
+    df = spark.createDataFrame(list(enumerate(texts_of(5, 30))), "doc_id long, text string").repartition(3)
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(type(df), name, refused)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    assert ppm.score(df).count() == 40
+
+
 def test_scores_without_training_documents_or_documents(spark):
     schema = "doc_id long, text string"
     assert ppm.score(spark.createDataFrame([], schema)).count() == 0
