@@ -15,7 +15,7 @@ from dealwright.session import fresh_path
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 PAGES = "page_id long, url string, html string"
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "benchmark")
 
 
 def vectors(spark, rows):
