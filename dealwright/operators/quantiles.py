@@ -1,11 +1,12 @@
 """Exact group quantiles that never gather a group in one task.
 
 Spark's own ``percentile`` merges one value-to-count map per group, so a segment holding a third of all rows
-ends up in a single buffer. Here rows are first counted per (group, cell, value), with map-side combining.
-A cell is a narrow range of values on a logarithmic scale; a group has at most about 1.5 million cells whatever
-its size. Running totals over cells find the few that hold the wanted ranks. A wanted cell with more than
-``CELL_VALUES`` different values, as doubles may have, is cut into ``SUB_CELLS`` equal parts of its range, again and again,
-and only the parts that hold a wanted rank are kept; what is left is sorted.
+ends up in a single buffer. Here rows are first counted per (group, cell), with map-side combining. A cell is a range
+of values on a logarithmic scale, wide enough that a task has many rows of each: a group has at most about 23,000 cells
+whatever its size. Running totals over cells find the few that hold the wanted ranks; they are stored, and a second pass
+over the rows counts per value in these cells alone, so most values are never shuffled. A wanted cell with more than
+``CELL_VALUES`` different values is cut into ``SUB_CELLS`` equal parts of its range, again and again, and only the parts
+that hold a wanted rank are kept; what is left is sorted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from dealwright.session import materialise
 
-CELLS_PER_UNIT = 1024
+CELLS_PER_UNIT = 16
 CELL_VALUES, SUB_CELLS = 20_000, 4096
 
 
@@ -29,6 +30,16 @@ def value_cell(value: Column) -> Column:
     return F.coalesce(cell.cast("bigint"), F.lit(0))
 
 
+def _held(rows: DataFrame, wanted_cells: DataFrame, keys: Sequence[str], counted: Mapping[str, Column]) -> DataFrame:
+    """(keys, _cell, _n, _below, _v, counted) of the different values in wanted cells; ``rows`` are read once more for it."""
+    return (
+        rows.join(materialise(wanted_cells), [*keys, "_cell"])
+        .groupBy(*keys, F.col("_cell").cast("string").alias("_cell"), "_v")
+        .agg(F.first("_n").alias("_n"), F.first("_below").alias("_below"), *(c.alias(n) for n, c in counted.items()))
+        .select(*keys, "_cell", "_n", "_below", "_v", *counted)
+    )
+
+
 def _refined(held: DataFrame, keys: Sequence[str], holding) -> DataFrame:
     """``held`` (keys, _cell, _n, _below, _v, _c) cut down to cells of few values, each with what lies below it."""
     held = materialise(held)
@@ -61,7 +72,7 @@ def _refined(held: DataFrame, keys: Sequence[str], holding) -> DataFrame:
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], count_as: str | None = None
 ) -> DataFrame:
-    """One row per group with linearly interpolated quantiles, nulls ignored.
+    """One row per group with linearly interpolated quantiles, nulls ignored. ``df`` is read twice.
 
     ``probabilities`` maps output names to levels in [0, 1]. ``count_as`` adds the number of values.
     Rows with a null key belong to no group.
@@ -70,18 +81,12 @@ def exact_quantiles(
     present = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, value]]))
     if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
         present = present.where(~F.isnan(value))
-    clean = present.select(*keys, F.col(value).cast("double").alias("_v"))
-    counts = (
-        clean.select(*keys, "_v", value_cell(F.col("_v")).alias("_cell"))
-        .groupBy(*keys, "_cell", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-
+    rows = present.select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_cell", value_cell(F.col("_v")))
     group = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_cell")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = (
-        counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_c").alias("_cc"))
+        rows.groupBy(*keys, "_cell")
+        .agg(F.count(F.lit(1)).alias("_cc"))
         .withColumns({"_n": F.sum("_cc").over(whole), "_below": F.sum("_cc").over(group) - F.col("_cc")})
     )
     levels = list(probabilities.items())
@@ -98,9 +103,7 @@ def exact_quantiles(
         return reduce(lambda a, b: a | b, [holds(below, size, rank(*r)) for r in ranks])
 
     wanted_cells = cells.where(holding(F.col("_below"), F.col("_cc"))).select(*keys, "_cell", "_n", "_below")
-    held = counts.join(wanted_cells, [*keys, "_cell"]).withColumn("_cell", F.col("_cell").cast("string"))
-    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
-        held = _refined(held, keys, holding)
+    held = _refined(_held(rows, wanted_cells, keys, {"_c": F.count(F.lit(1))}), keys, holding)
 
     in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v")
     picked = held.withColumn("_start", F.col("_below") + F.sum("_c").over(in_cell) - F.col("_c"))
@@ -131,7 +134,7 @@ def weighted_quantile(
 
     ``share`` is the column with the part each row's weight calls for, half by default: the weighted median. Rows with a
     null key, value or weight, or without a positive weight, count for nothing. As in ``exact_quantiles`` weights are
-    added up per cell of values, so that no group is sorted as a whole.
+    added up per cell of values, so that no group is sorted as a whole, and ``df`` is read twice.
     """
     keys = list(keys)
     called = F.col(share).cast("double") if share else F.lit(0.5)
@@ -140,16 +143,12 @@ def weighted_quantile(
     )
     present = [F.col(c).isNotNull() for c in [*keys, "_v"]]
     rows = rows.where(reduce(lambda a, b: a & b, present)).where((F.col("_c") > 0) & ~F.isnan("_v"))
-    counts = (
-        rows.groupBy(*keys, value_cell(F.col("_v")).alias("_cell"), "_v")
-        .agg(F.sum("_c").alias("_c"), F.sum(F.col("_c") * F.col("_share")).alias("_called"))
-        .withColumnRenamed("_called", "_part")
-    )
+    rows = rows.withColumn("_cell", value_cell(F.col("_v")))
     group = Window.partitionBy(*(keys or [F.lit(1)])).orderBy("_cell")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = (
-        counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_c").alias("_cc"), F.sum("_part").alias("_part"))
+        rows.groupBy(*keys, "_cell")
+        .agg(F.sum("_c").alias("_cc"), F.sum(F.col("_c") * F.col("_share")).alias("_part"))
         .withColumns(
             {
                 "_n": F.struct(F.sum("_part").over(whole).alias("at"), F.sum("_cc").over(whole).alias("all")),
@@ -163,8 +162,7 @@ def weighted_quantile(
         return (below <= wanted + slack) & (below + size >= wanted - slack)
 
     wanted_cells = cells.where(holding(F.col("_below"), F.col("_cc"))).select(*keys, "_cell", "_n", "_below")
-    held = counts.drop("_part").join(wanted_cells, [*keys, "_cell"]).withColumn("_cell", F.col("_cell").cast("string"))
-    held = _refined(held.select(*keys, "_cell", "_n", "_below", "_v", "_c"), keys, holding)
+    held = _refined(_held(rows, wanted_cells, keys, {"_c": F.sum("_c")}), keys, holding)
     upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys, "_cell").orderBy("_v"))
     reached = held.withColumn("_upto", upto).where(F.col("_upto") >= wanted - slack)
     return reached.groupBy(*keys).agg(F.min("_v").alias(name))

@@ -14,7 +14,7 @@ from dealwright.sources.listings import FEATURES_SQL
            avg(age) AS avg_age, median(price) AS median_price FROM features GROUP BY make, model""",
 )
 def market_summary(spark, sf_dir):
-    return market.market_summary(features(spark, sf_dir, "make", "model", "price", "age"))
+    return market.market_summary(materialise(features(spark, sf_dir, "make", "model", "price", "age")))
 
 
 @query(
@@ -24,7 +24,7 @@ def market_summary(spark, sf_dir):
            quantile_cont(price, 0.75) AS q75 FROM features GROUP BY make, model""",
 )
 def price_quantiles(spark, sf_dir):
-    return market.price_quantiles(features(spark, sf_dir, "make", "model", "price"))
+    return market.price_quantiles(materialise(features(spark, sf_dir, "make", "model", "price")))
 
 
 BINS_SQL = """,

@@ -40,6 +40,32 @@ def test_cells_of_doubles_are_refined_until_they_are_small(spark, monkeypatch):
     assert sizes and max(sizes) <= 500
 
 
+def test_only_values_of_wanted_cells_are_grouped(spark, monkeypatch):
+    from dealwright.operators import quantiles
+
+    values = np.random.default_rng(6).permutation(40_000)
+    df = spark.createDataFrame([(int(v), float(v % 7)) for v in values], "v long, w double")
+    seen = []
+    plain = quantiles._refined
+
+    def watched(held, keys, holding):
+        plan = held._jdf.queryExecution().optimizedPlan().toString()
+        found = plain(held, keys, holding)
+        seen.append((plan.index("Join ") > plan.index("Aggregate "), found.count()))
+        return found
+
+    monkeypatch.setattr(quantiles, "CELL_VALUES", 300)
+    monkeypatch.setattr(quantiles, "_refined", watched)
+    got = exact_quantiles(df, [], "v", {"a": 0.25, "b": 0.5}).first()
+    assert (got.a, got.b) == (9999.75, 19999.5)
+    order = np.arange(40_000)
+    upto = np.cumsum(order % 7)
+    half = quantiles.weighted_quantile(df, [], "v", "w").first()["quantile"]
+    assert half == order[np.argmax(upto >= upto[-1] / 2)]
+    # whole numbers are cut like doubles, and the join with wanted cells comes before the grouping by value
+    assert len(seen) == 2 and all(before and n < 1000 for before, n in seen)
+
+
 def test_worked_example(spark):
     df = spark.createDataFrame([(1,), (2,), (4,), (9,)], "v int")
     r = exact_quantiles(df, [], "v", {"a": 0.25, "b": 0.5, "c": 0.75}).first()
