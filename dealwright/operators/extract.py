@@ -39,35 +39,42 @@ def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
-def _whole(digits: Column) -> Column:
-    return F.translate(digits, ",", "").try_cast("bigint")
+def _number(text: Column, pattern: str, needs: str = "", kind: str = "bigint") -> Column:
+    """The first match's first group as a number, null when there is none.
+
+    Only texts that hold ``needs``, a word that every match has, are searched. An absent match is the empty text, which is
+    no number: asking for it with ``nullif`` would let each pattern after the first of a ``coalesce`` run twice.
+    """
+    found = F.regexp_extract(text, pattern, 1)
+    number = F.translate(found, ",", "").try_cast(kind)
+    return F.when(text.contains(needs), number) if needs else number
 
 
 def extract_fields(texts: DataFrame, text: str = "text", regions: tuple[str, ...] = REGIONS) -> DataFrame:
     """Everything the text itself tells; make and model come from ``match_catalog``."""
-    t = F.lower(F.col(text))
-    short_year = _first(t, SHORT_YEAR).try_cast("int")
-    km = F.coalesce(_whole(_first(t, THOUSAND_KM)) * 1000, _whole(_first(t, KM)))
+    t = F.col("_lowered")
+    short_year = _number(t, SHORT_YEAR, " model", "int")
+    km = F.coalesce(_number(t, THOUSAND_KM, "km") * 1000, _number(t, KM, "km"))
     years = F.regexp_replace(t, AMOUNT, " ")
-    miles = (_whole(_first(t, MILES)) * KM_PER_MILE).try_cast("bigint")
-    litres = (_first(t, LITRES).try_cast("double") * 1000).try_cast("bigint")
-    named = F.filter(F.array(*[F.lit(r) for r in regions]), lambda r: t.contains(F.lower(r)))
-    return texts.withColumns(
+    miles = (_number(t, MILES, "mi") * KM_PER_MILE).try_cast("bigint")
+    litres = (_number(t, LITRES, kind="double") * 1000).try_cast("bigint")
+    named = F.coalesce(*[F.when(t.contains(F.lower(F.lit(r))), r) for r in regions], F.lit(None).cast("string"))
+    return texts.withColumn("_lowered", F.lower(F.col(text))).withColumns(
         {
             "year": F.coalesce(
-                _first(t, MODEL_YEAR).try_cast("int"), F.lit(2000) + short_year, _first(years, YEAR).try_cast("int")
+                _number(t, MODEL_YEAR, " model", "int"), F.lit(2000) + short_year, _number(years, YEAR, kind="int")
             ),
             "odometer": F.coalesce(km, miles),
-            "engine_size_cc": F.coalesce(litres, _first(t, CC).try_cast("bigint")),
+            "engine_size_cc": F.coalesce(litres, _number(t, CC, "cc")),
             "fuel_type": parsing.fuel(_first(t, FUEL)),
             "transmission": F.when(t.rlike(r"\b(manual|mt)\b"), "Manual").otherwise("Automatic"),
-            "cylinders": F.coalesce(_first(t, CYLINDER).try_cast("int"), F.lit(DEFAULT_CYLINDERS)),
+            "cylinders": F.coalesce(_number(t, CYLINDER, "cyl", "int"), F.lit(DEFAULT_CYLINDERS)),
             "is_4wd": t.rlike(FOUR_WHEEL),
             "exterior_colour": F.coalesce(F.initcap(_first(t, COLOURS)), F.lit("Unknown")),
-            "region": F.get(named, F.lit(0)),
+            "region": named,
             "asking_price": parsing.whole_price(F.col(text)),
         }
-    )
+    ).drop("_lowered")
 
 
 def name_anchors(catalog: DataFrame) -> DataFrame:

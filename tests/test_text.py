@@ -165,6 +165,18 @@ def test_amounts_are_no_years_and_thousands_are_distances(spark):
     assert got == ads
 
 
+def test_each_pattern_of_a_field_runs_once(spark):
+    df = spark.createDataFrame(
+        [("sold 96 model 5,000 miles 1500cc",), ("2.5L 1999 Kms 12 mi",), ("80 kms 0 cc model",), (None,), ("",)], "text string"
+    )
+    found = extract.extract_fields(df)
+    fields = [tuple(r) for r in found.select("year", "odometer", "engine_size_cc").collect()]
+    assert fields == [(2096, 8045, 1500), (None, 1999, 2500), (None, 80, None), (None, None, None), (None, None, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (extract.AMOUNT, extract.SHORT_YEAR, extract.KM, extract.MILES, extract.CC):
+        assert plan.count(f", {pattern}, ") == 1
+
+
 def test_every_candidate_is_seen_in_chunks(spark):
     candidates = spark.createDataFrame([(f"{a}{b}", "m", "x") for a, b in itertools.product("abcd", "efgh")],
                                        "text string, make string, model string")
