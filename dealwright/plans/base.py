@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealwright.operators import clean, filters
-from dealwright.sources.listings import AS_OF_YEAR, FEATURES_SQL, listings
+from dealwright.sources.listings import AS_OF_YEAR, FEATURES_SQL, dealt_out, listings
 
 _NEEDS = {"price": ["price_display"], "age": ["year"], "km_per_year": ["odometer", "year"]}
 THIN_SQL = FEATURES_SQL + """,
@@ -31,5 +31,4 @@ def features(spark: SparkSession, sf_dir: str, *columns: str, thin: bool = False
         df = df.transform(clean.derive_age_km, AS_OF_YEAR)
     df = df.transform(clean.fill_text_defaults).transform(clean.coerce_flags)
     text = [c for c in ("region", "transmission", "fuel", "cylinders") if c in df.columns]
-    # a table of few files or row groups would keep all later steps in few tasks
-    return df.transform(clean.coerce_categoricals, text).select(*columns).hint("rebalance")
+    return dealt_out(spark, sf_dir, df.transform(clean.coerce_categoricals, text).select(*columns))

@@ -8,7 +8,7 @@ from dealwright.operators import clean, density, extract, filters, labels, match
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
 from dealwright.session import materialise
-from dealwright.sources.listings import AS_OF_YEAR, LISTINGS_SQL, listings, table
+from dealwright.sources.listings import AS_OF_YEAR, LISTINGS_SQL, dealt_out, listings, table
 
 # Texts as a feed might hold them, written in SQL both engines read.
 FUEL_TEXT = """CASE fuel WHEN '1-URGENT' THEN ' Diesel' WHEN '2-HIGH' THEN 'EV ' WHEN '3-MEDIUM' THEN 'phev'
@@ -232,7 +232,7 @@ extracted AS (
 def extracted(spark, sf_dir):
     rows = listings(spark, sf_dir)
     # dealt out, as patterns are matched over and over against rows that come from a single file
-    ads = materialise(rows.select("listing_id", F.expr(AD_TEXT).alias("text")).hint("rebalance"))
+    ads = materialise(dealt_out(spark, sf_dir, rows.select("listing_id", F.expr(AD_TEXT).alias("text"))))
     catalog = listings(spark, sf_dir, "make", "model")
     return extract.extract_listings(ads, catalog, "listing_id", regions=PLACES).select(
         "listing_id", "make", "model", *FIELDS, "confidence"

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLES_REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
@@ -32,15 +36,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """What runs in here runs with this setting, what follows with the one before."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Used where several passes or an iteration read the same rows: it cuts the lineage, survives lost executors, and
-    later passes read only the columns they need.
+    later passes read only the columns they need. What was shuffled on the way is removed with the write; otherwise it
+    would lie on disk until the driver collects garbage.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "kept")
-    df.write.parquet(path)
+    with setting(spark, SHUFFLES_REMOVED, "true"):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -51,26 +51,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Listings with the given columns, all of the raw ones by default."""
+    """Listings with the given columns, all of the raw ones by default.
+
+    Joins that move line items come first, while these are numbers alone: orders, then parts with their texts. Places are
+    joined table by table, each small by its own size; Spark takes a join of them for their product, and would shuffle.
+    """
     columns = columns or ALL_COLUMNS
     needs = {_COLUMNS[c][0] for c in columns}
     out = table(spark, sf_dir, "lineitem")
-    if "part" in needs:
-        part = table(spark, sf_dir, "part")
-        out = out.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    if "supplier" in needs:
-        places = (
-            table(spark, sf_dir, "supplier")
-            .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-            .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("s_suppkey", "r_name")
-        )
-        out = out.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
     if "orders" in needs:
         out = out.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if "part" in needs:
+        out = out.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    if "supplier" in needs:
+        out = out.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        out = out.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        out = out.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return out.select(*[_COLUMNS[c][1]().alias(c) for c in columns])
 
 
+def dealt_out(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """``df``, made of listings, over all cores: a table of few files or row groups would keep later steps in few tasks.
+
+    Rows move only if the line items are read by no more tasks than there are cores; larger tables have more.
+    """
+    scanned = table(spark, sf_dir, "lineitem").rdd.getNumPartitions()
+    return df if scanned > spark.sparkContext.defaultParallelism else df.hint("rebalance")
+
+
 # The same reading of the tables as SQL, for the checks.
 LISTINGS_SQL = """
 listings AS (

@@ -1,12 +1,16 @@
 """The shape of the plans: what must not appear in a job meant for large tables."""
 
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from dealwright.operators import market, sampling, train
 from dealwright.plans import all_queries, deal_search
 from dealwright.plans.base import features
 from dealwright.plans.model_queries import MODEL_INPUT
-from dealwright.session import materialise
+from dealwright.session import materialise, setting
+from dealwright.sources.listings import listings
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
@@ -54,3 +58,31 @@ def test_scoring_adds_no_second_pass_for_the_regional_what_if(spark):
     plain = plan_of(deal_search.score(rows, models)).count("FileScan")
     compared = plan_of(deal_search.score(rows, models, "ASIA")).count("FileScan")
     assert plain == compared
+
+
+def test_kept_rows_leave_no_shuffle_on_disk(spark):
+    """Rows that are stored need what was shuffled for them no longer."""
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    shuffled = lambda: {p.name for p in folder.rglob("shuffle_*.data")}
+    before = shuffled()
+    kept = materialise(spark.range(20_000).repartition(4).groupBy((F.col("id") % 7000).alias("k")).count())
+    assert not shuffled() - before
+    assert kept.count() == 7000 and kept.agg(F.sum("count")).first()[0] == 20_000
+    assert all(".zstd" in name for name in kept.inputFiles())
+    assert "true" != spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+
+
+def test_line_items_move_as_numbers_and_no_more_often_than_joins_ask(spark):
+    """Texts of parts are not carried from join to join, places are copied, and many tasks need no dealing out."""
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "2500"), setting(spark, "spark.sql.adaptive.enabled", "false"):
+        plan = plan_of(listings(spark, SF))
+        moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+        assert len(moved) == 4 and plan.count("BroadcastHashJoin") == 3
+        below = plan[plan.index("Exchange hashpartitioning(l_partkey") :]
+        assert "p_name" not in below[: below.index("Exchange hashpartitioning(p_partkey")]
+    cores = spark.sparkContext.defaultParallelism
+    assert "RoundRobin" in plan_of(features(spark, SF, *MODEL_INPUT))
+    with setting(spark, "spark.sql.files.maxPartitionBytes", str(2048)), setting(spark, "spark.sql.files.openCostInBytes", "0"):
+        few = features(spark, SF, *MODEL_INPUT)
+        assert "RoundRobin" not in plan_of(few) and few.rdd.getNumPartitions() > cores
+    assert few.count() == features(spark, SF, *MODEL_INPUT).count()
