@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,6 +69,7 @@ def permuted(
     In each repeat the rows of a segment stand in the order of a seeded digest and take the features of the next one,
     the last those of the first. The order is cut into ranges of the digest, about ``RANGE_ROWS`` rows each: a row
     finds the next one in its range, the last of a range takes the first of the next, from a table of one row per range.
+    Rows move without their digest, which hardly compresses and is made again where they are sorted.
     """
     keys = list(keys)
     ranges = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / RANGE_ROWS).alias("_ranges"))
@@ -76,18 +77,19 @@ def permuted(
     rows = (
         with_group_values(df, ranges, keys, "inner")
         .withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-        .withColumn("_order", order)
-        .withColumn("_range", F.shiftright(digest_number(F.col("_order")) * F.col("_ranges"), 32))
+        .withColumn("_range", F.shiftright(digest_number(order) * F.col("_ranges"), 32))
+        .drop("_ranges")
     )
     taken = F.struct(*features)
     place = Window.partitionBy(*keys, "repeat").orderBy("_range")
     whole = place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    firsts = rows.groupBy(*keys, "repeat", "_range").agg(F.min_by(taken, F.struct("_order", id_column)).alias("_first"))
+    firsts = rows.groupBy(*keys, "repeat", "_range").agg(F.min_by(taken, F.struct(order, id_column)).alias("_first"))
     firsts = firsts.withColumn("_next", F.coalesce(F.lead("_first").over(place), F.first("_first").over(whole))).drop("_first")
     inside = Window.partitionBy(*keys, "repeat", "_range").orderBy("_order", id_column)
-    moved = with_group_values(rows.withColumn("_other", F.lead(taken).over(inside)), firsts, [*keys, "repeat", "_range"], "inner")
+    together = rows.repartition(*keys, "repeat", "_range").withColumn("_order", order)
+    moved = with_group_values(together.withColumn("_other", F.lead(taken).over(inside)), firsts, [*keys, "repeat", "_range"], "inner")
     chosen = F.coalesce("_other", "_next")
-    return moved.withColumns({f"other_{f}": chosen[f] for f in features}).drop("_ranges", "_range", "_order", "_other", "_next")
+    return moved.withColumns({f"other_{f}": chosen[f] for f in features}).drop("_range", "_order", "_other", "_next")
 
 
 def permutation_importance(
@@ -96,14 +98,16 @@ def permutation_importance(
     predict_with: Mapping[str, Column],
     repeats: int = 3,
     keys: Sequence[str] = SEGMENT,
+    attach: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Rise of the mean absolute error when one feature is taken from another row: mean and deviation over repeats.
 
     ``predict_with[f]`` is the prediction with ``other_<f>`` in place of ``f``; rows carry ``prediction_label``.
-    The repeats are the seeds of their orders.
+    The repeats are the seeds of their orders. ``attach`` adds what predictions read of the group, such as its model, to
+    the rows once they have moved.
     """
     keys = list(keys)
-    shuffled = permuted(df, features, repeats, keys)
+    shuffled = attach(permuted(df, features, repeats, keys))
     base = F.abs(F.col("price") - F.col("prediction_label"))
     worse = F.array(
         *[

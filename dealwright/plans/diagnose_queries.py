@@ -26,9 +26,9 @@ def split_rows(spark, sf_dir, *more):
     return materialise(sampling.oos_split(materialise(features(spark, sf_dir, *MODEL_INPUT, *more))))
 
 
-def held_out(rows):
+def held_out(rows, models=None):
     """Held-out rows with the prediction of the model fitted on the others; the model stays attached."""
-    models = train.train_specific(rows.where("NOT is_oos"))
+    models = train.train_specific(rows.where("NOT is_oos")) if models is None else models
     scored = value.attach_specific(rows.where("is_oos"), models)
     return diagnose.residuals(scored.withColumn("prediction_label", train.specific_value("s_")))
 
@@ -133,7 +133,12 @@ def importances(spark, sf_dir):
         "odometer": train.specific_value("s_", odometer=F.col("other_odometer")),
         "region": train.specific_value("s_", region=F.col("other_region")),
     }
-    return diagnose.permutation_importance(held_out(split_rows(spark, sf_dir)), FEATURES, predict_with)
+    rows = split_rows(spark, sf_dir)
+    models = train.train_specific(rows.where("NOT is_oos"))
+    # the model of a segment joins the rows where they have moved to, as it is larger than a row
+    return diagnose.permutation_importance(
+        value.drop_models(held_out(rows, models)), FEATURES, predict_with, attach=lambda moved: value.attach_specific(moved, models)
+    )
 
 
 @query(

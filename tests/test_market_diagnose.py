@@ -101,3 +101,13 @@ def test_diagonal(rows):
     scored = diagnose.residuals(rows.withColumn("prediction_label", F.lit(1.0)))
     r = diagnose.residual_vs_predicted(scored).first()
     assert r.xy_min == 1.0 and r.xy_max > 1000
+
+
+def test_permuted_rows_move_without_digest_and_model(spark):
+    """What crosses the network three times over is a listing's own fields; digests and segment models are added after."""
+    from dealwright.plans import all_queries
+
+    df = all_queries.QUERIES["permutation_importance"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_COL") :].split("\n")[1]
+    assert "listing_id" in below and "_order" not in below and "s_region_effects" not in below
