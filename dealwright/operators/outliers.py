@@ -21,6 +21,8 @@ from dealwright.operators.quantiles import exact_quantiles
 from dealwright.session import materialise
 
 ROWS_PER_SCORING_GROUP = 50_000
+#: Types that a task reads as doubles just as Spark casts them.
+PLAIN_NUMBERS = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.BooleanType)
 
 
 # --- Robust z-score -----------------------------------------------------------------------------------------
@@ -239,28 +241,46 @@ def fit_forests(
     return drawn.groupBy(*keys).applyInPandas(fit, schema)
 
 
-def score_forest(df: DataFrame, forests: DataFrame, sizes: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    """All columns of ``df`` but ``_x``, and ``score``: every row by the forest of its segment.
+def _as_numbers(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
+    """The columns side by side as doubles, null as 0."""
+    wide = [rows.column(c).cast(pa.float64(), safe=False).fill_null(0.0).to_numpy() for c in columns]
+    return np.column_stack(wide) if wide else np.empty((rows.num_rows, 0))
+
+
+def score_forest(
+    df: DataFrame,
+    forests: DataFrame,
+    sizes: DataFrame,
+    keys: Sequence[str] = SEGMENT,
+    numbers: Sequence[str] = (),
+    drop: Sequence[str] = ("_x",),
+) -> DataFrame:
+    """All columns of ``df`` but those to ``drop``, and ``score``: every row by the forest of its segment.
 
     Rows meet their forest in groups of about ``ROWS_PER_SCORING_GROUP``: a large segment is cut into that many
-    parts by a hash of the id, and its forest is copied to each part.
+    parts by a hash of the id, and its forest is copied to each part. The forest looks at the array ``_x`` or, so that no
+    number moves twice, at the columns ``numbers``.
     """
     keys = list(keys)
     parts = F.ceil(F.col("_rows") / ROWS_PER_SCORING_GROUP).cast("int")
     sized = with_group_values(df, sizes, keys, "inner", stored=True)
     rows = sized.withColumn("_part", F.pmod(F.xxhash64("listing_id"), parts).cast("int")).drop("_rows")
     copies = forests.join(sizes, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_rows")
-    kept = [c for c in df.columns if c != "_x"]
+    kept = [c for c in df.columns if c not in drop]
 
     def score(group: pa.Table, forest: pa.Table) -> pa.Table:
         scores = np.zeros(group.num_rows)
         if group.num_rows and forest.num_rows:
             f = {c: forest.column(c)[0].as_py() for c in ("nodes", "rows_per_tree", "features", "thresholds", "paths")}
-            x = group.column("_x").combine_chunks()
-            x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+            if numbers:
+                x = _as_numbers(group, numbers)
+            else:
+                x = group.column("_x").combine_chunks()
+                x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+                x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(group.num_rows, -1)
             shape = (-1, f["nodes"])
             scores = path_scores(
-                np.nan_to_num(x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(group.num_rows, -1)),
+                np.nan_to_num(x),
                 np.frombuffer(f["features"], dtype=np.int16).reshape(shape),
                 np.frombuffer(f["thresholds"]).reshape(shape),
                 np.frombuffer(f["paths"], dtype=np.float32).reshape(shape),
@@ -278,17 +298,21 @@ def flag_isolation_forest(
 ) -> DataFrame:
     """Add ``is_outlier``: the share ``contamination`` of every segment that is easiest to isolate.
 
-    Rows keep their columns through scoring. A row without make or model belongs to no segment and is never flagged.
+    Rows keep their columns through scoring; beside them move the positions of categories and what else is no plain number
+    yet. A row without make or model belongs to no segment and is never flagged.
     """
     keys = list(keys)
     columns, words = forest_features(df, ("listing_id", *keys))
     named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     coded = category_codes(df.where(named), words, keys, suffix="_code")
-    numbers = [F.coalesce(F.col(f"{c}_code" if c in words else c).cast("double"), F.lit(0.0)) for c in columns]
-    rows = materialise(coded.withColumn("_x", F.array(*numbers)).select(*df.columns, "_x"))
+    plain = {f.name for f in df.schema.fields if isinstance(f.dataType, PLAIN_NUMBERS)}
+    numbers = {c: c if c in plain else f"_{c}_number" for c in columns}
+    made = {n: F.col(f"{c}_code").cast("int") if c in words else F.col(c).cast("double") for c, n in numbers.items() if n != c}
+    rows = materialise(coded.withColumns(made).select(*df.columns, *made))
     sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
-    forests = materialise(fit_forests(rows, sizes, settings, keys))
-    scores = materialise(score_forest(rows, forests, sizes, keys))
+    x = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in numbers.values()])
+    forests = materialise(fit_forests(rows.withColumn("_x", x), sizes, settings, keys))
+    scores = materialise(score_forest(rows, forests, sizes, keys, list(numbers.values()), list(made)))
     cuts = exact_quantiles(scores, keys, "score", {"_cut": 1 - settings.contamination})
     flagged = with_group_values(scores, cuts, keys).withColumn("is_outlier", F.col("score") > F.col("_cut"))
     flagged = flagged.select(*df.columns, "is_outlier")

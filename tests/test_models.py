@@ -321,3 +321,27 @@ def test_tree_fits_deal_rows_by_their_number(spark, monkeypatch):
     assert [len(s) for s in sizes] == [20, 20] and all(s[-1] <= 60 for s in sizes)
     assert ensemble.predict_general_trees(df, model, names).where("general IS NOT NULL").count() == 1000
     assert ensemble.add_leaf(df, leaves, names).select("leaf").distinct().count() > 1
+
+
+def test_forest_rows_move_once(spark, monkeypatch):
+    """Numbers are not copied into an array beside themselves; scores are those of the array, whatever the columns' types."""
+    rows = spark.createDataFrame(make_rows(), SCHEMA).withColumns({
+        "is_new": F.col("price") % 2 == 0, "cylinders": F.when(F.col("price") % 3 > 0, "4"),
+        "fee": (F.col("price") / 7).cast("decimal(12,3)"), "age": F.when(F.col("price") % 5 > 0, F.col("age").cast("short")),
+    })
+    calls, plain = [], outliers.score_forest
+
+    def spied(df, forests, sizes, keys, numbers, drop):
+        assert "_x" not in df.columns and len(df.columns) < len(rows.columns) + 4
+        calls.append((df, numbers))
+        told = plain(df, forests, sizes, keys, numbers, drop)
+        x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in numbers])
+        by_array = {r.listing_id: r.score for r in plain(df.withColumn("_x", x), forests, sizes, keys).collect()}
+        assert by_array == {r.listing_id: r.score for r in told.collect()} and len(by_array) == rows.count()
+        assert told.columns == [*rows.columns, "score"]
+        return told
+
+    monkeypatch.setattr(outliers, "score_forest", spied)
+    flagged = outliers.flag_isolation_forest(rows)
+    assert flagged.columns == [*rows.columns, "is_outlier"] and len(calls) == 1
+    assert set(calls[0][1]) >= {"is_new", "age", "price", "_cylinders_number", "_fee_number", "_region_number"}
