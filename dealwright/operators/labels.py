@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import IDF, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,8 @@ from dealwright.session import materialise
 
 UNKNOWN = "Unknown"
 NOISE = -1
+#: Characters of a gram, characters counted at once, about, and different runs that a table is kept for.
+GRAM, LETTERS_AT_ONCE, MOST_RUNS = 3, 1_000_000, 4_000_000
 
 
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
@@ -29,31 +31,107 @@ def distinct_texts(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def text_embedder(dimensions: int = 256, n: int = 3) -> Pipeline:
-    """Hashed character n-grams, weighted by rarity, scaled to unit length."""
+def _hashed(grams: list[str], dimensions: int) -> np.ndarray:
+    """The places that Spark's ``HashingTF`` gives to words: 32-bit murmur hashes of their bytes with the seed 42."""
+    words = [g.encode() for g in grams]
+    sizes, places = np.array([len(w) for w in words], np.int64), np.zeros(len(words), np.int64)
+    u32 = np.uint32
+
+    def mixed(k: np.ndarray) -> np.ndarray:
+        k = k * u32(0xCC9E2D51)
+        return (k << u32(15) | k >> u32(17)) * u32(0x1B873593)
+
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        whole = -(-size // 4) * 4
+        blocks = np.frombuffer(b"".join(words[i].ljust(whole, b"\0") for i in at), "<u4").reshape(len(at), -1)
+        h = np.full(len(at), 42, u32)
+        for j in range(size // 4):
+            h ^= mixed(blocks[:, j])
+            h = (h << u32(13) | h >> u32(19)) * u32(5) + u32(0xE6546B64)
+        if size % 4:
+            h ^= mixed(blocks[:, -1])
+        h ^= u32(size)
+        h = (h ^ h >> u32(16)) * u32(0x85EBCA6B)
+        h = (h ^ h >> u32(13)) * u32(0xC2B2AE35)
+        places[at] = (h ^ h >> u32(16)).view(np.int32)
+    return np.mod(places, dimensions)
+
+
+def gram_counts(texts: list[str], dimensions: int, n: int) -> np.ndarray:
+    """A row for each text: how many of its runs of ``n`` lower-case characters, a space between each two, hash to each place.
+
+    Each different run is hashed once. A text has a space before and behind.
+    """
+    coded = [np.frombuffer(f" {t} ".lower().encode("utf-32-le"), np.uint32) for t in texts]
+    sizes = np.array([len(c) for c in coded], np.int64)
+    letters = np.concatenate([np.zeros(0, np.uint32), *coded])
+    starts = len(letters) - n + 1
+    if starts < 1:
+        return np.zeros((len(texts), dimensions))
+    known, number = np.zeros(0x110000, bool), np.zeros(0x110000, np.int64)
+    known[letters] = True
+    alphabet = np.flatnonzero(known)
+    number[alphabet] = np.arange(len(alphabet))
+    letters = number[letters]
+    runs = letters[:starts].copy()
+    for i in range(1, n):
+        runs *= len(alphabet)
+        runs += letters[i : i + starts]
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    inside = owner[:starts] == owner[n - 1 :]  # a run lies in one text
+    runs, owner = runs[inside], owner[:starts][inside]
+    if len(alphabet) ** n <= MOST_RUNS:
+        met = np.zeros(len(alphabet) ** n, bool)
+        met[runs] = True
+        different = np.flatnonzero(met)
+        table = np.zeros(len(met), np.int64)
+    else:
+        different, runs = np.unique(runs, return_inverse=True)
+        table = None
+    spelled = [chr(c) for c in alphabet]
+    parts = [different // len(alphabet) ** (n - 1 - i) % len(alphabet) for i in range(n)]
+    places = _hashed([" ".join(spelled[i] for i in run) for run in zip(*parts)], dimensions)
+    if table is None:
+        table = places
+    else:
+        table[different] = places
+    return np.bincount(owner * dimensions + table[runs], minlength=len(texts) * dimensions).reshape(len(texts), -1).astype(float)
+
+
+def _counted(texts: DataFrame, dimensions: int, n: int = GRAM) -> DataFrame:
+    """Add ``_counts``, hashed character n-grams, counted for some texts at a time."""
+
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            told, some, size = [], [], 0
+            for text in values:
+                some.append(text)
+                size += len(text)
+                if size > LETTERS_AT_ONCE:
+                    told.extend(gram_counts(some, dimensions, n))
+                    some, size = [], 0
+            yield pd.Series([*told, *gram_counts(some, dimensions, n)] if some else told, dtype=object)
+
+    return texts.withColumn("_counts", array_to_vector(F.pandas_udf(counts, "array<double>")("value")))
+
+
+def text_embedder() -> Pipeline:
+    """Counts weighted by rarity, scaled to unit length."""
     return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol="_padded", outputCol="_letters", pattern="(?s).", gaps=False, minTokenLength=1),
-            NGram(n=n, inputCol="_letters", outputCol="_grams"),
-            HashingTF(numFeatures=dimensions, inputCol="_grams", outputCol="_counts"),
-            IDF(inputCol="_counts", outputCol="_weighted"),
-            Normalizer(inputCol="_weighted", outputCol="_unit"),
-        ]
+        stages=[IDF(inputCol="_counts", outputCol="_weighted"), Normalizer(inputCol="_weighted", outputCol="_unit")]
     )
 
 
-def _padded(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("_padded", F.concat(F.lit(" "), F.col("value"), F.lit(" ")))
-
-
 def fit_embedder(texts: DataFrame, dimensions: int = 256) -> PipelineModel:
-    return text_embedder(dimensions).fit(_padded(texts))
+    """The rarity of hashed character n-grams among the texts."""
+    return text_embedder().fit(_counted(texts, dimensions))
 
 
 def embed_text(texts: DataFrame, embedder: PipelineModel) -> DataFrame:
     """Add ``embedding``, an array, to distinct texts. Any other encoder that adds this column will do as well."""
-    out = embedder.transform(_padded(texts)).withColumn("embedding", vector_to_array("_unit"))
-    return out.select(*texts.columns, "embedding")
+    counted = _counted(texts, embedder.stages[0].idf.size)
+    return embedder.transform(counted).withColumn("embedding", vector_to_array("_unit")).select(*texts.columns, "embedding")
 
 
 # --- Density clustering -------------------------------------------------------------------------------------

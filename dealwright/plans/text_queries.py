@@ -497,9 +497,11 @@ def embed_text(spark, sf_dir):
 
 @query("embed_documents")
 def embed_documents(spark, sf_dir):
-    texts = labels.distinct_texts(table(spark, sf_dir, "documents"), "text")
+    texts = materialise(labels.distinct_texts(table(spark, sf_dir, "documents"), "text"))
     embedded = labels.embed_text(texts, labels.fit_embedder(texts))
-    return embedded.select(F.md5("value").alias("text_digest"), "weight", F.posexplode("embedding").alias("dimension", "x"))
+    # a digest for each text, not for each dimension of it
+    told = embedded.select(F.md5("value").alias("text_digest"), "weight", "embedding")
+    return told.select("text_digest", "weight", F.posexplode("embedding").alias("dimension", "x"))
 
 
 @query("classify_colour")

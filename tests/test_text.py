@@ -321,3 +321,43 @@ def test_centroid_classifier(spark):
                                "id int, embedding array<double>, label string")
     got = labels.classify_by_centroid(df, "id", labels.centroids(df)).collect()
     assert {(r.id, r.predicted) for r in got} == {(1, "x"), (2, "x"), (3, "y")}
+
+
+def test_counts_of_grams_are_those_of_the_feature_stages(spark, monkeypatch):
+    """Counted in bulk, texts have the counts that tokens, grams and hashes make one by one, in any script."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+
+    texts = ["", "a", "Toyota Rav4", "ΑΣ ΟΔΟΣ", "İstanbul ß", "日本語のテキスト", "a\nb\t c\r\n", "😀😀 x", "é" * 50, "the quick brown fox " * 30]
+    texts += ["".join(chr(c) for c in range(start, start + 300)) for start in (32, 0x400, 0x4E00)]
+    df = spark.createDataFrame([(t, 1) for t in texts], "value string, weight long")
+    stages = [
+        RegexTokenizer(inputCol="_padded", outputCol="_letters", pattern="(?s).", gaps=False, minTokenLength=1),
+        NGram(n=3, inputCol="_letters", outputCol="_grams"), HashingTF(numFeatures=256, inputCol="_grams", outputCol="_told"),
+    ]
+    padded = df.withColumn("_padded", F.concat(F.lit(" "), "value", F.lit(" ")))
+    told = Pipeline(stages=stages).fit(padded).transform(padded).select("value", vector_to_array("_told").alias("c"))
+    expected = {r.value: r.c for r in told.collect()}
+    assert "RegexTokenizer" not in str(labels.fit_embedder(df).stages)
+    for at_once, most in ((1_000_000, 4_000_000), (40, 10)):
+        monkeypatch.setattr(labels, "LETTERS_AT_ONCE", at_once)
+        monkeypatch.setattr(labels, "MOST_RUNS", most)
+        counts = []
+        for text in texts:
+            counts += list(labels.gram_counts([text], 256, 3))
+        assert all(list(c) == expected[t] for t, c in zip(texts, counts))
+        assert [list(c) for c in labels.gram_counts(texts, 256, 3)] == [expected[t] for t in texts]
+    got = labels._counted(df, 256).select("value", vector_to_array("_counts").alias("c"))
+    assert {r.value: r.c for r in got.collect()} == expected
+    few = labels.gram_counts(["abc"], 7, 3)
+    assert few.shape == (1, 7) and few.sum() == 3
+
+
+def test_documents_are_digested_once_each(spark):
+    """The digest of a text is made before its dimensions become rows, not for each of these."""
+    from dealwright.plans import all_queries
+
+    df = all_queries.QUERIES["embed_documents"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("md5(") and plan.count("md5(") == 1
