@@ -201,3 +201,13 @@ def test_alerts_come_once_per_search_and_listing(spark, tmp_path):
         found = stateful.alerts(spark.readStream.schema(columns).parquet(source), watches)
         scoring.append_to(found, out, progress).awaitTermination()
     assert sorted((r.watch_id, r.price) for r in spark.read.parquet(out).collect()) == [(1, 90.0), (2, 55.0)]
+
+
+def test_watchlist_copies_carry_the_number_of_their_tile(spark, monkeypatch):
+    """A row travels once for each tile it stands in: without the make, model, place and bands that the number stands for."""
+    monkeypatch.setattr(history, "BAND", 8)
+    d = spark.range(50).selectExpr("string(id) AS listing_id", "'A' AS make", "'x' AS model", "id AS price", "'N' AS region", "1.0D AS discount_pct")
+    w = spark.range(40).selectExpr("id AS watch_id", "'A' AS make", "'x' AS model", "double(id) AS budget", "string(NULL) AS region")
+    plan = history.watchlist_match(d, w)._jdf.queryExecution().executedPlan().toString().split("\n")
+    moved = [plan[i + 1] for i, line in enumerate(plan) if "Exchange hashpartitioning(tile" in line]
+    assert len(moved) == 2 and not any(word in line for line in moved for word in ("make", "place", "band"))

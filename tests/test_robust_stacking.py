@@ -336,3 +336,22 @@ def test_one_outlier_does_not_move_the_curve(spark):
         df = spark.createDataFrame([("M", "a", float(a), float(b)) for a, b in zip(x, values)], "make string, model string, odometer double, price double")
         curves.append(np.array([r.smoothed for r in lowess.lowess(df, "odometer", "price", points=10).orderBy("point").collect()]))
     assert np.abs(curves[0] - curves[1]).max() < 60
+
+
+def test_fits_shuffle_the_rows_they_are_dealt_once(spark, monkeypatch):
+    """Without adaptive execution, asking for partitions runs no shuffle; rows that are few keep theirs and the setting."""
+    from dealwright.operators import ensemble
+
+    asked = []
+
+    class Fit:
+        def fit(self, rows):
+            asked.append((rows.rdd.getNumPartitions(), spark.conf.get("spark.sql.adaptive.enabled")))
+            return len(asked)
+
+    rows = spark.range(0, 1000, 1, 3)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    assert ensemble._fitted(Fit(), rows) == 1
+    monkeypatch.setattr(ensemble, "TASK_ROWS", 50)
+    assert ensemble._fitted(Fit(), rows) == 2
+    assert asked == [(3, before), (20, "false")] and spark.conf.get("spark.sql.adaptive.enabled") == before == "true"
