@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from dealwright.config import CATEGORICAL_FEATURES, SEGMENT, OutlierSettings
 from dealwright.operators.joins import with_group_values
 from dealwright.operators.quantiles import exact_quantiles
-from dealwright.session import materialise
+from dealwright.session import SMALL, materialise
 
 ROWS_PER_SCORING_GROUP = 50_000
 #: Types that a task reads as doubles just as Spark casts them.
@@ -308,11 +308,11 @@ def flag_isolation_forest(
     plain = {f.name for f in df.schema.fields if isinstance(f.dataType, PLAIN_NUMBERS)}
     numbers = {c: c if c in plain else f"_{c}_number" for c in columns}
     made = {n: F.col(f"{c}_code").cast("int") if c in words else F.col(c).cast("double") for c, n in numbers.items() if n != c}
-    rows = materialise(coded.withColumns(made).select(*df.columns, *made))
+    rows = materialise(coded.withColumns(made).select(*df.columns, *made), SMALL)
     sizes = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
     x = F.array(*[F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in numbers.values()])
     forests = materialise(fit_forests(rows.withColumn("_x", x), sizes, settings, keys))
-    scores = materialise(score_forest(rows, forests, sizes, keys, list(numbers.values()), list(made)))
+    scores = materialise(score_forest(rows, forests, sizes, keys, list(numbers.values()), list(made)), SMALL)
     cuts = exact_quantiles(scores, keys, "score", {"_cut": 1 - settings.contamination})
     flagged = with_group_values(scores, cuts, keys).withColumn("is_outlier", F.col("score") > F.col("_cut"))
     flagged = flagged.select(*df.columns, "is_outlier")

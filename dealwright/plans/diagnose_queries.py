@@ -11,7 +11,7 @@ from dealwright.plans.base import features
 from dealwright.plans.catalog import query
 from dealwright.plans.clean_queries import SPLIT_SQL
 from dealwright.plans.model_queries import MODEL_INPUT, clean_zero, line_tails, rounded
-from dealwright.session import materialise
+from dealwright.session import SMALL, materialise
 from dealwright.sources import registry
 
 HELD_OUT_SQL = f"""{SPLIT_SQL},
@@ -23,7 +23,7 @@ held AS (SELECT *, specific AS prediction_label, price - specific AS residual FR
 
 def split_rows(spark, sf_dir, *more):
     """Listings with the split flag, kept as training and scoring both read them."""
-    return materialise(sampling.oos_split(materialise(features(spark, sf_dir, *MODEL_INPUT, *more))))
+    return materialise(sampling.oos_split(materialise(features(spark, sf_dir, *MODEL_INPUT, *more), SMALL)), SMALL)
 
 
 def held_out(rows, models=None):

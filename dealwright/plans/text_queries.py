@@ -7,7 +7,7 @@ from dealwright.functions import parsing, scoring
 from dealwright.operators import clean, density, extract, filters, labels, match, outliers
 from dealwright.plans.base import THIN_SQL, features
 from dealwright.plans.catalog import query
-from dealwright.session import materialise
+from dealwright.session import SMALL, materialise
 from dealwright.sources.listings import AS_OF_YEAR, LISTINGS_SQL, dealt_out, listings, table
 
 # Texts as a feed might hold them, written in SQL both engines read.
@@ -232,7 +232,7 @@ extracted AS (
 def extracted(spark, sf_dir):
     rows = listings(spark, sf_dir)
     # dealt out, as patterns are matched over and over against rows that come from a single file
-    ads = materialise(dealt_out(spark, sf_dir, rows.select("listing_id", F.expr(AD_TEXT).alias("text"))))
+    ads = materialise(dealt_out(spark, sf_dir, rows.select("listing_id", F.expr(AD_TEXT).alias("text"))), SMALL)
     catalog = listings(spark, sf_dir, "make", "model")
     return extract.extract_listings(ads, catalog, "listing_id", regions=PLACES).select(
         "listing_id", "make", "model", *FIELDS, "confidence"
@@ -528,7 +528,7 @@ def feature_engineering_full(spark, sf_dir):
             df = labels.classify_column(df, text, label, fill).drop(text)
         return df
 
-    rows = materialise(filters.filter_non_auction(listings(spark, sf_dir)))
+    rows = materialise(filters.filter_non_auction(listings(spark, sf_dir)), SMALL)
     return clean.feature_engineering(
-        rows, FeatureSettings(as_of_year=AS_OF_YEAR), labeller, lambda df: outliers.remove_outliers(materialise(df))
+        rows, FeatureSettings(as_of_year=AS_OF_YEAR), labeller, lambda df: outliers.remove_outliers(materialise(df, SMALL))
     )

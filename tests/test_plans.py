@@ -65,7 +65,7 @@ def test_kept_rows_leave_no_shuffle_on_disk(spark):
     folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
     shuffled = lambda: {p.name for p in folder.rglob("shuffle_*.data")}
     before = shuffled()
-    kept = materialise(spark.range(20_000).repartition(4).groupBy((F.col("id") % 7000).alias("k")).count())
+    kept = materialise(spark.range(20_000).repartition(4).groupBy((F.col("id") % 7000).alias("k")).count(), "zstd")
     assert not shuffled() - before
     assert kept.count() == 7000 and kept.agg(F.sum("count")).first()[0] == 20_000
     assert all(".zstd" in name for name in kept.inputFiles())
