@@ -1,5 +1,6 @@
 """The shape of the plans: what must not appear in a job meant for large tables."""
 
+from contextlib import ExitStack
 from pathlib import Path
 
 import pytest
@@ -74,7 +75,11 @@ def test_kept_rows_leave_no_shuffle_on_disk(spark):
 
 def test_line_items_move_as_numbers_and_no_more_often_than_joins_ask(spark):
     """Texts of parts are not carried from join to join, places are copied, and many tasks need no dealing out."""
-    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "2500"), setting(spark, "spark.sql.adaptive.enabled", "false"):
+    fine = {"spark.sql.files.maxPartitionBytes": "2048", "spark.sql.files.openCostInBytes": "0"}
+    joins = {"spark.sql.autoBroadcastJoinThreshold": "2500", "spark.sql.adaptive.enabled": "false"}
+    with ExitStack() as stack:
+        for key, value in (fine | joins).items():
+            stack.enter_context(setting(spark, key, value))
         plan = plan_of(listings(spark, SF))
         moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
         assert len(moved) == 4 and plan.count("BroadcastHashJoin") == 3
@@ -82,7 +87,9 @@ def test_line_items_move_as_numbers_and_no_more_often_than_joins_ask(spark):
         assert "p_name" not in below[: below.index("Exchange hashpartitioning(p_partkey")]
     cores = spark.sparkContext.defaultParallelism
     assert "RoundRobin" in plan_of(features(spark, SF, *MODEL_INPUT))
-    with setting(spark, "spark.sql.files.maxPartitionBytes", str(2048)), setting(spark, "spark.sql.files.openCostInBytes", "0"):
+    with ExitStack() as stack:
+        for key, value in fine.items():
+            stack.enter_context(setting(spark, key, value))
         few = features(spark, SF, *MODEL_INPUT)
         assert "RoundRobin" not in plan_of(few) and few.rdd.getNumPartitions() > cores
     assert few.count() == features(spark, SF, *MODEL_INPUT).count()
